@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dupstream.functions.bits import hamming, lower_half, upper_half
+from dupstream.session import prepare
 from dupstream.schemas import AHASH, DHASH_H, DHASH_V, WORDS
 
 # ---- fixed values (thresholds of the reference) --------------------------
@@ -128,6 +129,7 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     (left and right are the same table) each unordered pair appears once,
     with ``l_id < r_id``.
     """
+    prepare(left.sparkSession)
     n_bands = th.max_a + 1
     if n_bands > MAX_BANDS:
         raise ValueError(f"aHash bound {th.max_a} needs {n_bands} bands; at most {MAX_BANDS} exist")
@@ -181,12 +183,12 @@ def fingerprint_classes(images: DataFrame, bits_col: str = "bits") -> tuple[Data
     still image ``id`` to its ``root``.  The aggregation is partial (map-side)
     so a class of any size never gathers in one task.
     """
-    still = still_images(images)
-    roots = (still.groupBy(*WORDS)
-             .agg(F.min("id").alias("id"), F.min(bits_col).alias(bits_col)))
-    members = (still.select("id", *WORDS)
-               .join(roots.select(F.col("id").alias("root"), *WORDS), WORDS)
-               .select("id", "root"))
+    still = still_images(images).withColumn("fp", F.struct(*WORDS))
+    # One struct-valued key instead of twelve equal columns keeps Catalyst's
+    # constraint inference linear.
+    classes = still.groupBy("fp").agg(F.min("id").alias("root"), F.min(bits_col).alias(bits_col))
+    roots = classes.select(F.col("root").alias("id"), *[F.col(f"fp.{w}").alias(w) for w in WORDS], bits_col)
+    members = still.select("id", "fp").join(classes.select("fp", "root"), "fp").select("id", "root")
     return roots, members
 
 

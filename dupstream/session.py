@@ -22,9 +22,18 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Fingerprint plans carry many bitwise predicates over twelve word
+    # columns; constraint inference over them grows combinatorially.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the heavy operators need on any session (a
+    cluster session built elsewhere included)."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "dupstream", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)

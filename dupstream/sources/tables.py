@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from dupstream.functions.bits import exact_bits, reference_bits, signed_sum_is_zero
 from dupstream.functions.text import ascii_printable
 from dupstream.schemas import WORDS
+from dupstream.session import prepare
 
 # ---- fixed values of the derived fixture --------------------------------
 BLOCK = 25            # documents per base fingerprint
@@ -32,6 +33,9 @@ SPARSE_EVERY = 5      # every 5th block has a sparse first aHash word
 ANIMATED_TYPES = ("click", "view")
 NO_URL_EVERY = 10     # userid % 10 == 0 -> unknown profile url
 ALBUM_EVERY = 11      # doc_id % 11 == 0 -> album
+NO_SIZE_EVERY = 17    # size unknown (0)
+NO_WIDTH_EVERY = 13   # width unknown (-1)
+NO_HEIGHT_EVERY = 19  # height unknown (-1)
 # --------------------------------------------------------------------------
 
 LONG_MIN = -(2 ** 63)
@@ -48,7 +52,8 @@ def epoch_seconds(ts: Column) -> Column:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return docs.join(events, docs.doc_id == events.event_id)
 
@@ -72,37 +77,51 @@ def posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _word(name: str, i: int) -> Column:
+def _staged_words(df: DataFrame) -> DataFrame:
+    """Add the twelve words in stages (digest, body, word), so that each
+    expression is computed once and the plan stays small."""
     c = F.floor(F.col("doc_id") / BLOCK).cast("bigint")
     m = (F.col("doc_id") % BLOCK).cast("int")
-    h = F.md5(F.concat(c.cast("string"), F.lit(name)))
-    body = F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
-    sparse = F.lit(name == "ahash_1") & (c % SPARSE_EVERY == 0)
-    high = F.substring(h, 16, 1).isin(*list("89abcdef"))
-    w = (F.when(sparse, body.bitwiseAND(F.lit(255)))
-         .when(high, F.bitwise_not(body))
-         .otherwise(body))
-    flip = F.expr(f"shiftleft(1L, cast((doc_id % {BLOCK} + {5 * i}) % 60 as int))")
-    w = F.when((m + i) % 3 == 0, w.bitwiseXOR(flip)).otherwise(w)
-    if name == "ahash_1":
-        w = F.when(m % 7 == 1, w.bitwiseXOR(F.lit(LONG_MIN))).otherwise(w)
-    return w.alias(name)
+    df = df.select("*", *[F.md5(F.concat(c.cast("string"), F.lit(w))).alias(f"h_{w}") for w in WORDS])
+    df = df.select("*", *[F.conv(F.substring(f"h_{w}", 1, 15), 16, 10).cast("bigint").alias(f"body_{w}")
+                          for w in WORDS])
+    words = []
+    for i, w in enumerate(WORDS):
+        body = F.col(f"body_{w}")
+        sparse = F.lit(w == "ahash_1") & (c % SPARSE_EVERY == 0)
+        high = F.substring(f"h_{w}", 16, 1).isin(*list("89abcdef"))
+        v = (F.when(sparse, body.bitwiseAND(F.lit(255)))
+             .when(high, F.bitwise_not(body))
+             .otherwise(body))
+        flip = F.expr(f"shiftleft(1L, cast((doc_id % {BLOCK} + {5 * i}) % 60 as int))")
+        v = F.when((m + i) % 3 == 0, v.bitwiseXOR(flip)).otherwise(v)
+        if w == "ahash_1":
+            v = F.when(m % 7 == 1, v.bitwiseXOR(F.lit(LONG_MIN))).otherwise(v)
+        words.append(v.alias(w))
+    keep = [x for x in df.columns if not x.startswith(("h_", "body_"))]
+    return df.select(*keep, *words)
 
 
 def images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image rows: id, post_id, userid, datetime, animated, 12 words, crc,
     bits (reference definition), tbits (true popcount).  Still images whose
     words sum to zero are rejected at ingest (FLT4) and therefore absent."""
-    b = _base(spark, sf_dir)
-    words = [_word(w, i) for i, w in enumerate(WORDS)]
+    b = _staged_words(_base(spark, sf_dir))
     df = b.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("post_id"),
         F.col("user_id").alias("userid"),
         epoch_seconds(F.col("ts")).alias("datetime"),
         F.col("event_type").isin(*ANIMATED_TYPES).alias("animated"),
-        *words,
+        *WORDS,
         F.md5(F.col("text")).alias("crc"),
+        F.concat(F.lit("i/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("imagepath"),
+        F.when(F.col("doc_id") % NO_SIZE_EVERY == 0, F.lit(0).cast("bigint"))
+         .otherwise(F.col("n_chars")).alias("size"),
+        F.when(F.col("doc_id") % NO_WIDTH_EVERY == 0, F.lit(-1))
+         .otherwise((F.col("n_chars") % 900 + 100).cast("int")).alias("width"),
+        F.when(F.col("doc_id") % NO_HEIGHT_EVERY == 0, F.lit(-1))
+         .otherwise((F.col("n_chars") % 700 + 100).cast("int")).alias("height"),
     )
     df = df.select(
         "*",
