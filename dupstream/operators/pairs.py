@@ -192,20 +192,31 @@ def fingerprint_classes(images: DataFrame, bits_col: str = "bits") -> tuple[Data
     return roots, members
 
 
-def near_pairs(images: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
-               salt_rows: int | None = DEFAULT_SALT_ROWS) -> DataFrame:
-    """JN1/JN2 + SNK4: the stored near-duplicate edge table ``a, b, diff_a,
-    diff_d`` (``a < b``): root edges between distinct fingerprints within the
-    bounds, plus one zero-distance edge from each copy to its class root."""
+def near_index(images: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
+               salt_rows: int | None = DEFAULT_SALT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(members, root_edges)``: class root of every still image, and the
+    edges ``a < b, diff_a, diff_d`` between distinct fingerprints."""
     roots, members = fingerprint_classes(images, bits_col)
     root_edges = (similarity_join(roots, roots, th, bits_col=bits_col, self_join=True,
                                   salt_rows=salt_rows)
                   .select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"),
                           "diff_a", (F.col("diff_dh") + F.col("diff_dv")).alias("diff_d")))
-    copy_edges = (members.filter(F.col("id") != F.col("root"))
-                  .select(F.col("root").alias("a"), F.col("id").alias("b"),
-                          F.lit(0).alias("diff_a"), F.lit(0).alias("diff_d")))
-    return root_edges.unionByName(copy_edges)
+    return members, root_edges
+
+
+def near_pairs(images: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
+               salt_rows: int | None = DEFAULT_SALT_ROWS) -> DataFrame:
+    """JN1/JN2 + SNK4: the stored near-duplicate edge table ``a, b, diff_a,
+    diff_d`` (``a < b``): root edges between distinct fingerprints within the
+    bounds, plus one zero-distance edge from each copy to its class root."""
+    members, root_edges = near_index(images, th, bits_col=bits_col, salt_rows=salt_rows)
+    return root_edges.unionByName(copy_edges(members))
+
+
+def copy_edges(members: DataFrame) -> DataFrame:
+    return (members.filter(F.col("id") != F.col("root"))
+            .select(F.col("root").alias("a"), F.col("id").alias("b"),
+                    F.lit(0).alias("diff_a"), F.lit(0).alias("diff_d")))
 
 
 def returned(pairs: DataFrame, max_a: int = RETURN_MAX_A, max_d: int = RETURN_MAX_D) -> DataFrame:

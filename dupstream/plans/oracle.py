@@ -84,3 +84,45 @@ WITH s AS (
   SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bit_string
   FROM embeddings)
 SELECT vec_id, bit_string, CAST(CAST(bit_string AS BIT) AS BIGINT) AS word FROM s"""
+
+
+_GRAPH = _NEAR + _EXACT + [
+    """nodes AS (
+  SELECT m.id, m.root AS k, FALSE AS animated FROM members m
+  UNION ALL SELECT x.id, r.root AS k, TRUE AS animated FROM anim x JOIN ex_roots r USING (crc))""",
+    """linked AS (SELECT a, b FROM root_edges
+  WHERE diff_a <= 5 AND dh <= 8 AND dv <= 8 AND diff_a <= 3 AND dh + dv <= 10)""",
+    """adj AS (SELECT a AS k1, b AS k2 FROM linked UNION ALL SELECT b AS k1, a AS k2 FROM linked
+  UNION ALL SELECT DISTINCT k AS k1, k AS k2 FROM nodes)""",
+    """np AS (SELECT n.id, n.k, n.animated, p.id AS pid, p.datetime, p.userurl, p.userid, p.link, p.title
+  FROM nodes n JOIN images_fx i ON i.id = n.id JOIN posts_fx p ON p.id = i.post_id)""",
+]
+_ASC = "datetime, userurl NULLS FIRST, userid NULLS FIRST, link, title"
+_DESC = "datetime DESC, userurl DESC NULLS LAST, userid DESC NULLS LAST, link DESC, title DESC"
+
+
+def _post_cols(alias: str, prefix: str) -> str:
+    return ", ".join(f"{alias}.{c} AS {prefix}_{c}" for c in ["datetime", "userurl", "userid", "link", "title"])
+
+
+_SUMMARY = with_fx(*_GRAPH, """dups AS (
+  SELECT x.pid AS x, x.animated, y.datetime, y.userurl, y.userid, y.link, y.title
+  FROM np x JOIN adj ON adj.k1 = x.k JOIN np y ON y.k = adj.k2
+  WHERE y.datetime < x.datetime)""", f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY x ORDER BY {_ASC}) AS r_first,
+         row_number() OVER (PARTITION BY x ORDER BY {_DESC}) AS r_last,
+         count(*) OVER (PARTITION BY x) AS seen
+  FROM dups)""", f"""summary AS (
+  SELECT f.x AS id, f.animated AS by_crc, f.seen, {_post_cols('f', 'first')}, {_post_cols('l', 'last')},
+         f.link <> l.link AS trip
+  FROM ranked f JOIN ranked l ON f.x = l.x AND f.r_first = 1 AND l.r_last = 1)""")
+
+ORACLE["duplicate_summary"] = _SUMMARY + "SELECT * FROM summary"
+ORACLE["duplicates_before"] = _SUMMARY + "SELECT id, seen, last_link, last_datetime FROM summary"
+
+ORACLE["neighbours_before"] = with_fx(*_GRAPH, """cand AS (
+  SELECT x.pid AS x, x.animated, y.datetime, y.userurl, y.userid, y.link, y.title
+  FROM np x JOIN adj ON adj.k1 = x.k JOIN np y ON y.k = adj.k2
+  WHERE y.datetime <= x.datetime AND y.id <> x.id)""", f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY x ORDER BY {_ASC}) AS r FROM cand)""") + f"""
+SELECT x AS id, animated, {_post_cols('ranked', 'nb')} FROM ranked WHERE r = 1"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dupstream.functions import bits as B
 from dupstream.functions.sql import register_sql
+from dupstream.operators import history as H
 from dupstream.operators import pairs as P
 from dupstream.schemas import WORDS
 from dupstream.sources.tables import images_fx, posts_fx
@@ -130,3 +131,24 @@ def q_signed_words(spark, sf_dir):
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     s = F.concat_ws("", F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")))
     return emb.select("vec_id", s.alias("bit_string"), B.signed_word(s, 0).alias("word"))
+
+
+# ---- duplicate history ---------------------------------------------------
+
+@register("duplicate_summary")
+def q_duplicate_summary(spark, sf_dir):
+    """AGG9/JN10/SRT4: first/last seen and count of strictly older duplicates."""
+    return H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+
+
+@register("duplicates_before")
+def q_duplicates_before(spark, sf_dir):
+    """JN5/JN10: number of strictly older duplicates and the newest of them."""
+    d = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+    return d.select("id", "seen", "last_link", "last_datetime")
+
+
+@register("neighbours_before")
+def q_neighbours_before(spark, sf_dir):
+    """JN8/JN9/JN11/JN12: oldest duplicate at or before each post."""
+    return H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
