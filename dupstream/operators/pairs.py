@@ -57,17 +57,22 @@ class Thresholds:
     max_a: int = STORE_MAX_A
     max_dh: int = STORE_MAX_DH
     max_dv: int = STORE_MAX_DV
-    window: int = INGEST_BITS_WINDOW
+    window: int | None = INGEST_BITS_WINDOW   # None: no bits prefilter
     inclusive: bool = True
+    max_d: int | None = None                  # bound on diff_dh + diff_dv
 
     @property
-    def max_delta(self) -> int:
+    def max_delta(self) -> int | None:
         """Largest |bits difference| the window admits."""
+        if self.window is None:
+            return None
         return self.window if self.inclusive else self.window - 1
 
 
 STORE = Thresholds()
 LOOKUP = Thresholds(LOOKUP_MAX_A, LOOKUP_MAX_DH, LOOKUP_MAX_DV, LOOKUP_BITS_WINDOW, False)
+# aHash <= 3 and combined dHash <= 10, no bits prefilter (FLT8).
+COMBINED = Thresholds(RETURN_MAX_A, RETURN_MAX_D, RETURN_MAX_D, None, True, RETURN_MAX_D)
 
 
 def _band_exprs(prefix: str | None = None) -> list[Column]:
@@ -76,11 +81,13 @@ def _band_exprs(prefix: str | None = None) -> list[Column]:
     return [upper_half(col(w)) for w in AHASH] + [lower_half(col(w)) for w in AHASH]
 
 
-def _explode_bands(df: DataFrame, n_bands: int, bits_col: str, width: int,
+def _explode_bands(df: DataFrame, n_bands: int, bits_col: str, width: int | None,
                    offsets: tuple[int, ...]) -> DataFrame:
     """One row per (band, bucket offset): band_no, band, bkt + payload."""
     bands = F.array(*_band_exprs()[:n_bands])
     out = df.select("*", F.posexplode(bands).alias("band_no", "band"))
+    if width is None:
+        return out.withColumn("bkt", F.lit(0)).withColumn("bkt_off", F.lit(0))
     bkt = F.floor(F.col(bits_col) / F.lit(width)).cast("int")
     if offsets == (0,):
         return out.withColumn("bkt", bkt).withColumn("bkt_off", F.lit(0))
@@ -133,13 +140,13 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     n_bands = th.max_a + 1
     if n_bands > MAX_BANDS:
         raise ValueError(f"aHash bound {th.max_a} needs {n_bands} bands; at most {MAX_BANDS} exist")
-    width = th.max_delta + 1
+    width = None if th.max_delta is None else th.max_delta + 1
     cols = [*WORDS, bits_col]
     lsel = left.select(F.col(left_id).alias("l_id"), *cols)
     rsel = right.select(F.col(right_id).alias("r_id"), *cols)
     # Self join: one bucket for same-bucket pairs (taken once by l_id < r_id)
     # and the next bucket up; otherwise the query side covers all three.
-    offsets = (0, 1) if self_join else (-1, 0, 1)
+    offsets = (0,) if width is None else (0, 1) if self_join else (-1, 0, 1)
     lx = _explode_bands(lsel, n_bands, bits_col, width, offsets)
     rx = _explode_bands(rsel, n_bands, bits_col, width, (0,)).drop("bkt_off")
     keys = ["band_no", "band", "bkt"]
@@ -148,8 +155,9 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     l, r = lx.alias("l"), rx.alias("r")
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     joined = l.join(r, cond, "inner")
-    delta = F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}"))
-    keep = (delta <= th.max_delta) & (_first_equal_band(n_bands) == F.col("l.band_no"))
+    keep = _first_equal_band(n_bands) == F.col("l.band_no")
+    if th.max_delta is not None:
+        keep = keep & (F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}")) <= th.max_delta)
     if self_join:
         keep = keep & ((F.col("l.bkt_off") == 1) | (F.col("l.l_id") < F.col("r.r_id")))
     dist = {
@@ -159,8 +167,11 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     }
     out = joined.filter(keep).select(F.col("l.l_id").alias("l_id"), F.col("r.r_id").alias("r_id"),
                                      *[v.alias(k) for k, v in dist.items()])
-    return out.filter((F.col("diff_a") <= th.max_a) & (F.col("diff_dh") <= th.max_dh)
-                      & (F.col("diff_dv") <= th.max_dv))
+    bound = ((F.col("diff_a") <= th.max_a) & (F.col("diff_dh") <= th.max_dh)
+             & (F.col("diff_dv") <= th.max_dv))
+    if th.max_d is not None:
+        bound = bound & (F.col("diff_dh") + F.col("diff_dv") <= th.max_d)
+    return out.filter(bound)
 
 
 def sum_distance(words) -> Column:

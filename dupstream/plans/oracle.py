@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dupstream.plans.fixture_sql import LONG_MIN_SQL, WORD_LIST, near_ctes, with_fx
+from dupstream.plans.fixture_sql import DA, DH, DV, LONG_MIN_SQL, WORD_LIST, near_ctes, with_fx
 
 # Stored index = images before the middle of the time range.
 SPLIT_SQL = "(SELECT (min(datetime) + max(datetime)) // 2 FROM posts_fx)"
@@ -126,3 +126,40 @@ ORACLE["neighbours_before"] = with_fx(*_GRAPH, """cand AS (
   WHERE y.datetime <= x.datetime AND y.id <> x.id)""", f"""ranked AS (
   SELECT *, row_number() OVER (PARTITION BY x ORDER BY {_ASC}) AS r FROM cand)""") + f"""
 SELECT x AS id, animated, {_post_cols('ranked', 'nb')} FROM ranked WHERE r = 1"""
+
+
+_LIST = "datetime, userurl, link, title"
+_SPLIT_CTES = [f"idx AS (SELECT * FROM images_fx WHERE datetime < {SPLIT_SQL})",
+               f"qry AS (SELECT * FROM images_fx WHERE datetime >= {SPLIT_SQL})"]
+
+
+def _lookup_sql(match_cte: str, qry_filter: str) -> dict[str, str]:
+    base = with_fx(*_SPLIT_CTES, match_cte, f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY {_DESC}) AS rank_desc,
+            row_number() OVER (PARTITION BY q ORDER BY {_ASC}) AS rank_asc FROM m)""")
+    return {
+        "all": base + f"SELECT q, rank_desc AS rank, {_LIST} FROM ranked WHERE rank_desc <= 1024",
+        "count": base + f"""SELECT l.id AS q, count(m.q) AS n FROM qry l LEFT JOIN m ON m.q = l.id
+WHERE {qry_filter} GROUP BY l.id""",
+        "newest": base + f"SELECT q, {_LIST} FROM ranked WHERE rank_desc = 1",
+        "oldest": base + f"SELECT q, {_LIST} FROM ranked WHERE rank_asc = 1",
+    }
+
+
+_SIM = _lookup_sql(f"""m AS (
+  SELECT l.id AS q, p.datetime, p.userurl, p.userid, p.link, p.title
+  FROM qry l JOIN idx r ON NOT l.animated AND NOT r.animated AND abs(l.bits - r.bits) < 20
+       AND {DA} <= 3 AND {DH} <= 5 AND {DV} <= 5
+  JOIN posts_fx p ON p.id = r.post_id)""", "NOT l.animated")
+_DIG = _lookup_sql("""m AS (
+  SELECT l.id AS q, p.datetime, p.userurl, p.userid, p.link, p.title
+  FROM qry l JOIN idx r ON l.crc = r.crc JOIN posts_fx p ON p.id = r.post_id)""", "TRUE")
+_COMB = _lookup_sql(f"""m AS (
+  SELECT l.id AS q, p.datetime, p.userurl, p.userid, p.link, p.title
+  FROM qry l JOIN idx r ON NOT l.animated AND NOT r.animated
+       AND {DA} <= 3 AND {DH} + {DV} <= 10
+  JOIN posts_fx p ON p.id = r.post_id)""", "NOT l.animated")
+for _k in ("all", "count", "newest", "oldest"):
+    ORACLE[f"similar_{_k}"] = _SIM[_k]
+    ORACLE[f"same_digest_{_k}"] = _DIG[_k]
+ORACLE["avg_exists_combined"] = _COMB["newest"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from dupstream.functions import bits as B
 from dupstream.functions.sql import register_sql
 from dupstream.operators import history as H
+from dupstream.operators import lookup as L
 from dupstream.operators import pairs as P
 from dupstream.schemas import WORDS
 from dupstream.sources.tables import images_fx, posts_fx
@@ -152,3 +153,32 @@ def q_duplicates_before(spark, sf_dir):
 def q_neighbours_before(spark, sf_dir):
     """JN8/JN9/JN11/JN12: oldest duplicate at or before each post."""
     return H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+
+
+# ---- lookup API (a batch of new images against the stored index) ----------
+
+def _split_images(spark, sf_dir):
+    im = images_fx(spark, sf_dir)
+    split, _ = time_marks(spark, sf_dir)
+    return im.filter(F.col("datetime") < split), im.filter(F.col("datetime") >= split)
+
+
+def _similar(spark, sf_dir, part, th=P.LOOKUP):
+    index, new = _split_images(spark, sf_dir)
+    return L.similar_lookup(P.still_images(new), index, posts_fx(spark, sf_dir), th)[part]
+
+
+def _digest(spark, sf_dir, part):
+    index, new = _split_images(spark, sf_dir)
+    return L.digest_lookup(new, index, posts_fx(spark, sf_dir))[part]
+
+
+for _part in ("all", "count", "newest", "oldest"):
+    register(f"similar_{_part}")(lambda spark, sf_dir, _p=_part: _similar(spark, sf_dir, _p))
+    register(f"same_digest_{_part}")(lambda spark, sf_dir, _p=_part: _digest(spark, sf_dir, _p))
+
+
+@register("avg_exists_combined")
+def q_avg_exists_combined(spark, sf_dir):
+    """FLT8: newest post within aHash 3 and combined dHash 10, no bits window."""
+    return _similar(spark, sf_dir, "newest", P.COMBINED)
