@@ -163,3 +163,166 @@ for _k in ("all", "count", "newest", "oldest"):
     ORACLE[f"similar_{_k}"] = _SIM[_k]
     ORACLE[f"same_digest_{_k}"] = _DIG[_k]
 ORACLE["avg_exists_combined"] = _COMB["newest"]
+
+
+# ---- report ------------------------------------------------------------------
+from dupstream.operators.limits import MISS_WINDOW  # noqa: E402
+from dupstream.sources.tables import BLOCK_ADD_VALUE, BLOCK_REMOVE_VALUE, SUMMON_ID_SPACE  # noqa: E402
+
+_BLOCK_CTES = [
+    f"""add_lines AS (SELECT CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR)
+         WHEN 1 THEN ' ' || CAST(user_id AS VARCHAR) || ' ' ELSE 'x' || CAST(user_id AS VARCHAR) END AS line
+  FROM events WHERE event_type = 'error' AND value >= {BLOCK_ADD_VALUE})""",
+    f"""rm_lines AS (SELECT CAST(user_id AS VARCHAR) AS line FROM events
+  WHERE event_type = 'signup' AND value >= {BLOCK_REMOVE_VALUE})""",
+    """blocked AS (
+  SELECT DISTINCT CAST(trim(line) AS BIGINT) AS userid FROM add_lines WHERE regexp_full_match(trim(line), '[+-]?[0-9]+')
+  EXCEPT
+  SELECT CAST(trim(line) AS BIGINT) AS userid FROM rm_lines WHERE regexp_full_match(trim(line), '[+-]?[0-9]+'))""",
+]
+ORACLE["blocklist"] = "WITH " + ",\n".join(_BLOCK_CTES) + "\nSELECT userid FROM blocked"
+
+
+def _levn(a: str, b: str) -> str:
+    return (f"(CASE WHEN length({a}) + length({b}) = 0 THEN 0.0 "
+            f"ELSE levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)")
+
+
+def _norm(x: str) -> str:
+    return f"trim(lower(coalesce({x}, '')))"
+
+
+def _bar(sim: str) -> str:
+    v = f"(({sim}) * 5.0)"
+    stars = f"(CAST(floor({v}) AS INTEGER) + CASE WHEN floor({v}) < 5 AND {v} - floor({v}) >= 0.5 THEN 1 ELSE 0 END)"
+    return f"(repeat('★', {stars}) || repeat('☆', 5 - {stars}))"
+
+
+_SP = ["sp AS (SELECT s.*, p.datetime AS x_datetime, p.title AS x_title, p.userurl AS x_userurl, "
+       "p.userid AS x_userid, p.link AS x_link, p.score AS x_score FROM summary s JOIN posts_fx p ON p.id = s.id)"]
+_SUMMARY_SP = _SUMMARY.rstrip("\n") + ",\n" + _SP[0] + "\n"
+
+ORACLE["title_distance"] = _SUMMARY_SP + f"""
+SELECT id,
+  levenshtein({_norm('last_title')}, {_norm('x_title')}) AS last_distance,
+  {_levn(_norm('last_title'), _norm('x_title'))} AS last_norm,
+  levenshtein({_norm('first_title')}, {_norm('x_title')}) AS first_distance,
+  {_levn(_norm('first_title'), _norm('x_title'))} AS first_norm
+FROM sp"""
+
+ORACLE["similarity_bar"] = _SUMMARY_SP + f"""
+SELECT id, {_bar('1.0 - ' + _levn(_norm('last_title'), _norm('x_title')))} AS last_bar,
+       {_bar('1.0 - ' + _levn(_norm('first_title'), _norm('x_title')))} AS first_bar
+FROM sp"""
+
+
+def _duration(v: str) -> str:
+    units = [(1.0, "seconds"), (60.0, "minutes"), (3600.0, "hours"), (86400.0, "days"),
+             (604800.0, "weeks"), (30758400.0, "years")]
+    case_div = "CASE " + " ".join(f"WHEN CAST({v} AS DOUBLE) >= {u} THEN {u}" for u, _ in reversed(units[1:])) + " ELSE 1.0 END"
+    case_name = "CASE " + " ".join(f"WHEN CAST({v} AS DOUBLE) >= {u} THEN '{n}'" for u, n in reversed(units[1:])) + " ELSE 'seconds' END"
+    return f"(printf('%.1f', CAST({v} AS DOUBLE) / CAST({case_div} AS DOUBLE)) || ' ' || {case_name})"
+
+
+ORACLE["time_gap_text"] = _SUMMARY_SP + f"""
+SELECT id, {_duration('x_datetime - last_datetime')} AS last_gap,
+       {_duration('x_datetime - first_datetime')} AS first_gap
+FROM sp"""
+
+
+def _pybin(x: str) -> str:
+    return (f"(CASE WHEN {x} < 0 THEN '-0b' || (CASE WHEN {x} = {LONG_MIN_SQL} THEN '1' || repeat('0', 63) "
+            f"ELSE bin(-{x}) END) ELSE '0b' || bin({x}) END)")
+
+
+def _mismatch(a: str, b: str) -> str:
+    return (f"CAST(len(list_filter(range(1, least(length({a}), length({b})) + 1), "
+            f"lambda i: substr({a}, i, 1) <> substr({b}, i, 1))) AS INTEGER)")
+
+
+ORACLE["string_mismatch"] = with_fx(*_NEAR, """ret AS (SELECT a, b FROM root_edges
+  WHERE diff_a <= 5 AND dh <= 8 AND dv <= 8 AND diff_a <= 3 AND dh + dv <= 10)""",
+  """j AS (SELECT ret.a, ret.b, ia.ahash_1 AS wa, ib.ahash_1 AS wb, pa.title AS ta, pb.title AS tb
+  FROM ret JOIN images_fx ia ON ia.id = ret.a JOIN images_fx ib ON ib.id = ret.b
+  JOIN posts_fx pa ON pa.id = ret.a JOIN posts_fx pb ON pb.id = ret.b)""") + f"""
+SELECT a, b, {_mismatch('ta', 'tb')} AS title_mismatch, {_mismatch(_pybin('wa'), _pybin('wb'))} AS bin_mismatch
+FROM j"""
+
+_DECISION = _SUMMARY_SP.rstrip("\n") + ",\n" + ",\n".join(_BLOCK_CTES) + f""",
+dec AS (
+  SELECT sp.id, x_score >= 40 AS score_ok,
+    {NOW_SQL} < x_datetime + 259200 AS fresh,
+    (x_userurl IS NOT NULL AND b.userid IS NOT NULL) AS author_blocked,
+    ({_levn(_norm('x_title'), _norm('last_title'))} < 0.4 OR (abs(x_datetime - last_datetime) < 5184000
+      AND NOT list_contains(string_split(lower(coalesce(x_title, '')), ' '), 'mrw')
+      AND NOT list_contains(string_split(lower(coalesce(x_title, '')), ' '), 'mfw')
+      AND NOT starts_with(lower(coalesce(x_title, '')), 'when'))) AS title_ok,
+    (x_userurl IS NULL OR x_userurl IS DISTINCT FROM last_userurl) AS other_author,
+    (x_userid IS DISTINCT FROM 0 OR x_userid IS DISTINCT FROM last_userid) AS other_id
+  FROM sp LEFT JOIN blocked b ON b.userid = sp.x_userid),
+decision AS (
+  SELECT id, score_ok, fresh, author_blocked, title_ok, other_author,
+         fresh AND NOT author_blocked AND title_ok AND other_author AND other_id AS decision,
+         score_ok AND fresh AND NOT author_blocked AND title_ok AND other_author AND other_id AS post_it
+  FROM dec),
+report_log AS (
+  SELECT p.link AS post_id FROM decision d JOIN posts_fx p ON p.id = d.id
+  WHERE d.post_it AND p.datetime < {SPLIT_SQL})
+"""
+ORACLE["report_decision"] = _DECISION + "SELECT * FROM decision"
+
+_T = {k: v.replace("%i", "%d") for k, v in {
+    "dup": "Image last seen %s before at http://imgur.com/gallery/%s %s",
+    "sim": "Image probably last seen %s before at http://imgur.com/gallery/%s %s",
+    "dup_first": "First seen %s before at http://imgur.com/gallery/%s %s",
+    "sim_first": "Probably first seen %s before at http://imgur.com/gallery/%s %s",
+    "dup_times": "Seen %i times since %s before at http://imgur.com/gallery/%s %s",
+    "sim_times": "Probably seen %i times since %s before at http://imgur.com/gallery/%s %s"}.items()}
+
+
+def _info(old: str) -> str:
+    return f"('Title similarity: ' || {_bar('1.0 - ' + _levn(_norm(old), _norm('x_title')))})"
+
+
+_LG, _FG = _duration("x_datetime - last_datetime"), _duration("x_datetime - first_datetime")
+ORACLE["report_messages"] = _DECISION + f""",
+msg AS (
+  SELECT x_link AS post_id,
+    CASE WHEN by_crc THEN printf('{_T["dup"]}', {_LG}, last_link, {_info('last_title')})
+         ELSE printf('{_T["sim"]}', {_LG}, last_link, {_info('last_title')}) END AS text,
+    CASE WHEN NOT trip THEN NULL
+         WHEN by_crc AND seen > 2 THEN printf('{_T["dup_times"]}', seen - 1, {_FG}, first_link, {_info('first_title')})
+         WHEN by_crc THEN printf('{_T["dup_first"]}', {_FG}, first_link, {_info('first_title')})
+         WHEN seen > 2 THEN printf('{_T["sim_times"]}', seen - 1, {_FG}, first_link, {_info('first_title')})
+         ELSE printf('{_T["sim_first"]}', {_FG}, first_link, {_info('first_title')}) END AS child_text,
+    trip
+  FROM sp JOIN decision USING (id) WHERE post_it)
+SELECT post_id, text, 5 AS retries, substr(text, 1, 140) AS text_capped, child_text,
+       CASE WHEN trip THEN 7 END AS child_retries
+FROM msg WHERE post_id NOT IN (SELECT post_id FROM report_log)"""
+
+ORACLE["summon_ids"] = _DECISION + f""",
+notif AS (
+  SELECT conv_id * 1000 + turn AS notif_id,
+         CASE WHEN role = 'user' THEN '48' ELSE '7' END AS with_account,
+         CASE WHEN turn % 3 = 0 THEN 'someone mentioned you in a comment: glory at http://imgur.com/gallery/'
+                || CAST((conv_id * 37 + turn * 11) % {SUMMON_ID_SPACE} AS VARCHAR) || '/comment/' || CAST(turn AS VARCHAR) || '/'
+              WHEN turn % 3 = 1 THEN 'mentioned you in a comment: ' || text ELSE text END AS body
+  FROM conversations),
+req AS (
+  SELECT notif_id, coalesce(regexp_extract(body, 'glory at http://imgur\\.com/gallery/([a-zA-Z0-9]+)/comment/[0-9]+/', 1), '') AS post_link
+  FROM notif WHERE with_account = '48' AND contains(body, 'mentioned you in a comment')),
+nbr AS (SELECT DISTINCT x.pid AS nb_id FROM np x JOIN adj ON adj.k1 = x.k JOIN np y ON y.k = adj.k2
+        WHERE y.datetime <= x.datetime AND y.id <> x.id)
+SELECT r.notif_id, r.post_link,
+  CASE WHEN r.post_link = '' THEN 'unparsable'
+       WHEN r.post_link IN (SELECT post_id FROM report_log) THEN 'already_reported'
+       WHEN p.link IS NULL THEN 'unknown'
+       WHEN r.post_link IN (SELECT CAST(nb_id AS VARCHAR) FROM nbr) THEN 'repost'
+       ELSE 'no_repost' END AS status
+FROM req r LEFT JOIN posts_fx p ON p.link = r.post_link"""
+
+ORACLE["miss_limit"] = f"""
+WITH m AS (SELECT user_id AS userid, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE event_type = 'error'),
+c AS (SELECT userid, ts, count(*) OVER (PARTITION BY userid ORDER BY ts RANGE BETWEEN {MISS_WINDOW} PRECEDING AND CURRENT ROW) AS recent FROM m)
+SELECT userid, ts, recent, recent > 10 AS blocked FROM c"""

@@ -18,7 +18,11 @@ from dupstream.operators import history as H
 from dupstream.operators import lookup as L
 from dupstream.operators import pairs as P
 from dupstream.schemas import WORDS
-from dupstream.sources.tables import images_fx, posts_fx
+from dupstream.functions import text as X
+from dupstream.operators import limits as LM
+from dupstream.operators import report as R
+from dupstream.sources.tables import (blocklist_lines, images_fx, miss_events, notifications,
+                                      posts_fx)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -182,3 +186,120 @@ for _part in ("all", "count", "newest", "oldest"):
 def q_avg_exists_combined(spark, sf_dir):
     """FLT8: newest post within aHash 3 and combined dHash 10, no bits window."""
     return _similar(spark, sf_dir, "newest", P.COMBINED)
+
+
+# ---- report ----------------------------------------------------------------
+
+def _summary(spark, sf_dir):
+    return H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+
+
+def _blocked(spark, sf_dir):
+    add, remove = blocklist_lines(spark, sf_dir)
+    empty = spark.createDataFrame([], "userid bigint")
+    return LM.update_blocklist(empty, add, remove)
+
+
+@register("title_distance")
+def q_title_distance(spark, sf_dir):
+    """FN8/FN9/FN12: edit distance between a post's title and the titles of
+    its last and first earlier duplicate."""
+    df = R.with_post(_summary(spark, sf_dir), posts_fx(spark, sf_dir))
+    last, first = R.title_distance(df, "last_title"), R.title_distance(df, "first_title")
+    return df.select("id", last["distance"].alias("last_distance"), last["similarity"].alias("last_norm"),
+                     first["distance"].alias("first_distance"), first["similarity"].alias("first_norm"))
+
+
+@register("similarity_bar")
+def q_similarity_bar(spark, sf_dir):
+    """FN16: the five-star title similarity bar of each report."""
+    df = R.with_post(_summary(spark, sf_dir), posts_fx(spark, sf_dir))
+    return df.select("id", R.title_distance(df, "last_title")["bar"].alias("last_bar"),
+                     R.title_distance(df, "first_title")["bar"].alias("first_bar"))
+
+
+@register("time_gap_text")
+def q_time_gap_text(spark, sf_dir):
+    """FN15: time since the last and the first earlier duplicate, as text."""
+    df = R.with_post(_summary(spark, sf_dir), posts_fx(spark, sf_dir))
+    return df.select("id", X.duration_text(F.col("x_datetime") - F.col("last_datetime")).alias("last_gap"),
+                     X.duration_text(F.col("x_datetime") - F.col("first_datetime")).alias("first_gap"))
+
+
+@register("string_mismatch")
+def q_string_mismatch(spark, sf_dir):
+    """FN6/FN7: positional mismatches of titles and of binary word texts
+    over the reported root edges."""
+    im = images_fx(spark, sf_dir)
+    members, root_edges = P.near_index(im)
+    e = P.returned(root_edges)
+    po = posts_fx(spark, sf_dir)
+    a = im.select(F.col("id").alias("a"), F.col("ahash_1").alias("wa")).join(
+        po.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a")
+    b = im.select(F.col("id").alias("b"), F.col("ahash_1").alias("wb")).join(
+        po.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
+    j = e.select("a", "b").join(a, "a").join(b, "b")
+    return j.select("a", "b", X.positional_mismatch("ta", "tb").alias("title_mismatch"),
+                    X.bin_mismatch("wa", "wb").alias("bin_mismatch"))
+
+
+def _decision(spark, sf_dir):
+    _, now = time_marks(spark, sf_dir)
+    return R.report_decision(_summary(spark, sf_dir), posts_fx(spark, sf_dir), _blocked(spark, sf_dir), now)
+
+
+@register("report_decision")
+def q_report_decision(spark, sf_dir):
+    """FLT3/FLT9/FLT11/FN13/FN14 for every post with older duplicates."""
+    return _decision(spark, sf_dir)
+
+
+def _report_log(spark, sf_dir):
+    """Posts already reported: those eligible before the stored-index split."""
+    split, _ = time_marks(spark, sf_dir)
+    d = _decision(spark, sf_dir).filter("post_it")
+    po = posts_fx(spark, sf_dir).filter(F.col("datetime") < split)
+    return d.join(po, "id").select(F.col("link").alias("post_id"))
+
+
+@register("report_messages")
+def q_report_messages(spark, sf_dir):
+    """OP2/FN17/FN19 for reportable posts not in the report log (FLT10)."""
+    summ = _summary(spark, sf_dir)
+    todo = _decision(spark, sf_dir).filter("post_it").select("id")
+    msgs = R.compose_messages(summ.join(todo, "id"), posts_fx(spark, sf_dir))
+    return msgs.join(_report_log(spark, sf_dir), "post_id", "left_anti")
+
+
+@register("summon_ids")
+def q_summon_ids(spark, sf_dir):
+    """OP3: summons -> post id -> unparsable / already reported / repost /
+    no repost / unknown (to be fetched and ingested)."""
+    req = R.summon_requests(notifications(spark, sf_dir))
+    po = posts_fx(spark, sf_dir).select("id", "link")
+    nb = H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir)).select(
+        F.col("id").alias("nb_id"), F.lit(True).alias("has_nb"))
+    log = _report_log(spark, sf_dir).withColumn("logged", F.lit(True))
+    j = (req.join(po, req.post_link == po.link, "left")
+         .join(nb, F.col("id") == F.col("nb_id"), "left")
+         .join(log, req.post_link == log.post_id, "left"))
+    status = (F.when(F.col("post_link") == "", "unparsable")
+              .when(F.col("logged").isNotNull(), "already_reported")
+              .when(F.col("link").isNull(), "unknown")
+              .when(F.col("has_nb").isNotNull(), "repost")
+              .otherwise("no_repost"))
+    return j.select("notif_id", "post_link", status.alias("status"))
+
+
+# ---- block lists and limits -------------------------------------------------
+
+@register("blocklist")
+def q_blocklist(spark, sf_dir):
+    """SRC5/SET1: blocked users after applying the add and remove lists."""
+    return _blocked(spark, sf_dir)
+
+
+@register("miss_limit")
+def q_miss_limit(spark, sf_dir):
+    """AGG8/WIN5/DML3: misses in the trailing 180 s at each miss."""
+    return LM.miss_counts(miss_events(spark, sf_dir))

@@ -129,3 +129,47 @@ def images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         exact_bits().alias("tbits"),
     )
     return df.filter(F.col("animated") | ~signed_sum_is_zero())
+
+
+# ---- other inputs derived from the given tables -------------------------
+# fixed values of the derivations
+BLOCK_ADD_VALUE = 150.0      # error events at or above this value ask to block their user
+BLOCK_REMOVE_VALUE = 250.0   # signup events at or above this value ask to unblock
+SUMMON_ID_SPACE = 2000       # ids named in notifications (some unknown at small scale)
+
+
+def blocklist_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(add lines, remove lines) as a block/unblock file would hold them:
+    one id per line, some padded with blanks, some junk."""
+    ev = read_table(spark, sf_dir, "events")
+    uid = F.col("user_id").cast("string")
+    add = (ev.filter((F.col("event_type") == "error") & (F.col("value") >= BLOCK_ADD_VALUE))
+           .select(F.when(F.col("event_id") % 3 == 0, uid)
+                   .when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), uid, F.lit(" ")))
+                   .otherwise(F.concat(F.lit("x"), uid)).alias("line")))
+    remove = (ev.filter((F.col("event_type") == "signup") & (F.col("value") >= BLOCK_REMOVE_VALUE))
+              .select(uid.alias("line")))
+    return add, remove
+
+
+def miss_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image misses: the error events (user, epoch seconds)."""
+    ev = read_table(spark, sf_dir, "events")
+    return ev.filter(F.col("event_type") == "error").select(
+        F.col("user_id").alias("userid"), epoch_seconds(F.col("ts")).alias("ts"))
+
+
+def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notification messages built from conversation turns: user turns come
+    from the summoning account; every third turn names a post."""
+    cv = read_table(spark, sf_dir, "conversations")
+    named = F.concat(F.lit("someone mentioned you in a comment: glory at http://imgur.com/gallery/"),
+                     ((F.col("conv_id") * 37 + F.col("turn") * 11) % SUMMON_ID_SPACE).cast("string"),
+                     F.lit("/comment/"), F.col("turn").cast("string"), F.lit("/"))
+    body = (F.when(F.col("turn") % 3 == 0, named)
+            .when(F.col("turn") % 3 == 1, F.concat(F.lit("mentioned you in a comment: "), F.col("text")))
+            .otherwise(F.col("text")))
+    return cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("notif_id"),
+                     F.col("conv_id").alias("conv"), F.col("turn").alias("seq"),
+                     F.when(F.col("role") == "user", F.lit("48")).otherwise(F.lit("7")).alias("with_account"),
+                     body.alias("body"))
