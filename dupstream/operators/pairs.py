@@ -266,3 +266,60 @@ def new_pairs_only(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     canon = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                               *[c for c in candidates.columns if c not in ("a", "b")])
     return canon.join(stored.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _all_halves(prefix: str | None = None) -> list[Column]:
+    def col(w):
+        return F.col(f"{prefix}.{w}") if prefix else F.col(w)
+    return [upper_half(col(w)) for w in WORDS] + [lower_half(col(w)) for w in WORDS]
+
+
+TOTAL_MAX = 20   # LSH prototype: largest total distance over the 768 bits
+
+
+def total_distance_pairs(images: DataFrame, max_total: int = TOTAL_MAX, *,
+                         salt_rows: int | None = DEFAULT_SALT_ROWS) -> DataFrame:
+    """JN15 made exact: still-image pairs whose distance over all 768 bits is
+    at most ``max_total`` (``a < b, distance``).
+
+    The reference sketches this with random-hyperplane LSH (approximate,
+    never wired up).  With 24 disjoint 32-bit bands, ``max_total + 1 <= 24``
+    bands guarantee an equal band for every qualifying pair, so the same
+    band join finds all of them; copies collapse to class roots as in
+    ``near_pairs``.
+    """
+    prepare(images.sparkSession)
+    n_bands = max_total + 1
+    if n_bands > 2 * len(WORDS):
+        raise ValueError(f"total distance {max_total} needs {n_bands} bands; at most {2 * len(WORDS)} exist")
+    roots, members = fingerprint_classes(images)
+    base = roots.select("id", *WORDS)
+    def explode(df):
+        return df.select("*", F.posexplode(F.array(*_all_halves()[:n_bands])).alias("band_no", "band"))
+    lx = explode(base.withColumnRenamed("id", "l_id"))
+    rx = explode(base.withColumnRenamed("id", "r_id"))
+    keys = ["band_no", "band"]
+    if salt_rows:
+        lx, rx, keys = _salted(lx, rx, keys, salt_rows, DEFAULT_MAX_SALT, DEFAULT_BROADCAST_ROWS, "r_id")
+    l, r = lx.alias("l"), rx.alias("r")
+    j = l.join(r, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
+    left_b, right_b = _all_halves("l")[:n_bands], _all_halves("r")[:n_bands]
+    first = F.lit(None).cast("int")
+    for k in reversed(range(n_bands)):
+        first = F.when(left_b[k] == right_b[k], F.lit(k)).otherwise(first)
+    dist = sum_distance(WORDS)
+    out = (j.filter((F.col("l.l_id") < F.col("r.r_id")) & (first == F.col("l.band_no")))
+           .select(F.col("l.l_id").alias("a"), F.col("r.r_id").alias("b"), dist.alias("distance"))
+           .filter(F.col("distance") <= max_total))
+    copies = (members.filter(F.col("id") != F.col("root"))
+              .select(F.col("root").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))
+    return out.unionByName(copies)
+
+
+def nearest(pairs: DataFrame, k: int, dist_col: str = "distance") -> DataFrame:
+    """SRT6: for every image, its ``k`` nearest partners (distance, then id)."""
+    from pyspark.sql import Window
+    both = (pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), dist_col)
+            .unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), dist_col)))
+    w = Window.partitionBy("id").orderBy(dist_col, "other")
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -326,3 +326,104 @@ ORACLE["miss_limit"] = f"""
 WITH m AS (SELECT user_id AS userid, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE event_type = 'error'),
 c AS (SELECT userid, ts, count(*) OVER (PARTITION BY userid ORDER BY ts RANGE BETWEEN {MISS_WINDOW} PRECEDING AND CURRENT ROW) AS recent FROM m)
 SELECT userid, ts, recent, recent > 10 AS blocked FROM c"""
+
+
+# ---- statistics, hash groups, pages, ingest, total distance ------------------
+from dupstream.sources.tables import (CORRUPT_PAGE_EVERY, ERROR_MESSAGE, ERROR_PAGE_EVERY,  # noqa: E402
+                                      NON_OBJECT_EVERY, POSTS_PER_PAGE)
+
+ORACLE["corpus_stats"] = _DECISION + f""",
+ex AS (SELECT x.id FROM anim x JOIN ex_roots r USING (crc) WHERE x.id <> r.root),
+m AS (
+  SELECT 'images' AS metric, CAST(count(*) AS DOUBLE) AS value FROM images_fx
+  UNION ALL SELECT 'oldest', CAST(min(datetime) AS DOUBLE) FROM posts_fx
+  UNION ALL SELECT 'age_years', CAST(({NOW_SQL} - min(datetime)) AS DOUBLE) / 31536000.0 FROM posts_fx
+  UNION ALL SELECT 'near_pairs', CAST(count(*) AS DOUBLE) FROM near
+  UNION ALL SELECT 'exact_pairs', CAST(count(*) AS DOUBLE) FROM ex
+  UNION ALL SELECT 'reposts', CAST((SELECT count(*) FROM near) + (SELECT count(*) FROM ex) AS DOUBLE)
+  UNION ALL SELECT 'blocked', CAST(count(*) AS DOUBLE) FROM blocked
+  UNION ALL SELECT 'reports', CAST(count(*) AS DOUBLE) FROM report_log)
+SELECT metric, value FROM m"""
+
+ORACLE["quality_counts"] = with_fx() + """
+SELECT 'no_userid' AS metric, count(*) FILTER (WHERE userid = 0) AS n FROM posts_fx
+UNION ALL SELECT 'no_size', count(*) FILTER (WHERE size = 0) FROM images_fx
+UNION ALL SELECT 'no_width', count(*) FILTER (WHERE width = -1) FROM images_fx
+UNION ALL SELECT 'no_height', count(*) FILTER (WHERE height = -1) FROM images_fx"""
+
+_STACK = """stk AS (
+  SELECT id, 'a' AS kind, ahash_1 AS h1, ahash_2 AS h2, ahash_3 AS h3, ahash_4 AS h4 FROM images_fx WHERE NOT animated
+  UNION ALL SELECT id, 'dh', dhash_h_1, dhash_h_2, dhash_h_3, dhash_h_4 FROM images_fx WHERE NOT animated
+  UNION ALL SELECT id, 'dv', dhash_v_1, dhash_v_2, dhash_v_3, dhash_v_4 FROM images_fx WHERE NOT animated)"""
+ORACLE["hash_groups"] = with_fx(_STACK) + """
+SELECT kind, h1, h2, h3, h4, count(*) AS n, min(id) AS first_id, max(id) AS last_id
+FROM stk GROUP BY kind, h1, h2, h3, h4 HAVING count(*) > 1"""
+ORACLE["hash_running"] = with_fx(_STACK, """r AS (
+  SELECT id, kind, row_number() OVER w - 1 AS n_before, first_value(id) OVER w AS first_id, lag(id) OVER w AS prev_id
+  FROM stk WINDOW w AS (PARTITION BY kind, h1, h2, h3, h4 ORDER BY id))""") + \
+    "SELECT id, kind, CAST(n_before AS INTEGER) AS n_before, first_id, prev_id FROM r WHERE n_before > 0"
+
+ORACLE["ahash64_embedding"] = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+e2 AS (SELECT vec_id, v, list_min(v) AS mn, list_max(v) AS mx FROM e),
+p AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN mx = mn THEN 0 ELSE CAST(floor(255 * (x - mn) / (mx - mn)) AS INTEGER) END) AS pix FROM e2),
+a AS (SELECT vec_id, pix, CAST(list_sum(pix) // 64 AS INTEGER) AS avg FROM p),
+h AS (SELECT vec_id, avg, list_sum(list_transform(range(64), lambda i: CASE WHEN pix[i + 1] < avg
+        THEN CAST(1 AS HUGEINT) << (63 - i) ELSE CAST(0 AS HUGEINT) END)) AS u FROM a)
+SELECT vec_id, avg, CAST(CASE WHEN u >= CAST(9223372036854775808 AS HUGEINT) THEN u - CAST(18446744073709551616 AS HUGEINT) ELSE u END AS BIGINT) AS ahash
+FROM h"""
+
+ORACLE["envelope_split"] = with_fx() + f"""
+, pg AS (SELECT doc_id // {POSTS_PER_PAGE} AS page, count(*) AS n FROM fx_base GROUP BY 1)
+SELECT page,
+  CASE WHEN page % {ERROR_PAGE_EVERY} = 3 THEN 'error' WHEN page % {CORRUPT_PAGE_EVERY} = 5 THEN 'corrupt' ELSE 'ok' END AS outcome,
+  CASE WHEN page % {ERROR_PAGE_EVERY} = 3 OR page % {CORRUPT_PAGE_EVERY} = 5 THEN 0 ELSE n END AS n_posts,
+  CASE WHEN page % {ERROR_PAGE_EVERY} = 3 OR page % {CORRUPT_PAGE_EVERY} = 5 THEN 0
+       WHEN page % {NON_OBJECT_EVERY} = 1 THEN 1 ELSE 0 END AS n_bad,
+  CASE WHEN page % {ERROR_PAGE_EVERY} = 3 THEN '{ERROR_MESSAGE}' END AS error_message
+FROM pg"""
+
+ORACLE["envelope_posts"] = with_fx() + f"""
+SELECT id // {POSTS_PER_PAGE} AS page, link AS id, userurl AS account_url, datetime, score
+FROM posts_fx
+WHERE NOT ((id // {POSTS_PER_PAGE}) % {ERROR_PAGE_EVERY} = 3 OR (id // {POSTS_PER_PAGE}) % {CORRUPT_PAGE_EVERY} = 5)"""
+
+_REC = f"""rec AS (
+  SELECT p.link AS id, p.is_album, p.userid AS account_id, p.score, p.animated,
+         'http://i.imgur.com/' || p.link || CASE WHEN p.animated AND p.id % 4 = 0 THEN '.gif'
+              WHEN p.animated THEN 'h.gif' ELSE '.jpg' END AS link,
+         CASE WHEN p.animated THEN 'http://i.imgur.com/' || p.link || '.gifv' ELSE '' END AS gifv,
+         d.n_chars AS size, CAST(d.n_chars % 900 + 100 AS INTEGER) AS width, CAST(d.n_chars % 700 + 100 AS INTEGER) AS height,
+         p.id // {POSTS_PER_PAGE} AS page
+  FROM posts_fx p JOIN documents d ON d.doc_id = p.id)"""
+_CLS = _REC + f""",
+stored AS (SELECT * FROM posts_fx WHERE datetime < {SPLIT_SQL}),
+cls AS (
+  SELECT r.*, CASE WHEN r.is_album THEN 'album' WHEN s.link IS NOT NULL THEN 'known'
+                   WHEN i.id IS NULL THEN 'error' ELSE 'new' END AS outcome
+  FROM rec r LEFT JOIN stored s ON s.link = r.id
+  LEFT JOIN (SELECT CAST(post_id AS VARCHAR) AS pid, id FROM images_fx WHERE size > 0) i ON i.pid = r.id)"""
+ORACLE["post_outcomes"] = with_fx(_CLS) + """
+SELECT page, count(*) FILTER (WHERE outcome = 'new') AS updates, count(*) FILTER (WHERE outcome = 'known') AS known,
+       count(*) FILTER (WHERE outcome = 'new' AND score < 40) AS skipped,
+       count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) FILTER (WHERE outcome = 'album') AS albums
+FROM cls GROUP BY page"""
+ORACLE["new_posts"] = with_fx(_CLS) + """
+SELECT id, CASE WHEN animated AND ends_with(link, 'h.gif') AND length(gifv) > 0 THEN gifv ELSE link END AS link,
+       score FROM cls WHERE outcome = 'new'"""
+ORACLE["post_refresh"] = with_fx(_CLS) + f"""
+SELECT i.id, coalesce(c.account_id, p.userid) AS userid, coalesce(c.size, i.size) AS size,
+       coalesce(c.width, i.width) AS width, coalesce(c.height, i.height) AS height
+FROM images_fx i JOIN stored p ON p.id = i.post_id
+LEFT JOIN (SELECT * FROM cls WHERE outcome = 'known') c ON c.id = p.link
+WHERE i.datetime < {SPLIT_SQL}"""
+
+_TOTAL = " + ".join(f"CAST(bit_count(xor(l.{w}, r.{w})) AS INTEGER)" for w in _WORDS)
+_LSH = _NEAR[:3] + [f"""lsh AS (
+  SELECT l.id AS a, r.id AS b, {_TOTAL} AS distance FROM roots l JOIN roots r ON l.id < r.id AND {_TOTAL} <= 20
+  UNION ALL SELECT root AS a, id AS b, 0 AS distance FROM members WHERE id <> root)"""]
+ORACLE["lsh_pairs"] = with_fx(*_LSH) + "SELECT a, b, distance FROM lsh"
+ORACLE["lsh_nearest"] = with_fx(*_LSH, """both_ AS (SELECT a AS id, b AS other, distance FROM lsh
+  UNION ALL SELECT b AS id, a AS other, distance FROM lsh)""", """r AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM both_)""") + \
+    "SELECT id, other, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"

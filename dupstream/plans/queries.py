@@ -19,10 +19,13 @@ from dupstream.operators import lookup as L
 from dupstream.operators import pairs as P
 from dupstream.schemas import WORDS
 from dupstream.functions import text as X
+from dupstream.operators import ingest as IG
 from dupstream.operators import limits as LM
+from dupstream.operators import stats as ST
+from dupstream.sources import envelope as EV
 from dupstream.operators import report as R
-from dupstream.sources.tables import (blocklist_lines, images_fx, miss_events, notifications,
-                                      posts_fx)
+from dupstream.sources.tables import (api_envelopes, api_records, blocklist_lines, images_fx,
+                                      miss_events, notifications, posts_fx)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -303,3 +306,102 @@ def q_blocklist(spark, sf_dir):
 def q_miss_limit(spark, sf_dir):
     """AGG8/WIN5/DML3: misses in the trailing 180 s at each miss."""
     return LM.miss_counts(miss_events(spark, sf_dir))
+
+
+# ---- statistics and hash groups ---------------------------------------------
+
+@register("corpus_stats")
+def q_corpus_stats(spark, sf_dir):
+    """OP5/AGG1/AGG2/AGG5/AGG7/PRJ5 in long form."""
+    im, po = images_fx(spark, sf_dir), posts_fx(spark, sf_dir)
+    _, now = time_marks(spark, sf_dir)
+    return ST.corpus_stats(im, po, P.near_pairs(im), P.exact_pairs(im), _blocked(spark, sf_dir),
+                           _report_log(spark, sf_dir), now)
+
+
+@register("quality_counts")
+def q_quality_counts(spark, sf_dir):
+    """AGG6: rows still missing user id, size, width or height."""
+    return ST.quality_counts(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+
+
+@register("hash_groups")
+def q_hash_groups(spark, sf_dir):
+    """AGG10: still images sharing an exact aHash / dHash_h / dHash_v."""
+    return ST.hash_groups(P.still_images(images_fx(spark, sf_dir)))
+
+
+@register("hash_running")
+def q_hash_running(spark, sf_dir):
+    """WIN4: images repeating an earlier image's exact hash."""
+    return ST.hash_running(P.still_images(images_fx(spark, sf_dir)))
+
+
+@register("ahash64_embedding")
+def q_ahash64_embedding(spark, sf_dir):
+    """FN22 on 8x8 grids: each embedding scaled to 0-255 gray levels."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return emb.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).selectExpr(
+        "vec_id", "array_min(v) AS mn", "array_max(v) AS mx", "v").selectExpr(
+        "vec_id", "transform(v, x -> CASE WHEN mx = mn THEN 0 ELSE CAST(floor(255 * (x - mn) / (mx - mn)) AS INT) END) AS pix"
+    ).selectExpr("vec_id", "pix", "CAST(aggregate(pix, 0L, (a, x) -> a + x) DIV 64 AS INT) AS avg").selectExpr(
+        "vec_id", "avg",
+        "aggregate(sequence(0, 63), 0L, (acc, i) -> acc | IF(pix[i] < avg, shiftleft(1L, 63 - i), 0L)) AS ahash")
+
+
+# ---- API pages and ingest ------------------------------------------------------
+
+@register("envelope_split")
+def q_envelope_split(spark, sf_dir):
+    """SRC4: outcome per page, post objects and bad elements, error text."""
+    return EV.page_summary(EV.split_envelopes(api_envelopes(spark, sf_dir)))
+
+
+@register("envelope_posts")
+def q_envelope_posts(spark, sf_dir):
+    """SRC3: the post objects of ok pages, parsed with the post schema."""
+    p = EV.page_posts(EV.split_envelopes(api_envelopes(spark, sf_dir))).filter("is_object")
+    return p.select("page", F.col("post.id").alias("id"), F.col("post.account_url").alias("account_url"),
+                    F.col("post.datetime").alias("datetime"), IG.score("post.ups", "post.downs").alias("score"))
+
+
+def _classified(spark, sf_dir):
+    split, _ = time_marks(spark, sf_dir)
+    po = posts_fx(spark, sf_dir).filter(F.col("datetime") < split)
+    batch = IG.first_per_key(api_records(spark, sf_dir), "id", "datetime")
+    return IG.classify(batch, po, images_fx(spark, sf_dir))
+
+
+@register("post_outcomes")
+def q_post_outcomes(spark, sf_dir):
+    """AGG11/FLT1/FLT2/FLT13: per-page counters of an ingest batch."""
+    return IG.page_counters(_classified(spark, sf_dir))
+
+
+@register("new_posts")
+def q_new_posts(spark, sf_dir):
+    """PRJ1/PRJ2 + JN14 anti join: records inserted by the batch."""
+    return IG.new_posts(_classified(spark, sf_dir))
+
+
+@register("post_refresh")
+def q_post_refresh(spark, sf_dir):
+    """DML1/DML2: stored images after the known records refreshed them."""
+    split, _ = time_marks(spark, sf_dir)
+    po = posts_fx(spark, sf_dir).filter(F.col("datetime") < split)
+    im = images_fx(spark, sf_dir).filter(F.col("datetime") < split)
+    return IG.refresh(im, po, _classified(spark, sf_dir))
+
+
+# ---- exact total-distance join (the LSH prototype's query) -------------------------
+
+@register("lsh_pairs")
+def q_lsh_pairs(spark, sf_dir):
+    """JN15: still-image pairs within total distance 20 over 768 bits."""
+    return P.total_distance_pairs(images_fx(spark, sf_dir))
+
+
+@register("lsh_nearest")
+def q_lsh_nearest(spark, sf_dir):
+    """SRT6: the five nearest partners of each image within distance 20."""
+    return P.nearest(P.total_distance_pairs(images_fx(spark, sf_dir)), 5)

@@ -173,3 +173,54 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("conv_id").alias("conv"), F.col("turn").alias("seq"),
                      F.when(F.col("role") == "user", F.lit("48")).otherwise(F.lit("7")).alias("with_account"),
                      body.alias("body"))
+
+
+POSTS_PER_PAGE = 50          # records per API page
+NON_OBJECT_EVERY = 5         # page % 5 == 1 carries one non-object element
+ERROR_PAGE_EVERY = 7         # page % 7 == 3 is an error response
+CORRUPT_PAGE_EVERY = 13      # page % 13 == 5 is a truncated body
+ERROR_MESSAGE = "Permission denied"
+
+
+def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as the site's API would deliver its post (the keys
+    the ingest reads), with the page it arrives on."""
+    b = _base(spark, sf_dir)
+    did = F.col("doc_id").cast("string")
+    animated = F.col("event_type").isin(*ANIMATED_TYPES)
+    link = F.concat(F.lit("http://i.imgur.com/"), did,
+                    F.when(animated & (F.col("doc_id") % 4 == 0), F.lit(".gif"))
+                    .when(animated, F.lit("h.gif")).otherwise(F.lit(".jpg")))
+    gifv = F.when(animated, F.concat(F.lit("http://i.imgur.com/"), did, F.lit(".gifv"))).otherwise(F.lit(""))
+    score = F.floor("value").cast("bigint") - F.col("doc_id") % 7
+    return b.select(
+        did.alias("id"), (F.col("doc_id") % ALBUM_EVERY == 0).alias("is_album"),
+        F.col("user_id").alias("account_id"),
+        F.when(F.col("user_id") % NO_URL_EVERY == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("account_url"),
+        epoch_seconds(F.col("ts")).alias("datetime"),
+        ascii_printable(F.substring_index(F.col("text"), "\n", 1)).alias("title"),
+        link.alias("link"), gifv.alias("gifv"), animated.alias("animated"),
+        F.col("n_chars").alias("size"), (F.col("n_chars") % 900 + 100).cast("int").alias("width"),
+        (F.col("n_chars") % 700 + 100).cast("int").alias("height"),
+        (score + 10).alias("ups"), F.lit(10).cast("bigint").alias("downs"),
+        F.floor(F.col("doc_id") / POSTS_PER_PAGE).cast("bigint").alias("page"),
+    )
+
+
+def api_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response body per page (``page, body``); a page holds at most
+    ``POSTS_PER_PAGE`` records by construction, so the per-page list is
+    bounded."""
+    rec = api_records(spark, sf_dir)
+    el = rec.select("page", F.to_json(F.struct(*[c for c in rec.columns if c != "page"])).alias("el"))
+    pages = el.groupBy("page").agg(F.array_join(F.collect_list("el"), ",").alias("items"))
+    items = F.when(F.col("page") % NON_OBJECT_EVERY == 1, F.concat(F.col("items"), F.lit(",17"))) \
+        .otherwise(F.col("items"))
+    ok = F.concat(F.lit('{"success": true, "status": 200, "data": ['), items, F.lit("]}"))
+    err = F.lit('{"success": false, "status": 403, "data": {"error": {"message": "'
+                + ERROR_MESSAGE + '"}}}')
+    body = (F.when(F.col("page") % ERROR_PAGE_EVERY == 3, err)
+            .when(F.col("page") % CORRUPT_PAGE_EVERY == 5, F.lit('{"success": true, "data": [{"id": '))
+            .otherwise(ok))
+    return pages.select("page", body.alias("body"))
