@@ -49,16 +49,19 @@ def should_post(now: int, blocked: DataFrame | None = None, *, max_age: int = MA
     levn = X.levenshtein_n(X.normalize_title(F.col("x_title")), X.normalize_title(F.col("last_title")))
     fresh = F.lit(now) < F.col("x_datetime") + F.lit(max_age)
     is_blocked = F.col("x_userurl").isNotNull() & F.coalesce(F.col("author_blocked"), F.lit(False))
-    title_ok = (levn < SAME_TITLE) | (
-        (F.abs(F.col("x_datetime") - F.col("last_datetime")) < MAX_GAP_OTHER_TITLE)
-        & ~X.title_tokens_hit("x_title") & ~X.title_starts_with("x_title"))
+    # Cheap tests first: And/Or short-circuit in generated code, so the edit
+    # distance (quadratic in title length) runs only where it decides.
+    title_ok = (
+        ((F.abs(F.col("x_datetime") - F.col("last_datetime")) < MAX_GAP_OTHER_TITLE)
+         & ~X.title_tokens_hit("x_title") & ~X.title_starts_with("x_title"))
+        | (levn < SAME_TITLE))
     other_author = F.col("x_userurl").isNull() | ~F.col("x_userurl").eqNullSafe(F.col("last_userurl"))
     if strict_author:
         other_id = ~F.col("x_userid").eqNullSafe(F.lit(0)) & ~F.col("x_userid").eqNullSafe(F.col("last_userid"))
     else:   # the reference's test, true for any non-zero account id
         other_id = ~F.col("x_userid").eqNullSafe(F.lit(0)) | ~F.col("x_userid").eqNullSafe(F.col("last_userid"))
-    decision = fresh & ~is_blocked & title_ok & other_author & other_id
-    return {"fresh": fresh, "author_blocked": is_blocked, "title_ok": title_ok,
+    decision = fresh & ~is_blocked & other_author & other_id & title_ok
+    return {"fresh": fresh, "author_blocked": is_blocked,
             "other_author": other_author, "decision": decision}
 
 

@@ -261,7 +261,7 @@ dec AS (
     (x_userid IS DISTINCT FROM 0 OR x_userid IS DISTINCT FROM last_userid) AS other_id
   FROM sp LEFT JOIN blocked b ON b.userid = sp.x_userid),
 decision AS (
-  SELECT id, score_ok, fresh, author_blocked, title_ok, other_author,
+  SELECT id, score_ok, fresh, author_blocked, other_author,
          fresh AND NOT author_blocked AND title_ok AND other_author AND other_id AS decision,
          score_ok AND fresh AND NOT author_blocked AND title_ok AND other_author AND other_id AS post_it
   FROM dec),

@@ -246,9 +246,10 @@ def q_string_mismatch(spark, sf_dir):
                     X.bin_mismatch("wa", "wb").alias("bin_mismatch"))
 
 
-def _decision(spark, sf_dir):
+def _decision(spark, sf_dir, summary=None):
     _, now = time_marks(spark, sf_dir)
-    return R.report_decision(_summary(spark, sf_dir), posts_fx(spark, sf_dir), _blocked(spark, sf_dir), now)
+    summary = summary if summary is not None else _summary(spark, sf_dir)
+    return R.report_decision(summary, posts_fx(spark, sf_dir), _blocked(spark, sf_dir), now)
 
 
 @register("report_decision")
@@ -257,10 +258,10 @@ def q_report_decision(spark, sf_dir):
     return _decision(spark, sf_dir)
 
 
-def _report_log(spark, sf_dir):
+def _report_log(spark, sf_dir, decision=None):
     """Posts already reported: those eligible before the stored-index split."""
     split, _ = time_marks(spark, sf_dir)
-    d = _decision(spark, sf_dir).filter("post_it")
+    d = (decision if decision is not None else _decision(spark, sf_dir)).filter("post_it")
     po = posts_fx(spark, sf_dir).filter(F.col("datetime") < split)
     return d.join(po, "id").select(F.col("link").alias("post_id"))
 
@@ -269,9 +270,10 @@ def _report_log(spark, sf_dir):
 def q_report_messages(spark, sf_dir):
     """OP2/FN17/FN19 for reportable posts not in the report log (FLT10)."""
     summ = _summary(spark, sf_dir)
-    todo = _decision(spark, sf_dir).filter("post_it").select("id")
+    dec = _decision(spark, sf_dir, summ)
+    todo = dec.filter("post_it").select("id")
     msgs = R.compose_messages(summ.join(todo, "id"), posts_fx(spark, sf_dir))
-    return msgs.join(_report_log(spark, sf_dir), "post_id", "left_anti")
+    return msgs.join(_report_log(spark, sf_dir, dec), "post_id", "left_anti")
 
 
 @register("summon_ids")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from dupstream.functions.bits import exact_bits, reference_bits, signed_sum_is_zero
 from dupstream.functions.text import ascii_printable
 from dupstream.schemas import WORDS
-from dupstream.session import prepare
+from dupstream.session import ensure_checkpoint_dir, prepare
 
 # ---- fixed values of the derived fixture --------------------------------
 BLOCK = 25            # documents per base fingerprint
@@ -58,9 +58,50 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(events, docs.doc_id == events.event_id)
 
 
+def _derived_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Folder (under the session's checkpoint folder) holding the derived
+    tables of one input folder, keyed by the inputs' names, sizes and
+    modification times."""
+    import hashlib
+    import os
+    sig = []
+    for name in ("documents", "events"):
+        path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+        st = os.stat(path) if os.path.exists(path) else None
+        sig.append(f"{path}:{st.st_size if st else 0}:{st.st_mtime_ns if st else 0}")
+    key = hashlib.sha1("|".join(sig).encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/derived-v1/{key}"
+
+
+def _materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The derived table ``name``, written once as parquet to the shared
+    checkpoint folder and read back (pushdown and pruning apply to it like
+    to any stored table; the lineage to the raw inputs is cut)."""
+    prepare(spark)
+    path = f"{_derived_dir(spark, sf_dir)}/{name}"
+    if not _exists(spark, path):
+        build(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Post rows: id, link, userid, userurl, datetime, title, score,
-    is_album, animated."""
+    is_album, animated (materialised once per input folder)."""
+    return _materialized(spark, sf_dir, "posts", _posts_fx)
+
+
+def images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image rows (see ``_images_fx``), materialised once per input folder."""
+    return _materialized(spark, sf_dir, "images", _images_fx)
+
+
+def _posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _base(spark, sf_dir)
     first_line = F.substring_index(F.col("text"), "\n", 1)
     return b.select(
@@ -102,7 +143,7 @@ def _staged_words(df: DataFrame) -> DataFrame:
     return df.select(*keep, *words)
 
 
-def images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image rows: id, post_id, userid, datetime, animated, 12 words, crc,
     bits (reference definition), tbits (true popcount).  Still images whose
     words sum to zero are rejected at ingest (FLT4) and therefore absent."""
