@@ -427,3 +427,6 @@ ORACLE["lsh_nearest"] = with_fx(*_LSH, """both_ AS (SELECT a AS id, b AS other,
   UNION ALL SELECT b AS id, a AS other, distance FROM lsh)""", """r AS (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM both_)""") + \
     "SELECT id, other, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"
+
+ORACLE["stream_pairs"] = ORACLE["near_pairs"]
+ORACLE["stream_miss_limit"] = ORACLE["miss_limit"]

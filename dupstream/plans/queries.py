@@ -407,3 +407,37 @@ def q_lsh_pairs(spark, sf_dir):
 def q_lsh_nearest(spark, sf_dir):
     """SRT6: the five nearest partners of each image within distance 20."""
     return P.nearest(P.total_distance_pairs(images_fx(spark, sf_dir)), 5)
+
+
+# ---- streaming --------------------------------------------------------------
+
+def _scratch(spark, tag: str) -> str:
+    import uuid
+    from dupstream.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+STREAM_CHUNKS = 4
+
+
+@register("stream_pairs")
+def q_stream_pairs(spark, sf_dir):
+    """ST1: the near-duplicate index built incrementally by a file stream of
+    image arrivals (id order, four micro-batches); equals near_pairs."""
+    from dupstream.streaming import index_stream as S
+    base = _scratch(spark, "stream-pairs")
+    im = images_fx(spark, sf_dir)
+    S.write_arrivals(im, f"{base}/in", STREAM_CHUNKS)
+    S.run_index_stream(spark, f"{base}/in", im.schema, f"{base}/store", f"{base}/ckpt")
+    return S.read_pairs(spark, f"{base}/store")
+
+
+@register("stream_miss_limit")
+def q_stream_miss_limit(spark, sf_dir):
+    """ST2: the miss limiter as a stateful stream over time-ordered files;
+    equals miss_limit."""
+    from dupstream.streaming import miss_stream as S
+    base = _scratch(spark, "stream-miss")
+    S.write_time_chunks(miss_events(spark, sf_dir), f"{base}/in", STREAM_CHUNKS)
+    S.run_miss_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
