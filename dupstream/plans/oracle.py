@@ -430,3 +430,16 @@ ORACLE["lsh_nearest"] = with_fx(*_LSH, """both_ AS (SELECT a AS id, b AS other,
 
 ORACLE["stream_pairs"] = ORACLE["near_pairs"]
 ORACLE["stream_miss_limit"] = ORACLE["miss_limit"]
+
+
+_INGESTED = [c.replace("images_fx WHERE NOT animated",
+                       "images_fx WHERE NOT animated AND size > 0 AND post_id IN (SELECT id FROM posts_fx WHERE NOT is_album)") for c in _NEAR]
+ORACLE["ingest_posts"] = with_fx(*_INGESTED) + "SELECT a, b, diff_a, diff_d FROM near"
+ORACLE["ingest_exact"] = with_fx(
+    "anim AS (SELECT id, crc FROM images_fx WHERE animated AND size > 0 "
+    "AND post_id IN (SELECT id FROM posts_fx WHERE NOT is_album))",
+    "ex_roots AS (SELECT crc, min(id) AS root FROM anim GROUP BY crc)") + \
+    "SELECT r.root AS a, x.id AS b FROM anim x JOIN ex_roots r USING (crc) WHERE x.id <> r.root"
+ORACLE["point_series"] = """
+SELECT CAST(CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS DOUBLE) AS ts, count(*) AS value
+FROM events GROUP BY 1"""

@@ -456,3 +456,49 @@ def q_image_fingerprints(spark, sf_dir):
         "vec_id",
         "transform(v, x -> CASE WHEN mx = mn THEN 0 ELSE CAST(floor(255 * (x - mn) / (mx - mn)) AS INT) END) AS pix")
     return fingerprint_pixels(grids, "vec_id", "pix", 8, 8)
+
+
+# ---- stored index: ingest in two batches, then read back ---------------------
+
+def _ingested_store(spark, sf_dir) -> str:
+    from dupstream.operators import store as SO
+    base = _scratch(spark, "store")
+    SO.create_store(spark, base)
+    split, _ = time_marks(spark, sf_dir)
+    rec, im = api_records(spark, sf_dir), images_fx(spark, sf_dir)
+    SO.ingest_batch(spark, base, rec.filter(F.col("datetime") < split), im.filter(F.col("datetime") < split), 0)
+    SO.ingest_batch(spark, base, rec.filter(F.col("datetime") >= split), im.filter(F.col("datetime") >= split), 1)
+    return base
+
+
+@register("ingest_posts")
+def q_ingest_posts(spark, sf_dir):
+    """OP1/SNK1/SNK4/DDL: posts ingested in two batches (albums and posts
+    without image bytes skipped); the near-pair table read back."""
+    from dupstream.operators import store as SO
+    return SO.read_table(spark, _ingested_store(spark, sf_dir), "near_pairs")
+
+
+@register("ingest_exact")
+def q_ingest_exact(spark, sf_dir):
+    """OP1/SNK3: the exact-pair table of the same two-batch ingest."""
+    from dupstream.operators import store as SO
+    return SO.read_table(spark, _ingested_store(spark, sf_dir), "exact_pairs")
+
+
+@register("point_series")
+def q_point_series(spark, sf_dir):
+    """SNK6: daily event counts appended as a (time, value) series in two
+    runs, read back."""
+    from dupstream.operators import store as SO
+    base = _scratch(spark, "series")
+    SO.create_store(spark, base)
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                   F.col("ts")) / 86400).cast("bigint") * 86400
+    pts = ev.groupBy(day.alias("ts")).agg(F.count(F.lit(1)).alias("value"))
+    mid = pts.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    half = (mid["lo"] + mid["hi"]) // 2
+    SO.append_points(base, pts.filter(F.col("ts") < half), 0)
+    SO.append_points(base, pts.filter(F.col("ts") >= half), 1)
+    return SO.read_table(spark, base, "point_series")
