@@ -193,8 +193,11 @@ def q_avg_exists_combined(spark, sf_dir):
 
 # ---- report ----------------------------------------------------------------
 
-def _summary(spark, sf_dir):
-    return H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+def _summary(spark, sf_dir, shared: bool = False):
+    """Per-post duplicate summary; ``shared`` writes it once to the
+    checkpoint folder when a query reads it several times."""
+    s = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+    return s.checkpoint(eager=True) if shared else s
 
 
 def _blocked(spark, sf_dir):
@@ -269,7 +272,7 @@ def _report_log(spark, sf_dir, decision=None):
 @register("report_messages")
 def q_report_messages(spark, sf_dir):
     """OP2/FN17/FN19 for reportable posts not in the report log (FLT10)."""
-    summ = _summary(spark, sf_dir)
+    summ = _summary(spark, sf_dir, shared=True)
     dec = _decision(spark, sf_dir, summ)
     todo = dec.filter("post_it").select("id")
     msgs = R.compose_messages(summ.join(todo, "id"), posts_fx(spark, sf_dir))
@@ -317,8 +320,9 @@ def q_corpus_stats(spark, sf_dir):
     """OP5/AGG1/AGG2/AGG5/AGG7/PRJ5 in long form."""
     im, po = images_fx(spark, sf_dir), posts_fx(spark, sf_dir)
     _, now = time_marks(spark, sf_dir)
+    dec = _decision(spark, sf_dir, _summary(spark, sf_dir, shared=True))
     return ST.corpus_stats(im, po, P.near_pairs(im), P.exact_pairs(im), _blocked(spark, sf_dir),
-                           _report_log(spark, sf_dir), now)
+                           _report_log(spark, sf_dir, dec), now)
 
 
 @register("quality_counts")

@@ -133,3 +133,12 @@ def test_total_distance_pairs_bound(spark):
     im = images(spark, [(1, {}, False), (2, over, False), (3, over21, False)])
     got = {(r["a"], r["b"], r["distance"]) for r in P.total_distance_pairs(im).collect()}
     assert (1, 2, 20) in got and not any(p[:2] == (1, 3) for p in got)
+
+
+def test_earlier_summary_independent_of_slice_width(spark):
+    from dupstream.sources.tables import images_fx, posts_fx
+    nodes, adj = H.class_graph(images_fx(spark, SF0001), posts_fx(spark, SF0001))
+    fine = H.earlier_summary(nodes, adj, slice_seconds=7)
+    coarse = H.earlier_summary(nodes, adj, slice_seconds=10 ** 9)
+    assert fine.count() == coarse.count() > 0
+    assert fine.exceptAll(coarse).count() == 0
