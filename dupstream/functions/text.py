@@ -38,8 +38,9 @@ SUMMON_MARKER = "mentioned you in a comment"
 COMMENT_CAP = 140
 # --------------------------------------------------------------------------
 
-# Characters Python's str.strip() removes that Java's \s does not.
-_PY_SPACE = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# Every character Python's str.strip() removes (Unicode whitespace).
+_PY_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+             + "".join(chr(c) for c in range(0x2000, 0x200b)) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _c(x) -> Column:
@@ -48,8 +49,7 @@ def _c(x) -> Column:
 
 def normalize_title(x) -> Column:
     """FN12: ``title.lower().strip()`` with Unicode whitespace at both ends."""
-    return F.regexp_replace(F.lower(F.coalesce(_c(x), F.lit(""))),
-                            f"^{_PY_SPACE}+|{_PY_SPACE}+$", "")
+    return F.trim(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(_PY_SPACE))
 
 
 def levenshtein_n(a, b) -> Column:

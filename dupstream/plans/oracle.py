@@ -443,3 +443,5 @@ ORACLE["ingest_exact"] = with_fx(
 ORACLE["point_series"] = """
 SELECT CAST(CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS DOUBLE) AS ts, count(*) AS value
 FROM events GROUP BY 1"""
+
+ORACLE["report_log"] = _DECISION + "SELECT post_id, CAST(-1 AS BIGINT) AS comment_id FROM report_log"

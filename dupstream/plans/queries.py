@@ -506,3 +506,14 @@ def q_point_series(spark, sf_dir):
     SO.append_points(base, pts.filter(F.col("ts") < half), 0)
     SO.append_points(base, pts.filter(F.col("ts") >= half), 1)
     return SO.read_table(spark, base, "point_series")
+
+
+@register("report_log")
+def q_report_log(spark, sf_dir):
+    """SNK5/FLT10: reports of the stored half logged to the store (comment id
+    -1 until sent) and read back."""
+    from dupstream.operators import store as SO
+    base = _scratch(spark, "reports")
+    SO.create_store(spark, base)
+    SO.log_reports(base, _report_log(spark, sf_dir), 0)
+    return SO.read_table(spark, base, "report_log")
