@@ -110,3 +110,12 @@ def summon_requests(notifications: DataFrame, sender: str = SUMMON_SENDER) -> Da
     return (notifications
             .filter((F.col("with_account") == sender) & F.col("body").contains(X.SUMMON_MARKER))
             .select("notif_id", "conv", "seq", X.summon_id("body").alias("post_link")))
+
+
+def newest_first(requests: DataFrame, k: int | None = None) -> DataFrame:
+    """SRT5: position of each request in its conversation, newest first
+    (``k`` keeps the newest k, planned as a partial per-partition limit)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("conv").orderBy(F.col("seq").desc(), F.col("notif_id").desc())
+    out = requests.withColumn("newest_rank", F.row_number().over(w))
+    return out if k is None else out.filter(F.col("newest_rank") <= k)

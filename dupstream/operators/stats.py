@@ -69,12 +69,30 @@ def hash_groups(images: DataFrame) -> DataFrame:
             .filter(F.col("n") > 1))
 
 
-def hash_running(images: DataFrame) -> DataFrame:
-    """WIN4: for each image that repeats an earlier image's hash: how many
-    earlier images share it, the first of them and the previous one."""
-    w = Window.partitionBy("kind", "h1", "h2", "h3", "h4").orderBy("id")
-    s = stacked_hashes(images)
-    return (s.select("id", "kind", (F.row_number().over(w) - 1).alias("n_before"),
-                     F.first("id").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first_id"),
-                     F.lag("id").over(w).alias("prev_id"))
+ID_SLICE = 1 << 20    # id range of the two-level running count
+
+
+def hash_running(images: DataFrame, id_slice: int = ID_SLICE) -> DataFrame:
+    """WIN4: for each image that repeats an earlier image's hash (earlier =
+    smaller id): how many earlier images share it, the first of them and the
+    previous one.
+
+    Two levels, so a hash shared by a huge number of images is never
+    gathered in one task: per (hash, id slice) counts and max id with a
+    running prefix over the slices, then a running count/lag inside a slice.
+    The first image of a hash is a plain aggregate.
+    """
+    keys = ["kind", "h1", "h2", "h3", "h4"]
+    s = stacked_hashes(images).withColumn("sl", F.floor(F.col("id") / F.lit(id_slice)).cast("bigint"))
+    per_slice = s.groupBy(*keys, "sl").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("mx"))
+    before = Window.partitionBy(*keys).orderBy("sl").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = per_slice.select(*keys, "sl", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pn"),
+                              F.max("mx").over(before).alias("pmx"))
+    first = s.groupBy(*keys).agg(F.min("id").alias("first_id"))
+    w = Window.partitionBy(*keys, "sl").orderBy("id")
+    within = s.select(*keys, "sl", "id", (F.row_number().over(w) - 1).alias("wn"),
+                      F.lag("id").over(w).alias("wprev"))
+    return (within.join(prefix, [*keys, "sl"]).join(first, keys)
+            .select("id", "kind", (F.col("pn") + F.col("wn")).cast("int").alias("n_before"), "first_id",
+                    F.coalesce("wprev", "pmx").alias("prev_id"))
             .filter(F.col("n_before") > 0))

@@ -303,18 +303,19 @@ FROM msg WHERE post_id NOT IN (SELECT post_id FROM report_log)"""
 
 ORACLE["summon_ids"] = _DECISION + f""",
 notif AS (
-  SELECT conv_id * 1000 + turn AS notif_id,
+  SELECT conv_id, turn, conv_id * 1000 + turn AS notif_id,
          CASE WHEN role = 'user' THEN '48' ELSE '7' END AS with_account,
          CASE WHEN turn % 3 = 0 THEN 'someone mentioned you in a comment: glory at http://imgur.com/gallery/'
                 || CAST((conv_id * 37 + turn * 11) % {SUMMON_ID_SPACE} AS VARCHAR) || '/comment/' || CAST(turn AS VARCHAR) || '/'
               WHEN turn % 3 = 1 THEN 'mentioned you in a comment: ' || text ELSE text END AS body
   FROM conversations),
 req AS (
-  SELECT notif_id, coalesce(regexp_extract(body, 'glory at http://imgur\\.com/gallery/([a-zA-Z0-9]+)/comment/[0-9]+/', 1), '') AS post_link
+  SELECT notif_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, notif_id DESC) AS INTEGER) AS newest_rank,
+         coalesce(regexp_extract(body, 'glory at http://imgur\\.com/gallery/([a-zA-Z0-9]+)/comment/[0-9]+/', 1), '') AS post_link
   FROM notif WHERE with_account = '48' AND contains(body, 'mentioned you in a comment')),
 nbr AS (SELECT DISTINCT x.pid AS nb_id FROM np x JOIN adj ON adj.k1 = x.k JOIN np y ON y.k = adj.k2
         WHERE y.datetime <= x.datetime AND y.id <> x.id)
-SELECT r.notif_id, r.post_link,
+SELECT r.notif_id, r.post_link, r.newest_rank,
   CASE WHEN r.post_link = '' THEN 'unparsable'
        WHEN r.post_link IN (SELECT post_id FROM report_log) THEN 'already_reported'
        WHEN p.link IS NULL THEN 'unknown'

@@ -283,7 +283,7 @@ def q_report_messages(spark, sf_dir):
 def q_summon_ids(spark, sf_dir):
     """OP3: summons -> post id -> unparsable / already reported / repost /
     no repost / unknown (to be fetched and ingested)."""
-    req = R.summon_requests(notifications(spark, sf_dir))
+    req = R.newest_first(R.summon_requests(notifications(spark, sf_dir)))
     po = posts_fx(spark, sf_dir).select("id", "link")
     nb = H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir)).select(
         F.col("id").alias("nb_id"), F.lit(True).alias("has_nb"))
@@ -296,7 +296,7 @@ def q_summon_ids(spark, sf_dir):
               .when(F.col("link").isNull(), "unknown")
               .when(F.col("has_nb").isNotNull(), "repost")
               .otherwise("no_repost"))
-    return j.select("notif_id", "post_link", status.alias("status"))
+    return j.select("notif_id", "post_link", status.alias("status"), "newest_rank")
 
 
 # ---- block lists and limits -------------------------------------------------

@@ -104,3 +104,12 @@ def post_fingerprints(files: DataFrame, decoded_fp: DataFrame, animated: DataFra
     out = j.select("path", "crc", still.alias("similarity"), *words)
     return out.select("*", F.when(F.col("similarity"), reference_bits()).otherwise(F.lit(0)).alias("bits"),
                       (F.col("similarity") & signed_sum_is_zero()).alias("rejected"))
+
+
+def folder_duplicates(spark: SparkSession, path: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """OP6: files under ``path`` sharing an exact aHash, dHash_h or dHash_v
+    (``kind, h1..h4, n, first_id, last_id``; ids are ``xxhash64(path)``)."""
+    from dupstream.operators.stats import hash_groups
+    files = image_files(spark, path, extensions).select("path")
+    fp = fingerprint_images(decoded_images(spark, path)).join(files, "path", "left_semi")
+    return hash_groups(fp.withColumn("id", F.xxhash64("path")))

@@ -72,3 +72,14 @@ def test_files_decode_and_fingerprint(spark, tmp_path):
     post = {r["path"].rsplit("/", 1)[1]: r for r in IM.post_fingerprints(files, fp, anim).collect()}
     assert post["c.png"]["bits"] == 0 and post["c.png"]["ahash_1"] == 0
     assert post["a.png"]["similarity"] and post["broken.png"]["bits"] == 0
+
+
+def test_folder_duplicates(spark, tmp_path):
+    d = tmp_path / "f"
+    d.mkdir()
+    g = gradient()
+    write_png(d / "x.png", g)
+    write_png(d / "y.png", g)
+    write_png(d / "z.jpg.png", np.dstack([255 - g] * 3))
+    groups = IM.folder_duplicates(spark, str(d), (".png",)).collect()
+    assert sorted(r["n"] for r in groups) == [2, 2, 3]
