@@ -31,12 +31,20 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 
+_MARKS: dict = {}
+
+
 def time_marks(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     """(split, now) of a registered run, from one aggregate over the posts:
     images before the middle of the time range form the stored index, and
-    "now" is one day after the newest post."""
-    row = posts_fx(spark, sf_dir).agg(F.min("datetime").alias("lo"), F.max("datetime").alias("hi")).first()
-    return (row["lo"] + row["hi"]) // 2, row["hi"] + 86400
+    "now" is one day after the newest post.  Remembered per application and
+    input folder (the inputs are read-only)."""
+    from dupstream.sources.tables import _derived_dir
+    key = (spark.sparkContext.applicationId, _derived_dir(spark, sf_dir))
+    if key not in _MARKS:
+        row = posts_fx(spark, sf_dir).agg(F.min("datetime").alias("lo"), F.max("datetime").alias("hi")).first()
+        _MARKS[key] = ((row["lo"] + row["hi"]) // 2, row["hi"] + 86400)
+    return _MARKS[key]
 
 
 def register(name: str):
