@@ -33,9 +33,52 @@ DEFAULT_CONF = {
 
 def prepare(spark: SparkSession) -> None:
     """Runtime settings the heavy operators need on any session (a
-    cluster session built elsewhere included)."""
+    cluster session built elsewhere included), and the package shipped to
+    the Python workers."""
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "4096")
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``dupstream`` importable in Python workers (pandas UDFs and
+    ``mapInPandas`` functions are pickled by reference to their module).
+
+    The package is zipped in memory, written through the Hadoop file system
+    into the session's checkpoint folder (shared on a cluster) and added
+    with ``addPyFile`` once per application.  Jobs submitted with
+    ``--py-files`` already have it; adding it again is harmless.
+    """
+    import hashlib
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:12]
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles-{digest}/dupstream.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,

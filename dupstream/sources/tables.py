@@ -42,6 +42,7 @@ LONG_MIN = -(2 ** 63)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

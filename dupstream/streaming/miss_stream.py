@@ -52,13 +52,25 @@ def miss_stream(misses: DataFrame, *, window: int = MISS_WINDOW, limit: int = MI
 
 
 def run_miss_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                    files_per_batch: int = 1) -> None:
-    src = (spark.readStream.schema("userid bigint, ts bigint")
-           .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
-    q = (miss_stream(src).writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+                    files_per_batch: int = 1, state_partitions: int | None = None) -> None:
+    """Run the limiter over every file in ``source_dir`` (then stop).
+
+    The number of state partitions is fixed when a checkpoint is first
+    created; it is taken from ``state_partitions`` or the cluster's default
+    parallelism rather than the session's shuffle setting, then restored.
+    """
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        src = (spark.readStream.schema("userid bigint, ts bigint")
+               .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
+        q = (miss_stream(src).writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, old)
 
 
 def write_time_chunks(misses: DataFrame, folder: str, chunks: int) -> None:
