@@ -39,14 +39,18 @@ def post_key(prefix: str | None = None) -> Column:
 
 def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
                 max_a: int = P.RETURN_MAX_A, max_d: int = P.RETURN_MAX_D,
-                salt_rows: int | None = P.DEFAULT_SALT_ROWS) -> tuple[DataFrame, DataFrame]:
+                salt_rows: int | None = P.DEFAULT_SALT_ROWS,
+                index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``(nodes, adj)``.
 
     nodes: ``id, k, animated, datetime, s`` (s = post ordering struct), one
     row per image with its class ``k``.  adj: ``k1, k2`` for every class
     pair linked by a reported edge, both orientations, plus ``(k, k)``.
+    ``index`` is a stored ``(members, root_edges)`` pair index; without it
+    the index is computed from ``images``.
     """
-    members, root_edges = P.near_index(images, bits_col=bits_col, salt_rows=salt_rows)
+    members, root_edges = index if index is not None else \
+        P.near_index(images, bits_col=bits_col, salt_rows=salt_rows)
     exact = P.exact_classes(images).select("id", "root")
     cls = (members.select("id", F.col("root").alias("k"), F.lit(False).alias("animated"))
            .unionByName(exact.select("id", F.col("root").alias("k"), F.lit(True).alias("animated"))))

@@ -38,7 +38,7 @@ def with_post(summary: DataFrame, posts: DataFrame) -> DataFrame:
 def title_distance(df: DataFrame, old: str, new: str = "x_title") -> dict[str, Column]:
     a, b = X.normalize_title(F.col(old)), X.normalize_title(F.col(new))
     n = X.levenshtein_n(a, b)
-    return {"distance": F.levenshtein(a, b), "similarity": n,
+    return {"distance": X.edit_distance(a, b), "similarity": n,
             "bar": X.star_bar(F.lit(1.0) - n)}
 
 
@@ -46,7 +46,8 @@ def should_post(now: int, blocked: DataFrame | None = None, *, max_age: int = MA
                 strict_author: bool = False) -> dict[str, Column]:
     """FLT9 components over a summary row joined with ``with_post`` and an
     optional ``blocked`` flag column.  The last duplicate is ``last_*``."""
-    levn = X.levenshtein_n(X.normalize_title(F.col("x_title")), X.normalize_title(F.col("last_title")))
+    levn = X.levenshtein_n(X.normalize_title(F.col("x_title")), X.normalize_title(F.col("last_title")),
+                           bit_parallel=False)
     fresh = F.lit(now) < F.col("x_datetime") + F.lit(max_age)
     is_blocked = F.col("x_userurl").isNotNull() & F.coalesce(F.col("author_blocked"), F.lit(False))
     # Cheap tests first: And/Or short-circuit in generated code, so the edit

@@ -25,7 +25,7 @@ from dupstream.operators import stats as ST
 from dupstream.sources import envelope as EV
 from dupstream.operators import report as R
 from dupstream.sources.tables import (api_envelopes, api_records, blocklist_lines, images_fx,
-                                      miss_events, notifications, posts_fx)
+                                      miss_events, notifications, posts_fx, stored_near_index)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -153,21 +153,26 @@ def q_signed_words(spark, sf_dir):
 
 @register("duplicate_summary")
 def q_duplicate_summary(spark, sf_dir):
-    """AGG9/JN10/SRT4: first/last seen and count of strictly older duplicates."""
-    return H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+    """AGG9/JN10/SRT4: first/last seen and count of strictly older
+    duplicates, over the stored pair index."""
+    return H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir),
+                               index=stored_near_index(spark, sf_dir))
 
 
 @register("duplicates_before")
 def q_duplicates_before(spark, sf_dir):
     """JN5/JN10: number of strictly older duplicates and the newest of them."""
-    d = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+    d = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir),
+                            index=stored_near_index(spark, sf_dir))
     return d.select("id", "seen", "last_link", "last_datetime")
 
 
 @register("neighbours_before")
 def q_neighbours_before(spark, sf_dir):
-    """JN8/JN9/JN11/JN12: oldest duplicate at or before each post."""
-    return H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+    """JN8/JN9/JN11/JN12: oldest duplicate at or before each post, over the
+    stored pair index."""
+    return H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir),
+                               index=stored_near_index(spark, sf_dir))
 
 
 # ---- lookup API (a batch of new images against the stored index) ----------
@@ -204,7 +209,8 @@ def q_avg_exists_combined(spark, sf_dir):
 def _summary(spark, sf_dir, shared: bool = False):
     """Per-post duplicate summary; ``shared`` writes it once to the
     checkpoint folder when a query reads it several times."""
-    s = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir))
+    s = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir),
+                            index=stored_near_index(spark, sf_dir))
     return s.checkpoint(eager=True) if shared else s
 
 
@@ -245,7 +251,7 @@ def q_string_mismatch(spark, sf_dir):
     """FN6/FN7: positional mismatches of titles and of binary word texts
     over the reported root edges."""
     im = images_fx(spark, sf_dir)
-    members, root_edges = P.near_index(im)
+    members, root_edges = stored_near_index(spark, sf_dir)
     e = P.returned(root_edges)
     po = posts_fx(spark, sf_dir)
     a = im.select(F.col("id").alias("a"), F.col("ahash_1").alias("wa")).join(
@@ -293,7 +299,8 @@ def q_summon_ids(spark, sf_dir):
     no repost / unknown (to be fetched and ingested)."""
     req = R.newest_first(R.summon_requests(notifications(spark, sf_dir)))
     po = posts_fx(spark, sf_dir).select("id", "link")
-    nb = H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir)).select(
+    nb = H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir),
+                             index=stored_near_index(spark, sf_dir)).select(
         F.col("id").alias("nb_id"), F.lit(True).alias("has_nb"))
     log = _report_log(spark, sf_dir).withColumn("logged", F.lit(True))
     j = (req.join(po, req.post_link == po.link, "left")
@@ -329,7 +336,9 @@ def q_corpus_stats(spark, sf_dir):
     im, po = images_fx(spark, sf_dir), posts_fx(spark, sf_dir)
     _, now = time_marks(spark, sf_dir)
     dec = _decision(spark, sf_dir, _summary(spark, sf_dir, shared=True))
-    return ST.corpus_stats(im, po, P.near_pairs(im), P.exact_pairs(im), _blocked(spark, sf_dir),
+    members, root_edges = stored_near_index(spark, sf_dir)
+    near = root_edges.unionByName(P.copy_edges(members))
+    return ST.corpus_stats(im, po, near, P.exact_pairs(im), _blocked(spark, sf_dir),
                            _report_log(spark, sf_dir, dec), now)
 
 

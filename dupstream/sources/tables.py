@@ -266,3 +266,20 @@ def api_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("page") % CORRUPT_PAGE_EVERY == 5, F.lit('{"success": true, "data": [{"id": '))
             .otherwise(ok))
     return pages.select("page", body.alias("body"))
+
+
+
+def stored_near_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The near-duplicate index of the derived images as stored tables
+    (``members``: id -> class root; ``root_edges``: a < b, diff_a, diff_d),
+    built once per input folder like the reference builds its pair table
+    at ingest; lookups and reports read it instead of re-joining."""
+    from dupstream.operators.pairs import near_index
+
+    def members(sp, d):
+        return near_index(images_fx(sp, d))[0]
+
+    def edges(sp, d):
+        return near_index(images_fx(sp, d))[1]
+    return (_materialized(spark, sf_dir, "near_members", members),
+            _materialized(spark, sf_dir, "near_root_edges", edges))

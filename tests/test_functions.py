@@ -105,3 +105,30 @@ def test_sql_registration(spark):
     r = spark.sql("SELECT hamming3(5, 3) AS h, hamming1(NULL, 7) AS n, popcount(4294967296) AS p, "
                   "xor(6, 3) AS x").first()
     assert (r["h"], r["n"], r["p"], r["x"]) == (2, 3, 0, 5)
+
+
+def test_bit_parallel_edit_distance(spark):
+    rows = [("kitten", "sitting", 3), ("flaw", "lawn", 2), ("cat", "", 3), ("héllo", "hello", 1),
+            ("", "", 0), (None, "x", None), ("a" * 70 + "b", "a" * 71, 1), ("x" * 200, "y" * 130, 200)]
+    df = spark.createDataFrame(rows, "a string, b string, want int")
+    got = df.select("want", X.edit_distance("a", "b").alias("got"), F.levenshtein("a", "b").alias("jvm")).collect()
+    assert all(r["got"] == r["want"] == r["jvm"] for r in got)
+
+
+def test_bit_parallel_matches_dynamic_programming():
+    import random
+    from dupstream.functions.text import _myers
+
+    def dp(a, b):
+        prev = list(range(len(b) + 1))
+        for i, ca in enumerate(a, 1):
+            cur = [i]
+            for j, cb in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+            prev = cur
+        return prev[-1]
+    rnd = random.Random(7)
+    for _ in range(500):
+        a = "".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 90)))
+        b = "".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 90)))
+        assert _myers(a, b) == dp(a, b)
