@@ -15,6 +15,8 @@ partitions the images, each task hashes its batch with vectorised NumPy.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 LANCZOS_A = 3.0
@@ -33,8 +35,9 @@ def _lanczos(x: np.ndarray) -> np.ndarray:
     return np.where(np.abs(x) < LANCZOS_A, out, 0.0)
 
 
+@lru_cache(maxsize=256)
 def _weights(n_in: int, n_out: int) -> np.ndarray:
-    """(n_out, n_in) resampling matrix."""
+    """(n_out, n_in) resampling matrix (cached per size pair; read-only)."""
     scale = n_in / n_out
     fscale = max(scale, 1.0)
     support = LANCZOS_A * fscale
@@ -47,6 +50,7 @@ def _weights(n_in: int, n_out: int) -> np.ndarray:
         k = _lanczos((idx - center + 0.5) / fscale)
         s = k.sum()
         w[o, lo:hi] = k / s if s != 0 else 0.0
+    w.setflags(write=False)
     return w
 
 
