@@ -142,3 +142,25 @@ def test_earlier_summary_independent_of_slice_width(spark):
     coarse = H.earlier_summary(nodes, adj, slice_seconds=10 ** 9)
     assert fine.count() == coarse.count() > 0
     assert fine.exceptAll(coarse).count() == 0
+
+
+def test_third_of_rows_are_copies(spark):
+    """A group of copies holding a third of all rows stays linear in the pair
+    table, and every copy's history still counts all its older copies."""
+    rows = []
+    for i in range(1, 61):                      # 60 copies of one image
+        rows.append((i, {}, False))
+    for i in range(61, 181):                    # 120 unrelated images
+        rows.append((i, {"ahash_1": BASE[0] ^ (i * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF),
+                         "ahash_2": BASE[1] ^ (i * 0x632BE59BD9B4E019 & 0x7FFFFFFFFFFFFFFF),
+                         "ahash_3": i, "ahash_4": -i}, False))
+    im = images(spark, rows)
+    pairs = P.near_pairs(im, salt_rows=10)
+    copies = {(r["a"], r["b"]) for r in pairs.collect() if r["a"] == 1}
+    assert copies == {(1, b) for b in range(2, 61)}
+    assert pairs.count() < 60 + 120                      # not 60*59/2 pairs
+    posts = im.select("id", F.lit(None).cast("string").alias("userurl"), F.col("id").cast("string").alias("link"),
+                      F.col("datetime"), F.lit("t").alias("title"), F.col("id").alias("userid"))
+    s = {r["id"]: (r["seen"], r["first_link"], r["last_link"]) for r in H.duplicate_summary(im, posts).collect()}
+    for x in range(2, 61):                               # datetime = id * 10
+        assert s[x] == (x - 1, "1", str(x - 1))
