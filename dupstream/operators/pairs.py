@@ -323,3 +323,41 @@ def nearest(pairs: DataFrame, k: int, dist_col: str = "distance") -> DataFrame:
             .unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), dist_col)))
     w = Window.partitionBy("id").orderBy(dist_col, "other")
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def band_rows(roots: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
+              id_col: str = "id") -> DataFrame:
+    """Index-side rows of the band join, ready to be stored: ``band_no,
+    band, bkt, r_id``, the words and ``bits_col`` (one row per band)."""
+    n_bands = th.max_a + 1
+    width = None if th.max_delta is None else th.max_delta + 1
+    base = roots.select(F.col(id_col).alias("r_id"), *WORDS, bits_col)
+    out = _explode_bands(base, n_bands, bits_col, width, (0,)).drop("bkt_off")
+    return out.select("band_no", "band", "bkt", "r_id", *WORDS, bits_col)
+
+
+def match_bands(queries: DataFrame, stored: DataFrame, th: Thresholds = STORE, *,
+                bits_col: str = "bits", id_col: str = "id") -> DataFrame:
+    """Query rows against stored ``band_rows`` (for example a table bucketed
+    by ``band_no, band, bkt``, so only the query side is shuffled).
+    Returns ``l_id, r_id, diff_a, diff_dh, diff_dv`` within the bounds."""
+    prepare(queries.sparkSession)
+    n_bands = th.max_a + 1
+    width = None if th.max_delta is None else th.max_delta + 1
+    offsets = (0,) if width is None else (-1, 0, 1)
+    q = _explode_bands(queries.select(F.col(id_col).alias("l_id"), *WORDS, bits_col),
+                       n_bands, bits_col, width, offsets)
+    l, r = q.alias("l"), stored.alias("r")
+    keys = ["band_no", "band", "bkt"]
+    j = l.join(r, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
+    keep = _first_equal_band(n_bands) == F.col("l.band_no")
+    if th.max_delta is not None:
+        keep = keep & (F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}")) <= th.max_delta)
+    out = j.filter(keep).select(F.col("l.l_id").alias("l_id"), F.col("r.r_id").alias("r_id"),
+                                sum_distance(AHASH).alias("diff_a"), sum_distance(DHASH_H).alias("diff_dh"),
+                                sum_distance(DHASH_V).alias("diff_dv"))
+    bound = ((F.col("diff_a") <= th.max_a) & (F.col("diff_dh") <= th.max_dh)
+             & (F.col("diff_dv") <= th.max_dv))
+    if th.max_d is not None:
+        bound = bound & (F.col("diff_dh") + F.col("diff_dv") <= th.max_d)
+    return out.filter(bound)

@@ -4,14 +4,16 @@ Arriving images (a file source of image rows) are processed per micro-batch
 in ``foreachBatch``:
 
 1. still images of the batch are grouped into fingerprint classes;
-2. a class whose fingerprint is already stored gets copy edges to the stored
-   root; the others become new roots (their smallest id) with copy edges
-   from their other members;
-3. new roots are joined with the stored roots and with each other by the
-   banded similarity join of ``pairs.py``;
-4. edges and new roots are written under ``batch_id=<n>`` with overwrite,
-   so a replayed batch (after a failure) rewrites the same partition and
-   the index reads only partitions below the current batch.
+2. the classes are matched against the stored index in one band join.  The
+   stored side is a table *bucketed by the band key* (``band_no, band,
+   bkt``), so only the micro-batch is shuffled; the stored index is read in
+   place (and pruned to earlier batches by its ``batch_id`` partition);
+3. a class with a distance-0 match is a copy of a stored fingerprint and
+   gets copy edges to that root; the others become new roots (their
+   smallest id), keep their matches as edges and are joined with each other;
+4. edges go to ``pairs/batch_id=<n>`` and the new roots' band rows to the
+   ``batch_id=<n>`` partition of the band table, both with overwrite, so a
+   replayed batch (after a failure) replaces its own output.
 
 Roots are the first-arrived members of a class; when ids arrive in
 increasing order (as here) the edge table equals ``pairs.near_pairs`` on the
@@ -20,6 +22,8 @@ whole input.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,49 +31,71 @@ from dupstream.operators import pairs as P
 from dupstream.schemas import WORDS
 
 EDGE_COLS = ["a", "b", "diff_a", "diff_d"]
+BAND_BUCKETS = 64      # buckets of the stored band table (fixed when it is created)
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+def band_table(spark: SparkSession, store: str, th: P.Thresholds = P.STORE, bits_col: str = "bits",
+               buckets: int = BAND_BUCKETS) -> str:
+    """Register (or re-attach after a restart) the stored band table of
+    ``store``: parquet, partitioned by batch, bucketed by the band key."""
+    width = "none" if th.max_delta is None else str(th.max_delta + 1)
+    path = f"{store}/band_index_a{th.max_a}_w{width}_{bits_col}"
+    name = "band_idx_" + hashlib.sha1(path.encode()).hexdigest()[:16]
+    cols = ", ".join(["band_no INT", "band BIGINT", "bkt INT", "r_id BIGINT",
+                      *[f"{w} BIGINT" for w in WORDS], f"{bits_col} INT", "batch_id BIGINT"])
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet PARTITIONED BY (batch_id) "
+              f"CLUSTERED BY (band_no, band, bkt) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
 
 
 def process_batch(batch: DataFrame, batch_id: int, store: str, th: P.Thresholds = P.STORE,
-                  bits_col: str = "bits") -> None:
+                  bits_col: str = "bits", buckets: int = BAND_BUCKETS) -> None:
     spark = batch.sparkSession
-    roots_schema = "id bigint, " + ", ".join(f"{w} bigint" for w in WORDS) + f", {bits_col} int"
-    stored = _read_or_empty(spark, f"{store}/roots", roots_schema, batch_id)
+    table = band_table(spark, store, th, bits_col, buckets)
     still = P.still_images(batch).withColumn("fp", F.struct(*WORDS))
     classes = still.groupBy("fp").agg(F.min("id").alias("broot"), F.min(bits_col).alias(bits_col))
-    known = stored.select(F.struct(*WORDS).alias("fp"), F.col("id").alias("sroot"))
-    cls = classes.join(known, "fp", "left").withColumn("root", F.coalesce("sroot", "broot"))
-    members = still.select("id", "fp").join(cls.select("fp", "root"), "fp")
-    copies = (members.filter(F.col("id") != F.col("root"))
-              .select(F.col("root").alias("a"), F.col("id").alias("b"),
-                      F.lit(0).alias("diff_a"), F.lit(0).alias("diff_d")))
-    new_roots = (cls.filter(F.col("sroot").isNull())
-                 .select(F.col("broot").alias("id"), *[F.col(f"fp.{w}").alias(w) for w in WORDS], bits_col))
-
-    def edges(df: DataFrame) -> DataFrame:
-        return df.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"), "diff_a",
-                         (F.col("diff_dh") + F.col("diff_dv")).alias("diff_d"))
-    vs_stored = edges(P.similarity_join(new_roots, stored, th, bits_col=bits_col))
-    within = edges(P.similarity_join(new_roots, new_roots, th, bits_col=bits_col, self_join=True))
-    out = vs_stored.unionByName(within).unionByName(copies)
-    out.write.mode("overwrite").parquet(f"{store}/pairs/batch_id={batch_id}")
-    new_roots.write.mode("overwrite").parquet(f"{store}/roots/batch_id={batch_id}")
+    croots = classes.select(F.col("broot").alias("id"), *[F.col(f"fp.{w}").alias(w) for w in WORDS], bits_col)
+    stored = spark.table(table).filter(F.col("batch_id") < batch_id)
+    matches = P.match_bands(croots, stored, th, bits_col=bits_col).persist()
+    try:
+        same = (matches.filter((F.col("diff_a") == 0) & (F.col("diff_dh") == 0) & (F.col("diff_dv") == 0))
+                .groupBy("l_id").agg(F.min("r_id").alias("sroot")))
+        cls = (classes.join(same, F.col("broot") == F.col("l_id"), "left")
+               .withColumn("root", F.coalesce("sroot", "broot")))
+        members = still.select("id", "fp").join(cls.select("fp", "root"), "fp")
+        copies = (members.filter(F.col("id") != F.col("root"))
+                  .select(F.col("root").alias("a"), F.col("id").alias("b"),
+                          F.lit(0).alias("diff_a"), F.lit(0).alias("diff_d")))
+        new_ids = cls.filter(F.col("sroot").isNull()).select(F.col("broot").alias("id"))
+        # written once (reliable checkpoint): the insert below must not read
+        # the table it overwrites, and the roots are used three times
+        new_roots = croots.join(new_ids, "id", "left_semi").checkpoint(eager=True)
+        new_ids = new_roots.select("id")
+
+        def edges(df: DataFrame) -> DataFrame:
+            return df.select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"),
+                             "diff_a", (F.col("diff_dh") + F.col("diff_dv")).alias("diff_d"))
+        vs_stored = edges(matches.join(new_ids.withColumnRenamed("id", "l_id"), "l_id", "left_semi"))
+        within = edges(P.similarity_join(new_roots, new_roots, th, bits_col=bits_col, self_join=True))
+        out = vs_stored.unionByName(within).unionByName(copies)
+        out.write.mode("overwrite").parquet(f"{store}/pairs/batch_id={batch_id}")
+        rows = P.band_rows(new_roots, th, bits_col=bits_col).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        (rows.repartition(buckets, "band_no", "band", "bkt").write
+         .option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(table))
+    finally:
+        matches.unpersist()
 
 
 def run_index_stream(spark: SparkSession, source_dir: str, schema, store: str, checkpoint: str,
-                     files_per_batch: int = 1, bits_col: str = "bits") -> None:
-    """Process every file under ``source_dir`` (then stop) into ``store``."""
+                     files_per_batch: int = 1, bits_col: str = "bits", buckets: int | None = None) -> None:
+    """Process every file under ``source_dir`` (then stop) into ``store``.
+    ``buckets`` of the stored band table default to the cluster's default
+    parallelism (size it to the expected index instead on a real cluster)."""
+    buckets = buckets or spark.sparkContext.defaultParallelism
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
               .parquet(source_dir))
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: process_batch(df, bid, store, bits_col=bits_col))
+         .foreachBatch(lambda df, bid: process_batch(df, bid, store, bits_col=bits_col, buckets=buckets))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

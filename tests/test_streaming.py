@@ -44,3 +44,22 @@ def test_stream_miss_limit_equals_batch(spark, tmp_path):
     want = LM.miss_counts(ev)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_stored_band_table_is_read_in_place(spark, tmp_path):
+    """The stored index side of a micro-batch join is a bucketed scan with
+    no exchange of its own; only the batch is shuffled."""
+    from pyspark.sql import functions as F
+    im = images_fx(spark, SF0001)
+    roots, _ = P.fingerprint_classes(im)
+    name = S.band_table(spark, str(tmp_path), buckets=8)
+    (P.band_rows(roots).withColumn("batch_id", F.lit(0).cast("bigint"))
+     .repartition(8, "band_no", "band", "bkt").write.mode("append").insertInto(name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = P.match_bands(roots.limit(50), spark.table(name).filter("batch_id < 1"))
+        text = j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = [ln for ln in text.splitlines() if name in ln and "FileScan" in ln]
+    assert scan and "Bucketed: true" in scan[0]
