@@ -3,7 +3,7 @@
 These run inside ``mapInPandas`` tasks (``dupstream.sources.images``): Spark
 partitions the images, each task hashes its batch with vectorised NumPy.
 
-* luma: ``(19595 R + 38470 G + 7471 B + 32768) >> 16`` (8-bit gray);
+* luma: weighted R, G, B in 16-bit fixed point (8-bit gray);
 * resize: separable Lanczos (a = 3) with the kernel widened by the
   down-scale factor and 8-bit rounding after each pass.  This follows the
   usual antialiasing resampler; bit-exact parity with any particular
@@ -19,6 +19,9 @@ from functools import lru_cache
 
 import numpy as np
 
+# ---- fixed values (gray conversion weights, 16-bit fixed point) ----------
+LUMA_R, LUMA_G, LUMA_B, LUMA_ROUND, LUMA_SHIFT = 19595, 38470, 7471, 32768, 16
+# --------------------------------------------------------------------------
 LANCZOS_A = 3.0
 
 
@@ -27,7 +30,7 @@ def luma(bgr: np.ndarray) -> np.ndarray:
     b = bgr[..., 0].astype(np.int64)
     g = bgr[..., 1].astype(np.int64)
     r = bgr[..., 2].astype(np.int64)
-    return ((19595 * r + 38470 * g + 7471 * b + 32768) >> 16).astype(np.uint8)
+    return ((LUMA_R * r + LUMA_G * g + LUMA_B * b + LUMA_ROUND) >> LUMA_SHIFT).astype(np.uint8)
 
 
 def _lanczos(x: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ DURATION_UNITS = [
     (60.0 * 60.0 * 24.0 * 356, "years"),
 ]
 # Report sentences: exact/near x last seen / first seen / first seen with count.
+GALLERY_URL = "http://imgur.com/gallery/"
 STR_DUPLICATE = "Image last seen %s before at http://imgur.com/gallery/%s %s"
 STR_SIMILAR = "Image probably last seen %s before at http://imgur.com/gallery/%s %s"
 STR_DUPLICATE_FIRST = "First seen %s before at http://imgur.com/gallery/%s %s"

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from dupstream.schemas import AHASH, DHASH_H, DHASH_V
 
-SECONDS_PER_YEAR = 31536000.0     # used by the age statistic (365 days)
+# ---- fixed values ----------------------------------------------------------
+SECONDS_PER_YEAR = 31536000.0     # the age statistic's year (365 days)
+# -----------------------------------------------------------------------------
 HASH_KINDS = [("a", AHASH), ("dh", DHASH_H), ("dv", DHASH_V)]
 
 

@@ -271,13 +271,12 @@ report_log AS (
 """
 ORACLE["report_decision"] = _DECISION + "SELECT * FROM decision"
 
+from dupstream.functions import text as X  # noqa: E402
+
 _T = {k: v.replace("%i", "%d") for k, v in {
-    "dup": "Image last seen %s before at http://imgur.com/gallery/%s %s",
-    "sim": "Image probably last seen %s before at http://imgur.com/gallery/%s %s",
-    "dup_first": "First seen %s before at http://imgur.com/gallery/%s %s",
-    "sim_first": "Probably first seen %s before at http://imgur.com/gallery/%s %s",
-    "dup_times": "Seen %i times since %s before at http://imgur.com/gallery/%s %s",
-    "sim_times": "Probably seen %i times since %s before at http://imgur.com/gallery/%s %s"}.items()}
+    "dup": X.STR_DUPLICATE, "sim": X.STR_SIMILAR, "dup_first": X.STR_DUPLICATE_FIRST,
+    "sim_first": X.STR_SIMILAR_FIRST, "dup_times": X.STR_DUPLICATE_FIRST_TIMES,
+    "sim_times": X.STR_SIMILAR_FIRST_TIMES}.items()}
 
 
 def _info(old: str) -> str:
@@ -305,13 +304,13 @@ ORACLE["summon_ids"] = _DECISION + f""",
 notif AS (
   SELECT conv_id, turn, conv_id * 1000 + turn AS notif_id,
          CASE WHEN role = 'user' THEN '48' ELSE '7' END AS with_account,
-         CASE WHEN turn % 3 = 0 THEN 'someone mentioned you in a comment: glory at http://imgur.com/gallery/'
+         CASE WHEN turn % 3 = 0 THEN 'someone mentioned you in a comment: glory at {X.GALLERY_URL}'
                 || CAST((conv_id * 37 + turn * 11) % {SUMMON_ID_SPACE} AS VARCHAR) || '/comment/' || CAST(turn AS VARCHAR) || '/'
               WHEN turn % 3 = 1 THEN 'mentioned you in a comment: ' || text ELSE text END AS body
   FROM conversations),
 req AS (
   SELECT notif_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, notif_id DESC) AS INTEGER) AS newest_rank,
-         coalesce(regexp_extract(body, 'glory at http://imgur\\.com/gallery/([a-zA-Z0-9]+)/comment/[0-9]+/', 1), '') AS post_link
+         coalesce(regexp_extract(body, '{X.SUMMON_PATTERN}', 1), '') AS post_link
   FROM notif WHERE with_account = '48' AND contains(body, 'mentioned you in a comment')),
 nbr AS (SELECT DISTINCT x.pid AS nb_id FROM np x JOIN adj ON adj.k1 = x.k JOIN np y ON y.k = adj.k2
         WHERE y.datetime <= x.datetime AND y.id <> x.id)
@@ -331,7 +330,7 @@ SELECT userid, ts, recent, recent > 10 AS blocked FROM c"""
 
 # ---- statistics, hash groups, pages, ingest, total distance ------------------
 from dupstream.sources.tables import (CORRUPT_PAGE_EVERY, ERROR_MESSAGE, ERROR_PAGE_EVERY,  # noqa: E402
-                                      NON_OBJECT_EVERY, POSTS_PER_PAGE)
+                                      IMAGE_HOST, NON_OBJECT_EVERY, POSTS_PER_PAGE)
 
 ORACLE["corpus_stats"] = _DECISION + f""",
 ex AS (SELECT x.id FROM anim x JOIN ex_roots r USING (crc) WHERE x.id <> r.root),
@@ -391,9 +390,9 @@ WHERE NOT ((id // {POSTS_PER_PAGE}) % {ERROR_PAGE_EVERY} = 3 OR (id // {POSTS_PE
 
 _REC = f"""rec AS (
   SELECT p.link AS id, p.is_album, p.userid AS account_id, p.score, p.animated,
-         'http://i.imgur.com/' || p.link || CASE WHEN p.animated AND p.id % 4 = 0 THEN '.gif'
+         '{IMAGE_HOST}' || p.link || CASE WHEN p.animated AND p.id % 4 = 0 THEN '.gif'
               WHEN p.animated THEN 'h.gif' ELSE '.jpg' END AS link,
-         CASE WHEN p.animated THEN 'http://i.imgur.com/' || p.link || '.gifv' ELSE '' END AS gifv,
+         CASE WHEN p.animated THEN '{IMAGE_HOST}' || p.link || '.gifv' ELSE '' END AS gifv,
          d.n_chars AS size, CAST(d.n_chars % 900 + 100 AS INTEGER) AS width, CAST(d.n_chars % 700 + 100 AS INTEGER) AS height,
          p.id // {POSTS_PER_PAGE} AS page
   FROM posts_fx p JOIN documents d ON d.doc_id = p.id)"""

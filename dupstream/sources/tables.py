@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dupstream.functions.bits import exact_bits, reference_bits, signed_sum_is_zero
-from dupstream.functions.text import ascii_printable
+from dupstream.functions.text import GALLERY_URL, ascii_printable
 from dupstream.schemas import WORDS
 from dupstream.session import ensure_checkpoint_dir, prepare
 
@@ -205,7 +205,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notification messages built from conversation turns: user turns come
     from the summoning account; every third turn names a post."""
     cv = read_table(spark, sf_dir, "conversations")
-    named = F.concat(F.lit("someone mentioned you in a comment: glory at http://imgur.com/gallery/"),
+    named = F.concat(F.lit(f"someone mentioned you in a comment: glory at {GALLERY_URL}"),
                      ((F.col("conv_id") * 37 + F.col("turn") * 11) % SUMMON_ID_SPACE).cast("string"),
                      F.lit("/comment/"), F.col("turn").cast("string"), F.lit("/"))
     body = (F.when(F.col("turn") % 3 == 0, named)
@@ -222,6 +222,7 @@ NON_OBJECT_EVERY = 5         # page % 5 == 1 carries one non-object element
 ERROR_PAGE_EVERY = 7         # page % 7 == 3 is an error response
 CORRUPT_PAGE_EVERY = 13      # page % 13 == 5 is a truncated body
 ERROR_MESSAGE = "Permission denied"
+IMAGE_HOST = "http://images.example/"   # image links of the derived API records
 
 
 def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,10 +231,10 @@ def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _base(spark, sf_dir)
     did = F.col("doc_id").cast("string")
     animated = F.col("event_type").isin(*ANIMATED_TYPES)
-    link = F.concat(F.lit("http://i.imgur.com/"), did,
+    link = F.concat(F.lit(IMAGE_HOST), did,
                     F.when(animated & (F.col("doc_id") % 4 == 0), F.lit(".gif"))
                     .when(animated, F.lit("h.gif")).otherwise(F.lit(".jpg")))
-    gifv = F.when(animated, F.concat(F.lit("http://i.imgur.com/"), did, F.lit(".gifv"))).otherwise(F.lit(""))
+    gifv = F.when(animated, F.concat(F.lit(IMAGE_HOST), did, F.lit(".gifv"))).otherwise(F.lit(""))
     score = F.floor("value").cast("bigint") - F.col("doc_id") % 7
     return b.select(
         did.alias("id"), (F.col("doc_id") % ALBUM_EVERY == 0).alias("is_album"),
