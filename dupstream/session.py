@@ -81,6 +81,23 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Sizing for a large cluster: enough shuffle partitions that each holds
+    about ``target_partition_bytes`` of the widest shuffle (the band join
+    explodes each fingerprint row about 18 times), AQE coalescing down to
+    that size, skew splitting above 4x it, and scan splits of the same size.
+    """
+    band_bytes = input_bytes * 18
+    partitions = max(2 * cores, -(-band_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "dupstream", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
