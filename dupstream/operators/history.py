@@ -62,7 +62,10 @@ def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
     adj = (linked.select(F.col("a").alias("k1"), F.col("b").alias("k2"))
            .unionByName(linked.select(F.col("b").alias("k1"), F.col("a").alias("k2")))
            .unionByName(cls.select(F.col("k").alias("k1"), F.col("k").alias("k2")).distinct()))
-    return nodes, adj
+    # Both are read by several branches of the history plans: write them once
+    # (reliable checkpoint in the shared folder) instead of re-running the
+    # class, image and post joins per branch.
+    return nodes.checkpoint(eager=True), adj.checkpoint(eager=True)
 
 
 SLICE_SECONDS = 3600   # time slice of the two-level running aggregate
