@@ -136,7 +136,8 @@ def oldest_neighbour(nodes: DataFrame, adj: DataFrame) -> DataFrame:
             .groupBy(F.col("qid").alias("id")).agg(F.min("cand").alias("nb")))
 
 
-def flatten(df: DataFrame, col: str, prefix: str) -> list[Column]:
+def flatten(col: str, prefix: str) -> list[Column]:
+    """The post struct ``col`` as ``<prefix>_<field>`` columns."""
     return [F.col(f"{col}.{c}").alias(f"{prefix}_{c}") for c in POST_FIELDS]
 
 
@@ -149,7 +150,7 @@ def duplicate_summary(images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
     img = images.select("id", "post_id", "animated")
     return (summ.join(img, "id")
             .select(F.col("post_id").alias("id"), F.col("animated").alias("by_crc"), "seen",
-                    *flatten(summ, "first", "first"), *flatten(summ, "last", "last"),
+                    *flatten("first", "first"), *flatten("last", "last"),
                     (F.col("first.link") != F.col("last.link")).alias("trip")))
 
 
@@ -159,4 +160,4 @@ def neighbours_before(images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
     nodes, adj = class_graph(images, posts, **kw)
     nb = oldest_neighbour(nodes, adj)
     img = images.select("id", "post_id", "animated")
-    return nb.join(img, "id").select(F.col("post_id").alias("id"), "animated", *flatten(nb, "nb", "nb"))
+    return nb.join(img, "id").select(F.col("post_id").alias("id"), "animated", *flatten("nb", "nb"))

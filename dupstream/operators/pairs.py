@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dupstream.functions.bits import hamming, lower_half, upper_half
@@ -317,8 +317,8 @@ def total_distance_pairs(images: DataFrame, max_total: int = TOTAL_MAX, *,
 
 
 def nearest(pairs: DataFrame, k: int, dist_col: str = "distance") -> DataFrame:
-    """SRT6: for every image, its ``k`` nearest partners (distance, then id)."""
-    from pyspark.sql import Window
+    """SRT6: for every image, its ``k`` nearest partners (distance, then id);
+    the per-image limit runs as a partial window group limit."""
     both = (pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), dist_col)
             .unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), dist_col)))
     w = Window.partitionBy("id").orderBy(dist_col, "other")
