@@ -105,11 +105,16 @@ def read_pairs(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.parquet(f"{store}/pairs").select(*EDGE_COLS)
 
 
-def write_arrivals(images: DataFrame, folder: str, chunks: int) -> None:
-    """Split images into ``chunks`` files by id range and write them one
-    after another (a file source takes the oldest file first)."""
-    bounds = images.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+ROWS_PER_FILE = 1_000_000   # bound on the rows one writer task handles
+
+
+def write_arrivals(images: DataFrame, folder: str, chunks: int, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Split images into at least ``chunks`` files by id range (more when a
+    file would exceed ``rows_per_file``) and write them one after another (a
+    file source takes the oldest file first)."""
+    bounds = images.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = bounds["lo"], bounds["hi"]
+    chunks = max(chunks, -(-bounds["n"] // rows_per_file))
     step = max(1, (hi - lo + chunks) // chunks)
     for i in range(chunks):
         part = images.filter((F.col("id") >= lo + i * step) & (F.col("id") < lo + (i + 1) * step))

@@ -73,10 +73,12 @@ def run_miss_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoi
         spark.conf.set(key, old)
 
 
-def write_time_chunks(misses: DataFrame, folder: str, chunks: int) -> None:
-    """Split misses into ``chunks`` files by time and write them in order."""
-    b = misses.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+def write_time_chunks(misses: DataFrame, folder: str, chunks: int, rows_per_file: int = 1_000_000) -> None:
+    """Split misses into at least ``chunks`` files by time (more when a file
+    would exceed ``rows_per_file``) and write them in order."""
+    b = misses.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi = b["lo"], b["hi"]
+    chunks = max(chunks, -(-b["n"] // rows_per_file))
     step = max(1, (hi - lo + chunks) // chunks)
     for i in range(chunks):
         part = misses.filter((F.col("ts") >= lo + i * step) & (F.col("ts") < lo + (i + 1) * step))
