@@ -37,6 +37,8 @@ def corpus_stats(images: DataFrame, posts: DataFrame, near: DataFrame, exact: Da
         _metric(near.select("a").unionByName(exact.select("a")), "reposts", n),
         _metric(blocked, "blocked", n),
         _metric(report_log, "reports", n),
+        # a report is one or two comments: the reference prints "n - 2n"
+        _metric(report_log, "report_comments_max", 2 * n),
     ]
     out = parts[0]
     for p in parts[1:]:

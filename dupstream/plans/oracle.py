@@ -342,7 +342,8 @@ m AS (
   UNION ALL SELECT 'exact_pairs', CAST(count(*) AS DOUBLE) FROM ex
   UNION ALL SELECT 'reposts', CAST((SELECT count(*) FROM near) + (SELECT count(*) FROM ex) AS DOUBLE)
   UNION ALL SELECT 'blocked', CAST(count(*) AS DOUBLE) FROM blocked
-  UNION ALL SELECT 'reports', CAST(count(*) AS DOUBLE) FROM report_log)
+  UNION ALL SELECT 'reports', CAST(count(*) AS DOUBLE) FROM report_log
+  UNION ALL SELECT 'report_comments_max', CAST(2 * count(*) AS DOUBLE) FROM report_log)
 SELECT metric, value FROM m"""
 
 ORACLE["quality_counts"] = with_fx() + """
