@@ -11,16 +11,16 @@ from dupstream.sources.tables import (ALBUM_EVERY, BLOCK, NO_HEIGHT_EVERY, NO_SI
 LONG_MIN_SQL = "(-9223372036854775807 - 1)"
 
 
-def _word_sql(name: str, i: int) -> str:
-    h = f"md5(CAST(doc_id // {BLOCK} AS VARCHAR) || '{name}')"
+def _word_sql(name: str, i: int, key: str = "fp_id") -> str:
+    h = f"md5(CAST({key} // {BLOCK} AS VARCHAR) || '{name}')"
     body = f"CAST('0x' || substr({h}, 1, 15) AS BIGINT)"
-    sparse = f"(doc_id // {BLOCK}) % {SPARSE_EVERY} = 0" if name == "ahash_1" else "FALSE"
+    sparse = f"({key} // {BLOCK}) % {SPARSE_EVERY} = 0" if name == "ahash_1" else "FALSE"
     high = f"substr({h}, 16, 1) IN ('8','9','a','b','c','d','e','f')"
     w = f"(CASE WHEN {sparse} THEN {body} & 255 WHEN {high} THEN ~{body} ELSE {body} END)"
-    w = (f"(CASE WHEN (doc_id % {BLOCK} + {i}) % 3 = 0 "
-         f"THEN xor({w}, CAST(1 AS BIGINT) << ((doc_id % {BLOCK} + {5 * i}) % 60)) ELSE {w} END)")
+    w = (f"(CASE WHEN ({key} % {BLOCK} + {i}) % 3 = 0 "
+         f"THEN xor({w}, CAST(1 AS BIGINT) << (({key} % {BLOCK} + {5 * i}) % 60)) ELSE {w} END)")
     if name == "ahash_1":
-        w = f"(CASE WHEN doc_id % {BLOCK} % 7 = 1 THEN xor({w}, {LONG_MIN_SQL}) ELSE {w} END)"
+        w = f"(CASE WHEN {key} % {BLOCK} % 7 = 1 THEN xor({w}, {LONG_MIN_SQL}) ELSE {w} END)"
     return f"{w} AS {name}"
 
 
@@ -48,17 +48,19 @@ _BITS = " + ".join(_popcount_sm(w) for w in WORDS)
 _TBITS = " + ".join(f"CAST(bit_count({w}) AS INTEGER)" for w in WORDS)
 _SUM = " + ".join(f"CAST({w} AS HUGEINT)" for w in WORDS)
 
-IMAGES_FX = f"""fx_words AS (
+IMAGES_FX = f"""fx_first AS (
+  SELECT *, md5(text) AS crc, min(doc_id) OVER (PARTITION BY md5(text)) AS fp_id FROM fx_base),
+fx_words AS (
   SELECT doc_id AS id, doc_id AS post_id, user_id AS userid,
          CAST(floor(epoch(ts)) AS BIGINT) AS datetime,
          event_type IN ('click', 'view') AS animated,
          {_WORDS_SELECT},
-         md5(text) AS crc,
+         crc,
          'i/' || CAST(doc_id AS VARCHAR) || '.jpg' AS imagepath,
          CASE WHEN doc_id % {NO_SIZE_EVERY} = 0 THEN CAST(0 AS BIGINT) ELSE n_chars END AS size,
          CASE WHEN doc_id % {NO_WIDTH_EVERY} = 0 THEN -1 ELSE CAST(n_chars % 900 + 100 AS INTEGER) END AS width,
          CASE WHEN doc_id % {NO_HEIGHT_EVERY} = 0 THEN -1 ELSE CAST(n_chars % 700 + 100 AS INTEGER) END AS height
-  FROM fx_base),
+  FROM fx_first),
 images_fx AS (
   SELECT *, CASE WHEN animated THEN 0 ELSE {_BITS} END AS bits,
          {_TBITS} AS tbits

@@ -119,11 +119,12 @@ def _posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _staged_words(df: DataFrame) -> DataFrame:
-    """Add the twelve words in stages (digest, body, word), so that each
-    expression is computed once and the plan stays small."""
-    c = F.floor(F.col("doc_id") / BLOCK).cast("bigint")
-    m = (F.col("doc_id") % BLOCK).cast("int")
+def _staged_words(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Add the twelve words (derived from column ``key``) in stages (digest,
+    body, word), so that each expression is computed once and the plan stays
+    small."""
+    c = F.floor(F.col(key) / BLOCK).cast("bigint")
+    m = (F.col(key) % BLOCK).cast("int")
     df = df.select("*", *[F.md5(F.concat(c.cast("string"), F.lit(w))).alias(f"h_{w}") for w in WORDS])
     df = df.select("*", *[F.conv(F.substring(f"h_{w}", 1, 15), 16, 10).cast("bigint").alias(f"body_{w}")
                           for w in WORDS])
@@ -135,7 +136,7 @@ def _staged_words(df: DataFrame) -> DataFrame:
         v = (F.when(sparse, body.bitwiseAND(F.lit(255)))
              .when(high, F.bitwise_not(body))
              .otherwise(body))
-        flip = F.expr(f"shiftleft(1L, cast((doc_id % {BLOCK} + {5 * i}) % 60 as int))")
+        flip = F.expr(f"shiftleft(1L, cast(({key} % {BLOCK} + {5 * i}) % 60 as int))")
         v = F.when((m + i) % 3 == 0, v.bitwiseXOR(flip)).otherwise(v)
         if w == "ahash_1":
             v = F.when(m % 7 == 1, v.bitwiseXOR(F.lit(LONG_MIN))).otherwise(v)
@@ -144,11 +145,21 @@ def _staged_words(df: DataFrame) -> DataFrame:
     return df.select(*keep, *words)
 
 
-def _images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _images_fx(spark: SparkSession, sf_dir: str, copies_share_fingerprint: bool = True) -> DataFrame:
     """Image rows: id, post_id, userid, datetime, animated, 12 words, crc,
     bits (reference definition), tbits (true popcount).  Still images whose
-    words sum to zero are rejected at ingest (FLT4) and therefore absent."""
-    b = _staged_words(_base(spark, sf_dir))
+    words sum to zero are rejected at ingest (FLT4) and therefore absent.
+
+    Documents with identical text are copies of one file, so they share the
+    fingerprint of the first of them (``copies_share_fingerprint``; off, the
+    words depend on the document id alone)."""
+    b = _base(spark, sf_dir).withColumn("crc", F.md5(F.col("text")))
+    if copies_share_fingerprint:
+        first = b.groupBy("crc").agg(F.min("doc_id").alias("fp_id"))
+        b = b.join(first, "crc")
+    else:
+        b = b.withColumn("fp_id", F.col("doc_id"))
+    b = _staged_words(b, "fp_id")
     df = b.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("post_id"),
@@ -156,7 +167,7 @@ def _images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         epoch_seconds(F.col("ts")).alias("datetime"),
         F.col("event_type").isin(*ANIMATED_TYPES).alias("animated"),
         *WORDS,
-        F.md5(F.col("text")).alias("crc"),
+        "crc",
         F.concat(F.lit("i/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("imagepath"),
         F.when(F.col("doc_id") % NO_SIZE_EVERY == 0, F.lit(0).cast("bigint"))
          .otherwise(F.col("n_chars")).alias("size"),

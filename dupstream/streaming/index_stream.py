@@ -79,9 +79,14 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, th: P.Thresholds
         within = edges(P.similarity_join(new_roots, new_roots, th, bits_col=bits_col, self_join=True))
         out = vs_stored.unionByName(within).unionByName(copies)
         out.write.mode("overwrite").parquet(f"{store}/pairs/batch_id={batch_id}")
-        rows = P.band_rows(new_roots, th, bits_col=bits_col).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        (rows.repartition(buckets, "band_no", "band", "bkt").write
-         .option("partitionOverwriteMode", "dynamic").mode("overwrite").insertInto(table))
+        # a static partition spec replaces exactly this batch's partition,
+        # whatever the session's partition overwrite mode is
+        rows = P.band_rows(new_roots, th, bits_col=bits_col)
+        view = f"{table}_batch_{batch_id}"
+        rows.createOrReplaceTempView(view)
+        cols = ", ".join(["band_no", "band", "bkt", "r_id", *WORDS, bits_col])
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (batch_id = {int(batch_id)}) SELECT {cols} FROM {view}")
+        spark.catalog.dropTempView(view)
     finally:
         matches.unpersist()
 
