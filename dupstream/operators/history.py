@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dupstream.operators import pairs as P
+from dupstream.session import prepare
 
 POST_FIELDS = ["datetime", "userurl", "userid", "link", "title"]
 
@@ -49,6 +50,7 @@ def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
     ``index`` is a stored ``(members, root_edges)`` pair index; without it
     the index is computed from ``images``.
     """
+    prepare(images.sparkSession)   # checkpoint folder, session settings
     members, root_edges = index if index is not None else \
         P.near_index(images, bits_col=bits_col, salt_rows=salt_rows)
     exact = P.exact_classes(images).select("id", "root")
