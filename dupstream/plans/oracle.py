@@ -138,7 +138,7 @@ def _lookup_sql(match_cte: str, qry_filter: str) -> dict[str, str]:
   SELECT *, row_number() OVER (PARTITION BY q ORDER BY {_DESC}) AS rank_desc,
             row_number() OVER (PARTITION BY q ORDER BY {_ASC}) AS rank_asc FROM m)""")
     return {
-        "all": base + f"SELECT q, rank_desc AS rank, {_LIST} FROM ranked WHERE rank_desc <= 1024",
+        "all": base + f"SELECT q, CAST(rank_desc AS INTEGER) AS rank, {_LIST} FROM ranked WHERE rank_desc <= 1024",
         "count": base + f"""SELECT l.id AS q, count(m.q) AS n FROM qry l LEFT JOIN m ON m.q = l.id
 WHERE {qry_filter} GROUP BY l.id""",
         "newest": base + f"SELECT q, {_LIST} FROM ranked WHERE rank_desc = 1",
@@ -204,9 +204,9 @@ _SUMMARY_SP = _SUMMARY.rstrip("\n") + ",\n" + _SP[0] + "\n"
 
 ORACLE["title_distance"] = _SUMMARY_SP + f"""
 SELECT id,
-  levenshtein({_norm('last_title')}, {_norm('x_title')}) AS last_distance,
+  CAST(levenshtein({_norm('last_title')}, {_norm('x_title')}) AS INTEGER) AS last_distance,
   {_levn(_norm('last_title'), _norm('x_title'))} AS last_norm,
-  levenshtein({_norm('first_title')}, {_norm('x_title')}) AS first_distance,
+  CAST(levenshtein({_norm('first_title')}, {_norm('x_title')}) AS INTEGER) AS first_distance,
   {_levn(_norm('first_title'), _norm('x_title'))} AS first_norm
 FROM sp"""
 
@@ -379,8 +379,8 @@ ORACLE["envelope_split"] = with_fx() + f"""
 SELECT page,
   CASE WHEN page % {ERROR_PAGE_EVERY} = 3 THEN 'error' WHEN page % {CORRUPT_PAGE_EVERY} = 5 THEN 'corrupt' ELSE 'ok' END AS outcome,
   CASE WHEN page % {ERROR_PAGE_EVERY} = 3 OR page % {CORRUPT_PAGE_EVERY} = 5 THEN 0 ELSE n END AS n_posts,
-  CASE WHEN page % {ERROR_PAGE_EVERY} = 3 OR page % {CORRUPT_PAGE_EVERY} = 5 THEN 0
-       WHEN page % {NON_OBJECT_EVERY} = 1 THEN 1 ELSE 0 END AS n_bad,
+  CAST(CASE WHEN page % {ERROR_PAGE_EVERY} = 3 OR page % {CORRUPT_PAGE_EVERY} = 5 THEN 0
+       WHEN page % {NON_OBJECT_EVERY} = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_bad,
   CASE WHEN page % {ERROR_PAGE_EVERY} = 3 THEN '{ERROR_MESSAGE}' END AS error_message
 FROM pg"""
 

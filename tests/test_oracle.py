@@ -8,6 +8,8 @@ from tests.conftest import SF0001
 from tools.compare import rows_of
 
 ORACLES = E.oracle_sql()
+DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "float": "FLOAT"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -17,6 +19,9 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(ORACLES[name])
     drows = rel.fetchall()
     assert sorted(sdf.columns) == sorted(rel.columns)
+    spark_types = {f.name: DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert rows_of(sdf.columns, srows) == rows_of(rel.columns, drows)
 
 
