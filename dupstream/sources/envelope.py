@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 
 from dupstream.schemas import ENVELOPE, POST_JSON
 
+# messages of failed requests without an error text of their own
+EMPTY_RESPONSE = "empty response"
+EMPTY_RETURN = "empty return"
+
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     """Captured response bodies, one per line: ``page`` (file line order is
@@ -39,15 +43,21 @@ def split_envelopes(envelopes: DataFrame) -> DataFrame:
     (raw JSON of each data element, ok pages only), error_message``."""
     e = F.from_json(F.col("body"), ENVELOPE)
     # from_json keeps what it could read of a truncated body; a body only
-    # counts when it is valid JSON as a whole.
-    parsed = envelopes.select("page", e.alias("e"), F.try_parse_json(F.col("body")).isNull().alias("bad"))
-    outcome = (F.when(F.col("bad") | F.col("e.success").isNull(), "corrupt")
+    # counts when it is valid JSON as a whole.  An empty body is a failed
+    # request (not a corrupt page), as is any envelope whose success flag is
+    # not true.
+    parsed = envelopes.select("page", e.alias("e"), F.try_parse_json(F.col("body")).isNull().alias("bad"),
+                              (F.trim(F.coalesce(F.col("body"), F.lit(""))) == "").alias("empty"))
+    outcome = (F.when(F.col("empty"), "error")
+               .when(F.col("bad") | F.col("e.success").isNull(), "corrupt")
                .when(F.col("e.success"), "ok").otherwise("error"))
     elements = F.from_json(F.col("e.data"), T.ArrayType(T.StringType()))
+    message = (F.when(F.col("empty"), F.lit(EMPTY_RESPONSE))
+               .otherwise(F.coalesce(F.get_json_object(F.col("e.data"), "$.error.message"), F.lit(EMPTY_RETURN))))
     return parsed.select(
         "page", outcome.alias("outcome"),
         F.when(outcome == "ok", elements).alias("elements"),
-        F.when(outcome == "error", F.get_json_object(F.col("e.data"), "$.error.message")).alias("error_message"))
+        F.when(outcome == "error", message).alias("error_message"))
 
 
 def page_posts(split: DataFrame) -> DataFrame:

@@ -46,10 +46,14 @@ def test_envelopes_from_files(spark, tmp_path):
     (d / "page_0001.json").write_text('{"success": true, "status": 200, "data": [{"id": "a1", "ups": 50, "downs": 3}, 7]}\n')
     (d / "page_0002.json").write_text('{"success": false, "status": 403, "data": {"error": {"message": "nope"}}}\n')
     (d / "page_0003.json").write_text('{"success": true, "data": [{"id": \n')
+    (d / "page_0004.json").write_text('\n')
+    (d / "page_0005.json").write_text('{"success": false, "data": []}\n')
     summ = {r["page"]: r for r in EV.page_summary(EV.split_envelopes(EV.read_envelopes(spark, str(d)))).collect()}
     assert (summ[1]["outcome"], summ[1]["n_posts"], summ[1]["n_bad"]) == ("ok", 1, 1)
     assert (summ[2]["outcome"], summ[2]["error_message"]) == ("error", "nope")
     assert summ[3]["outcome"] == "corrupt"
+    assert (summ[4]["outcome"], summ[4]["error_message"]) == ("error", "empty response")
+    assert (summ[5]["outcome"], summ[5]["error_message"]) == ("error", "empty return")
 
 
 def test_post_json_lines(spark, tmp_path):
