@@ -24,7 +24,7 @@ def parse_id_lines(lines: DataFrame, col: str = "line") -> DataFrame:
     are skipped, as the reference's ``int(line)`` failures are)."""
     t = F.trim(F.col(col))
     return (lines.select(t.alias("t")).filter(F.col("t").rlike(_INT_LINE))
-            .select(F.col("t").cast("bigint").alias("userid"))
+            .select(F.col("t").try_cast("bigint").alias("userid"))
             .filter(F.col("userid").isNotNull()))
 
 

@@ -27,7 +27,8 @@ def test_miss_window_across_hour_slices(spark):
 
 
 def test_blocklist_lines(spark):
-    add = spark.createDataFrame([(" 12 ",), ("x",), ("",), ("12",), ("+5",), ("-3",), ("7",)], "line string")
+    add = spark.createDataFrame([(" 12 ",), ("x",), ("",), ("12",), ("+5",), ("-3",), ("7",),
+                                 ("99999999999999999999",)], "line string")
     remove = spark.createDataFrame([("7",), ("junk",)], "line string")
     empty = spark.createDataFrame([], "userid bigint")
     got = sorted(r["userid"] for r in LM.update_blocklist(empty, add, remove).collect())
