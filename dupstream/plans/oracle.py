@@ -176,9 +176,11 @@ _BLOCK_CTES = [
     f"""rm_lines AS (SELECT CAST(user_id AS VARCHAR) AS line FROM events
   WHERE event_type = 'signup' AND value >= {BLOCK_REMOVE_VALUE})""",
     """blocked AS (
-  SELECT DISTINCT CAST(trim(line) AS BIGINT) AS userid FROM add_lines WHERE regexp_full_match(trim(line), '[+-]?[0-9]+')
+  SELECT DISTINCT TRY_CAST(trim(line) AS BIGINT) AS userid FROM add_lines
+  WHERE regexp_full_match(trim(line), '[+-]?[0-9]+') AND TRY_CAST(trim(line) AS BIGINT) IS NOT NULL
   EXCEPT
-  SELECT CAST(trim(line) AS BIGINT) AS userid FROM rm_lines WHERE regexp_full_match(trim(line), '[+-]?[0-9]+'))""",
+  SELECT TRY_CAST(trim(line) AS BIGINT) AS userid FROM rm_lines
+  WHERE regexp_full_match(trim(line), '[+-]?[0-9]+') AND TRY_CAST(trim(line) AS BIGINT) IS NOT NULL)""",
 ]
 ORACLE["blocklist"] = "WITH " + ",\n".join(_BLOCK_CTES) + "\nSELECT userid FROM blocked"
 
