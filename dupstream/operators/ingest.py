@@ -66,16 +66,23 @@ def new_posts(classified: DataFrame) -> DataFrame:
             .select("id", api_link().alias("link"), score().alias("score")))
 
 
-def refresh(stored_images: DataFrame, stored_posts: DataFrame, classified: DataFrame) -> DataFrame:
+def refresh(stored_images: DataFrame, stored_posts: DataFrame, classified: DataFrame,
+            now: float | None = None) -> DataFrame:
     """DML1/DML2 as an upsert: stored image rows with author, size, width and
     height taken from the known records (old value when the record has
-    none)."""
+    none), and ``last_checked`` set to ``now`` for the refreshed ones."""
     upd = classified.filter(F.col("outcome") == "known").select(
         F.col("id").alias("link"), F.col("account_id").alias("n_userid"), F.col("size").alias("n_size"),
-        F.col("width").alias("n_width"), F.col("height").alias("n_height"))
+        F.col("width").alias("n_width"), F.col("height").alias("n_height"), F.lit(True).alias("refreshed"))
     p = stored_posts.select(F.col("id").alias("post_id"), "link", "userid")
-    j = stored_images.select("id", "post_id", "size", "width", "height").join(p, "post_id").join(upd, "link", "left")
+    old_checked = (F.col("last_checked") if "last_checked" in stored_images.columns
+                   else F.lit(None).cast("double")).alias("last_checked")
+    j = (stored_images.select("id", "post_id", "size", "width", "height", old_checked)
+         .join(p, "post_id").join(upd, "link", "left"))
+    checked = F.col("last_checked") if now is None else \
+        F.when(F.col("refreshed"), F.lit(float(now))).otherwise(F.col("last_checked"))
     return j.select("id", F.coalesce("n_userid", "userid").alias("userid"),
                     F.coalesce("n_size", "size").alias("size"),
                     F.coalesce("n_width", "width").alias("width"),
-                    F.coalesce("n_height", "height").alias("height"))
+                    F.coalesce("n_height", "height").alias("height"),
+                    checked.alias("last_checked"))

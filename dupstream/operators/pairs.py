@@ -133,8 +133,10 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     Hamming bounds.  Both inputs carry the 12 words, ``bits_col`` and an id.
 
     Returns ``l_id, r_id, diff_a, diff_dh, diff_dv``.  With ``self_join``
-    (left and right are the same table) each unordered pair appears once,
-    with ``l_id < r_id``.
+    (left and right are the same table) each unordered pair appears exactly
+    once; pairs in one bits bucket come with ``l_id < r_id``, pairs across
+    adjacent buckets in either order, so callers canonicalise with
+    ``least``/``greatest``.
     """
     prepare(left.sparkSession)
     n_bands = th.max_a + 1

@@ -416,7 +416,8 @@ SELECT id, CASE WHEN animated AND ends_with(link, 'h.gif') AND length(gifv) > 0
        score FROM cls WHERE outcome = 'new'"""
 ORACLE["post_refresh"] = with_fx(_CLS) + f"""
 SELECT i.id, coalesce(c.account_id, p.userid) AS userid, coalesce(c.size, i.size) AS size,
-       coalesce(c.width, i.width) AS width, coalesce(c.height, i.height) AS height
+       coalesce(c.width, i.width) AS width, coalesce(c.height, i.height) AS height,
+       CASE WHEN c.id IS NOT NULL THEN CAST({NOW_SQL} AS DOUBLE) END AS last_checked
 FROM images_fx i JOIN stored p ON p.id = i.post_id
 LEFT JOIN (SELECT * FROM cls WHERE outcome = 'known') c ON c.id = p.link
 WHERE i.datetime < {SPLIT_SQL}"""

@@ -407,10 +407,10 @@ def q_new_posts(spark, sf_dir):
 @register("post_refresh")
 def q_post_refresh(spark, sf_dir):
     """DML1/DML2: stored images after the known records refreshed them."""
-    split, _ = time_marks(spark, sf_dir)
+    split, now = time_marks(spark, sf_dir)
     po = posts_fx(spark, sf_dir).filter(F.col("datetime") < split)
     im = images_fx(spark, sf_dir).filter(F.col("datetime") < split)
-    return IG.refresh(im, po, _classified(spark, sf_dir))
+    return IG.refresh(im, po, _classified(spark, sf_dir), now)
 
 
 # ---- exact total-distance join (the LSH prototype's query) -------------------------
