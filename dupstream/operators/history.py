@@ -7,11 +7,11 @@ other members of x's class and of the linked classes.
 
 Nothing here joins a post to every member of a linked class.  Instead:
 
-* **strictly earlier summary** (count, first, last seen): a two-level
-  running aggregate (per class and hour slice, then inside a slice) read off
-  at query rows ``(x, class, x.datetime)``; query rows sort before members
-  of equal time, so only strictly older posts count.  Per-class partials
-  are then combined per post with a partial (map-side) aggregate.
+* **strictly earlier summary** (count, first, last seen): prefix sums over
+  aggregated (class, hour, second) rows, read off at query rows
+  ``(x, class, x.datetime)`` with equi-joins; no window ever holds more
+  than one hour of seconds, whatever the size of a class.  Per-class
+  partials are then combined per post with a partial (map-side) aggregate.
 * **oldest neighbour at or before** (the reference returns the first row of
   an ascending scan): per class the smallest and second smallest member are
   two plain aggregates; the first one that is not x itself and not newer
@@ -70,53 +70,56 @@ def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
     return nodes.checkpoint(eager=True), adj.checkpoint(eager=True)
 
 
-SLICE_SECONDS = 3600   # time slice of the two-level running aggregate
+SLICE_SECONDS = 3600   # level-1 time slice of the running aggregate
 
 
 def earlier_summary(nodes: DataFrame, adj: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Per image with at least one strictly older duplicate:
     ``id, seen, first, last`` (first/last are post structs).
 
-    Two levels, so that no class is ever gathered in one task:
+    Post times are whole seconds and only strictly older posts count, so
+    posts of the same second never count each other and no ordering inside
+    a second is needed.  The summary is built from aggregated rows only:
 
-    1. members are aggregated per (class, time slice) (count, min, max; a
-       partial aggregate) and a running prefix over the slices of a class
-       gives, for every slice, the aggregate of all earlier slices (one row
-       per slice, not per post);
-    2. inside one (class, slice), query rows and member rows are ordered by
-       (datetime, kind) and a running count/min/max is read at each query
-       row; queries sort before members of equal time (strictly older only).
+    1. members are aggregated per (class, slice, second) (count, min, max;
+       a partial aggregate, so a class of any size is spread over tasks);
+    2. a running prefix over the seconds of a (class, slice) gives the part
+       of the slice before each second (at most ``slice_seconds`` rows per
+       window);
+    3. a running prefix over the slices of a class gives all earlier slices
+       (one row per slice).
 
-    The two parts are combined per (query, class) and then per query.
+    Each query row (post x, linked class) reads both prefixes with
+    equi-joins; the parts are combined per query with a map-side aggregate.
     """
     sl = F.floor(F.col("datetime") / F.lit(slice_seconds)).cast("bigint")
+    s_type = nodes.schema["s"].dataType
     queries = (nodes.select(F.col("id").alias("qid"), F.col("k").alias("k1"), "datetime")
                .join(adj, "k1")
-               .select(F.col("k2").alias("k"), "datetime", sl.alias("sl"), F.lit(0).alias("kind"), "qid",
-                       F.lit(None).cast(nodes.schema["s"].dataType).alias("s")))
-    members = nodes.select("k", "datetime", sl.alias("sl"), F.lit(1).alias("kind"),
-                           F.lit(None).cast("bigint").alias("qid"), "s")
-    # level 1: whole earlier slices
-    per_slice = (members.groupBy("k", "sl")
-                 .agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("mn"), F.max("s").alias("mx"))
-                 .unionByName(queries.select("k", "sl").distinct()
-                              .select("k", "sl", F.lit(0).cast("bigint").alias("n"),
-                                      F.lit(None).cast(nodes.schema["s"].dataType).alias("mn"),
-                                      F.lit(None).cast(nodes.schema["s"].dataType).alias("mx")))
-                 .groupBy("k", "sl").agg(F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx")))
-    before = Window.partitionBy("k").orderBy("sl").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = per_slice.select("k", "sl", F.sum("n").over(before).alias("pn"),
-                              F.min("mn").over(before).alias("pmn"), F.max("mx").over(before).alias("pmx"))
-    # level 2: inside the query's own slice
-    w = (Window.partitionBy("k", "sl").orderBy("datetime", "kind")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    within = (queries.unionByName(members)
-              .select("k", "sl", "kind", "qid", F.count("s").over(w).alias("wn"),
-                      F.min("s").over(w).alias("wmn"), F.max("s").over(w).alias("wmx"))
-              .filter(F.col("kind") == 0))
-    per_class = (within.join(prefix, ["k", "sl"])
-                 .select("qid", (F.coalesce("pn", F.lit(0)) + F.col("wn")).alias("n"),
-                         F.least("pmn", "wmn").alias("first"), F.greatest("pmx", "wmx").alias("last"))
+               .select("qid", F.col("k2").alias("k"), "datetime", sl.alias("sl")))
+    q_keys = queries.select("k", "sl", "datetime").distinct()
+
+    def with_queries(agg: DataFrame, keys: list[str], q: DataFrame) -> DataFrame:
+        empty = q.select(*keys, F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(s_type).alias("mn"),
+                         F.lit(None).cast(s_type).alias("mx"))
+        return (agg.unionByName(empty).groupBy(*keys)
+                .agg(F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx")))
+
+    per_sec = (nodes.select("k", sl.alias("sl"), "datetime", "s").groupBy("k", "sl", "datetime")
+               .agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("mn"), F.max("s").alias("mx")))
+    secs = with_queries(per_sec, ["k", "sl", "datetime"], q_keys)
+    w_sec = Window.partitionBy("k", "sl").orderBy("datetime").rowsBetween(Window.unboundedPreceding, -1)
+    sec_prefix = secs.select("k", "sl", "datetime", F.sum("n").over(w_sec).alias("sn"),
+                             F.min("mn").over(w_sec).alias("smn"), F.max("mx").over(w_sec).alias("smx"))
+    per_slice = per_sec.groupBy("k", "sl").agg(F.sum("n").alias("n"), F.min("mn").alias("mn"),
+                                                F.max("mx").alias("mx"))
+    slices = with_queries(per_slice, ["k", "sl"], q_keys.select("k", "sl").distinct())
+    w_sl = Window.partitionBy("k").orderBy("sl").rowsBetween(Window.unboundedPreceding, -1)
+    sl_prefix = slices.select("k", "sl", F.sum("n").over(w_sl).alias("pn"),
+                              F.min("mn").over(w_sl).alias("pmn"), F.max("mx").over(w_sl).alias("pmx"))
+    per_class = (queries.join(sec_prefix, ["k", "sl", "datetime"]).join(sl_prefix, ["k", "sl"])
+                 .select("qid", (F.coalesce("pn", F.lit(0)) + F.coalesce("sn", F.lit(0))).alias("n"),
+                         F.least("pmn", "smn").alias("first"), F.greatest("pmx", "smx").alias("last"))
                  .filter(F.col("n") > 0))
     return (per_class.groupBy(F.col("qid").alias("id"))
             .agg(F.sum("n").alias("seen"), F.min("first").alias("first"), F.max("last").alias("last")))
