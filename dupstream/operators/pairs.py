@@ -328,20 +328,24 @@ def nearest(pairs: DataFrame, k: int, dist_col: str = "distance") -> DataFrame:
 
 
 def band_rows(roots: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
-              id_col: str = "id") -> DataFrame:
+              id_col: str = "id", salts: int = 1) -> DataFrame:
     """Index-side rows of the band join, ready to be stored: ``band_no,
-    band, bkt, r_id``, the words and ``bits_col`` (one row per band)."""
+    band, bkt, salt, r_id``, the words and ``bits_col`` (one row per band).
+    ``salt`` (a hash of the id, ``salts`` values) spreads one band key over
+    several buckets of a stored table."""
     n_bands = th.max_a + 1
     width = None if th.max_delta is None else th.max_delta + 1
     base = roots.select(F.col(id_col).alias("r_id"), *WORDS, bits_col)
     out = _explode_bands(base, n_bands, bits_col, width, (0,)).drop("bkt_off")
-    return out.select("band_no", "band", "bkt", "r_id", *WORDS, bits_col)
+    salt = F.pmod(F.xxhash64("r_id"), F.lit(salts)).cast("int")
+    return out.select("band_no", "band", "bkt", salt.alias("salt"), "r_id", *WORDS, bits_col)
 
 
 def match_bands(queries: DataFrame, stored: DataFrame, th: Thresholds = STORE, *,
-                bits_col: str = "bits", id_col: str = "id") -> DataFrame:
+                bits_col: str = "bits", id_col: str = "id", salts: int = 1) -> DataFrame:
     """Query rows against stored ``band_rows`` (for example a table bucketed
-    by ``band_no, band, bkt``, so only the query side is shuffled).
+    by ``band_no, band, bkt, salt``, so only the query side is shuffled; the
+    query side is replicated over the ``salts`` salt values).
     Returns ``l_id, r_id, diff_a, diff_dh, diff_dv`` within the bounds."""
     prepare(queries.sparkSession)
     n_bands = th.max_a + 1
@@ -349,8 +353,9 @@ def match_bands(queries: DataFrame, stored: DataFrame, th: Thresholds = STORE, *
     offsets = (0,) if width is None else (-1, 0, 1)
     q = _explode_bands(queries.select(F.col(id_col).alias("l_id"), *WORDS, bits_col),
                        n_bands, bits_col, width, offsets)
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     l, r = q.alias("l"), stored.alias("r")
-    keys = ["band_no", "band", "bkt"]
+    keys = ["band_no", "band", "bkt", "salt"]
     j = l.join(r, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
     keep = _first_equal_band(n_bands) == F.col("l.band_no")
     if th.max_delta is not None:

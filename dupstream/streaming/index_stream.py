@@ -5,9 +5,11 @@ in ``foreachBatch``:
 
 1. still images of the batch are grouped into fingerprint classes;
 2. the classes are matched against the stored index in one band join.  The
-   stored side is a table *bucketed by the band key* (``band_no, band,
-   bkt``), so only the micro-batch is shuffled; the stored index is read in
-   place (and pruned to earlier batches by its ``batch_id`` partition);
+   stored side is a table *bucketed by the salted band key* (``band_no,
+   band, bkt, salt``; the salt is a hash of the root id, so one hot band key
+   spreads over several buckets), so only the micro-batch, replicated over
+   the salts, is shuffled; the stored index is read in place (and pruned to
+   earlier batches by its ``batch_id`` partition);
 3. a class with a distance-0 match is a copy of a stored fingerprint and
    gets copy edges to that root; the others become new roots (their
    smallest id), keep their matches as edges and are joined with each other;
@@ -32,31 +34,33 @@ from dupstream.schemas import WORDS
 
 EDGE_COLS = ["a", "b", "diff_a", "diff_d"]
 BAND_BUCKETS = 64      # buckets of the stored band table (fixed when it is created)
+BAND_SALTS = 4         # salts per band key: one key spreads over this many buckets
 
 
 def band_table(spark: SparkSession, store: str, th: P.Thresholds = P.STORE, bits_col: str = "bits",
-               buckets: int = BAND_BUCKETS) -> str:
+               buckets: int = BAND_BUCKETS, salts: int = BAND_SALTS) -> str:
     """Register (or re-attach after a restart) the stored band table of
-    ``store``: parquet, partitioned by batch, bucketed by the band key."""
+    ``store``: parquet, partitioned by batch, bucketed by the salted band
+    key, so one hot band key is spread over ``salts`` buckets."""
     width = "none" if th.max_delta is None else str(th.max_delta + 1)
-    path = f"{store}/band_index_a{th.max_a}_w{width}_{bits_col}"
+    path = f"{store}/band_index_a{th.max_a}_w{width}_{bits_col}_s{salts}"
     name = "band_idx_" + hashlib.sha1(path.encode()).hexdigest()[:16]
-    cols = ", ".join(["band_no INT", "band BIGINT", "bkt INT", "r_id BIGINT",
+    cols = ", ".join(["band_no INT", "band BIGINT", "bkt INT", "salt INT", "r_id BIGINT",
                       *[f"{w} BIGINT" for w in WORDS], f"{bits_col} INT", "batch_id BIGINT"])
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet PARTITIONED BY (batch_id) "
-              f"CLUSTERED BY (band_no, band, bkt) INTO {buckets} BUCKETS LOCATION '{path}'")
+              f"CLUSTERED BY (band_no, band, bkt, salt) INTO {buckets} BUCKETS LOCATION '{path}'")
     return name
 
 
 def process_batch(batch: DataFrame, batch_id: int, store: str, th: P.Thresholds = P.STORE,
-                  bits_col: str = "bits", buckets: int = BAND_BUCKETS) -> None:
+                  bits_col: str = "bits", buckets: int = BAND_BUCKETS, salts: int = BAND_SALTS) -> None:
     spark = batch.sparkSession
-    table = band_table(spark, store, th, bits_col, buckets)
+    table = band_table(spark, store, th, bits_col, buckets, salts)
     still = P.still_images(batch).withColumn("fp", F.struct(*WORDS))
     classes = still.groupBy("fp").agg(F.min("id").alias("broot"), F.min(bits_col).alias(bits_col))
     croots = classes.select(F.col("broot").alias("id"), *[F.col(f"fp.{w}").alias(w) for w in WORDS], bits_col)
     stored = spark.table(table).filter(F.col("batch_id") < batch_id)
-    matches = P.match_bands(croots, stored, th, bits_col=bits_col).persist()
+    matches = P.match_bands(croots, stored, th, bits_col=bits_col, salts=salts).persist()
     try:
         same = (matches.filter((F.col("diff_a") == 0) & (F.col("diff_dh") == 0) & (F.col("diff_dv") == 0))
                 .groupBy("l_id").agg(F.min("r_id").alias("sroot")))
@@ -81,10 +85,10 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, th: P.Thresholds
         out.write.mode("overwrite").parquet(f"{store}/pairs/batch_id={batch_id}")
         # a static partition spec replaces exactly this batch's partition,
         # whatever the session's partition overwrite mode is
-        rows = P.band_rows(new_roots, th, bits_col=bits_col)
+        rows = P.band_rows(new_roots, th, bits_col=bits_col, salts=salts)
         view = f"{table}_batch_{batch_id}"
         rows.createOrReplaceTempView(view)
-        cols = ", ".join(["band_no", "band", "bkt", "r_id", *WORDS, bits_col])
+        cols = ", ".join(["band_no", "band", "bkt", "salt", "r_id", *WORDS, bits_col])
         spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (batch_id = {int(batch_id)}) SELECT {cols} FROM {view}")
         spark.catalog.dropTempView(view)
     finally:

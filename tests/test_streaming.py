@@ -68,12 +68,12 @@ def test_stored_band_table_is_read_in_place(spark, tmp_path):
     from pyspark.sql import functions as F
     im = images_fx(spark, SF0001)
     roots, _ = P.fingerprint_classes(im)
-    name = S.band_table(spark, str(tmp_path), buckets=8)
-    (P.band_rows(roots).withColumn("batch_id", F.lit(0).cast("bigint"))
-     .repartition(8, "band_no", "band", "bkt").write.mode("append").insertInto(name))
+    name = S.band_table(spark, str(tmp_path), buckets=8, salts=4)
+    (P.band_rows(roots, salts=4).withColumn("batch_id", F.lit(0).cast("bigint"))
+     .write.mode("append").insertInto(name))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        j = P.match_bands(roots.limit(50), spark.table(name).filter("batch_id < 1"))
+        j = P.match_bands(roots.limit(50), spark.table(name).filter("batch_id < 1"), salts=4)
         text = j._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
