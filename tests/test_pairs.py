@@ -189,3 +189,20 @@ def test_copies_in_derived_table(spark):
                 for i in [x["id"] for x in still.filter(F.col("crc") == r["crc"]).collect()] if i != r["root"]}
     edges = {(r["a"], r["b"]) for r in P.near_pairs(im).filter("diff_a = 0 AND diff_d = 0").collect()}
     assert expected and expected <= edges
+
+
+def test_sampled_hot_key_detection_salts_a_hot_band(spark):
+    """A band key far above the threshold is found on the sample and salted;
+    the pairs are the same as without salting."""
+    from dupstream.operators.pairs import _explode_bands, _salted
+    rows = [(i, {"ahash_1": BASE[0] ^ (i << 40), "ahash_2": 0, "ahash_3": 0, "ahash_4": 0}, False)
+            for i in range(1, 3001)]
+    im = images(spark, rows)
+    lx = _explode_bands(im.select(F.col("id").alias("l_id"), *WORDS, "bits"), 6, "bits", 23, (0, 1))
+    rx = _explode_bands(im.select(F.col("id").alias("r_id"), *WORDS, "bits"), 6, "bits", 23, (0,)).drop("bkt_off")
+    _, salted_r, keys = _salted(lx, rx, ["band_no", "band", "bkt"], 1000, 16, 1000, "r_id")
+    assert keys[-1] == "salt"
+    assert salted_r.select("salt").distinct().count() > 1
+    a = P.near_pairs(im, salt_rows=None)
+    b = P.near_pairs(im, salt_rows=1000)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
