@@ -81,6 +81,9 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
 def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Sizing for a large cluster: enough shuffle partitions that each holds
     about ``target_partition_bytes`` of the widest shuffle (the band join
@@ -89,6 +92,11 @@ def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int =
     """
     band_bytes = input_bytes * 18
     partitions = max(2 * cores, -(-band_bytes // target_partition_bytes))
+    if partitions > MAX_SHUFFLE_PARTITIONS:
+        # past this count scheduling and shuffle-file overheads dominate:
+        # keep the count and let partitions grow instead
+        target_partition_bytes = -(-band_bytes // MAX_SHUFFLE_PARTITIONS)
+        partitions = MAX_SHUFFLE_PARTITIONS
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
