@@ -165,3 +165,51 @@ def spans(offsets: np.ndarray, most: int):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+
+
+class WordCache(dict):
+    """Bounded worker cache of two generations.  A word in neither is noted in
+    ``late`` and read as ``blank`` until the caller has filled it in."""
+
+    def __init__(self, most: int, longest: int, blank, fixed: dict | None = None):
+        super().__init__(fixed or {})
+        self.half, self.longest, self.blank, self.fixed = most // 2, longest, blank, fixed or {}
+        self.older: dict = {}
+        self.late: list = []
+
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            self.late.append(word)
+            return self.blank
+        self[word] = value
+        return value
+
+    def turn(self, long_words: list) -> None:
+        """Between batches: forget over-long words, and the older generation
+        when the younger one is full."""
+        for word in long_words:
+            self.pop(word, None)
+        if len(self) - len(self.fixed) > self.half:
+            self.older = {k: v for k, v in self.items()}
+            self.clear()
+            self.update(self.fixed)
+
+    def totals(self, items: list, join, fill) -> list:
+        """``join(map(lookup, words))`` of every word list; ``fill`` gives the
+        values of the words that are new to the batch, in one call."""
+        get = self.__getitem__
+        out, again = [], []
+        for at, words in enumerate(items):
+            before = len(self.late)
+            out.append(join(map(get, words)))
+            if len(self.late) > before:
+                again.append(at)
+        if again:
+            new = list(set(self.late))
+            self.late.clear()
+            self.update(zip(new, fill(new)))
+            for at in again:
+                out[at] = join(map(get, items[at]))
+            self.turn([w for w in new if len(w) > self.longest])
+        return out
