@@ -53,15 +53,12 @@ class Model:
         lone = "".join(c for c in "\n\t\r" if not any(c in p for p in long_pieces))
         # a word is a run of marks and what follows; line ends that are in no piece stand alone,
         # and letters and signs part where no piece holds both
-        self.led = "\n" if by_word and "\n" in lone else ""
         joint = {c for p in long_pieces for pair in re.findall(rf"(?=(\w[^\w{MARK}]|[^\w{MARK}]\w))", p)
                  for c in pair if re.match(r"\w", c)}
         join = "".join(map(re.escape, sorted(joint)))          # letters that pieces hold next to signs
         letter, sign = rf"[^\W{join}]", rf"[^\w{MARK}{lone}]"
         body = (rf"(?:{letter}+(?![\w])|{sign}+(?!{sign}|[{join or MARK}])|[^{MARK}{lone}]+)")
         self.led = "\n" if by_word and "\n" in lone else ""
-        mixed = re.compile(rf"\w[^\w{MARK}]|[^\w{MARK}]\w").search
-        body = rf"(?:\w+|[^\w{MARK}{lone}]+)" if not any(map(mixed, long_pieces)) else f"[^{MARK}{lone}]+"
         self.words = re.compile(f"{MARK}*{body}|{MARK}+" + (f"|[{lone}]" if lone else "")
                                 if by_word else r"(?s).+")
 

@@ -16,6 +16,39 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def _tokenizer(name: str) -> str:
+    """Path of a public vocabulary file (installed alike on every machine)."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal normalised texts; the largest id stays."""
+    from dupstream.llm.exact import exact_groups
+    return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    from dupstream.llm.pieces import encode_decode
+    out = encode_decode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+TOKEN_LIMIT = 1024
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document."""
+    from dupstream.llm.token_counts import token_counts
+    out = token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 REGISTRY = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_token_counts": op10_token_counts,
 }

@@ -21,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -109,14 +110,16 @@ def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE, most: int
     return dict(zip(pieces, splitter(path).lengths(pieces))) if pieces else {}
 
 
-_CACHES: dict[tuple, C.WordCache] = {}
+_CACHES: dict[str, C.WordCache] = {}
 
 
 def _counter(path: str, table, slice_rows: int = 512):
+    key = uuid.uuid4().hex
+
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
-        s, key = splitter(path), (path, table.id)
+        s = splitter(path)
         if key not in _CACHES:                       # kept while Spark reuses the worker
             _CACHES.clear()
             _CACHES[key] = C.WordCache(CACHE, LONGEST, 0, table.value)
