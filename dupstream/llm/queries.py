@@ -16,6 +16,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
+    from dupstream.llm.jaccard import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _tokenizer(name: str) -> str:
     """Path of a public vocabulary file (installed alike on every machine)."""
     import public_tokenizers
@@ -48,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
