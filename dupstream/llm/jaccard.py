@@ -320,7 +320,9 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
         links = links.unionAll(found)
         labels = components(links)
         if turn < star_rounds:
-            listed = _across(postings if turn == 0 else listed, labels)
+            listed = _across(listed, labels)
+            if not listed.limit(1).count():
+                break
     return (own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
