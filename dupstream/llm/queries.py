@@ -22,6 +22,24 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# The rules of the URL query (verdict, host, start of the path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    from dupstream.llm.urls import filter_urls
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its validated personal numbers, dates and addresses
+    replaced by linked pseudonyms."""
+    from dupstream.llm.private import pseudonymise
+    return pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def _tokenizer(name: str) -> str:
     """Path of a public vocabulary file (installed alike on every machine)."""
     import public_tokenizers
@@ -55,6 +73,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_url_filter": op4_url_filter,
+    "op5_pseudonyms": op5_pseudonyms,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
