@@ -1,24 +1,24 @@
 """N-gram Jaccard self-join by multiple-global-order filtering.
 
 A document's set holds the hashes of its distinct ``n``-word shingles (A-Z folded).
-Under any global order of the shingles, two sets with Jaccard similarity ``t`` or
-more share a shingle among the first ``size - ceil(t * size) + 1`` of each.  Every
-order used here puts frequent shingles last (classes from one lossy count over all
-documents, at most ``HEAVY`` shingles) and differs in the hash that ranks the rest.
-
-1. Prefixes under the first order are exchanged as packed arrays; what stays are
-   the shingles that two documents share (*postings*).  Frequent shingles are known
-   to be shared and are passed on without being gathered.
-2. *Stars.*  In each posting list every document is paired with one chosen member;
-   at most ``PARTNERS`` pairs per document and round are tested, so a group of near
-   copies costs links in proportion to its size.  Tested links give components; later
-   rounds look only at shingles that still join different components and draw other
-   members.
-3. *The rest, exactly.*  For shingles that still join different components all
-   pairs across components are candidates.
-Candidate pairs must also share a prefix shingle under every further order; only
-then are the two whole sets fetched and compared exactly.  Links inside a component
-change nothing, so components are those of the full join.
+Under any global order of the shingles, two sets ``x`` and ``y`` of Jaccard similarity
+``t`` or more share at least ``l`` shingles among the first ``|x| - ceil(t |x|) + l``
+and ``|y| - ceil(t |y|) + l`` of each.  Every order used here puts frequent shingles
+last (classes from one lossy count over all documents, at most ``HEAVY`` shingles) and
+differs in the hash that ranks the rest.
+
+1. Prefixes under the first order are exchanged as packed arrays; what stays are the
+   shingles that two documents share.  Packed once more by document, they show which
+   documents share at least ``l`` with others at all; only those stay candidates.
+   Frequent shingles are known to be shared and are never gathered by shingle.
+2. *Stars.*  Documents that have the same first shingle under one of ``STARS`` orders
+   are each paired with one chosen document of theirs, at most ``PARTNERS`` pairs a
+   document, and compared whole.  A group of near copies thus costs links in
+   proportion to its size.  The links give components.
+3. *The rest, exactly.*  For shingles that still join different components all pairs
+   across components become candidates.  They must also share ``l`` prefix shingles
+   under every further order; the whole sets are fetched for what is left.
+Links inside a component change nothing, so components are those of the full join.
 
 Defined results: null or blank texts have an empty set and link with nothing; texts
 of fewer than ``n`` words have their whole sequence as one shingle; rows with a null
@@ -30,7 +30,7 @@ result; further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dupstream.llm import common as C
@@ -38,17 +38,27 @@ from dupstream.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
-ORDERS = 3                    # global orders: one finds candidates, the others filter them
+ORDERS = 3                    # global orders: the first finds candidates, the others filter them
+STARS = 4                     # orders whose first shingle draws the star pairs
 HEAVY = 1 << 18               # frequent shingles with an own place in the orders: 2.25 MB broadcast
-PARTNERS = 3
-STAR_ROUNDS = 4
+PARTNERS = 2
+WIDE, NARROW = 15, 5          # percent of a set's size that prefixes are longer than the shortest possible
 CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
-_SEEDS = np.random.default_rng(75).integers(1, 1 << 63, 8, dtype=np.uint64)
+SMALL_IDS = 4_000_000         # candidate ids up to this many (32 MB) are broadcast, more are joined by shuffle
+LOST = 2                      # distinct shingles of one set that may share 32 bits
+_SEEDS = np.random.default_rng(75).integers(1, 1 << 63, 16, dtype=np.uint64)
 
 
-def prefix_length(size: int, percent: int = PERCENT) -> int:
-    return size + (-percent * size // 100) + 1 if size else 0
+def prefix_length(size: int, percent: int = PERCENT, share: int = 0) -> int:
+    """Shortest prefix in which similar sets share one shingle; with ``share`` in
+    percent, the prefix in which they share ``least_shared``."""
+    return size + (-percent * size // 100) + 1 + size * share // 100 if size else 0
+
+
+def least_shared(size, share: int):
+    """Shingles that two sets, the smaller of ``size``, share in such prefixes."""
+    return 1 + size * share // 100
 
 
 def _sets(column, n: int):
@@ -122,92 +132,161 @@ def heavy_shingles(docs: DataFrame, n: int, most: int = HEAVY) -> Order:
     return Order(tokens[order], classes[order])
 
 
-POSTING, DOCUMENT, COPY = 0, 1, 2
+PACKED, DOCUMENT, COPY, STAR = 0, 1, 2, 3
+ROWS = "kind int, token long, doc long, n int, shard int, tokens binary, docs binary, sizes binary, first binary"
+
+
+def _pack_rows(key: int, kind: int, tokens, docs, sizes, first, narrow: bool):
+    """One exchange row; a token shard's tokens agree in bits of their own and 32
+    more tell them apart (a false match is only a candidate)."""
+    return {"shard": key, "kind": kind, "n": len(tokens), "tokens": (tokens.astype(np.uint32) if narrow else tokens).tobytes(),
+            "docs": C.pack(docs), "sizes": C.pack(sizes), "first": np.packbits(first).tobytes()}
+
+
+def _batch(rows, columns):
+    import pyarrow as pa
+    kinds = {"tokens": pa.binary(), "docs": pa.binary(), "sizes": pa.binary(), "first": pa.binary(),
+             "token": pa.int64(), "doc": pa.int64()}
+    return {c: pa.array([r.get(c) for r in rows], kinds.get(c, pa.int32())) for c in columns}
+
+
+def _by(keys: np.ndarray, shards: int):
+    """Order by shard, and (shard, from, to) of each shard that has any."""
+    shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    return order, [(k, x, y) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if x < y]
+
+
+EXCHANGE = ("shard", "kind", "n", "tokens", "docs", "sizes", "first")
 
 
 def _prefixes(orders, n: int, percent: int, shards: int):
     """Packed first-order prefixes by shard, and what needs no exchange partner:
-    postings of frequent shingles, set sizes, equal sets of a chunk."""
+    postings of frequent shingles, set sizes, equal sets of a chunk, first shingles
+    under the star orders."""
     def run(batches):
         import pyarrow as pa
         order = orders.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
             seen: dict[int, tuple] = {}
-            tokens, docs, sizes, heavy = [], [], [], []
-            own = {"doc": [], "n": [], "copy": [], "of": []}
-            size = 0
-            for doc, tokens_of in zip(ids.tolist(), _sets(batch.column("text"), n)):
-                own["doc"].append(doc)
-                own["n"].append(len(tokens_of))
-                if not len(tokens_of):
+            held = _Held()
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), _sets(batch.column("text"), n)):
+                held.own.append((doc, len(tokens)))
+                if not len(tokens):
                     continue
-                whole = tokens_of.tobytes()
+                whole = tokens.tobytes()
                 first = seen.setdefault(hash(whole), (doc, whole))
                 if first[0] != doc and first[1] == whole:
-                    own["copy"].append(doc)
-                    own["of"].append(first[0])
+                    held.copies.append((first[0], doc))
                     continue
-                classes = order.of(tokens_of)
-                take = order.prefix(tokens_of, classes, 0, prefix_length(len(tokens_of), percent))
-                tokens.append(tokens_of[take])
-                heavy.append(classes[take] > 0)
-                docs.append(np.full(len(take), doc))
-                sizes.append(np.full(len(take), len(tokens_of), np.int32))
-                size += len(take)
-                if size > 2_000_000:
-                    yield _packed(pa, own, tokens, docs, sizes, heavy)
-                    own = {k: [] for k in own}
-                    tokens, docs, sizes, heavy, size = [], [], [], [], 0
-            yield _packed(pa, own, tokens, docs, sizes, heavy)
-
-    def _packed(pa, own, tokens, docs, sizes, heavy):
-        spread = own["doc"][0] % shards if own["doc"] else 0
-        rows = []
-        if own["doc"]:
-            rows.append((shards + spread, DOCUMENT, np.zeros(len(own["doc"]), np.uint64), own["doc"], own["n"]))
-        if own["copy"]:
-            rows.append((shards + spread, COPY, np.asarray(own["of"], np.int64).view(np.uint64), own["copy"],
-                         np.zeros(len(own["copy"]))))
-        if tokens:
-            t, d, s, h = (np.concatenate(x) for x in (tokens, docs, sizes, heavy))
+                classes = order.of(tokens)
+                length = prefix_length(len(tokens), percent)
+                take = order.prefix(tokens, classes, 0, prefix_length(len(tokens), percent, WIDE))
+                held.tokens.append(tokens[take])
+                held.heavy.append(classes[take] > 0)
+                held.first.append(np.arange(len(take)) < length)
+                held.docs.append(np.full(len(take), doc))
+                held.sizes.append(np.full(len(take), len(tokens), np.int32))
+                for k in range(STARS):
+                    place = (classes << np.uint64(56)) | (C.mix(tokens ^ _SEEDS[8 + k]) >> np.uint64(8))
+                    held.stars.append((int(tokens[np.argmin(place)]) ^ int(_SEEDS[8 + k]), doc, len(tokens)))
+                held.size += len(take)
+                if held.size > 2_000_000:
+                    yield pa.RecordBatch.from_pydict(_batch(held.rows(shards), EXCHANGE))
+                    held = _Held()
+            yield pa.RecordBatch.from_pydict(_batch(held.rows(shards), EXCHANGE))
+    return run
+
+
+class _Held:
+    """What a chunk of documents gives out."""
+
+    def __init__(self):
+        self.own, self.copies, self.stars = [], [], []
+        self.tokens, self.heavy, self.first, self.docs, self.sizes, self.size = [], [], [], [], [], 0
+
+    def rows(self, shards: int) -> list[dict]:
+        if not self.own:
+            return []
+        spread = shards + self.own[0][0] % shards          # passed on as it is by one of as many further keys
+        none = np.zeros(0, bool)
+        docs, sizes = (np.array(x, t) for x, t in zip(zip(*self.own), (np.int64, np.int32)))
+        out = [_pack_rows(spread, DOCUMENT, np.zeros(len(docs), np.uint64), docs, sizes, none, False)]
+        if self.copies:
+            of, docs = (np.array(x, np.int64) for x in zip(*self.copies))
+            out.append(_pack_rows(spread, COPY, of.view(np.uint64), docs, np.zeros(len(docs), np.int32), none, False))
+        if self.stars:
+            t, d, s = zip(*self.stars)
+            out.append(_pack_rows(spread, STAR, np.array(t, np.uint64), np.array(d, np.int64), np.array(s, np.int32), none, False))
+        if self.tokens:
+            t, d, s, h, f = (np.concatenate(x) for x in (self.tokens, self.docs, self.sizes, self.heavy, self.first))
             if h.any():
-                rows.append((shards + spread, POSTING, t[h], d[h], s[h]))
-            t, d, s = t[~h], d[~h], s[~h]
-            shard = ((t >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
-            by = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[by], np.arange(shards + 1))
-            rows += [(k, POSTING, t[by[a:b]], d[by[a:b]], s[by[a:b]])
-                     for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
-        return pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-            pa.array([len(r[2]) for r in rows], pa.int32()),
-            # a shard's tokens agree in bits of their own, 32 more tell them apart; a false match is only a candidate
-            pa.array([(r[2].astype(np.uint32) if r[0] < shards else r[2]).tobytes() for r in rows], pa.binary()),
-            pa.array([C.pack(np.asarray(r[3], np.int64)) for r in rows], pa.binary()),
-            pa.array([C.pack(np.asarray(r[4], np.int32)) for r in rows], pa.binary())],
-            names=["shard", "kind", "n", "tokens", "docs", "sizes"])
+                out.append(_pack_rows(spread, PACKED, t[h], d[h], s[h], f[h], False))
+            t, d, s, f = t[~h], d[~h], s[~h], f[~h]
+            by, parts = _by(t, shards)
+            t, d, s, f = t[by], d[by], s[by], f[by]
+            out += [_pack_rows(k, PACKED, t[x:y], d[x:y], s[x:y], f[x:y], True) for k, x, y in parts]
+        return out
+
+
+def _unpack(table, narrow: bool):
+    """Tokens, documents, sizes and first-part flags of exchange rows, joined."""
+    ns = table.column("n").to_pylist()
+    def join(parts, dtype): return np.concatenate([np.zeros(0, dtype), *parts])
+    tokens = join([np.frombuffer(b, np.uint32 if narrow else np.uint64).astype(np.uint64)
+                   for b in table.column("tokens").to_pylist()], np.uint64)
+    docs = join([C.unpack(b, k, np.int64) for b, k in zip(table.column("docs").to_pylist(), ns)], np.int64)
+    sizes = join([C.unpack(b, k, np.int32) for b, k in zip(table.column("sizes").to_pylist(), ns)], np.int32)
+    first = join([np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool) if b else np.zeros(k, bool)
+                  for b, k in zip(table.column("first").to_pylist(), ns)], bool)
+    return tokens, docs, sizes, first
+
+
+def _shared(shards: int):
+    """Of a token shard, the postings of shingles that two documents have, packed
+    by document shard; other kinds as plain rows."""
+    def run(key, table):
+        import pyarrow as pa
+        shard = key[0].as_py()
+        kinds = table.column("kind").to_numpy()
+        out = []
+        packed = table.filter(pa.array(kinds == PACKED))
+        if packed.num_rows:
+            tokens, docs, sizes, first = _unpack(packed, shard < shards)
+            if shard < shards:
+                order = np.argsort(tokens, kind="stable")
+                same = tokens[order][1:] == tokens[order][:-1]
+                keep = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+                tokens, docs, sizes, first = tokens[keep], docs[keep], sizes[keep], first[keep]
+                tokens = C.mix(tokens ^ (np.uint64(shard + 1) << np.uint64(32)))
+            by, parts = _by(C.mix(docs.view(np.uint64)), shards)
+            tokens, docs, sizes, first = tokens[by], docs[by], sizes[by], first[by]
+            out = [_pack_rows(k, PACKED, tokens[x:y], docs[x:y], sizes[x:y], first[x:y], False) for k, x, y in parts]
+        tables = [pa.table(_batch(out, ("kind", "token", "doc", "n", "shard", "tokens", "docs", "sizes", "first")))]
+        for kind in (DOCUMENT, COPY, STAR):
+            rows = table.filter(pa.array(kinds == kind))
+            if rows.num_rows:
+                tokens, docs, sizes, _ = _unpack(rows, False)
+                none = pa.nulls(len(docs), pa.binary())
+                tables.append(pa.table([pa.array(np.full(len(docs), kind, np.int32)), pa.array(tokens.view(np.int64)),
+                                        pa.array(docs), pa.array(sizes), pa.array(np.zeros(len(docs), np.int32)),
+                                        none, none, none, none], names=tables[0].schema.names))
+        return pa.concat_tables(tables)
     return run
 
 
-def _postings(shards: int):
+def _candidates(percent: int):
+    """Of a document shard, first-part postings of the documents that share enough
+    with others to have a similar set at all."""
     def run(key, table):
         import pyarrow as pa
-        shard, ns = key[0].as_py(), table.column("n").to_pylist()
-        docs = np.concatenate([C.unpack(b, k, np.int64) for b, k in zip(table.column("docs").to_pylist(), ns)])
-        sizes = np.concatenate([C.unpack(b, k, np.int32) for b, k in zip(table.column("sizes").to_pylist(), ns)])
-        width = np.uint32 if shard < shards else np.uint64
-        tokens = np.concatenate([np.frombuffer(b, width) for b in table.column("tokens").to_pylist()]).astype(np.uint64)
-        kinds = np.repeat(table.column("kind").to_numpy(), ns)
-        if shard < shards:
-            order = np.argsort(tokens, kind="stable")
-            t = tokens[order]
-            same = t[1:] == t[:-1]
-            keep = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            tokens, docs, sizes, kinds = tokens[keep], docs[keep], sizes[keep], kinds[keep]
-            tokens = C.mix(tokens ^ (np.uint64(shard + 1) << np.uint64(32)))
-        return pa.table({"kind": pa.array(kinds.astype(np.int32)), "token": pa.array(tokens.view(np.int64)),
-                         "doc": pa.array(docs), "n": pa.array(sizes)})
+        tokens, docs, sizes, first = _unpack(table, False)
+        _, place, counts = np.unique(docs, return_inverse=True, return_counts=True)
+        smallest = -(-sizes.astype(np.int64) * percent // 100)
+        keep = first & (counts[place] >= least_shared(smallest, WIDE))
+        return pa.table({"token": pa.array(tokens[keep].view(np.int64)), "doc": pa.array(docs[keep]),
+                         "n": pa.array(sizes[keep])})
     return run
 
 
@@ -221,10 +300,10 @@ def _whole_sets(orders, n: int, percent: int):
             ids, out = batch.column("doc_id").to_pylist(), []
             for doc, tokens in zip(ids, _sets(batch.column("text"), n)):
                 if len(tokens):
-                    classes, length = order.of(tokens), prefix_length(len(tokens), percent)
-                    out.append((doc, tokens.tobytes(), [
-                        np.sort(tokens[order.prefix(tokens, classes, k, length)].astype(np.uint32)).tobytes()
-                        for k in range(1, ORDERS)]))
+                    classes, length = order.of(tokens), prefix_length(len(tokens), percent, NARROW)
+                    out.append((doc, tokens.tobytes(), [np.unique(
+                        tokens[order.prefix(tokens, classes, k, length)].astype(np.uint32)).tobytes()
+                        for k in range(1, ORDERS)] + [np.int64(len(tokens)).tobytes()]))
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()),
                 pa.array([r[2] for r in out], pa.list_(pa.binary()))], names=["doc", "tokens", "prefixes"])
@@ -247,8 +326,12 @@ def _meet(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _share_prefixes(x, y) -> bool:
-    return all(_meet(np.unique(np.frombuffer(p, np.uint32)), np.unique(np.frombuffer(q, np.uint32)))
-               for p, q in zip(x, y))
+    *orders_x, size_x = x
+    *orders_y, size_y = y
+    # equal 32-bit values of different shingles can only add to the count
+    least = least_shared(min(int(np.frombuffer(size_x, np.int64)[0]), int(np.frombuffer(size_y, np.int64)[0])), NARROW)
+    return all(_meet(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least - LOST
+               for p, q in zip(orders_x, orders_y))
 
 
 def _similar(percent: int):
@@ -259,32 +342,30 @@ def _similar(percent: int):
     return test
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among candidate pairs: filtered by every further order, then compared
-    whole."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool) -> DataFrame:
+    """Links among candidate pairs: filtered by every further order if asked for,
+    then compared whole."""
     def with_sides(df, column):
         for side in ("a", "b"):
             df = df.join(sets.select(F.col("doc").alias(side), F.col(column).alias(f"x{side}")), side)
         return df.select("a", "b", "xa", "xb")
-    filtered = with_sides(pairs, "prefixes").mapInArrow(_kept_pairs(_share_prefixes), "a long, b long")
-    return with_sides(filtered, "tokens").mapInArrow(_kept_pairs(_similar(percent)), "a long, b long")
-
-
-def _star_pairs(postings: DataFrame, turn: int, percent: int, partners: int) -> DataFrame:
-    """At most ``partners`` pairs per document: with the first or last of its
-    posting lists, in an order drawn anew each turn, whichever is in another
-    component."""
-    spark = postings.sparkSession
-    drawn = F.xxhash64("doc", F.lit(turn)) if turn == 0 else F.xxhash64("doc", "token", F.lit(turn))
-    at = F.struct(F.xxhash64("component", F.lit(turn)), drawn, F.col("component"), F.col("doc"), F.col("n"))
-    ends = C.stored(spark, postings.groupBy("token").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
-                    .filter("lo.component != hi.component"), "ends")
-    other = F.when(F.col("component") == F.col("lo.component"), F.col("hi")).otherwise(F.col("lo"))
-    met = (postings.join(ends, "token").withColumn("other", other)
-           .filter(_sizes_fit(F.col("n"), F.col("other.n"), percent))
-           .groupBy("doc", F.col("other.doc").alias("partner")).agg(F.count(F.lit(1)).alias("shared")))
-    from pyspark.sql import Window
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("shared"), "partner"))
+    if filtered:
+        pairs = with_sides(pairs, "prefixes").mapInArrow(_kept_pairs(_share_prefixes), "a long, b long")
+    return with_sides(pairs, "tokens").mapInArrow(_kept_pairs(_similar(percent)), "a long, b long")
+
+
+def _star_pairs(stars: DataFrame, candidates: DataFrame, percent: int, partners: int) -> DataFrame:
+    """At most ``partners`` pairs per document, with the document that its star
+    groups draw, those first that more of them draw."""
+    spark = stars.sparkSession
+    stars = stars.join(candidates, "doc", "left_semi")
+    drawn = C.stored(spark, stars.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc"), "doc", "n")).alias("to"),
+                                                       F.count(F.lit(1)).alias("members"))
+                     .filter("members > 1").select("token", "to"), "drawn")
+    met = (stars.join(drawn, "token").filter(F.col("doc") != F.col("to.doc"))
+           .filter(_sizes_fit(F.col("n"), F.col("to.n"), percent))
+           .groupBy("doc", F.col("to.doc").alias("partner")).agg(F.count(F.lit(1)).alias("orders")))
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("orders"), "partner"))
     return (met.withColumn("rank", rank).filter(F.col("rank") <= partners)
             .select(F.least("doc", "partner").alias("a"), F.greatest("doc", "partner").alias("b")).distinct())
 
@@ -293,8 +374,8 @@ def _sizes_fit(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
-                    heavy: int = HEAVY, partners: int = PARTNERS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, heavy: int = HEAVY,
+                    partners: int = PARTNERS, small_ids: int = SMALL_IDS) -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id
     reachable over links of similarity ``percent`` / 100 or more)."""
     spark = docs.sparkSession
@@ -303,38 +384,38 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT,
     # at most ``heavy`` shingles of 9 bytes
     orders = spark.sparkContext.broadcast(heavy_shingles(rows, n, heavy))
     table = C.stored(spark, rows.mapInArrow(
-        _prefixes(orders, n, percent, shards), "shard int, kind int, n int, tokens binary, docs binary, sizes binary")
-        .groupBy("shard").applyInArrow(_postings(shards), "kind int, token long, doc long, n int"), "postings")
-    own = table.filter(F.col("kind") == DOCUMENT).select(F.col("doc").alias("doc_id"),
-                                                         F.col("n").cast("long").alias("n_shingles"))
-    links = table.filter(F.col("kind") == COPY).select(F.col("token").alias("a"), F.col("doc").alias("b"))
-    postings = table.filter(F.col("kind") == POSTING).select("token", "doc", "n")
-    candidates = postings.select(F.col("doc").alias("doc_id")).distinct()
-    sets = C.stored(spark, rows.join(candidates, "doc_id", "left_semi").mapInArrow(
-        _whole_sets(orders, n, percent), "doc long, tokens binary, prefixes array<binary>"), "sets")
-    listed, labels = postings.withColumn("component", F.col("doc")), None
-    for turn in range(star_rounds + 1):
-        pairs = (_star_pairs(listed, turn, percent, partners) if turn < star_rounds
-                 else _all_pairs(listed, percent))
-        found = C.stored(spark, _verified(pairs, sets, percent), "found")
-        links = links.unionAll(found)
-        labels = components(links)
-        if turn < star_rounds:
-            listed = _across(listed, labels)
-            if not listed.limit(1).count():
-                break
-    return (own.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        _prefixes(orders, n, percent, shards),
+        "shard int, kind int, n int, tokens binary, docs binary, sizes binary, first binary")
+        .groupBy("shard").applyInArrow(_shared(shards), ROWS), "shared")
+    own, copies, stars = (table.filter(F.col("kind") == k).select("token", "doc", "n") for k in (DOCUMENT, COPY, STAR))
+    postings = C.stored(spark, table.filter(F.col("kind") == PACKED)
+                        .select("shard", "n", "tokens", "docs", "sizes", "first").groupBy("shard")
+                        .applyInArrow(_candidates(percent), "token long, doc long, n int"), "postings")
+    candidates = C.stored(spark, postings.select("doc").distinct(), "candidates")
+    ids = candidates.withColumnRenamed("doc", "doc_id")
+    sets = C.stored(spark, rows.join(F.broadcast(ids) if candidates.count() <= small_ids else ids, "doc_id", "left_semi")
+                    .mapInArrow(_whole_sets(orders, n, percent), "doc long, tokens binary, prefixes array<binary>"), "sets")
+    links = copies.select(F.col("token").alias("a"), F.col("doc").alias("b"))
+    links = links.unionAll(C.stored(spark, _verified(
+        _star_pairs(stars, candidates, percent, partners), sets, percent, False), "found"))
+    labels = components(links)
+    pairs = C.stored(spark, _all_pairs(_across(postings, labels), percent), "pairs")
+    found = C.stored(spark, _verified(pairs, sets, percent, True), "found")
+    if found.limit(1).count():
+        labels = components(links.unionAll(found))
+    return (own.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
+            .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
 def _across(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of shingles that still join different components."""
     spark = postings.sparkSession
-    now = (postings.select("token", "doc", "n").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-           .withColumn("component", F.coalesce("component", "doc")))
+    now = C.stored(spark, postings.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+                   .select("token", "doc", "n", F.coalesce("component", "doc").alias("component")), "listed")
     mixed = C.stored(spark, now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                      .filter("lo != hi").select("token"), "mixed")
-    return C.stored(spark, now.join(mixed, "token", "left_semi").select("token", "doc", "n", "component"), "listed")
+    return now.join(mixed, "token", "left_semi")
 
 
 def _all_pairs(listed: DataFrame, percent: int) -> DataFrame:
