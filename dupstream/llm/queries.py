@@ -22,6 +22,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling probability and draw of every document."""
+    from dupstream.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
+
+
 # The rules of the URL query (verdict, host, start of the path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -46,6 +52,18 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and selection of every document."""
+    from dupstream.llm.quality import grade, graded_labels
+    return grade(table(spark, sf_dir, "documents"), graded_labels(table(spark, sf_dir, "labels")))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every query vector."""
+    from dupstream.llm.nearest import nearest
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal normalised texts; the largest id stays."""
     from dupstream.llm.exact import exact_groups
@@ -73,9 +91,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
     "op5_pseudonyms": op5_pseudonyms,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_nearest": op8_nearest,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
