@@ -11,13 +11,14 @@ differs in the hash that ranks the rest.
    shingles that two documents share.  Packed once more by document, they show which
    documents share at least ``l`` with others at all; only those stay candidates.
    Frequent shingles are known to be shared and are never gathered by shingle.
-2. *Stars.*  Documents that have the same first shingle under one of ``STARS`` orders
-   are each paired with one chosen document of theirs, at most ``PARTNERS`` pairs a
-   document, and compared whole.  A group of near copies thus costs links in
-   proportion to its size.  The links give components.
-3. *The rest, exactly.*  For shingles that still join different components all pairs
-   across components become candidates.  They must also share ``l`` prefix shingles
-   under every further order; the whole sets are fetched for what is left.
+2. *Stars.*  Candidates that have the same first shingle under one of ``STARS`` orders
+   meet; each is paired with a drawn member in another component, at most ``PARTNERS``
+   pairs a document and round, pairs that agree under half of the orders first, and
+   compared whole.  A group of near copies thus costs links in proportion to its size.
+   The links give components; a few rounds draw anew.
+3. *The rest, exactly.*  For prefix shingles that still join different components all
+   pairs across components become candidates.  They must also share ``l`` prefix
+   shingles under every further order; the whole sets are fetched for what is left.
 Links inside a component change nothing, so components are those of the full join.
 
 Defined results: null or blank texts have an empty set and link with nothing; texts
@@ -39,15 +40,16 @@ from dupstream.llm.components import components
 SHINGLE = 5
 PERCENT = 75
 ORDERS = 3                    # global orders: the first finds candidates, the others filter them
-STARS = 4                     # orders whose first shingle draws the star pairs
+STARS = 12                    # orders whose first shingle draws the star pairs
+STAR_ROUNDS = 2
 HEAVY = 1 << 18               # frequent shingles with an own place in the orders: 2.25 MB broadcast
 PARTNERS = 2
-WIDE, NARROW = 15, 5          # percent of a set's size that prefixes are longer than the shortest possible
+WIDE, NARROW = 15, 2          # percent of a set's size that prefixes are longer than the shortest possible
 CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 64 << 20
 SMALL_IDS = 4_000_000         # candidate ids up to this many (32 MB) are broadcast, more are joined by shuffle
 LOST = 2                      # distinct shingles of one set that may share 32 bits
-_SEEDS = np.random.default_rng(75).integers(1, 1 << 63, 16, dtype=np.uint64)
+_SEEDS = np.random.default_rng(75).integers(1, 1 << 63, 8 + STARS, dtype=np.uint64)
 
 
 def prefix_length(size: int, percent: int = PERCENT, share: int = 0) -> int:
@@ -132,7 +134,7 @@ def heavy_shingles(docs: DataFrame, n: int, most: int = HEAVY) -> Order:
     return Order(tokens[order], classes[order])
 
 
-PACKED, DOCUMENT, COPY, STAR = 0, 1, 2, 3
+PACKED, DOCUMENT, COPY = 0, 1, 2
 ROWS = "kind int, token long, doc long, n int, shard int, tokens binary, docs binary, sizes binary, first binary"
 
 
@@ -163,8 +165,7 @@ EXCHANGE = ("shard", "kind", "n", "tokens", "docs", "sizes", "first")
 
 def _prefixes(orders, n: int, percent: int, shards: int):
     """Packed first-order prefixes by shard, and what needs no exchange partner:
-    postings of frequent shingles, set sizes, equal sets of a chunk, first shingles
-    under the star orders."""
+    postings of frequent shingles, set sizes, equal sets of a chunk."""
     def run(batches):
         import pyarrow as pa
         order = orders.value
@@ -188,11 +189,8 @@ def _prefixes(orders, n: int, percent: int, shards: int):
                 held.first.append(np.arange(len(take)) < length)
                 held.docs.append(np.full(len(take), doc))
                 held.sizes.append(np.full(len(take), len(tokens), np.int32))
-                for k in range(STARS):
-                    place = (classes << np.uint64(56)) | (C.mix(tokens ^ _SEEDS[8 + k]) >> np.uint64(8))
-                    held.stars.append((int(tokens[np.argmin(place)]) ^ int(_SEEDS[8 + k]), doc, len(tokens)))
                 held.size += len(take)
-                if held.size > 2_000_000:
+                if held.size > 1_000_000:
                     yield pa.RecordBatch.from_pydict(_batch(held.rows(shards), EXCHANGE))
                     held = _Held()
             yield pa.RecordBatch.from_pydict(_batch(held.rows(shards), EXCHANGE))
@@ -203,7 +201,7 @@ class _Held:
     """What a chunk of documents gives out."""
 
     def __init__(self):
-        self.own, self.copies, self.stars = [], [], []
+        self.own, self.copies = [], []
         self.tokens, self.heavy, self.first, self.docs, self.sizes, self.size = [], [], [], [], [], 0
 
     def rows(self, shards: int) -> list[dict]:
@@ -216,9 +214,6 @@ class _Held:
         if self.copies:
             of, docs = (np.array(x, np.int64) for x in zip(*self.copies))
             out.append(_pack_rows(spread, COPY, of.view(np.uint64), docs, np.zeros(len(docs), np.int32), none, False))
-        if self.stars:
-            t, d, s = zip(*self.stars)
-            out.append(_pack_rows(spread, STAR, np.array(t, np.uint64), np.array(d, np.int64), np.array(s, np.int32), none, False))
         if self.tokens:
             t, d, s, h, f = (np.concatenate(x) for x in (self.tokens, self.docs, self.sizes, self.heavy, self.first))
             if h.any():
@@ -264,7 +259,7 @@ def _shared(shards: int):
             tokens, docs, sizes, first = tokens[by], docs[by], sizes[by], first[by]
             out = [_pack_rows(k, PACKED, tokens[x:y], docs[x:y], sizes[x:y], first[x:y], False) for k, x, y in parts]
         tables = [pa.table(_batch(out, ("kind", "token", "doc", "n", "shard", "tokens", "docs", "sizes", "first")))]
-        for kind in (DOCUMENT, COPY, STAR):
+        for kind in (DOCUMENT, COPY):
             rows = table.filter(pa.array(kinds == kind))
             if rows.num_rows:
                 tokens, docs, sizes, _ = _unpack(rows, False)
@@ -290,32 +285,42 @@ def _candidates(percent: int):
     return run
 
 
+SETS = "doc long, n int, tokens binary, prefixes array<binary>, stars array<long>"
+
+
 def _whole_sets(orders, n: int, percent: int):
     """Whole sets of candidate documents, with their prefixes under the filtering
-    orders."""
+    orders and their first shingles under the star orders."""
     def run(batches):
         import pyarrow as pa
         order = orders.value
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), []
             for doc, tokens in zip(ids, _sets(batch.column("text"), n)):
-                if len(tokens):
-                    classes, length = order.of(tokens), prefix_length(len(tokens), percent, NARROW)
-                    out.append((doc, tokens.tobytes(), [np.unique(
-                        tokens[order.prefix(tokens, classes, k, length)].astype(np.uint32)).tobytes()
-                        for k in range(1, ORDERS)] + [np.int64(len(tokens)).tobytes()]))
+                if not len(tokens):
+                    continue
+                classes, length = order.of(tokens), prefix_length(len(tokens), percent, NARROW)
+                prefixes = [np.unique(tokens[order.prefix(tokens, classes, k, length)].astype(np.uint32)).tobytes()
+                            for k in range(1, ORDERS)]
+                # plain hash orders: near copies agree in the first shingle as often as they agree at all
+                heads = [tokens[np.argmin(C.mix(tokens ^ _SEEDS[8 + k]))] for k in range(STARS)]
+                out.append((doc, len(tokens), tokens.tobytes(), prefixes, np.array(heads).view(np.int64)))
+            columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()),
-                pa.array([r[2] for r in out], pa.list_(pa.binary()))], names=["doc", "tokens", "prefixes"])
+                pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()),
+                pa.array(columns[3], pa.list_(pa.binary())), pa.array(columns[4], pa.list_(pa.int64()))],
+                names=["doc", "n", "tokens", "prefixes", "stars"])
     return run
 
 
 def _kept_pairs(test):
-    """Pairs (a, b) whose two sides pass ``test``."""
+    """Pairs (a, b) whose two sides pass ``test``; the sides are read in place."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            keep = [test(x, y) for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())]
+            xa, xb = batch.column("xa"), batch.column("xb")
+            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())
+            keep = [test(xa[i], xb[i], *n) for i, n in enumerate(sizes)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
@@ -325,47 +330,61 @@ def _meet(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _share_prefixes(x, y) -> bool:
-    *orders_x, size_x = x
-    *orders_y, size_y = y
-    # equal 32-bit values of different shingles can only add to the count
-    least = least_shared(min(int(np.frombuffer(size_x, np.int64)[0]), int(np.frombuffer(size_y, np.int64)[0])), NARROW)
-    return all(_meet(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least - LOST
-               for p, q in zip(orders_x, orders_y))
+def _share_prefixes(x, y, n_x: int, n_y: int) -> bool:
+    # equal 32-bit values of different shingles can only add to the count, but for those lost within one set
+    least = least_shared(min(n_x, n_y), NARROW) - LOST
+    return all(_meet(np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)) >= max(1, least)
+               for p, q in zip(x, y))
 
 
 def _similar(percent: int):
-    def test(x, y):
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        common = _meet(a, b)
-        return 100 * common >= percent * (len(a) + len(b) - common)
+    def test(x, y, n_x, n_y):
+        common = _meet(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+        return 100 * common >= percent * (n_x + n_y - common)
     return test
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool) -> DataFrame:
-    """Links among candidate pairs: filtered by every further order if asked for,
-    then compared whole."""
-    def with_sides(df, column):
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool, small_ids: int) -> DataFrame:
+    """Links among stored candidate pairs: filtered by every further order if asked
+    for, then compared whole.  Only sets that some pair needs are moved."""
+    spark = pairs.sparkSession
+
+    def with_sides(pairs, column):
+        needed = C.stored(spark, pairs.select(F.col("a").alias("doc"))
+                          .unionAll(pairs.select("b")).distinct(), "needed")
+        moved = sets.select("doc", "n", column).join(
+            F.broadcast(needed) if needed.count() <= small_ids else needed, "doc", "left_semi")
         for side in ("a", "b"):
-            df = df.join(sets.select(F.col("doc").alias(side), F.col(column).alias(f"x{side}")), side)
-        return df.select("a", "b", "xa", "xb")
+            pairs = pairs.join(moved.select(F.col("doc").alias(side), F.col(column).alias(f"x{side}"),
+                                            F.col("n").alias(f"n{side}")), side)
+        return pairs.select("a", "b", "xa", "xb", "na", "nb")
     if filtered:
-        pairs = with_sides(pairs, "prefixes").mapInArrow(_kept_pairs(_share_prefixes), "a long, b long")
+        pairs = C.stored(spark, with_sides(pairs, "prefixes").mapInArrow(_kept_pairs(_share_prefixes), "a long, b long"),
+                         "filtered")
     return with_sides(pairs, "tokens").mapInArrow(_kept_pairs(_similar(percent)), "a long, b long")
 
 
-def _star_pairs(stars: DataFrame, candidates: DataFrame, percent: int, partners: int) -> DataFrame:
-    """At most ``partners`` pairs per document, with the document that its star
-    groups draw, those first that more of them draw."""
+def _star_pairs(stars: DataFrame, turn: int, percent: int, partners: int) -> DataFrame:
+    """At most ``partners`` pairs per document, each with the first or last member
+    of a star group, in an order drawn anew each turn, that is in another component.
+    Pairs agree under at least half of the star orders (a likely pair; what is left
+    out here is met again in the exact step)."""
     spark = stars.sparkSession
-    stars = stars.join(candidates, "doc", "left_semi")
-    drawn = C.stored(spark, stars.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc"), "doc", "n")).alias("to"),
-                                                       F.count(F.lit(1)).alias("members"))
-                     .filter("members > 1").select("token", "to"), "drawn")
-    met = (stars.join(drawn, "token").filter(F.col("doc") != F.col("to.doc"))
-           .filter(_sizes_fit(F.col("n"), F.col("to.n"), percent))
-           .groupBy("doc", F.col("to.doc").alias("partner")).agg(F.count(F.lit(1)).alias("orders")))
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("orders"), "partner"))
+    by_order = stars.select("doc", "n", "component", "stars", F.posexplode("stars").alias("k", "token"))
+    drawn = F.xxhash64("doc", F.lit(turn)) if turn == 0 else F.xxhash64("doc", "token", F.lit(turn))
+    at = F.struct(F.xxhash64("component", F.lit(turn)), drawn, F.col("component"), F.col("doc"), F.col("n"), F.col("stars"))
+    ends = C.stored(spark, by_order.groupBy("k", "token").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+                    .filter("lo.component != hi.component"), "ends")
+    pairs = by_order.join(ends, ["k", "token"])
+    met = None
+    for end in ("lo", "hi"):
+        one = pairs.filter(F.col(f"{end}.component") != F.col("component")).select(
+            "doc", "n", "stars", F.col(f"{end}.doc").alias("partner"), F.col(f"{end}.n").alias("m"), F.col(f"{end}.stars").alias("t"))
+        met = one if met is None else met.unionAll(one)
+    agreed = F.aggregate(F.zip_with("stars", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    met = (met.filter(_sizes_fit(F.col("n"), F.col("m"), percent)).withColumn("agreed", agreed)
+           .filter(F.col("agreed") * 2 >= STARS).select("doc", "partner", "agreed").distinct())
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("agreed"), "partner"))
     return (met.withColumn("rank", rank).filter(F.col("rank") <= partners)
             .select(F.least("doc", "partner").alias("a"), F.greatest("doc", "partner").alias("b")).distinct())
 
@@ -387,21 +406,27 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, h
         _prefixes(orders, n, percent, shards),
         "shard int, kind int, n int, tokens binary, docs binary, sizes binary, first binary")
         .groupBy("shard").applyInArrow(_shared(shards), ROWS), "shared")
-    own, copies, stars = (table.filter(F.col("kind") == k).select("token", "doc", "n") for k in (DOCUMENT, COPY, STAR))
+    own, copies = (table.filter(F.col("kind") == k).select("token", "doc", "n") for k in (DOCUMENT, COPY))
     postings = C.stored(spark, table.filter(F.col("kind") == PACKED)
                         .select("shard", "n", "tokens", "docs", "sizes", "first").groupBy("shard")
                         .applyInArrow(_candidates(percent), "token long, doc long, n int"), "postings")
-    candidates = C.stored(spark, postings.select("doc").distinct(), "candidates")
-    ids = candidates.withColumnRenamed("doc", "doc_id")
-    sets = C.stored(spark, rows.join(F.broadcast(ids) if candidates.count() <= small_ids else ids, "doc_id", "left_semi")
-                    .mapInArrow(_whole_sets(orders, n, percent), "doc long, tokens binary, prefixes array<binary>"), "sets")
+    candidates = C.stored(spark, postings.select(F.col("doc").alias("doc_id")).distinct(), "candidates")
+    few = candidates.count() <= small_ids
+    sets = C.stored(spark, rows.join(F.broadcast(candidates) if few else candidates, "doc_id", "left_semi")
+                    .mapInArrow(_whole_sets(orders, n, percent), SETS), "sets")
     links = copies.select(F.col("token").alias("a"), F.col("doc").alias("b"))
-    links = links.unionAll(C.stored(spark, _verified(
-        _star_pairs(stars, candidates, percent, partners), sets, percent, False), "found"))
     labels = components(links)
+    for turn in range(STAR_ROUNDS):
+        stars = (sets.select("doc", "n", "stars").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+                 .withColumn("component", F.coalesce("component", "doc")))
+        pairs = C.stored(spark, _star_pairs(stars, turn, percent, partners), "stars")
+        if not pairs.limit(1).count():
+            break
+        links = links.unionAll(C.stored(spark, _verified(pairs, sets, percent, False, small_ids), "found"))
+        labels = components(links)
     pairs = C.stored(spark, _all_pairs(_across(postings, labels), percent), "pairs")
-    found = C.stored(spark, _verified(pairs, sets, percent, True), "found")
-    if found.limit(1).count():
+    if pairs.limit(1).count():
+        found = C.stored(spark, _verified(pairs, sets, percent, True, small_ids), "found")
         labels = components(links.unionAll(found))
     return (own.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
             .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
