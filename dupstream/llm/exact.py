@@ -130,6 +130,29 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
                                        F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def distinct_rows(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all
+    their columns."""
+    from pyspark.sql import Window
+    from pyspark.sql import types as T
+    at, digest = "_exact_id", "_exact_digest"
+    stay = exact_groups(docs, keep).filter("kept").select(F.col("doc_id").alias(at), F.col("text_sha256").alias("_exact_sha"))
+
+    def digests(batches):
+        import hashlib
+
+        import pyarrow as pa
+        for batch in batches:
+            sums = [hashlib.sha256((x or "").encode().lower()).hexdigest() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=[*batch.schema.names, digest])
+
+    rows = docs.mapInArrow(digests, T.StructType([*docs.schema.fields, T.StructField(digest, T.StringType())]))
+    joined = rows.join(stay, rows["doc_id"].eqNullSafe(stay[at]) & (rows[digest] == stay["_exact_sha"]))
+    # rows that repeat id and text come once
+    once = F.row_number().over(Window.partitionBy(at, digest).orderBy(F.lit(0)))
+    return joined.withColumn("_exact_row", once).filter(F.col("_exact_row") == 1).select(*docs.columns)
+
+
 def _neighbours_down(batches):
     """As ``_neighbours`` where the smallest id is kept."""
     import pyarrow as pa

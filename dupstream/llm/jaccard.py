@@ -433,6 +433,14 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, h
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
+def without_near_copies(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small_ids: int = SMALL_IDS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component
+    those of the smallest id.  Rows without an id stay."""
+    found = near_duplicates(docs, n, percent, small_ids=small_ids)
+    gone = C.stored(docs.sparkSession, found.filter("component_id != doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= small_ids else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _across(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of shingles that still join different components."""
     spark = postings.sparkSession

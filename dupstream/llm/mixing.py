@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from dupstream.llm import common as C
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS = 10
+ROUNDS = 6
+WRITE_EVERY = 1                # rounds between two writes of the cell table
 # Exponents of the natural shares that make the default targets: below 1 small
 # sources, languages and topics gain.
 TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.95}
@@ -46,12 +47,14 @@ def topic_of(text):
             .when(t.contains("@") | t.contains("+1 ("), "contact").when(t.contains("\n"), "lines").otherwise("plain"))
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the three margins and ``n_tokens`` (words of the whole text)."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        *[F.coalesce(F.col(m).cast("string"), F.lit("")).alias(m) for m in MARGINS[:2]], topic_of(F.col("text")).alias("topic"),
-        F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_tokens"))
+def _keys() -> list:
+    """The three margins of a document, under names of their own."""
+    return [*(F.coalesce(F.col(m).cast("string"), F.lit("")).alias(f"_mix_{m}") for m in MARGINS[:2]),
+            topic_of(F.col("text")).alias("_mix_topic")]
+
+
+def _tokens():
+    return F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
 
 
 def tempered_targets(cells: DataFrame, temper: dict[str, float]) -> dict[str, DataFrame]:
@@ -61,24 +64,28 @@ def tempered_targets(cells: DataFrame, temper: dict[str, float]) -> dict[str, Da
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (margins, ``mass``) with ``raked``, the mass after fitting."""
+    """``cells`` (margins, ``mass``) with ``raked``, the mass after fitting.  Each
+    step sums the raked mass by one margin (partial sums first) and scales the cells
+    to that margin's shares; the cells are written after every ``WRITE_EVERY``
+    rounds."""
     spark = cells.sparkSession
-    fixed = {m: C.stored(spark, t.groupBy("value").agg(F.sum("share").alias("share")), f"target-{m}")
-             for m, t in targets.items()}
-    now = C.stored(spark, cells.withColumn("raked", F.col("mass").cast("double")), "cells")
-    for _ in range(rounds):
-        step = now
-        for m in MARGINS:
-            sums = (step.groupBy(F.col(m).alias("value")).agg(F.sum("raked").alias("now"))
-                    .join(fixed[m], "value", "left").withColumn("share", F.coalesce("share", F.lit(0.0))))
-            whole = sums.agg(F.sum("now").alias("all_now"), F.sum(F.when(F.col("now") > 0, F.col("share"))).alias("all_share"))
-            scale = F.when((F.col("now") > 0) & (F.col("all_share") > 0),
-                           F.col("all_now") * F.col("share") / F.col("all_share") / F.col("now")).otherwise(0.0)
-            # one row joined to a margin's values, then the values to the cells
-            factors = sums.crossJoin(F.broadcast(whole)).select(F.col("value").alias(m), scale.alias("factor"))
-            step = step.join(factors, m).withColumn("raked", F.col("raked") * F.col("factor")).drop("factor")
-        now = C.stored(spark, step.select(*MARGINS, "mass", "raked"), "cells")
-    return now
+    now = cells.withColumn("raked", F.col("mass").cast("double"))
+    for m, target in targets.items():
+        shares = target.groupBy(F.col("value").alias(m)).agg(F.sum("share").alias(f"share_{m}"))
+        now = now.join(shares, m, "left").withColumn(f"share_{m}", F.coalesce(f"share_{m}", F.lit(0.0)))
+    now = C.stored(spark, now, "cells")
+    # shares count over the values that have mass
+    present = [now.filter("mass > 0").groupBy(m).agg(F.first(f"share_{m}").alias("s")).agg(F.sum("s")).first()[0] or 1.0
+               for m in MARGINS]
+    total = float(now.agg(F.sum("mass")).first()[0] or 0)
+    for turn in range(rounds):
+        for m, whole in zip(MARGINS, present):
+            sums = now.groupBy(m).agg(F.sum("raked").alias("now"))
+            factor = F.when(F.col("now") > 0, F.lit(total) * F.col(f"share_{m}") / F.lit(float(whole)) / F.col("now")).otherwise(0.0)
+            now = now.join(sums, m).withColumn("raked", F.col("raked") * factor).drop("now")
+        if turn % WRITE_EVERY == WRITE_EVERY - 1 or turn == rounds - 1:
+            now = C.stored(spark, now, "cells")
+    return now.select(*MARGINS, "mass", "raked")
 
 
 def uniform(doc_id, seed: int):
@@ -87,21 +94,39 @@ def uniform(doc_id, seed: int):
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS,
-        seed: int = SEED) -> DataFrame:
-    """Per row: ``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``,
-    ``probability`` and ``kept``.  ``targets`` gives shares by margin and value;
-    margins that are not given get tempered natural shares."""
+def chances(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """The calibrated ``probability`` of every cell.  ``targets`` gives shares by
+    margin and value; margins that are not given get tempered natural shares."""
     spark = docs.sparkSession
-    rows = prepared(docs)
-    cells = C.stored(spark, rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("mass")), "mass")
+    rows = docs.select(*_keys(), _tokens().alias("n"))
+    cells = C.stored(spark, rows.groupBy(*(F.col(f"_mix_{m}").alias(m) for m in MARGINS)).agg(F.sum("n").alias("mass")), "mass")
     wanted = tempered_targets(cells, TEMPER)
     for m, shares in (targets or {}).items():
         wanted[m] = spark.createDataFrame([(k, float(v)) for k, v in shares.items()], "value string, share double")
     raked = rake(cells, wanted, rounds).withColumn(
         "weight", F.when(F.col("mass") > 0, F.col("raked") / F.col("mass")).otherwise(1.0))
     top = raked.agg(F.max("weight").alias("top")).first()["top"] or 1.0
-    chances = raked.select(*MARGINS, F.round(F.least(F.col("weight") / F.lit(float(top)), F.lit(1.0)), 9).alias("probability"))
-    return (rows.join(chances, list(MARGINS))
-            .select("doc_id", *MARGINS, "n_tokens", "probability",
-                    (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept")))
+    chance = F.round(F.least(F.col("weight") / F.lit(float(top)), F.lit(1.0)), 9)
+    return C.stored(spark, raked.select(*(F.col(m).alias(f"_mix_{m}") for m in MARGINS), chance.alias("_mix_chance")), "chances")
+
+
+def _drawn(docs: DataFrame, targets, rounds: int, seed: int) -> DataFrame:
+    """``docs`` with margins, probability and draw."""
+    return (docs.select("*", *_keys()).join(chances(docs, targets, rounds), [f"_mix_{m}" for m in MARGINS])
+            .withColumn("_mix_kept", uniform(F.col("doc_id"), seed) < F.col("_mix_chance")))
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS,
+        seed: int = SEED) -> DataFrame:
+    """Per row: ``doc_id``, ``source``, ``lang``, ``topic``, ``n_tokens``,
+    ``probability`` and ``kept``."""
+    needed = docs.select("doc_id", *MARGINS[:2], "text")
+    return _drawn(needed, targets, rounds, seed).select(
+        "doc_id", *(F.col(f"_mix_{m}").alias(m) for m in MARGINS), _tokens().alias("n_tokens"),
+        F.col("_mix_chance").alias("probability"), F.col("_mix_kept").alias("kept"))
+
+
+def sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS,
+            seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that are drawn, with all their columns."""
+    return _drawn(docs, targets, rounds, seed).filter("_mix_kept").select(*docs.columns)

@@ -25,13 +25,13 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dupstream.llm import common as C
 
 CACHE = 1_000_000
 LONGEST = 64
 MARK = "▁"
-SCHEMA = "doc_id long, ids binary, decoded string"
 
 
 class Model:
@@ -143,14 +143,13 @@ def encode_batch(m: Model, texts: list[str], cache: C.WordCache) -> list[bytes]:
     return [begin + ids + end for ids in cache.totals([m.split(t) for t in texts], b"".join, fill)]
 
 
-def _coder(path: str, chars: int):
+def _coder(path: str, chars: int, carry: tuple[str, ...]):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         m, cache = model(path), _cache(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id")
             at = 0
             while at < len(texts):                       # small slices bound the token lists in memory
                 to, size = at, 0
@@ -160,17 +159,20 @@ def _coder(path: str, chars: int):
                 packed = encode_batch(m, texts[at:to], cache)
                 decoded = m.library.decode([np.frombuffer(p, "<u4").tolist() for p in packed])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, to - at), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())],
-                    names=["doc_id", "ids", "decoded"])
+                    [*(batch.column(c).slice(at, to - at) for c in carry), pa.array(packed, pa.binary()),
+                     pa.array(decoded, pa.string())], names=[*carry, "ids", "decoded"])
                 at = to
     return run
 
 
-def encode_decode(docs: DataFrame, model_path: str, slice_chars: int = 1 << 20) -> DataFrame:
-    """Per row: ``doc_id``, ``ids`` (packed little-endian 32-bit, begin and end
-    included) and the ``decoded`` text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_coder(model_path, slice_chars), SCHEMA)
+def encode_decode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("doc_id",),
+                  slice_chars: int = 1 << 20) -> DataFrame:
+    """Per row: the columns ``carry``, ``ids`` (packed little-endian 32-bit, begin
+    and end included) and the ``decoded`` text."""
+    rows = docs.select(*carry, *(["text"] if "text" not in carry else []))
+    schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField("ids", T.BinaryType()),
+                           T.StructField("decoded", T.StringType())])
+    return rows.mapInArrow(_coder(model_path, slice_chars, tuple(carry)), schema)
 
 
 def unpacked(column: str = "ids"):

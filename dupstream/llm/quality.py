@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dupstream.llm import common as C
 
@@ -194,17 +195,21 @@ def fit_sample(sample: DataFrame, levels: int = GRADES) -> Model | None:
     return Model(np.frombuffer(rows[0]["weights"], np.float32), np.array(rows[0]["thresholds"])) if rows else None
 
 
-def grade(docs: DataFrame, ratings: DataFrame, levels: int = GRADES, keep_tail: float = KEEP_TAIL) -> DataFrame:
-    """Per row: ``doc_id``, ``expected_grade``, ``tail`` (probability of the top
-    grade) and ``kept`` (``tail`` of at least ``keep_tail``).  ``ratings`` has
-    ``doc_id`` and ``grade`` 0 .. ``levels`` - 1."""
+RESULTS = ("expected_grade", "tail", "kept")
+
+
+def grade(docs: DataFrame, ratings: DataFrame, levels: int = GRADES, keep_tail: float = KEEP_TAIL,
+          carry: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = RESULTS) -> DataFrame:
+    """Per row: the columns ``carry`` and, under ``names``, the expected grade, the
+    tail (probability of the top grade) and whether it is at least ``keep_tail``.
+    ``ratings`` has ``doc_id`` and ``grade`` 0 .. ``levels`` - 1."""
     spark = docs.sparkSession
     model = fit_sample(rated_sample(docs, ratings), levels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
-        return rows.select("doc_id", F.lit((levels - 1) / 2).alias("expected_grade"), F.lit(1 / levels).alias("tail"),
-                           F.lit(True).alias("kept"))
+        return docs.select(*carry, F.lit((levels - 1) / 2).alias(names[0]), F.lit(1 / levels).alias(names[1]),
+                           F.lit(True).alias(names[2]))
     shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(*carry, *(["text"] if "text" not in carry else []))
 
     def run(batches):
         import pyarrow as pa
@@ -213,11 +218,13 @@ def grade(docs: DataFrame, ratings: DataFrame, levels: int = GRADES, keep_tail:
             tails = [shared.value.tails(shared.value.scores(data, offsets[i:j + 1]))
                      for i, j in C.spans(offsets, CHUNK_BYTES)]
             t = np.concatenate(tails) if tails else np.zeros((0, levels - 1))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(t.sum(axis=1)), pa.array(t[:, -1]), pa.array(t[:, -1] >= keep_tail)],
-                names=["doc_id", "expected_grade", "tail", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in carry), pa.array(t.sum(axis=1)), pa.array(t[:, -1]),
+                 pa.array(t[:, -1] >= keep_tail)], names=[*carry, *names])
 
-    return rows.mapInArrow(run, "doc_id long, expected_grade double, tail double, kept boolean")
+    schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField(names[0], T.DoubleType()),
+                           T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
+    return rows.mapInArrow(run, schema)
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:
