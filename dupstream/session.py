@@ -37,6 +37,9 @@ def prepare(spark: SparkSession) -> None:
     the Python workers."""
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "4096")
+    # Rows with whole texts or images are large: small Arrow batches keep the
+    # memory of Python workers low.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     ship_package(spark)
 
 
