@@ -45,7 +45,7 @@ STAR_ROUNDS = 2
 HEAVY = 1 << 18               # frequent shingles with an own place in the orders: 2.25 MB broadcast
 PARTNERS = 2
 WIDE, NARROW = 15, 2          # percent of a set's size that prefixes are longer than the shortest possible
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 SHARD_BYTES = 64 << 20
 SMALL_IDS = 4_000_000         # candidate ids up to this many (32 MB) are broadcast, more are joined by shuffle
 LOST = 2                      # distinct shingles of one set that may share 32 bits
@@ -105,7 +105,7 @@ def _heavy(n: int):
             for s in _sets(batch.column("text"), n):
                 parts.append(s)
                 size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield _counted(pa, parts)
                     parts, size = [], 0
             if size:
@@ -190,7 +190,7 @@ def _prefixes(orders, n: int, percent: int, shards: int):
                 held.docs.append(np.full(len(take), doc))
                 held.sizes.append(np.full(len(take), len(tokens), np.int32))
                 held.size += len(take)
-                if held.size > 1_000_000:
+                if held.size > 500_000:
                     yield pa.RecordBatch.from_pydict(_batch(held.rows(shards), EXCHANGE))
                     held = _Held()
             yield pa.RecordBatch.from_pydict(_batch(held.rows(shards), EXCHANGE))
@@ -415,12 +415,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, h
     sets = C.stored(spark, rows.join(F.broadcast(candidates) if few else candidates, "doc_id", "left_semi")
                     .mapInArrow(_whole_sets(orders, n, percent), SETS), "sets")
     links = copies.select(F.col("token").alias("a"), F.col("doc").alias("b"))
-    labels = components(links)
+    labels = spark.createDataFrame([], "node long, component long")
     for turn in range(STAR_ROUNDS):
         stars = (sets.select("doc", "n", "stars").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
                  .withColumn("component", F.coalesce("component", "doc")))
         pairs = C.stored(spark, _star_pairs(stars, turn, percent, partners), "stars")
-        if not pairs.limit(1).count():
+        if turn and not pairs.limit(1).count():
             break
         links = links.unionAll(C.stored(spark, _verified(pairs, sets, percent, False, small_ids), "found"))
         labels = components(links)

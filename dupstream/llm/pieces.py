@@ -178,6 +178,6 @@ def encode_decode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("d
 def unpacked(column: str = "ids"):
     """The packed ids as ``array<long>`` (a Column over built-in functions)."""
     h = F.hex(F.col(column))
-    return F.transform(F.sequence(F.lit(1), F.octet_length(column) / F.lit(4)).cast("array<int>"),
+    return F.transform(F.sequence(F.lit(1), (F.octet_length(column) / 4).cast("int")),
                        lambda i: F.conv(F.concat(*[F.substr(h, (i - 1) * 8 + 1 + 2 * k, F.lit(2))
                                                    for k in (3, 2, 1, 0)]), 16, 10).cast("long"))
