@@ -19,29 +19,46 @@ SECONDS_PER_YEAR = 31536000.0     # the age statistic's year (365 days)
 HASH_KINDS = [("a", AHASH), ("dh", DHASH_H), ("dv", DHASH_V)]
 
 
-def _metric(df: DataFrame, name: str, expr) -> DataFrame:
-    return df.agg(expr.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-
-
-def corpus_stats(images: DataFrame, posts: DataFrame, near: DataFrame, exact: DataFrame,
+def _metrics(df: DataFrame, **figures) -> DataFrame:
+    """Several figures of one table from one aggregate, in long form."""
+    row = df.agg(*[expr.cast("double").alias(name) for name, expr in figures.items()])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"))
+                                          for name in figures])).alias("m")).select("m.*")
+
+
+def pair_counts(images: DataFrame, members: DataFrame, root_edges: DataFrame) -> DataFrame:
+    """AGG5: numbers of duplicate *pairs* (near, exact, both), from class sizes:
+    a class of ``m`` copies holds ``m (m - 1) / 2`` pairs and an edge between two
+    classes stands for the product of their sizes.  No pair is ever expanded."""
+    n = F.col("m") * (F.col("m") - 1) / 2
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    digests = images.filter(F.col("animated")).groupBy("crc").agg(F.count(F.lit(1)).alias("m"))
+    across = (root_edges.select("a", "b").join(sizes.select(F.col("root").alias("a"), F.col("m").alias("ma")), "a")
+              .join(sizes.select(F.col("root").alias("b"), F.col("m").alias("mb")), "b"))
+    figures = (across.select(F.lit("near").alias("kind"), (F.col("ma") * F.col("mb")).cast("double").alias("n"))
+               .unionByName(sizes.select(F.lit("near").alias("kind"), n.alias("n")))
+               .unionByName(digests.select(F.lit("exact").alias("kind"), n.alias("n"))))
+    def total(kind): return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0.0))
+    return _metrics(figures, near_pairs=total("near"), exact_pairs=total("exact"),
+                    reposts=F.coalesce(F.sum("n"), F.lit(0.0)))
+
+
+def corpus_stats(images: DataFrame, posts: DataFrame, members: DataFrame, root_edges: DataFrame,
                  blocked: DataFrame, report_log: DataFrame, now: int) -> DataFrame:
-    """OP5: images, oldest post time, its age in years, stored pair counts
-    (near, exact, total), blocked users and reports written."""
+    """OP5: images, oldest post time, its age in years, duplicate pair counts
+    (near, exact, total), blocked users and reports written; one aggregate per
+    table."""
     n = F.count(F.lit(1))
     parts = [
-        _metric(images, "images", n),
-        _metric(posts, "oldest", F.min("datetime")),
-        _metric(posts, "age_years", (F.lit(now) - F.min("datetime")) / F.lit(SECONDS_PER_YEAR)),
-        _metric(near, "near_pairs", n),
-        _metric(exact, "exact_pairs", n),
-        _metric(near.select("a").unionByName(exact.select("a")), "reposts", n),
-        _metric(blocked, "blocked", n),
-        _metric(report_log, "reports", n),
+        _metrics(posts, oldest=F.min("datetime"),
+                 age_years=(F.lit(now) - F.min("datetime")) / F.lit(SECONDS_PER_YEAR)),
+        pair_counts(images, members, root_edges),
+        _metrics(blocked, blocked=n),
         # a report is one or two comments: the reference prints "n - 2n"
-        _metric(report_log, "report_comments_max", 2 * n),
+        _metrics(report_log, reports=n, report_comments_max=2 * n),
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    out = _metrics(images, images=n)
+    for p in parts:
         out = out.unionByName(p)
     return out
 

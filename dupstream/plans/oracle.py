@@ -167,7 +167,7 @@ ORACLE["avg_exists_combined"] = _COMB["newest"]
 
 # ---- report ------------------------------------------------------------------
 from dupstream.operators.limits import MISS_WINDOW  # noqa: E402
-from dupstream.sources.tables import BLOCK_ADD_VALUE, BLOCK_REMOVE_VALUE, SUMMON_ID_SPACE  # noqa: E402
+from dupstream.sources.tables import BLOCK_ADD_VALUE, BLOCK_REMOVE_VALUE, SUMMON_ID_FACTOR  # noqa: E402
 
 _BLOCK_CTES = [
     f"""add_lines AS (SELECT CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR)
@@ -307,7 +307,7 @@ notif AS (
   SELECT conv_id, turn, conv_id * 1000 + turn AS notif_id,
          CASE WHEN role = 'user' THEN '48' ELSE '7' END AS with_account,
          CASE WHEN turn % 3 = 0 THEN 'someone mentioned you in a comment: glory at {X.GALLERY_URL}'
-                || CAST((conv_id * 37 + turn * 11) % {SUMMON_ID_SPACE} AS VARCHAR) || '/comment/' || CAST(turn AS VARCHAR) || '/'
+                || CAST((conv_id * 37 + turn * 11) % (SELECT {SUMMON_ID_FACTOR} * (max(doc_id) + 1) FROM documents) AS VARCHAR) || '/comment/' || CAST(turn AS VARCHAR) || '/'
               WHEN turn % 3 = 1 THEN 'mentioned you in a comment: ' || text ELSE text END AS body
   FROM conversations),
 req AS (
@@ -335,14 +335,17 @@ from dupstream.sources.tables import (CORRUPT_PAGE_EVERY, ERROR_MESSAGE, ERROR_P
                                       IMAGE_HOST, NON_OBJECT_EVERY, POSTS_PER_PAGE)
 
 ORACLE["corpus_stats"] = _DECISION + f""",
-ex AS (SELECT x.id FROM anim x JOIN ex_roots r USING (crc) WHERE x.id <> r.root),
+ex AS (SELECT x.id FROM anim x JOIN anim y ON x.crc = y.crc AND x.id < y.id),
+real_near AS (
+  SELECT l.id FROM still l JOIN still r ON l.id < r.id AND abs(l.bits - r.bits) <= 22
+  WHERE {DA} <= 5 AND {DH} <= 8 AND {DV} <= 8),
 m AS (
   SELECT 'images' AS metric, CAST(count(*) AS DOUBLE) AS value FROM images_fx
   UNION ALL SELECT 'oldest', CAST(min(datetime) AS DOUBLE) FROM posts_fx
   UNION ALL SELECT 'age_years', CAST(({NOW_SQL} - min(datetime)) AS DOUBLE) / 31536000.0 FROM posts_fx
-  UNION ALL SELECT 'near_pairs', CAST(count(*) AS DOUBLE) FROM near
+  UNION ALL SELECT 'near_pairs', CAST(count(*) AS DOUBLE) FROM real_near
   UNION ALL SELECT 'exact_pairs', CAST(count(*) AS DOUBLE) FROM ex
-  UNION ALL SELECT 'reposts', CAST((SELECT count(*) FROM near) + (SELECT count(*) FROM ex) AS DOUBLE)
+  UNION ALL SELECT 'reposts', CAST((SELECT count(*) FROM real_near) + (SELECT count(*) FROM ex) AS DOUBLE)
   UNION ALL SELECT 'blocked', CAST(count(*) AS DOUBLE) FROM blocked
   UNION ALL SELECT 'reports', CAST(count(*) AS DOUBLE) FROM report_log
   UNION ALL SELECT 'report_comments_max', CAST(2 * count(*) AS DOUBLE) FROM report_log)

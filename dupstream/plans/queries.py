@@ -334,8 +334,7 @@ def q_corpus_stats(spark, sf_dir):
     _, now = time_marks(spark, sf_dir)
     dec = _decision(spark, sf_dir, _summary(spark, sf_dir, shared=True))
     members, root_edges = stored_near_index(spark, sf_dir)
-    near = root_edges.unionByName(P.copy_edges(members))
-    return ST.corpus_stats(im, po, near, P.exact_pairs(im), _blocked(spark, sf_dir),
+    return ST.corpus_stats(im, po, members, root_edges, _blocked(spark, sf_dir),
                            _report_log(spark, sf_dir, dec), now)
 
 

@@ -188,7 +188,7 @@ def _images_fx(spark: SparkSession, sf_dir: str, copies_share_fingerprint: bool
 # fixed values of the derivations
 BLOCK_ADD_VALUE = 150.0      # error events at or above this value ask to block their user
 BLOCK_REMOVE_VALUE = 250.0   # signup events at or above this value ask to unblock
-SUMMON_ID_SPACE = 2000       # ids named in notifications (some unknown at small scale)
+SUMMON_ID_FACTOR = 2         # notifications name ids up to this many times the largest post id
 
 
 def blocklist_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -216,8 +216,10 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notification messages built from conversation turns: user turns come
     from the summoning account; every third turn names a post."""
     cv = read_table(spark, sf_dir, "conversations")
+    largest = read_table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("m")).first()["m"] or 0
+    space = SUMMON_ID_FACTOR * (largest + 1)
     named = F.concat(F.lit(f"someone mentioned you in a comment: glory at {GALLERY_URL}"),
-                     ((F.col("conv_id") * 37 + F.col("turn") * 11) % SUMMON_ID_SPACE).cast("string"),
+                     ((F.col("conv_id") * 37 + F.col("turn") * 11) % space).cast("string"),
                      F.lit("/comment/"), F.col("turn").cast("string"), F.lit("/"))
     body = (F.when(F.col("turn") % 3 == 0, named)
             .when(F.col("turn") % 3 == 1, F.concat(F.lit("mentioned you in a comment: "), F.col("text")))

@@ -62,3 +62,22 @@ def test_post_json_lines(spark, tmp_path):
     rows = EV.read_posts_json(spark, str(p)).collect()
     assert rows[0]["id"] == "x" and rows[0]["_corrupt_record"] is None
     assert rows[1]["_corrupt_record"] == "{broken"
+
+
+def test_pair_counts_are_those_of_the_expanded_pairs(spark):
+    from dupstream.operators.stats import pair_counts
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5)], "id long, root long")
+    edges = spark.createDataFrame([(1, 4), (1, 5)], "a long, b long")
+    images = spark.createDataFrame([(7, True, "x"), (8, True, "x"), (9, True, "x"), (10, True, "y"), (11, False, "x")],
+                                   "id long, animated boolean, crc string")
+    got = {r.metric: r.value for r in pair_counts(images, members, edges).collect()}
+    # near: 3 + 1 inside classes, 3 * 1 + 3 * 2 across; exact: 3
+    assert got == {"near_pairs": 13.0, "exact_pairs": 3.0, "reposts": 16.0}
+
+
+def test_lookup_caps_are_a_parameter(spark):
+    from dupstream.operators.lookup import digest_lookup
+    from dupstream.sources.tables import images_fx, posts_fx
+    im, po = images_fx(spark, "/root/testdata/sf0.001"), posts_fx(spark, "/root/testdata/sf0.001")
+    every = digest_lookup(im, im, po, most=None)["all"].count()
+    assert digest_lookup(im, im, po, most=1)["all"].count() == im.join(po, im.post_id == po.id).select(im.id).count() <= every
