@@ -40,7 +40,7 @@ COMMENT_CAP = 140
 # --------------------------------------------------------------------------
 
 # Every character Python's str.strip() removes (Unicode whitespace).
-_PY_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+PY_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
              + "".join(chr(c) for c in range(0x2000, 0x200b)) + "\u2028\u2029\u202f\u205f\u3000")
 
 
@@ -50,7 +50,7 @@ def _c(x) -> Column:
 
 def normalize_title(x) -> Column:
     """FN12: ``title.lower().strip()`` with Unicode whitespace at both ends."""
-    return F.trim(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(_PY_SPACE))
+    return F.trim(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(PY_SPACE))
 
 
 def _myers(a: str, b: str) -> int:

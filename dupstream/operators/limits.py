@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dupstream.functions.text import PY_SPACE
+
 # ---- fixed values (reference rules) --------------------------------------
 MISS_LIMIT = 10       # more than this many misses ...
 MISS_WINDOW = 180     # ... within this many seconds blocks the user
@@ -22,7 +24,7 @@ def read_id_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_id_lines(lines: DataFrame, col: str = "line") -> DataFrame:
     """SRC5: trimmed lines that parse as integers, as ``userid`` (other lines
     are skipped, as the reference's ``int(line)`` failures are)."""
-    t = F.trim(F.col(col))
+    t = F.trim(F.col(col), F.lit(PY_SPACE))
     return (lines.select(t.alias("t")).filter(F.col("t").rlike(_INT_LINE))
             .select(F.col("t").try_cast("bigint").alias("userid"))
             .filter(F.col("userid").isNotNull()))

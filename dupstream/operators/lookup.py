@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from dupstream.operators import pairs as P
 from dupstream.operators.history import POST_FIELDS, post_key
 
-LOOKUP_CAP = 1024   # rows returned per query (reference's fetch size)
+LOOKUP_CAP = 1024   # default of ``most``: the reference's fetch size
 LIST_FIELDS = ["datetime", "userurl", "link", "title"]   # columns a lookup returns
 
 
@@ -44,12 +44,12 @@ def _class_summary(index: DataFrame, posts: DataFrame, *, bits_col: str) -> tupl
 
 
 def similar_lookup(queries: DataFrame, index: DataFrame, posts: DataFrame, th: P.Thresholds = P.LOOKUP, *,
-                   bits_col: str = "bits") -> dict[str, DataFrame]:
+                   bits_col: str = "bits", most: int | None = LOOKUP_CAP) -> dict[str, DataFrame]:
     """OP4 similarity side for a batch of query fingerprints.
 
     Returns DataFrames ``count`` (q, n; 0 when nothing matches), ``newest``
     and ``oldest`` (q + post columns) and ``all`` (q, rank + post columns,
-    newest first, at most ``LOOKUP_CAP`` per query).  Queries carry ``id``,
+    newest first, at most ``most`` per query; None gives all).  Queries carry ``id``,
     the 12 words and ``bits_col``.
     """
     still = P.still_images(index)
@@ -62,24 +62,32 @@ def similar_lookup(queries: DataFrame, index: DataFrame, posts: DataFrame, th: P
     count = qids.join(per_q.select("q", "n"), "q", "left").select("q", F.coalesce("n", F.lit(0)).alias("n"))
     newest = per_q.select("q", *[F.col(f"newest.{c}").alias(c) for c in LIST_FIELDS])
     oldest = per_q.select("q", *[F.col(f"oldest.{c}").alias(c) for c in LIST_FIELDS])
-    # Cap each class to its newest LOOKUP_CAP members before expanding, then
-    # cap each query over the union of its classes.
+    # Cap each class to its newest ``most`` members before expanding, then cap
+    # each query over the union of its classes; only classes that match are ranked.
+    mem = mem.join(matches.select("root").distinct(), "root", "left_semi")
     w_cls = Window.partitionBy("root").orderBy(F.col("s").desc())
-    top_cls = mem.withColumn("r", F.row_number().over(w_cls)).filter(F.col("r") <= LOOKUP_CAP)
+    top_cls = _at_most(mem.withColumn("r", F.row_number().over(w_cls)), "r", most) if most else mem
     expanded = matches.join(top_cls.select("root", "s"), "root")
     w_q = Window.partitionBy("q").orderBy(F.col("s").desc())
-    all_ = (expanded.withColumn("rank", F.row_number().over(w_q)).filter(F.col("rank") <= LOOKUP_CAP)
+    all_ = (_at_most(expanded.withColumn("rank", F.row_number().over(w_q)), "rank", most)
             .select("q", "rank", *[F.col(f"s.{c}").alias(c) for c in LIST_FIELDS]))
     return {"count": count, "newest": newest, "oldest": oldest, "all": all_}
 
 
-def digest_lookup(queries: DataFrame, index: DataFrame, posts: DataFrame) -> dict[str, DataFrame]:
+def _at_most(df: DataFrame, rank: str, most: int | None) -> DataFrame:
+    return df if most is None else df.filter(F.col(rank) <= most)
+
+
+def digest_lookup(queries: DataFrame, index: DataFrame, posts: DataFrame,
+                  most: int | None = LOOKUP_CAP) -> dict[str, DataFrame]:
     """OP4 digest side (JN7, AGG4, WIN3) for a batch of query digests.
 
     Queries carry ``id`` and ``crc``; the index is every stored image
     (animated or not), as in the reference.
     """
-    idx = _with_posts(index.select("id", "post_id", "crc"), posts).select("crc", post_key().alias("s"))
+    # only digests that some query asks for are aggregated and ranked
+    asked = index.select("id", "post_id", "crc").join(queries.select("crc").distinct(), "crc", "left_semi")
+    idx = _with_posts(asked, posts).select("crc", post_key().alias("s"))
     agg = idx.groupBy("crc").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("newest"),
                                  F.min("s").alias("oldest"))
     q = queries.select(F.col("id").alias("q"), "crc")
@@ -88,6 +96,6 @@ def digest_lookup(queries: DataFrame, index: DataFrame, posts: DataFrame) -> dic
     newest = hit.select("q", *[F.col(f"newest.{c}").alias(c) for c in LIST_FIELDS])
     oldest = hit.select("q", *[F.col(f"oldest.{c}").alias(c) for c in LIST_FIELDS])
     w = Window.partitionBy("crc").orderBy(F.col("s").desc())
-    top = idx.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= LOOKUP_CAP)
+    top = _at_most(idx.withColumn("rank", F.row_number().over(w)), "rank", most)
     all_ = q.join(top, "crc").select("q", "rank", *[F.col(f"s.{c}").alias(c) for c in LIST_FIELDS])
     return {"count": count, "newest": newest, "oldest": oldest, "all": all_}

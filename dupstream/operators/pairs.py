@@ -49,7 +49,6 @@ LOOKUP_BITS_WINDOW = 20                               # exclusive
 
 MAX_BANDS = 8                 # 32-bit halves of the four aHash words
 DEFAULT_SALT_ROWS = 200_000   # rows per band key before it is salted
-DEFAULT_MAX_SALT = 64
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
@@ -108,7 +107,7 @@ HOT_SAMPLE_ROWS = 200   # expected sampled rows of a key right at the salting th
 
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], salt_rows: int,
-            max_salt: int, broadcast_rows: int, right_id: str):
+            broadcast_rows: int, right_id: str):
     """Spread band keys with more than ``salt_rows`` index rows over salts.
 
     Hot keys are found on a Bernoulli sample sized so that a key right at
@@ -122,7 +121,9 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str], salt_rows: int,
     est = F.col("count") / F.lit(frac)
     hot = (sample.groupBy(*keys).count()
            .filter(est > salt_rows)
-           .select(*keys, F.least(F.lit(max_salt), F.ceil(est / salt_rows)).cast("int").alias("n_salt")))
+           .select(*keys, F.ceil(est / salt_rows).cast("int").alias("n_salt")))
+    # written once: both sides must see the very same list, whatever is recomputed
+    hot = hot.checkpoint(eager=True)
     n_hot = hot.count()
     if n_hot == 0:
         return left, right, keys
@@ -140,7 +141,7 @@ def _salted(left: DataFrame, right: DataFrame, keys: list[str], salt_rows: int,
 def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *,
                     bits_col: str = "bits", self_join: bool = False,
                     left_id: str = "id", right_id: str = "id",
-                    salt_rows: int | None = DEFAULT_SALT_ROWS, max_salt: int = DEFAULT_MAX_SALT,
+                    salt_rows: int | None = DEFAULT_SALT_ROWS,
                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """All (left, right) row pairs within the bits window and the three
     Hamming bounds.  Both inputs carry the 12 words, ``bits_col`` and an id.
@@ -166,7 +167,7 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     rx = _explode_bands(rsel, n_bands, bits_col, width, (0,)).drop("bkt_off")
     keys = ["band_no", "band", "bkt"]
     if salt_rows:
-        lx, rx, keys = _salted(lx, rx, keys, salt_rows, max_salt, broadcast_rows, "r_id")
+        lx, rx, keys = _salted(lx, rx, keys, salt_rows, broadcast_rows, "r_id")
     l, r = lx.alias("l"), rx.alias("r")
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     joined = l.join(r, cond, "inner")
@@ -315,7 +316,7 @@ def total_distance_pairs(images: DataFrame, max_total: int = TOTAL_MAX, *,
     rx = explode(base.withColumnRenamed("id", "r_id"))
     keys = ["band_no", "band"]
     if salt_rows:
-        lx, rx, keys = _salted(lx, rx, keys, salt_rows, DEFAULT_MAX_SALT, DEFAULT_BROADCAST_ROWS, "r_id")
+        lx, rx, keys = _salted(lx, rx, keys, salt_rows, DEFAULT_BROADCAST_ROWS, "r_id")
     l, r = lx.alias("l"), rx.alias("r")
     j = l.join(r, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
     left_b, right_b = _all_halves("l")[:n_bands], _all_halves("r")[:n_bands]

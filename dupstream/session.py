@@ -90,7 +90,8 @@ MAX_SHUFFLE_PARTITIONS = 100_000
 def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
     """Sizing for a large cluster: enough shuffle partitions that each holds
     about ``target_partition_bytes`` of the widest shuffle (the band join
-    explodes each fingerprint row about 18 times), AQE coalescing down to
+    explodes each fingerprint row about 18 times; beyond
+    ``MAX_SHUFFLE_PARTITIONS`` partitions grow instead), AQE coalescing down to
     that size, skew splitting above 4x it, and scan splits of the same size.
     """
     band_bytes = input_bytes * 18
@@ -140,6 +141,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="dupstream-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()

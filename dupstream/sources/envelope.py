@@ -33,7 +33,8 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
 def read_posts_json(spark: SparkSession, path: str) -> DataFrame:
     """Bare post objects (JSON lines) with the explicit post schema; bad
     lines land in ``_corrupt_record``."""
-    schema = POST_JSON.add(T.StructField("_corrupt_record", T.StringType(), True))
+    # a schema of its own: StructType.add would change the shared one
+    schema = T.StructType([*POST_JSON.fields, T.StructField("_corrupt_record", T.StringType(), True)])
     return (spark.read.schema(schema).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 

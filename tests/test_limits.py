@@ -40,3 +40,18 @@ def test_read_id_lines(spark, tmp_path):
     p.write_text(" 12 \nx\n\n12\n")
     got = [r["userid"] for r in LM.parse_id_lines(LM.read_id_lines(spark, str(p))).distinct().collect()]
     assert got == [12]
+
+
+def test_id_lines_lose_all_white_space(spark):
+    from dupstream.operators.limits import parse_id_lines
+    lines = spark.createDataFrame([("\t12",), (" 13\u3000",), ("\xa014\r",), ("x15",), (None,)], "line string")
+    assert sorted(r.userid for r in parse_id_lines(lines).collect()) == [12, 13, 14]
+
+
+def test_posts_json_reads_twice(spark, tmp_path):
+    from dupstream.sources.envelope import read_posts_json
+    (tmp_path / "posts.json").write_text('{"id": "a"}\nnot json\n')
+    first = read_posts_json(spark, str(tmp_path))
+    again = read_posts_json(spark, str(tmp_path))
+    assert first.columns == again.columns
+    assert sorted(str(r.id) for r in again.collect()) == ["None", "a"]

@@ -26,7 +26,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    rows_only = set(E.queries()) - set(ORACLES)
+    from dupstream.plans.queries import REGISTRY
+    rows_only = set(REGISTRY) - set(ORACLES)
     assert rows_only == {"image_fingerprints"}
 
 
