@@ -156,13 +156,20 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     n_bands = th.max_a + 1
     if n_bands > MAX_BANDS:
         raise ValueError(f"aHash bound {th.max_a} needs {n_bands} bands; at most {MAX_BANDS} exist")
-    width = None if th.max_delta is None else th.max_delta + 1
+    if th.max_delta is None:
+        # No bits window asked for: set bits of two rows still differ by at most
+        # their distance, so the bucket on true popcounts loses nothing.
+        delta, bits_col = th.max_a + min(th.max_dh + th.max_dv, th.max_d or 768), "popcount"
+        left, right = left.withColumn(bits_col, popcount()), right.withColumn(bits_col, popcount())
+    else:
+        delta = th.max_delta
+    width = delta + 1
     cols = [*WORDS, bits_col]
     lsel = left.select(F.col(left_id).alias("l_id"), *cols)
     rsel = right.select(F.col(right_id).alias("r_id"), *cols)
     # Self join: one bucket for same-bucket pairs (taken once by l_id < r_id)
     # and the next bucket up; otherwise the query side covers all three.
-    offsets = (0,) if width is None else (0, 1) if self_join else (-1, 0, 1)
+    offsets = (0, 1) if self_join else (-1, 0, 1)
     lx = _explode_bands(lsel, n_bands, bits_col, width, offsets)
     rx = _explode_bands(rsel, n_bands, bits_col, width, (0,)).drop("bkt_off")
     keys = ["band_no", "band", "bkt"]
@@ -172,8 +179,7 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     joined = l.join(r, cond, "inner")
     keep = _first_equal_band(n_bands) == F.col("l.band_no")
-    if th.max_delta is not None:
-        keep = keep & (F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}")) <= th.max_delta)
+    keep = keep & (F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}")) <= delta)
     if self_join:
         keep = keep & ((F.col("l.bkt_off") == 1) | (F.col("l.l_id") < F.col("r.r_id")))
     dist = {
@@ -190,6 +196,14 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     return out.filter(bound)
 
 
+def popcount() -> Column:
+    """Set bits over the twelve words."""
+    total = F.lit(0)
+    for w in WORDS:
+        total = total + F.bit_count(F.col(w))
+    return total.cast("int")
+
+
 def sum_distance(words) -> Column:
     total = None
     for w in words:
@@ -302,19 +316,22 @@ def total_distance_pairs(images: DataFrame, max_total: int = TOTAL_MAX, *,
     never wired up).  With 24 disjoint 32-bit bands, ``max_total + 1 <= 24``
     bands guarantee an equal band for every qualifying pair, so the same
     band join finds all of them; copies collapse to class roots as in
-    ``near_pairs``.
+    ``near_pairs``.  Popcounts of such a pair differ by at most
+    ``max_total``, so the key also holds a popcount bucket of that width (a row
+    meets its own bucket and the next), which loses nothing.
     """
     prepare(images.sparkSession)
     n_bands = max_total + 1
     if n_bands > 2 * len(WORDS):
         raise ValueError(f"total distance {max_total} needs {n_bands} bands; at most {2 * len(WORDS)} exist")
     roots, members = fingerprint_classes(images)
-    base = roots.select("id", *WORDS)
+    base = roots.select("id", *WORDS, F.floor(popcount() / F.lit(max_total + 1)).cast("int").alias("bkt"))
     def explode(df):
         return df.select("*", F.posexplode(F.array(*_all_halves()[:n_bands])).alias("band_no", "band"))
-    lx = explode(base.withColumnRenamed("id", "l_id"))
+    lx = (explode(base.withColumnRenamed("id", "l_id")).withColumn("bkt_off", F.explode(F.array(F.lit(0), F.lit(1))))
+          .withColumn("bkt", F.col("bkt") + F.col("bkt_off")))
     rx = explode(base.withColumnRenamed("id", "r_id"))
-    keys = ["band_no", "band"]
+    keys = ["band_no", "band", "bkt"]
     if salt_rows:
         lx, rx, keys = _salted(lx, rx, keys, salt_rows, DEFAULT_BROADCAST_ROWS, "r_id")
     l, r = lx.alias("l"), rx.alias("r")
@@ -324,8 +341,11 @@ def total_distance_pairs(images: DataFrame, max_total: int = TOTAL_MAX, *,
     for k in reversed(range(n_bands)):
         first = F.when(left_b[k] == right_b[k], F.lit(k)).otherwise(first)
     dist = sum_distance(WORDS)
-    out = (j.filter((F.col("l.l_id") < F.col("r.r_id")) & (first == F.col("l.band_no")))
-           .select(F.col("l.l_id").alias("a"), F.col("r.r_id").alias("b"), dist.alias("distance"))
+    # one bucket gives each pair twice, adjacent buckets once
+    once = (F.col("l.bkt_off") == 1) | (F.col("l.l_id") < F.col("r.r_id"))
+    out = (j.filter(once & (first == F.col("l.band_no")))
+           .select(F.least("l.l_id", "r.r_id").alias("a"), F.greatest("l.l_id", "r.r_id").alias("b"),
+                   dist.alias("distance"))
            .filter(F.col("distance") <= max_total))
     copies = (members.filter(F.col("id") != F.col("root"))
               .select(F.col("root").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))
