@@ -51,13 +51,24 @@ def classify(batch: DataFrame, stored_posts: DataFrame, images: DataFrame) -> Da
                     ((outcome == "new") & (score() < MIN_SCORE)).alias("low_score"))
 
 
-def page_counters(classified: DataFrame) -> DataFrame:
-    """AGG11: per page: updates, known, skipped, errors, albums."""
+def page_counters(classified: DataFrame, decision: DataFrame, pages: DataFrame) -> DataFrame:
+    """AGG11: per page: updates, known, skipped, errors, albums.
+
+    ``skipped`` counts new posts below the score limit and those above it whose
+    duplicates fail the report ``decision`` (``link``, ``decision``; only posts with
+    older duplicates have a row).  ``errors`` also counts elements of a page
+    that are no post object (``pages``: ``page``, ``n_bad``).
+    """
     o = F.col("outcome")
-    return classified.groupBy("page").agg(
+    refused = F.coalesce(~F.col("decision"), F.lit(False))
+    j = classified.join(decision.select(F.col("link").alias("id"), "decision"), "id", "left")
+    counted = j.groupBy("page").agg(
         F.count_if(o == "new").alias("updates"), F.count_if(o == "known").alias("known"),
-        F.count_if(F.col("low_score")).alias("skipped"), F.count_if(o == "error").alias("errors"),
-        F.count_if(o == "album").alias("albums"))
+        F.count_if(F.col("low_score") | ((o == "new") & refused)).alias("skipped"),
+        F.count_if(o == "error").alias("failed"), F.count_if(o == "album").alias("albums"))
+    return (counted.join(pages.select("page", "n_bad"), "page", "left")
+            .select("page", "updates", "known", "skipped",
+                    (F.col("failed") + F.coalesce("n_bad", F.lit(0))).alias("errors"), "albums"))
 
 
 def new_posts(classified: DataFrame) -> DataFrame:

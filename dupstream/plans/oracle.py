@@ -409,11 +409,17 @@ cls AS (
                    WHEN i.id IS NULL THEN 'error' ELSE 'new' END AS outcome
   FROM rec r LEFT JOIN stored s ON s.link = r.id
   LEFT JOIN (SELECT CAST(post_id AS VARCHAR) AS pid, id FROM images_fx WHERE size > 0) i ON i.pid = r.id)"""
-ORACLE["post_outcomes"] = with_fx(_CLS) + """
-SELECT page, count(*) FILTER (WHERE outcome = 'new') AS updates, count(*) FILTER (WHERE outcome = 'known') AS known,
-       count(*) FILTER (WHERE outcome = 'new' AND score < 40) AS skipped,
-       count(*) FILTER (WHERE outcome = 'error') AS errors, count(*) FILTER (WHERE outcome = 'album') AS albums
-FROM cls GROUP BY page"""
+ORACLE["post_outcomes"] = _DECISION + ",\n" + _CLS + f""",
+refused AS (SELECT p.link FROM decision d JOIN posts_fx p ON p.id = d.id WHERE NOT d.decision),
+counted AS (
+  SELECT page, count(*) FILTER (WHERE outcome = 'new') AS updates, count(*) FILTER (WHERE outcome = 'known') AS known,
+         count(*) FILTER (WHERE outcome = 'new' AND (score < 40 OR id IN (SELECT link FROM refused))) AS skipped,
+         count(*) FILTER (WHERE outcome = 'error') AS failed, count(*) FILTER (WHERE outcome = 'album') AS albums
+  FROM cls GROUP BY page)
+SELECT page, updates, known, skipped,
+       failed + CASE WHEN page % {NON_OBJECT_EVERY} = 1 AND page % {ERROR_PAGE_EVERY} <> 3
+                      AND page % {CORRUPT_PAGE_EVERY} <> 5 THEN 1 ELSE 0 END AS errors, albums
+FROM counted"""
 ORACLE["new_posts"] = with_fx(_CLS) + """
 SELECT id, CASE WHEN animated AND ends_with(link, 'h.gif') AND length(gifv) > 0 THEN gifv ELSE link END AS link,
        score FROM cls WHERE outcome = 'new'"""

@@ -394,7 +394,9 @@ def _classified(spark, sf_dir):
 @register("post_outcomes")
 def q_post_outcomes(spark, sf_dir):
     """AGG11/FLT1/FLT2/FLT13: per-page counters of an ingest batch."""
-    return IG.page_counters(_classified(spark, sf_dir))
+    dec = _decision(spark, sf_dir).join(posts_fx(spark, sf_dir).select("id", "link"), "id")
+    pages = EV.page_summary(EV.split_envelopes(api_envelopes(spark, sf_dir)))
+    return IG.page_counters(_classified(spark, sf_dir), dec, pages)
 
 
 @register("new_posts")
