@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from dupstream.functions.bits import hamming, lower_half, upper_half
 from dupstream.session import prepare
+from dupstream.operators.skew import HOT_ROWS, join_back
 from dupstream.schemas import AHASH, DHASH_H, DHASH_V, WORDS
 
 # ---- fixed values (thresholds of the reference) --------------------------
@@ -216,20 +217,24 @@ def still_images(images: DataFrame) -> DataFrame:
     return images.filter(~F.col("animated"))
 
 
-def fingerprint_classes(images: DataFrame, bits_col: str = "bits") -> tuple[DataFrame, DataFrame]:
+def fingerprint_classes(images: DataFrame, bits_col: str = "bits",
+                        hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Collapse still images with identical words.
 
     Returns ``(roots, members)``: roots hold one row per distinct fingerprint
     (``id`` = smallest image id, the words, ``bits_col``); members map every
     still image ``id`` to its ``root``.  The aggregation is partial (map-side)
+    and classes of more than ``hot_rows`` images meet their root by broadcast,
     so a class of any size never gathers in one task.
     """
     still = still_images(images).withColumn("fp", F.struct(*WORDS))
     # One struct-valued key instead of twelve equal columns keeps Catalyst's
     # constraint inference linear.
-    classes = still.groupBy("fp").agg(F.min("id").alias("root"), F.min(bits_col).alias(bits_col))
+    classes = still.groupBy("fp").agg(F.min("id").alias("root"), F.min(bits_col).alias(bits_col),
+                                      F.count(F.lit(1)).alias("n_rows"))
     roots = classes.select(F.col("root").alias("id"), *[F.col(f"fp.{w}").alias(w) for w in WORDS], bits_col)
-    members = still.select("id", "fp").join(classes.select("fp", "root"), "fp").select("id", "root")
+    members = join_back(still.select("id", "fp"), classes.select("fp", "root", "n_rows"), "fp", "n_rows",
+                        hot_rows).select("id", "root")
     return roots, members
 
 
@@ -266,12 +271,12 @@ def returned(pairs: DataFrame, max_a: int = RETURN_MAX_A, max_d: int = RETURN_MA
     return pairs.filter((F.col("diff_a") <= max_a) & (F.col("diff_d") <= max_d))
 
 
-def exact_classes(images: DataFrame) -> DataFrame:
+def exact_classes(images: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Animated images grouped by content digest: ``id, root`` with root the
     smallest id sharing the digest (JN4 groups)."""
     anim = images.filter(F.col("animated")).select("id", "crc")
-    roots = anim.groupBy("crc").agg(F.min("id").alias("root"))
-    return anim.join(roots, "crc").select("id", "root", "crc")
+    roots = anim.groupBy("crc").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("n_rows"))
+    return join_back(anim, roots, "crc", "n_rows", hot_rows).select("id", "root", "crc")
 
 
 def exact_pairs(images: DataFrame) -> DataFrame:

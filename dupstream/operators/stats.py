@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dupstream.operators.skew import HOT_ROWS, join_back
 from dupstream.schemas import AHASH, DHASH_H, DHASH_V
 
 # ---- fixed values ----------------------------------------------------------
@@ -93,7 +94,7 @@ def hash_groups(images: DataFrame) -> DataFrame:
 ID_SLICE = 1 << 20    # id range of the two-level running count
 
 
-def hash_running(images: DataFrame, id_slice: int = ID_SLICE) -> DataFrame:
+def hash_running(images: DataFrame, id_slice: int = ID_SLICE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """WIN4: for each image that repeats an earlier image's hash (earlier =
     smaller id): how many earlier images share it, the first of them and the
     previous one.
@@ -104,16 +105,16 @@ def hash_running(images: DataFrame, id_slice: int = ID_SLICE) -> DataFrame:
     The first image of a hash is a plain aggregate.
     """
     keys = ["kind", "h1", "h2", "h3", "h4"]
-    s = stacked_hashes(images).withColumn("sl", F.floor(F.col("id") / F.lit(id_slice)).cast("bigint"))
+    s = stacked_hashes(images).withColumn("key", F.struct(*keys)).withColumn("sl", F.floor(F.col("id") / F.lit(id_slice)).cast("bigint"))
     per_slice = s.groupBy(*keys, "sl").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("mx"))
     before = Window.partitionBy(*keys).orderBy("sl").rowsBetween(Window.unboundedPreceding, -1)
     prefix = per_slice.select(*keys, "sl", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pn"),
                               F.max("mx").over(before).alias("pmx"))
-    first = s.groupBy(*keys).agg(F.min("id").alias("first_id"))
+    first = s.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"))
     w = Window.partitionBy(*keys, "sl").orderBy("id")
-    within = s.select(*keys, "sl", "id", (F.row_number().over(w) - 1).alias("wn"),
+    within = s.select("key", *keys, "sl", "id", (F.row_number().over(w) - 1).alias("wn"),
                       F.lag("id").over(w).alias("wprev"))
-    return (within.join(prefix, [*keys, "sl"]).join(first, keys)
+    return (join_back(within.join(prefix, [*keys, "sl"]), first, "key", "n_rows", hot_rows)
             .select("id", "kind", (F.col("pn") + F.col("wn")).cast("int").alias("n_before"), "first_id",
                     F.coalesce("wprev", "pmx").alias("prev_id"))
             .filter(F.col("n_before") > 0))

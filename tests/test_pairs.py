@@ -206,3 +206,23 @@ def test_sampled_hot_key_detection_salts_a_hot_band(spark):
     a = P.near_pairs(im, salt_rows=None)
     b = P.near_pairs(im, salt_rows=1000)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_hot_classes_join_by_broadcast_with_equal_results(spark):
+    from dupstream.operators import stats
+    from dupstream.sources.tables import images_fx
+    im = images_fx(spark, "/root/testdata/sf0.001").cache()
+    hot = im.filter("not animated").limit(1).crossJoin(spark.range(300).withColumnRenamed("id", "k"))
+    im = im.unionByName(hot.withColumn("id", hot.k + 10_000).select(*im.columns)).cache()
+    for fn in (lambda h: P.fingerprint_classes(im, hot_rows=h)[1], lambda h: P.exact_classes(im, hot_rows=h),
+               lambda h: stats.hash_running(im, hot_rows=h)):
+        assert sorted(map(tuple, fn(100).collect())) == sorted(map(tuple, fn(10**9).collect()))
+
+
+def test_no_task_takes_a_whole_hot_class(spark):
+    from dupstream.operators.skew import join_back
+    rows = spark.range(20_000, numPartitions=8).selectExpr("id", "if(id % 10 < 3, -1, id) as k")
+    per_key = rows.groupBy("k").agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("n"))
+    got = join_back(rows, per_key, "k", "n", hot_rows=100)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 0.3 * 20_000
