@@ -12,13 +12,14 @@ differs in the hash that ranks the rest.
    documents share at least ``l`` with others at all; only those stay candidates.
    Frequent shingles are known to be shared and are never gathered by shingle.
 2. *Stars.*  Candidates that have the same first shingle under one of ``STARS`` orders
-   meet; each is paired with a drawn member in another component, at most ``PARTNERS``
-   pairs a document and round, pairs that agree under half of the orders first, and
-   compared whole.  A group of near copies thus costs links in proportion to its size.
+   meet; each is paired with the member that shares most with others, or a drawn one
+   where that is in its component already, at most ``PARTNERS`` pairs a document and
+   round, pairs that agree under half of the orders first, and compared whole.  A group of near copies thus costs links in proportion to its size.
    The links give components; a few rounds draw anew.
 3. *The rest, exactly.*  For prefix shingles that still join different components all
-   pairs across components become candidates.  They must also share ``l`` prefix
-   shingles under every further order; the whole sets are fetched for what is left.
+   pairs across components become candidates, if the places of the shingle in both
+   orders leave room for enough common shingles behind it.  They must also share ``l``
+   prefix shingles under every further order; the whole sets are fetched for what is left.
 Links inside a component change nothing, so components are those of the full join.
 
 Defined results: null or blank texts have an empty set and link with nothing; texts
@@ -135,19 +136,19 @@ def heavy_shingles(docs: DataFrame, n: int, most: int = HEAVY) -> Order:
 
 
 PACKED, DOCUMENT, COPY = 0, 1, 2
-ROWS = "kind int, token long, doc long, n int, shard int, tokens binary, docs binary, sizes binary, first binary"
+ROWS = "kind int, token long, doc long, n int, shard int, tokens binary, docs binary, sizes binary, places binary"
 
 
-def _pack_rows(key: int, kind: int, tokens, docs, sizes, first, narrow: bool):
+def _pack_rows(key: int, kind: int, tokens, docs, sizes, places, narrow: bool):
     """One exchange row; a token shard's tokens agree in bits of their own and 32
     more tell them apart (a false match is only a candidate)."""
     return {"shard": key, "kind": kind, "n": len(tokens), "tokens": (tokens.astype(np.uint32) if narrow else tokens).tobytes(),
-            "docs": C.pack(docs), "sizes": C.pack(sizes), "first": np.packbits(first).tobytes()}
+            "docs": C.pack(docs), "sizes": C.pack(sizes), "places": C.pack(places)}
 
 
 def _batch(rows, columns):
     import pyarrow as pa
-    kinds = {"tokens": pa.binary(), "docs": pa.binary(), "sizes": pa.binary(), "first": pa.binary(),
+    kinds = {"tokens": pa.binary(), "docs": pa.binary(), "sizes": pa.binary(), "places": pa.binary(),
              "token": pa.int64(), "doc": pa.int64()}
     return {c: pa.array([r.get(c) for r in rows], kinds.get(c, pa.int32())) for c in columns}
 
@@ -160,7 +161,7 @@ def _by(keys: np.ndarray, shards: int):
     return order, [(k, x, y) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if x < y]
 
 
-EXCHANGE = ("shard", "kind", "n", "tokens", "docs", "sizes", "first")
+EXCHANGE = ("shard", "kind", "n", "tokens", "docs", "sizes", "places")
 
 
 def _prefixes(orders, n: int, percent: int, shards: int):
@@ -182,11 +183,11 @@ def _prefixes(orders, n: int, percent: int, shards: int):
                     held.copies.append((first[0], doc))
                     continue
                 classes = order.of(tokens)
-                length = prefix_length(len(tokens), percent)
                 take = order.prefix(tokens, classes, 0, prefix_length(len(tokens), percent, WIDE))
                 held.tokens.append(tokens[take])
                 held.heavy.append(classes[take] > 0)
-                held.first.append(np.arange(len(take)) < length)
+                # places in 256ths of the set's size, rounded down
+                held.places.append((np.arange(len(take)) * 256 // len(tokens)).astype(np.uint8))
                 held.docs.append(np.full(len(take), doc))
                 held.sizes.append(np.full(len(take), len(tokens), np.int32))
                 held.size += len(take)
@@ -202,20 +203,20 @@ class _Held:
 
     def __init__(self):
         self.own, self.copies = [], []
-        self.tokens, self.heavy, self.first, self.docs, self.sizes, self.size = [], [], [], [], [], 0
+        self.tokens, self.heavy, self.places, self.docs, self.sizes, self.size = [], [], [], [], [], 0
 
     def rows(self, shards: int) -> list[dict]:
         if not self.own:
             return []
         spread = shards + self.own[0][0] % shards          # passed on as it is by one of as many further keys
-        none = np.zeros(0, bool)
+        def none(rows): return np.zeros(len(rows), np.uint8)
         docs, sizes = (np.array(x, t) for x, t in zip(zip(*self.own), (np.int64, np.int32)))
-        out = [_pack_rows(spread, DOCUMENT, np.zeros(len(docs), np.uint64), docs, sizes, none, False)]
+        out = [_pack_rows(spread, DOCUMENT, np.zeros(len(docs), np.uint64), docs, sizes, none(docs), False)]
         if self.copies:
             of, docs = (np.array(x, np.int64) for x in zip(*self.copies))
-            out.append(_pack_rows(spread, COPY, of.view(np.uint64), docs, np.zeros(len(docs), np.int32), none, False))
+            out.append(_pack_rows(spread, COPY, of.view(np.uint64), docs, np.zeros(len(docs), np.int32), none(docs), False))
         if self.tokens:
-            t, d, s, h, f = (np.concatenate(x) for x in (self.tokens, self.docs, self.sizes, self.heavy, self.first))
+            t, d, s, h, f = (np.concatenate(x) for x in (self.tokens, self.docs, self.sizes, self.heavy, self.places))
             if h.any():
                 out.append(_pack_rows(spread, PACKED, t[h], d[h], s[h], f[h], False))
             t, d, s, f = t[~h], d[~h], s[~h], f[~h]
@@ -226,16 +227,15 @@ class _Held:
 
 
 def _unpack(table, narrow: bool):
-    """Tokens, documents, sizes and first-part flags of exchange rows, joined."""
+    """Tokens, documents, sizes and places of exchange rows, joined."""
     ns = table.column("n").to_pylist()
     def join(parts, dtype): return np.concatenate([np.zeros(0, dtype), *parts])
     tokens = join([np.frombuffer(b, np.uint32 if narrow else np.uint64).astype(np.uint64)
                    for b in table.column("tokens").to_pylist()], np.uint64)
     docs = join([C.unpack(b, k, np.int64) for b, k in zip(table.column("docs").to_pylist(), ns)], np.int64)
     sizes = join([C.unpack(b, k, np.int32) for b, k in zip(table.column("sizes").to_pylist(), ns)], np.int32)
-    first = join([np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool) if b else np.zeros(k, bool)
-                  for b, k in zip(table.column("first").to_pylist(), ns)], bool)
-    return tokens, docs, sizes, first
+    places = join([C.unpack(b, k, np.uint8) for b, k in zip(table.column("places").to_pylist(), ns)], np.uint8)
+    return tokens, docs, sizes, places
 
 
 def _shared(shards: int):
@@ -258,7 +258,7 @@ def _shared(shards: int):
             by, parts = _by(C.mix(docs.view(np.uint64)), shards)
             tokens, docs, sizes, first = tokens[by], docs[by], sizes[by], first[by]
             out = [_pack_rows(k, PACKED, tokens[x:y], docs[x:y], sizes[x:y], first[x:y], False) for k, x, y in parts]
-        tables = [pa.table(_batch(out, ("kind", "token", "doc", "n", "shard", "tokens", "docs", "sizes", "first")))]
+        tables = [pa.table(_batch(out, ("kind", "token", "doc", "n", "shard", "tokens", "docs", "sizes", "places")))]
         for kind in (DOCUMENT, COPY):
             rows = table.filter(pa.array(kinds == kind))
             if rows.num_rows:
@@ -272,16 +272,20 @@ def _shared(shards: int):
 
 
 def _candidates(percent: int):
-    """Of a document shard, first-part postings of the documents that share enough
-    with others to have a similar set at all."""
+    """Of a document shard, postings within the shortest prefix of the documents
+    that share enough with others to have a similar set at all; ``at`` is a lower bound
+    of the shingle's place, ``common`` how much the document shares (per mille)."""
     def run(key, table):
         import pyarrow as pa
-        tokens, docs, sizes, first = _unpack(table, False)
-        _, place, counts = np.unique(docs, return_inverse=True, return_counts=True)
-        smallest = -(-sizes.astype(np.int64) * percent // 100)
-        keep = first & (counts[place] >= least_shared(smallest, WIDE))
+        tokens, docs, sizes, places = _unpack(table, False)
+        _, one, counts = np.unique(docs, return_inverse=True, return_counts=True)
+        n = sizes.astype(np.int64)
+        smallest = -(-n * percent // 100)
+        at = places.astype(np.int64) * n // 256
+        keep = (at <= n - smallest) & (counts[one] >= least_shared(smallest, WIDE))
         return pa.table({"token": pa.array(tokens[keep].view(np.int64)), "doc": pa.array(docs[keep]),
-                         "n": pa.array(sizes[keep])})
+                         "n": pa.array(sizes[keep]), "at": pa.array(at[keep].astype(np.int32)),
+                         "common": pa.array((1000 * counts[one] // n)[keep].astype(np.int32))})
     return run
 
 
@@ -370,11 +374,13 @@ def _star_pairs(stars: DataFrame, turn: int, percent: int, partners: int) -> Dat
     Pairs agree under at least half of the star orders (a likely pair; what is left
     out here is met again in the exact step)."""
     spark = stars.sparkSession
-    by_order = stars.select("doc", "n", "component", "stars", F.posexplode("stars").alias("k", "token"))
-    drawn = F.xxhash64("doc", F.lit(turn)) if turn == 0 else F.xxhash64("doc", "token", F.lit(turn))
-    at = F.struct(F.xxhash64("component", F.lit(turn)), drawn, F.col("component"), F.col("doc"), F.col("n"), F.col("stars"))
-    ends = C.stored(spark, by_order.groupBy("k", "token").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
-                    .filter("lo.component != hi.component"), "ends")
+    by_order = stars.select("doc", "n", "common", "component", "stars", F.posexplode("stars").alias("k", "token"))
+    who = (F.col("component"), F.col("doc"), F.col("n"), F.col("stars"))
+    first = F.struct(-F.col("common"), F.xxhash64("doc", F.lit(turn)), *who)
+    drawn = F.struct(F.xxhash64("component", F.lit(turn)), F.xxhash64("doc", "token", F.lit(turn)), *who)
+    ends = C.stored(spark, by_order.groupBy("k", "token").agg(F.min(first).alias("lo"), F.max(drawn).alias("hi"),
+                                                              F.min("component").alias("c0"), F.max("component").alias("c1"))
+                    .filter("c0 != c1"), "ends")
     pairs = by_order.join(ends, ["k", "token"])
     met = None
     for end in ("lo", "hi"):
@@ -404,20 +410,21 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, h
     orders = spark.sparkContext.broadcast(heavy_shingles(rows, n, heavy))
     table = C.stored(spark, rows.mapInArrow(
         _prefixes(orders, n, percent, shards),
-        "shard int, kind int, n int, tokens binary, docs binary, sizes binary, first binary")
+        "shard int, kind int, n int, tokens binary, docs binary, sizes binary, places binary")
         .groupBy("shard").applyInArrow(_shared(shards), ROWS), "shared")
     own, copies = (table.filter(F.col("kind") == k).select("token", "doc", "n") for k in (DOCUMENT, COPY))
     postings = C.stored(spark, table.filter(F.col("kind") == PACKED)
-                        .select("shard", "n", "tokens", "docs", "sizes", "first").groupBy("shard")
-                        .applyInArrow(_candidates(percent), "token long, doc long, n int"), "postings")
-    candidates = C.stored(spark, postings.select(F.col("doc").alias("doc_id")).distinct(), "candidates")
+                        .select("shard", "n", "tokens", "docs", "sizes", "places").groupBy("shard")
+                        .applyInArrow(_candidates(percent), "token long, doc long, n int, at int, common int"), "postings")
+    candidates = C.stored(spark, postings.groupBy(F.col("doc").alias("doc_id")).agg(F.max("common").alias("common")), "candidates")
+    common, candidates = candidates.withColumnRenamed("doc_id", "doc"), candidates.select("doc_id")
     few = candidates.count() <= small_ids
     sets = C.stored(spark, rows.join(F.broadcast(candidates) if few else candidates, "doc_id", "left_semi")
                     .mapInArrow(_whole_sets(orders, n, percent), SETS), "sets")
     links = copies.select(F.col("token").alias("a"), F.col("doc").alias("b"))
     labels = spark.createDataFrame([], "node long, component long")
     for turn in range(STAR_ROUNDS):
-        stars = (sets.select("doc", "n", "stars").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+        stars = (sets.select("doc", "n", "stars").join(common, "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
                  .withColumn("component", F.coalesce("component", "doc")))
         pairs = C.stored(spark, _star_pairs(stars, turn, percent, partners), "stars")
         if turn and not pairs.limit(1).count():
@@ -445,7 +452,7 @@ def _across(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of shingles that still join different components."""
     spark = postings.sparkSession
     now = C.stored(spark, postings.join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-                   .select("token", "doc", "n", F.coalesce("component", "doc").alias("component")), "listed")
+                   .select("token", "doc", "n", "at", F.coalesce("component", "doc").alias("component")), "listed")
     mixed = C.stored(spark, now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                      .filter("lo != hi").select("token"), "mixed")
     return now.join(mixed, "token", "left_semi")
@@ -453,8 +460,12 @@ def _across(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _all_pairs(listed: DataFrame, percent: int) -> DataFrame:
     """All pairs across components that share a listed shingle and fit in size."""
-    x = listed.select("token", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "component")))
-    y = listed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "component")))
+    x = listed.select("token", *(F.col(c).alias(f"{c}_a") for c in ("doc", "n", "at", "component")))
+    y = listed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc", "n", "at", "component")))
+    # similar sets have t / (1 + t) of their sizes' sum in common, and at their first common shingle all of that
+    # is still to come; at later ones the test only fails more often
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (100 + percent) \
+        >= (F.col("n_a") + F.col("n_b")) * percent
     return (x.join(y, "token").filter((F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b"))
-                                      & _sizes_fit(F.col("n_a"), F.col("n_b"), percent))
+                                      & _sizes_fit(F.col("n_a"), F.col("n_b"), percent) & room)
             .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct())
