@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from dupstream.llm import common as C
 
-CACHE = 1_000_000
+CACHE = 600_000
 LONGEST = 64
 MARK = "▁"
 

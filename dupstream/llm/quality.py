@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from dupstream.llm import common as C
 
 FEATURES = 1 << 18
-SAMPLE = 2_500                 # rated documents of each grade that the fit may use
+SAMPLE = 1_500                 # rated documents of each grade that the fit may use
 SAMPLE_BYTES = 16 << 10        # longer documents are not drawn for the fit; all are scored whole
 GRADES = 3
 STEPS = 100
@@ -51,7 +51,7 @@ def features(data: np.ndarray, offsets: np.ndarray):
     words, first = C.word_hashes(data, offsets, fold_case=True)
     counts = np.diff(first)
     n = len(counts)
-    doc = np.repeat(np.arange(n), counts)
+    doc = np.repeat(np.arange(n, dtype=np.int32), counts)
     size = np.maximum(counts, 1)
     families, distinct, again = [], np.zeros(n, np.int64), np.zeros(n)
     if len(words):

@@ -14,13 +14,13 @@ ROWS = [(i, "word " * (1 + i % 7)) for i in range(600)]
 
 def test_sampled_shares_meet_the_targets(spark):
     targets = {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.2, "de": 0.3, "": 0.5}}
-    rows = mixing.mix(frame(spark, ROWS), targets, rounds=30).collect()
+    rows = mixing.mix(frame(spark, ROWS), targets, rounds=8).collect()
     assert len(rows) == len(ROWS)
     mass = sum(r.n_tokens * r.probability for r in rows)
     for m, shares in targets.items():
         for value, share in shares.items():
             got = sum(r.n_tokens * r.probability for r in rows if r[m] == value) / mass
-            assert got == pytest.approx(share, abs=1e-6)
+            assert got == pytest.approx(share, abs=1e-4)
     assert max(r.probability for r in rows) == 1.0
     kept = [r for r in rows if r.kept]
     assert len(kept) == pytest.approx(sum(r.probability for r in rows), abs=60)
@@ -28,18 +28,18 @@ def test_sampled_shares_meet_the_targets(spark):
 
 def test_draws_are_repeatable_and_follow_the_seed(spark):
     docs = frame(spark, ROWS)
-    a, b, c = ([r.doc_id for r in mixing.sampled(docs, seed=s).orderBy("doc_id").collect()] for s in (1, 1, 2))
+    a, b, c = ([r.doc_id for r in mixing.sampled(docs, rounds=1, seed=s).orderBy("doc_id").collect()] for s in (1, 1, 2))
     assert a == b != c
-    assert mixing.sampled(docs).columns == docs.columns
+    assert mixing.sampled(docs, rounds=1).columns == docs.columns
 
 
 def test_mixing_takes_odd_rows_values_without_target_and_empty_tables(spark):
     rows = odd_rows() + [(None, "x y"), (None, None)]
-    assert len(mixing.mix(frame(spark, rows)).collect()) == len(rows)
-    only = mixing.mix(frame(spark, ROWS), {"source": {"a": 1.0, "not there": 5.0}}).collect()
+    assert len(mixing.mix(frame(spark, rows), rounds=2).collect()) == len(rows)
+    only = mixing.mix(frame(spark, ROWS), {"source": {"a": 1.0, "not there": 5.0}}, rounds=2).collect()
     assert {r.probability for r in only if r.source == "b"} == {0.0}
-    assert mixing.mix(frame(spark, [])).collect() == []
-    blank = mixing.mix(frame(spark, [(1, None), (2, "")])).collect()
+    assert mixing.mix(frame(spark, []), rounds=2).collect() == []
+    blank = mixing.mix(frame(spark, [(1, None), (2, "")]), rounds=2).collect()
     assert {r.n_tokens for r in blank} == {0}
 
 
