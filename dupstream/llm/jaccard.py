@@ -341,6 +341,21 @@ def _share_prefixes(x, y, n_x: int, n_y: int) -> bool:
                for p, q in zip(x, y))
 
 
+def _passing_pairs(percent: int):
+    """Pairs (a, b) that share enough of their prefixes under every further order and
+    whose whole sets are similar."""
+    similar = _similar(percent)
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            xa, xb, pa_, pb_ = (batch.column(c) for c in ("xa", "xb", "pa", "pb"))
+            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())
+            keep = [_share_prefixes(pa_[i], pb_[i], *n) and similar(xa[i], xb[i], *n) for i, n in enumerate(sizes)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def _similar(percent: int):
     def test(x, y, n_x, n_y):
         common = _meet(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
@@ -352,20 +367,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, filtered: bool, s
     """Links among stored candidate pairs: filtered by every further order if asked
     for, then compared whole.  Only sets that some pair needs are moved."""
     spark = pairs.sparkSession
-
-    def with_sides(pairs, column):
-        needed = C.stored(spark, pairs.select(F.col("a").alias("doc"))
-                          .unionAll(pairs.select("b")).distinct(), "needed")
-        moved = sets.select("doc", "n", column).join(
-            F.broadcast(needed) if needed.count() <= small_ids else needed, "doc", "left_semi")
-        for side in ("a", "b"):
-            pairs = pairs.join(moved.select(F.col("doc").alias(side), F.col(column).alias(f"x{side}"),
-                                            F.col("n").alias(f"n{side}")), side)
-        return pairs.select("a", "b", "xa", "xb", "na", "nb")
+    needed = C.stored(spark, pairs.select(F.col("a").alias("doc")).unionAll(pairs.select("b")).distinct(), "needed")
+    moved = sets.select("doc", "n", "tokens", *(["prefixes"] if filtered else [])).join(
+        F.broadcast(needed) if needed.count() <= small_ids else needed, "doc", "left_semi")
+    for side in ("a", "b"):
+        more = [F.col("prefixes").alias(f"p{side}")] if filtered else []
+        pairs = pairs.join(moved.select(F.col("doc").alias(side), F.col("tokens").alias(f"x{side}"),
+                                        F.col("n").alias(f"n{side}"), *more), side)
     if filtered:
-        pairs = C.stored(spark, with_sides(pairs, "prefixes").mapInArrow(_kept_pairs(_share_prefixes), "a long, b long"),
-                         "filtered")
-    return with_sides(pairs, "tokens").mapInArrow(_kept_pairs(_similar(percent)), "a long, b long")
+        return pairs.select("a", "b", "xa", "xb", "na", "nb", "pa", "pb").mapInArrow(
+            _passing_pairs(percent), "a long, b long")
+    return pairs.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(_kept_pairs(_similar(percent)), "a long, b long")
 
 
 def _star_pairs(stars: DataFrame, turn: int, percent: int, partners: int) -> DataFrame:
