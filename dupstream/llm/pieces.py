@@ -157,7 +157,7 @@ def _coder(path: str, chars: int, carry: tuple[str, ...]):
                     size += len(texts[to])
                     to += 1
                 packed = encode_batch(m, texts[at:to], cache)
-                decoded = m.library.decode([np.frombuffer(p, "<u4").tolist() for p in packed])
+                decoded = m.library.decode([np.frombuffer(p, "<u4").tolist() for p in packed], num_threads=1)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(at, to - at) for c in carry), pa.array(packed, pa.binary()),
                      pa.array(decoded, pa.string())], names=[*carry, "ids", "decoded"])
