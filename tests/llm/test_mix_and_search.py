@@ -43,6 +43,69 @@ def test_mixing_takes_odd_rows_values_without_target_and_empty_tables(spark):
     assert {r.n_tokens for r in blank} == {0}
 
 
+def test_sampled_shares_meet_the_targets_closely_after_thirty_rounds(spark):
+    targets = {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.2, "de": 0.3, "": 0.5}}
+    rows = mixing.mix(frame(spark, ROWS), targets, rounds=30).collect()
+    mass = sum(r.n_tokens * r.probability for r in rows)
+    for m, shares in targets.items():
+        for value, share in shares.items():
+            got = sum(r.n_tokens * r.probability for r in rows if r[m] == value) / mass
+            assert got == pytest.approx(share, abs=1e-6)
+
+
+BOUND = [("web", "en", 9_000_000), ("web", "de", 1_000), ("news", "de", 1_000_000), ("news", "en", 1_000),
+         ("code", "en", 500_000), ("code", "fr", 2_000)]
+
+
+def raked_shares(spark, cells, targets):
+    """Raked shares of the margins' values at production defaults, and the residual."""
+    df = spark.createDataFrame([(s, g, "plain", n) for s, g, n in cells], "source string, lang string, topic string, mass long")
+    aims = {m: spark.createDataFrame(list(v.items()), "value string, share double") for m, v in targets.items()}
+    raked, left = mixing.rake(df, aims)
+    rows = raked.collect()
+    whole = sum(r.raked for r in rows)
+    return {m: {v: sum(r.raked for r in rows if r[m] == v) / whole for v in targets[m]} for m in targets}, left
+
+
+@pytest.mark.parametrize("source,lang", [((0.4, 0.4, 0.2), (0.5, 0.4, 0.1)), ((0.4, 0.3, 0.3), (0.5, 0.45, 0.05))])
+def test_targets_are_met_where_sources_and_languages_are_nearly_bound(spark, source, lang):
+    targets = {"source": dict(zip(("web", "news", "code"), source)), "lang": dict(zip(("en", "de", "fr"), lang)),
+               "topic": {"plain": 1.0}}
+    got, left = raked_shares(spark, BOUND, targets)
+    assert left <= mixing.TOLERANCE
+    for m in targets:
+        assert got[m] == pytest.approx(targets[m], abs=1.01 * mixing.TOLERANCE)
+
+
+def test_large_cell_tables_are_raked_as_far(spark, monkeypatch):
+    cells = [("web", "en", 9_000), ("web", "de", 900), ("news", "de", 4_000), ("news", "en", 300)]
+    targets = {"source": {"web": 0.3, "news": 0.7}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"plain": 1.0}}
+    here, _ = raked_shares(spark, cells, targets)
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+    got, left = raked_shares(spark, cells, targets)
+    assert left <= mixing.TOLERANCE
+    for m in targets:
+        assert got[m] == pytest.approx(targets[m], abs=1.01 * mixing.TOLERANCE)
+        assert got[m] == pytest.approx(here[m], abs=1e-9)
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    docs = frame(spark, ROWS).filter("(source = 'a') = (lang = 'en')")      # each language has one source
+    with pytest.warns(RuntimeWarning, match="from its target"):
+        mixing.chances(docs, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "de": 0.1}})
+
+
+def test_mixing_at_production_rounds_takes_odd_rows_and_follows_the_seed(spark):
+    docs = frame(spark, ROWS)
+    a, b, c = ([r.doc_id for r in mixing.sampled(docs, seed=s).orderBy("doc_id").collect()] for s in (1, 1, 2))
+    assert a == b != c
+    rows = odd_rows() + [(None, "x y"), (None, None)]
+    assert len(mixing.mix(frame(spark, rows)).collect()) == len(rows)
+    only = mixing.mix(frame(spark, ROWS), {"source": {"a": 1.0, "not there": 5.0}}).collect()
+    assert {r.probability for r in only if r.source == "b"} == {0.0}
+    assert mixing.mix(frame(spark, [])).collect() == []
+
+
 def brute_nearest(rows, k, every):
     good = {}
     for i, v in rows:
