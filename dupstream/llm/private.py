@@ -1,7 +1,8 @@
 """Format-preserving Feistel pseudonyms for personal data, in built-in functions.
 
 One pattern finds candidates; each kind has its own validity test (check digit,
-calendar, number ranges), and what fails it is left as it is.  A valid value is a
+calendar, number ranges), and what fails it, or is part of a longer run of digits and
+the format's separator, is left as it is.  A valid value is a
 point of its format's domain, written as a pair of residues ``(l mod a, r mod b)``
 with ``a * b`` the size of the domain, and goes through ``ROUNDS`` keyed Feistel
 rounds, each adding a hash of one half to the other.  That is a permutation of the
@@ -32,13 +33,22 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 KEY = "change-me"
 
-# Formats.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"(?<![\d(])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?![\d])"
-SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
-DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
-CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+
+def _day(form: str, sep: str) -> str:
+    """A date outside a longer run of digits and separators; two dates joined by the
+    separator are an interval."""
+    return (rf"(?<!\d)(?:(?<!\d{sep})|(?<=(?<!\d)(?<!\d{sep}){form}{sep})){form}"
+            rf"(?!\d)(?:(?!{sep}\d)|(?={sep}{form}(?!\d)(?!{sep}\d)))")
+
+
+# Formats.  Only a longer run of digits and the format's own separator
+# hides a value; other neighbours do not.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+PHONE = r"(?<!\d)(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?![\d])"
+SSN = r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?!\d)(?!-\d)"
+IP = r"(?<!\d)(?<!\d\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
+DATE = "|".join((_day(r"\d{4}-\d{2}-\d{2}", "-"), _day(r"\d{2}/\d{2}/\d{4}", "/"), _day(r"\d{2}\.\d{2}\.\d{4}", r"\.")))
+CARD = r"(?<!\d)(?<!\d-)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 FOUND = "|".join((EMAIL, DATE, IP, SSN, CARD, PHONE))
 
 
@@ -160,7 +170,10 @@ def _shifted(text: Column, stream: Column) -> Column:
 
 
 def _email(value: Column, key: str) -> tuple[Column, Column]:
-    local = F.substring_index(value, "@", 1)
+    # signs before the first letter or digit are not part of the value
+    lead = F.regexp_extract(value, "^[._%+-]*", 0)
+    whole = F.substring_index(value, "@", 1)
+    local = F.substring(whole, F.length(lead) + 1, F.length(whole))
     half = (F.length(local) / 2).cast("int")
     def turn(pair, i):
         even = i % 2 == 0
@@ -169,8 +182,8 @@ def _email(value: Column, key: str) -> tuple[Column, Column]:
                         F.when(even, pair.r).otherwise(_shifted(pair.r, stream(pair.l))).alias("r"))
     new = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(
         F.substring(local, F.lit(1), half).alias("l"), F.substring(local, half + 1, F.length(local) - half).alias("r")), turn)
-    return F.lit(True), F.concat(F.transform(F.array(new), lambda p: F.concat(p.l, p.r))[0],
-                                 F.substring(value, F.length(local) + 1, F.length(value)))
+    return F.lit(True), F.concat(lead, F.transform(F.array(new), lambda p: F.concat(p.l, p.r))[0],
+                                 F.substring(value, F.length(whole) + 1, F.length(value)))
 
 
 def _pseudonym(value: Column, key: str) -> Column:

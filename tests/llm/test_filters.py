@@ -88,6 +88,32 @@ def test_valid_values_change_within_their_format(spark):
             assert all(0 <= int(x) <= 255 for x in m[1].split("."))
 
 
+NEXT_TO = [("SSN-", "123-45-6789", ""), ("card-", "4111111111111111", ""), ("DOB-", "1999-12-31", ""), ("born.", "12/31/1999", ""),
+           ("-", "jo@x.example.com", ""), ("...", "jo.Doe9@mail.example.com", ""), ("host.", "10.1.2.3", "."), ("(", "988-555-2485", ")"),
+           ("((", "+1 (988) 555-2485", "))"), ("-", "123-45-6789", "-"), ("/", "31.12.1999", "/x"), ("-", "4111 1111 1111 1111", "-"),
+           ("no 5/", "2024-02-29", "/7"), ("", "2024-02-29", ".5"), ("", "12/31/1999", "-"), ("", "123-45-6789", "/5")]
+INTERVALS = ["2024-02-29/2024-03-01", "2024-02-29-2024-03-01", "12/31/1999-01/02/2000", "12/31/1999/01/02/2000", "31.12.1999-02.01.2000",
+             "123-45-6789/187-65-4321"]
+RUNS = ["1-123-45-6789", "123-45-6789-1", "12-4111111111111111", "5-2024-02-29", "2024-02-29-5", "1/12/31/1999", "12/31/1999/5",
+        "1.31.12.1999", "31.12.1999.5", "2024-02-29-2024-03-01-2024", "1.10.1.2.3", "10.1.2.3.4"]
+
+
+def test_neighbours_hide_no_valid_value(spark):
+    rows = [(i, f"see {a}{v}{b} here") for i, (a, v, b) in enumerate(NEXT_TO)] + [(100 + i, v) for i, (_, v, _) in enumerate(NEXT_TO)]
+    got = {r.doc_id: r for r in private.pseudonymise(frame(spark, rows)).collect()}
+    for i, (a, v, b) in enumerate(NEXT_TO):
+        alone = got[100 + i].text
+        assert got[i].n_found == 1 and alone != v
+        assert got[i].text == f"see {a}{alone}{b} here"                       # linked to the value that stands alone
+
+
+def test_intervals_are_two_values_and_longer_runs_none(spark):
+    rows = [(i, v) for i, v in enumerate(INTERVALS)] + [(100 + i, v) for i, v in enumerate(RUNS)]
+    got = {r.doc_id: r for r in private.pseudonymise(frame(spark, rows)).collect()}
+    assert {i: got[i].n_found for i in range(len(INTERVALS))} == {i: 2 for i in range(len(INTERVALS))}
+    assert [got[100 + i].text for i in range(len(RUNS))] == RUNS
+
+
 def test_equal_values_stay_linked_and_keys_matter(spark):
     docs = frame(spark, [(1, "4111111111111111"), (2, "4111 1111 1111 1111"), (3, "x 4111111111111111 y")])
     a = [re.sub(r"\D", "", r.text) for r in private.pseudonymise(docs).collect()]
