@@ -39,6 +39,21 @@ def stored(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Freed memory of a Python worker to the system: workers are reused by later
+    stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):            # another C library
+        pass
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of all texts (one column-pruned aggregate)."""
     row = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("b")).first()

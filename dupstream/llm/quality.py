@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from dupstream.llm import common as C
 
 FEATURES = 1 << 18
-SAMPLE = 1_500                 # rated documents of each grade that the fit may use
+SAMPLE = 2_500                 # rated documents of each grade that the fit may use
 SAMPLE_BYTES = 16 << 10        # longer documents are not drawn for the fit; all are scored whole
 GRADES = 3
 STEPS = 100
@@ -188,6 +188,7 @@ def fit_sample(sample: DataFrame, levels: int = GRADES) -> Model | None:
             return pa.table({"weights": pa.array([], pa.binary()), "thresholds": pa.array([], pa.list_(pa.float64()))})
         data, offsets = C.string_buffers(table.column("text"))
         model = fit(data, offsets, grades, levels)
+        C.give_back()
         return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()),
                          "thresholds": pa.array([model.thresholds.tolist()], pa.list_(pa.float64()))})
     rows = (sample.withColumn("one", F.lit(0)).groupBy("one")

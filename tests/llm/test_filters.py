@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dupstream.llm import private, quality, urls
+from dupstream.llm.common import table
 from dupstream.llm.queries import URL_RULES
+from tests.conftest import SF0001
 from tests.llm.helpers import frame, odd_rows
 
 
@@ -174,3 +176,15 @@ def test_classifier_takes_odd_rows_and_missing_ratings(spark):
     two = spark.createDataFrame([(8, 2), (9, 0)], "doc_id long, grade int")
     assert len(quality.grade(frame(spark, rows), two).collect()) == len(rows)
     assert quality.grade(frame(spark, []), two).collect() == []
+
+
+def test_the_fit_may_use_2500_documents_of_a_grade(spark):
+    docs = spark.range(5_400).selectExpr("id AS doc_id", "'some text' AS text")
+    ratings = spark.range(5_400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS grade")
+    assert {r.grade: r["count"] for r in quality.rated_sample(docs, ratings).groupBy("grade").count().collect()} == {0: 2500, 1: 2500}
+
+
+def test_toxic_and_poor_rated_documents_are_rejected(spark):
+    docs, labels = table(spark, SF0001, "documents"), quality.graded_labels(table(spark, SF0001, "labels"))
+    got = quality.grade(docs, labels).join(labels, "doc_id").filter("grade < 2").collect()
+    assert got and sum(not r.kept for r in got) / len(got) > 0.9
