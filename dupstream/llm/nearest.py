@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from dupstream.llm import common as C
 
 PROJECTIONS = 8
-CONFIDENCE = 0.97
+CONFIDENCE = 0.99
 K = 20
 QUERY_EVERY = 20
 CELL_POINTS = 8_192

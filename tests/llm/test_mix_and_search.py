@@ -146,6 +146,21 @@ def test_nearest_recall_scores_and_order(spark):
             assert s == pytest.approx(float((truth[j] * truth[q]).sum()), rel=1e-12)
 
 
+def test_recall_on_clustered_vectors_at_production_parameters(spark):
+    assert nearest.CONFIDENCE == 0.99
+    rng = np.random.default_rng(3)
+    centres, basis = 2 * rng.standard_normal((50, 4)), rng.standard_normal((4, 16))
+    v = (centres[rng.integers(0, 50, 9000)] + 0.3 * rng.standard_normal((9000, 4))) @ basis
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in nearest.nearest(df).collect()}
+    queries = np.arange(0, 9000, nearest.QUERY_EVERY)
+    scores = v[queries] @ v.T
+    scores[np.arange(len(queries)), queries] = -9
+    want = {(int(q), int(j)) for q, row in zip(queries, np.argsort(-scores, axis=1)[:, :nearest.K]) for j in row}
+    assert len(got & want) / len(want) >= 0.99
+
+
 def test_nearest_with_few_or_no_candidates(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (20, [0.0, -1.0])], schema)
