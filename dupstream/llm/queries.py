@@ -88,6 +88,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    from dupstream.llm.simhash import simhash_groups
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -99,4 +105,5 @@ REGISTRY = {
     "op8_nearest": op8_nearest,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op13_simhash": op13_simhash,
 }
