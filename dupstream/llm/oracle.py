@@ -74,9 +74,43 @@ SELECT doc_id, source, lang, topic, n_tokens, probability,
 FROM d JOIN p USING (source, lang, topic)"""
 
 
+def _phrase_sql(support: int = 30, top: int = 2000) -> str:
+    return f"""
+WITH piece AS (SELECT lang, row_number() OVER () AS pid, piece
+               FROM (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\\x0A-\\x0D]')) AS piece
+                     FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS x FROM documents))),
+w AS (SELECT lang, pid, unnest(ws) AS w1, unnest(generate_series(1, len(ws))) AS pos
+      FROM (SELECT lang, pid, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM piece)),
+four AS (SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4
+         FROM w WINDOW p AS (PARTITION BY pid ORDER BY pos)),
+run AS (SELECT lang, 1 AS size, [w1] AS words FROM four
+        UNION ALL SELECT lang, 2, [w1, w2] FROM four WHERE w2 IS NOT NULL
+        UNION ALL SELECT lang, 3, [w1, w2, w3] FROM four WHERE w3 IS NOT NULL
+        UNION ALL SELECT lang, 4, [w1, w2, w3, w4] FROM four WHERE w4 IS NOT NULL),
+f AS (SELECT lang, size, words, count(*) AS f FROM run GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, words, f AS a FROM f WHERE size > 1 AND f >= {support}),
+cut AS (SELECT lang, size, words, a, unnest(generate_series(1, size - 1)) AS k FROM cand),
+scored AS (SELECT cut.lang, cut.words, a, k, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f + q.f))::BIGINT AS score
+           FROM cut JOIN f p ON p.lang = cut.lang AND p.words = list_slice(cut.words, 1, k)
+           JOIN f q ON q.lang = cut.lang AND q.words = list_slice(cut.words, k + 1, cut.size)),
+weak AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+inner_run AS (SELECT lang, a, n, unnest(generate_series(1, size - n + 1)) AS i, words
+              FROM cand, (VALUES (2), (3)) AS s(n) WHERE size > n),
+covered AS (SELECT DISTINCT cand.lang, cand.words FROM cand
+            JOIN inner_run o ON o.lang = cand.lang AND list_slice(o.words, o.i, o.i + o.n - 1) = cand.words
+            WHERE 100::HUGEINT * o.a >= 80::HUGEINT * cand.a),
+left_over AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score
+              FROM weak ANTI JOIN covered USING (lang, words))
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+JOIN total USING (lang) WHERE rank <= {top}"""
+
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _substring_sql(),
     "op2_ngram_jaccard": _jaccard_sql(),
     "op3_mix_sources": _mix_sql(),
     "op7_exact_dedup": _EXACT_SQL,
+    "op12_phrases": _phrase_sql(),
 }

@@ -88,6 +88,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first collocations of two to four words."""
+    from dupstream.llm.phrases import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     from dupstream.llm.simhash import simhash_groups
@@ -105,5 +111,6 @@ REGISTRY = {
     "op8_nearest": op8_nearest,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op12_phrases": op12_phrases,
     "op13_simhash": op13_simhash,
 }
