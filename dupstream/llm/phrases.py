@@ -38,7 +38,7 @@ from dupstream.llm import common as C
 
 SUPPORT = 30
 LONGEST = 4
-SHARDS = 10
+SHARDS = 5
 TOP = 2000
 COVERED = 80                     # per cent of a phrase's count that a longer one must reach
 SCALE = 2_000_000
