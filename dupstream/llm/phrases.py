@@ -38,13 +38,14 @@ from dupstream.llm import common as C
 
 SUPPORT = 30
 LONGEST = 4
-SHARDS = 5
+SHARDS = 3
 TOP = 2000
 COVERED = 80                     # per cent of a phrase's count that a longer one must reach
 SCALE = 2_000_000
 BLOCK = 2 << 20                  # bytes of text in work at once
 LEAST_BITS, MOST_BITS = 20, 28   # powers of two; 2**28 bits are 32 MB
 CHUNK_BITS = 20
+HELD = 1 << 18                   # rows of local sums held by a task
 SALTS = 64                       # parts in which a language's phrases are ranked first
 
 # Bytes that end a piece, and bytes that end a word inside it.
@@ -88,15 +89,16 @@ class Words:
         at = np.arange(max(0, self.fresh - n + 1), len(self.ids) - n + 1)
         return at[self.piece[at] == self.piece[at + n - 1]]
 
-    def run_hashes(self, at: np.ndarray, n: int, salt: np.ndarray) -> np.ndarray:
-        """Hashes of runs of ``n`` words; ``salt`` is the hash of each run's language."""
-        h = salt + np.uint64(n)
-        for j in range(n):
-            h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[at + j])
-        return h
+    def longer(self, h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the runs of ``n`` words that start at ``at``, from those of their
+        first ``n - 1`` words (of none: the hash of each run's language)."""
+        return C.mix(h * np.uint64(0x9E3779B97F4A7C15) + self.hashes[at + n - 1])
 
+    def pairs(self, at: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return self.longer(self.longer(salt, at, 1), at, 2)
 
-def word_runs(data: np.ndarray, offsets: np.ndarray, carry: int = LONGEST - 1, most: int = BLOCK):
+
+def word_runs(data: np.ndarray, offsets: np.ndarray, most: int, carry: int = LONGEST - 1):
     """(first text, Words) of blocks of consecutive texts.  A text above ``most`` bytes
     is cut between words; each later block of it starts ``carry`` words early."""
     for i, j in C.spans(offsets, most):
@@ -183,27 +185,32 @@ class _Tally:
                                               pa.array(count.astype(np.int64))], names=["shard", "h", "n"])
 
 
-def _mining(lengths: tuple, inside=None):
-    """Local counts of runs of the given lengths; with ``inside`` (broadcast bit table)
-    only of those all of whose pairs are frequent in the shard."""
+def _mining(block: int, inside=None):
+    """Local counts of pairs or, with ``inside`` (broadcast bit table), of longer runs
+    all of whose pairs are frequent in the shard."""
     def run(batches):
         tally = _Tally()
         for batch in batches:
             data, offsets = C.string_buffers(batch.column(0))
             _, salts, _ = _languages(batch.column(1))
             shards = batch.column(2).to_numpy().astype(np.int8)
-            for first, words in word_runs(data, offsets):
+            for first, words in word_runs(data, offsets, block):
                 where = words.text + first
-                if inside is not None:
-                    pairs = np.arange(max(0, len(words.ids) - 1))
-                    h = words.run_hashes(pairs, 2, salts[where[pairs]])
-                    good = inside.value.held(C.mix(h ^ _shard_salt(shards[where[pairs]])))
-                    good = np.concatenate([[0], np.cumsum(good)])
-                for n in lengths:
-                    at = words.runs(n)
-                    if inside is not None:
-                        at = at[good[at + n - 1] - good[at] == n - 1]
-                    tally.add(shards[where[at]], words.run_hashes(at, n, salts[where[at]]))
+                if inside is None:
+                    at = words.runs(2)
+                    tally.add(shards[where[at]], words.pairs(at, salts[where[at]]))
+                else:
+                    at = np.arange(max(0, len(words.ids) - 1))
+                    h = words.pairs(at, salts[where[at]])
+                    good = np.zeros(len(words.ids), bool)
+                    good[at] = inside.value.held(C.mix(h ^ _shard_salt(shards[where[at]])))
+                    for n in range(3, LONGEST + 1):
+                        fine = at + n <= len(words.ids)
+                        at, h = at[fine], h[fine]
+                        fine = good[at] & good[at + n - 2] & (words.piece[at] == words.piece[at + n - 1])
+                        at, h = at[fine], words.longer(h[fine], at[fine], n)
+                        new = at + n > words.fresh
+                        tally.add(shards[where[at[new]]], h[new])
                 if tally.size > tally.most:
                     yield from tally.out()
         if tally.parts:
@@ -212,33 +219,59 @@ def _mining(lengths: tuple, inside=None):
     return run
 
 
-def _counting(inside):
-    """Local counts of words and of the united phrases, spelled out."""
+def _spelled(words: Words, at: np.ndarray, n: int, where: np.ndarray, codes: np.ndarray, known: list):
+    """Table of the distinct runs of ``n`` words that start at ``at``, with counts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    key = codes[where[at]]
+    for j in range(n):                             # equal keys: same language and same words
+        _, some, key = np.unique(key * len(words.vocabulary) + words.ids[at + j], return_index=True, return_inverse=True)
+    some = at[some]
+    parts = [words.vocabulary.take(pa.array(words.ids[some + j])).cast(pa.large_string()) for j in range(n)]
+    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if n > 1 else parts[0]
+    lang = pa.array(known, pa.large_string()).take(pa.array(codes[where[some]]))
+    return pa.table({"lang": lang.cast(pa.string()), "phrase": phrase.cast(pa.string()), "n": pa.array(np.bincount(key).astype(np.int64))})
+
+
+def _counting(block: int, inside, most: int):
+    """Local counts of words and of the united phrases, spelled out; sums are put out
+    when they are still more than ``4 * most`` rows."""
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
+
+        def out(tables):
+            whole = pa.concat_tables(tables).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+            return whole.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+
+        held, size, floor = [], 0, most
         for batch in batches:
             data, offsets = C.string_buffers(batch.column(0))
             codes, salts, known = _languages(batch.column(1))
-            for first, words in word_runs(data, offsets):
-                size = len(words.vocabulary)
+            for first, words in word_runs(data, offsets, block):
                 where = words.text + first
+                at = np.arange(len(words.ids))
+                h = words.longer(salts[where[at]], at, 1)
                 for n in range(1, LONGEST + 1):
-                    at = words.runs(n)
                     if n > 1:
-                        at = at[inside.value.held(words.run_hashes(at, n, salts[where[at]]))]
-                    if not len(at):
-                        continue
-                    key = codes[where[at]]
-                    for j in range(n):             # equal keys: same language and same words
-                        _, some, key = np.unique(key * size + words.ids[at + j], return_index=True, return_inverse=True)
-                    count = np.bincount(key)
-                    some = at[some]
-                    parts = [words.vocabulary.take(pa.array(words.ids[some + j])).cast(pa.large_string()) for j in range(n)]
-                    phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if n > 1 else parts[0]
-                    lang = pa.array(known, pa.string()).take(pa.array(codes[where[some]]))
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(some), n, np.int8)), phrase.cast(pa.string()),
-                                                      pa.array(count.astype(np.int64))], names=["lang", "size", "phrase", "n"])
+                        fine = at + n <= len(words.ids)
+                        at, h = at[fine], h[fine]
+                        fine = words.piece[at] == words.piece[at + n - 1]
+                        at, h = at[fine], words.longer(h[fine], at[fine], n)
+                        found = inside.value.held(h)
+                        at, h = at[found], h[found]    # a run is united only if its first words are
+                    new = at[at + n > words.fresh]
+                    if len(new):
+                        held.append(_spelled(words, new, n, where, codes, known))
+                        size += held[-1].num_rows
+                if size > floor:
+                    held = [out(held)]
+                    size = held[0].num_rows
+                    floor = max(most, 2 * size)
+                    if size > 4 * most:
+                        yield from held[0].to_batches()
+                        held, size, floor = [], 0, most
+        if held:
+            yield from out(held).to_batches()
         C.give_back()
     return run
 
@@ -257,12 +290,14 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         .select("shard", "h"), what)
 
     schema = "shard byte, h long, n long"
-    pairs = frequent(rows.mapInArrow(_mining((2,)), schema), "phrase-pairs")
+    pairs = frequent(rows.mapInArrow(_mining(BLOCK), schema), "phrase-pairs")
     of_shard = spark.sparkContext.broadcast(bit_table(pairs.mapInArrow(_sharded, "h long")))
-    longer = frequent(rows.mapInArrow(_mining(tuple(range(3, LONGEST + 1)), of_shard), schema), "phrase-runs")
+    longer = frequent(rows.mapInArrow(_mining(BLOCK, of_shard), schema), "phrase-runs")
     united = spark.sparkContext.broadcast(bit_table(pairs.unionAll(longer).select("h").distinct()))
-    return (rows.select("text", "lang").mapInArrow(_counting(united), "lang string, size byte, phrase string, n long")
-            .groupBy("lang", "size", "phrase").agg(F.sum("n").alias("f")).filter((F.col("size") == 1) | (F.col("f") >= support)))
+    return (rows.select("text", "lang").mapInArrow(_counting(BLOCK, united, HELD), "lang string, phrase string, n long")
+            .groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+            .select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "f")
+            .filter((F.col("size") == 1) | (F.col("f") >= support)))
 
 
 def _sharded(batches):
@@ -285,7 +320,7 @@ def collocations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     totals = counts.filter("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
     parts = counts.filter((F.col("size") < LONGEST) & (F.col("f") >= support)).select("lang", F.col("phrase").alias("part"), "f")
     words = F.split("phrase", " ")
-    candidates = counts.filter("size > 1").select("lang", "phrase", F.col("size").cast("int").alias("size"), F.col("f").alias("a"),
+    candidates = counts.filter("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"),
                                                   words.alias("words"))
     cut = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
     cut = cut.select("lang", "phrase", "a", "k", _joined(F.col("words"), 1, F.col("k") + 1).alias("head"),

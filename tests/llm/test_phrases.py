@@ -89,4 +89,6 @@ def test_a_crowded_bit_table_changes_no_result(spark, monkeypatch):
     monkeypatch.setattr(phrases, "LEAST_BITS", 3)
     monkeypatch.setattr(phrases, "MOST_BITS", 6)
     monkeypatch.setattr(phrases, "CHUNK_BITS", 3)
+    monkeypatch.setattr(phrases, "HELD", 20)
+    monkeypatch.setattr(phrases, "BLOCK", 200)
     assert got(phrases.collocations(docs, support=8, shards=4)) == want
