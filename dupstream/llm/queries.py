@@ -88,6 +88,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    from dupstream.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first collocations of two to four words."""
     from dupstream.llm.phrases import collocations
@@ -111,6 +117,7 @@ REGISTRY = {
     "op8_nearest": op8_nearest,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
     "op12_phrases": op12_phrases,
     "op13_simhash": op13_simhash,
 }
