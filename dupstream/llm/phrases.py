@@ -45,7 +45,7 @@ SCALE = 2_000_000
 BLOCK = 2 << 20                  # bytes of text in work at once
 LEAST_BITS, MOST_BITS = 20, 28   # powers of two; 2**28 bits are 32 MB
 CHUNK_BITS = 20
-HELD = 1 << 18                   # rows of local sums held by a task
+HELD = 1 << 17                   # rows of local sums held by a task
 SALTS = 64                       # parts in which a language's phrases are ranked first
 
 # Bytes that end a piece, and bytes that end a word inside it.
@@ -168,7 +168,7 @@ def _shard_salt(shard: np.ndarray) -> np.ndarray:
 class _Tally:
     """Counts of (shard, hash) of a task, put out when ``most`` are held."""
 
-    def __init__(self, most: int = 1 << 21):
+    def __init__(self, most: int = 1 << 20):
         self.most, self.size, self.parts = most, 0, []
 
     def add(self, shard: np.ndarray, h: np.ndarray) -> None:
@@ -235,7 +235,7 @@ def _spelled(words: Words, at: np.ndarray, n: int, where: np.ndarray, codes: np.
 
 def _counting(block: int, inside, most: int):
     """Local counts of words and of the united phrases, spelled out; sums are put out
-    when they are still more than ``4 * most`` rows."""
+    when they are still more than ``2 * most`` rows."""
     def run(batches):
         import pyarrow as pa
 
@@ -267,7 +267,7 @@ def _counting(block: int, inside, most: int):
                     held = [out(held)]
                     size = held[0].num_rows
                     floor = max(most, 2 * size)
-                    if size > 4 * most:
+                    if size > 2 * most:
                         yield from held[0].to_batches()
                         held, size, floor = [], 0, most
         if held:
