@@ -54,6 +54,35 @@ def give_back() -> None:
         pass
 
 
+_worker: dict = {"at": None, "drops": []}
+
+
+def enter(operator: str) -> None:
+    """Called by a task's Python code: a worker that last worked for another operator
+    drops that one's caches and gives their memory back first."""
+    if _worker["at"] not in (None, operator):
+        for drop in _worker["drops"]:
+            drop()
+        _worker["drops"].clear()
+        give_back()
+    _worker["at"] = operator
+
+
+def keep_until_left(drop) -> None:
+    """``drop`` empties a cache of the operator entered last."""
+    if drop not in _worker["drops"]:
+        _worker["drops"].append(drop)
+
+
+def tidy(operator: str, run):
+    """``run``, a function for ``mapInArrow``, between ``enter`` and ``give_back``."""
+    def whole(batches):
+        enter(operator)
+        yield from run(batches)
+        give_back()
+    return whole
+
+
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """Total UTF-8 bytes of all texts (one column-pruned aggregate)."""
     row = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("b")).first()

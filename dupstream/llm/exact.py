@@ -108,10 +108,10 @@ def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-C.text_bytes(rows) // RANGE_BYTES))
     # the row to keep sorts last of its run, so ids run downwards for "smallest"
     by_id = F.col("doc_id").asc_nulls_first() if keep == "largest" else F.col("doc_id").desc_nulls_first()
-    runs = (rows.mapInArrow(_normalised, "doc_id long, head binary, fp long, norm binary")
+    runs = (rows.mapInArrow(C.tidy("exact", _normalised), "doc_id long, head binary, fp long, norm binary")
             .repartitionByRange(parts, "head", "fp", by_id)
             .sortWithinPartitions("head", "fp", "norm", by_id)
-            .mapInArrow(_neighbours if keep == "largest" else _neighbours_down,
+            .mapInArrow(C.tidy("exact", _neighbours if keep == "largest" else _neighbours_down),
                         "doc_id long, best long, n long, last boolean, border boolean, digest binary, part int"))
     runs = C.stored(spark, runs, "exact")
     best = F.max if keep == "largest" else F.min
@@ -146,7 +146,7 @@ def distinct_rows(docs: DataFrame, keep: str = "smallest") -> DataFrame:
             sums = [hashlib.sha256((x or "").encode().lower()).hexdigest() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=[*batch.schema.names, digest])
 
-    rows = docs.mapInArrow(digests, T.StructType([*docs.schema.fields, T.StructField(digest, T.StringType())]))
+    rows = docs.mapInArrow(C.tidy("exact", digests), T.StructType([*docs.schema.fields, T.StructField(digest, T.StringType())]))
     joined = rows.join(stay, rows["doc_id"].eqNullSafe(stay[at]) & (rows[digest] == stay["_exact_sha"]))
     # rows that repeat id and text come once
     once = F.row_number().over(Window.partitionBy(at, digest).orderBy(F.lit(0)))

@@ -124,7 +124,7 @@ def heavy_shingles(docs: DataFrame, n: int, most: int = HEAVY) -> Order:
     """The most frequent shingles.  Counts are summed over pieces of the input in
     which a shingle occurs more than once, so rare ones are left out early; they only
     set the orders, never a result."""
-    counted = (docs.select("text").mapInArrow(_heavy(n), "token long, n long")
+    counted = (docs.select("text").mapInArrow(C.tidy("jaccard", _heavy(n)), "token long, n long")
                .groupBy("token").agg(F.sum("n").alias("n")).filter("n > 3")
                .orderBy(F.desc("n"), "token").limit(most))
     rows = counted.toArrow()                               # at most ``most`` pairs of longs
@@ -421,7 +421,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, h
     # at most ``heavy`` shingles of 9 bytes
     orders = spark.sparkContext.broadcast(heavy_shingles(rows, n, heavy))
     table = C.stored(spark, rows.mapInArrow(
-        _prefixes(orders, n, percent, shards),
+        C.tidy("jaccard", _prefixes(orders, n, percent, shards)),
         "shard int, kind int, n int, tokens binary, docs binary, sizes binary, places binary")
         .groupBy("shard").applyInArrow(_shared(shards), ROWS), "shared")
     own, copies = (table.filter(F.col("kind") == k).select("token", "doc", "n") for k in (DOCUMENT, COPY))
@@ -432,7 +432,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, h
     common, candidates = candidates.withColumnRenamed("doc_id", "doc"), candidates.select("doc_id")
     few = candidates.count() <= small_ids
     sets = C.stored(spark, rows.join(F.broadcast(candidates) if few else candidates, "doc_id", "left_semi")
-                    .mapInArrow(_whole_sets(orders, n, percent), SETS), "sets")
+                    .mapInArrow(C.tidy("jaccard", _whole_sets(orders, n, percent)), SETS), "sets")
     links = copies.select(F.col("token").alias("a"), F.col("doc").alias("b"))
     labels = spark.createDataFrame([], "node long, component long")
     for turn in range(STAR_ROUNDS):

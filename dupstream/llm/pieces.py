@@ -24,7 +24,6 @@ import heapq
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dupstream.llm import common as C
@@ -148,6 +147,8 @@ def _coder(path: str, chars: int, carry: tuple[str, ...]):
         import numpy as np
         import pyarrow as pa
         m, cache = model(path), _cache(path)
+        C.keep_until_left(_cache.cache_clear)
+        C.keep_until_left(model.cache_clear)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
@@ -172,12 +173,4 @@ def encode_decode(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("d
     rows = docs.select(*carry, *(["text"] if "text" not in carry else []))
     schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField("ids", T.BinaryType()),
                            T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(_coder(model_path, slice_chars, tuple(carry)), schema)
-
-
-def unpacked(column: str = "ids"):
-    """The packed ids as ``array<long>`` (a Column over built-in functions)."""
-    h = F.hex(F.col(column))
-    return F.transform(F.sequence(F.lit(1), (F.octet_length(column) / 4).cast("int")),
-                       lambda i: F.conv(F.concat(*[F.substr(h, (i - 1) * 8 + 1 + 2 * k, F.lit(2))
-                                                   for k in (3, 2, 1, 0)]), 16, 10).cast("long"))
+    return rows.mapInArrow(C.tidy("pieces", _coder(model_path, slice_chars, tuple(carry))), schema)

@@ -182,6 +182,7 @@ def fit_sample(sample: DataFrame, levels: int = GRADES) -> Model | None:
     """Fit in one task on the bounded sample; None without two grades."""
     def run(table):
         import pyarrow as pa
+        C.enter("quality")
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         grades = np.clip(table.column("grade").to_numpy().astype(np.int64), 0, levels - 1)
         if len(np.unique(grades)) < 2:
@@ -225,7 +226,7 @@ def grade(docs: DataFrame, ratings: DataFrame, levels: int = GRADES, keep_tail:
 
     schema = T.StructType([*(rows.schema[c] for c in carry), T.StructField(names[0], T.DoubleType()),
                            T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(C.tidy("quality", run), schema)
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:

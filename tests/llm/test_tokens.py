@@ -16,12 +16,24 @@ ROWS = odd_rows() + [(None, "no id"), (70, "  two  spaces \n\nand\r\nlines\t"),
 
 def test_ids_and_decoded_text_as_the_library(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    got = pieces.encode_decode(frame(spark, ROWS), PIECES).withColumn("list", pieces.unpacked()).collect()
+    got = pieces.encode_decode(frame(spark, ROWS), PIECES).collect()
     want = sorted((str(d), lib.encode(t or "", add_bos=True, add_eos=True)) for d, t in ROWS)
-    assert sorted((str(r.doc_id), r.list) for r in got) == want
+    assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in got) == want
     assert sorted((str(r.doc_id), r.decoded) for r in got) == sorted((d, lib.decode(i)) for d, i in want)
 
 
+def test_a_worker_drops_the_caches_of_the_operator_it_left(monkeypatch):
+    monkeypatch.setattr(common, "_worker", {"at": None, "drops": []})
+    left = []
+    common.enter("a")
+    common.keep_until_left(left.append)
+    monkeypatch.setitem(common._worker, "drops", [lambda: left.append("a")])
+    common.enter("a")
+    assert left == []
+    assert list(common.tidy("b", lambda batches: (x + 1 for x in batches))([1, 2])) == [2, 3]
+    assert left == ["a"] and common._worker == {"at": "b", "drops": []}
+
+
 def test_the_agenda_alone_agrees_with_the_library():
     m = pieces.Model(PIECES)
     found = {w for _, t in ROWS if t and len(t) < 50_000 for w in m.split(t)}
