@@ -19,12 +19,17 @@ join here is lossless and equi-keyed:
   ``bits div (w+1)`` differ by at most one, so the bucket joins the key; the
   left side is replicated to its own and the next bucket (pairs in one bucket
   are taken once by ``a < b``), which splits hot bands (blank images).
+* **Second level.**  A (band, bucket) key with more than ``split_rows`` index rows
+  would still compare all of them with each other.  Only the rows of such keys
+  get a second pigeonhole: ``diff_dh <= k`` means one of ``k+1`` disjoint dHash
+  bands is equal too, so the key gains (dHash band, value), and a pair is kept at
+  its first equal one.  Rows of a hot key meet only where both hashes agree.
 * **Salting.**  Band keys still holding more than ``salt_rows`` rows on the
   index side are spread over several tasks: index rows take a salt from a
-  hash of their id, query rows are replicated over the key's salts.  Hot
-  keys are found on a small sample; the list is bounded by
-  ``rows * bands / salt_rows`` and is broadcast only below
-  ``broadcast_rows`` entries.  AQE skew-join splitting stays on as a second
+  hash of their id, query rows are replicated over the key's salts.  A refined
+  key holds no more rows than its first-level key, so this step looks for keys
+  only where the first level has any.  Hot keys of either level are found on a
+  sample; their list is broadcast only below ``broadcast_rows`` entries.  AQE skew-join splitting stays on as a second
   line.
 """
 
@@ -35,8 +40,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dupstream.functions.bits import hamming, lower_half, upper_half
-from dupstream.session import prepare
+from dupstream.session import prepare, stored
 from dupstream.operators.skew import HOT_ROWS, join_back
 from dupstream.schemas import AHASH, DHASH_H, DHASH_V, WORDS
 
@@ -50,6 +54,7 @@ LOOKUP_BITS_WINDOW = 20                               # exclusive
 
 MAX_BANDS = 8                 # 32-bit halves of the four aHash words
 DEFAULT_SALT_ROWS = 200_000   # rows per band key before it is salted
+DEFAULT_SPLIT_ROWS = 64       # rows per band key before it is split by a second hash
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
@@ -76,16 +81,23 @@ LOOKUP = Thresholds(LOOKUP_MAX_A, LOOKUP_MAX_DH, LOOKUP_MAX_DV, LOOKUP_BITS_WIND
 COMBINED = Thresholds(RETURN_MAX_A, RETURN_MAX_D, RETURN_MAX_D, None, True, RETURN_MAX_D)
 
 
-def _band_exprs(prefix: str | None = None) -> list[Column]:
-    def col(w):
-        return F.col(f"{prefix}.{w}") if prefix else F.col(w)
-    return [upper_half(col(w)) for w in AHASH] + [lower_half(col(w)) for w in AHASH]
+# The wide predicates are written as SQL text: one parsed expression each instead of
+# hundreds of Column calls.
+
+def _halves(words, prefix: str = "") -> list[str]:
+    """Upper 32-bit halves of the words, then the lower ones."""
+    p = f"{prefix}." if prefix else ""
+    return [f"shiftrightunsigned({p}{w}, 32)" for w in words] + [f"({p}{w} & 4294967295L)" for w in words]
+
+
+def _band_array(bands: list[str]) -> Column:
+    return F.expr(f"array({', '.join(bands)})")
 
 
 def _explode_bands(df: DataFrame, n_bands: int, bits_col: str, width: int | None,
                    offsets: tuple[int, ...]) -> DataFrame:
     """One row per (band, bucket offset): band_no, band, bkt + payload."""
-    bands = F.array(*_band_exprs()[:n_bands])
+    bands = _band_array(_halves(AHASH)[:n_bands])
     out = df.select("*", F.posexplode(bands).alias("band_no", "band"))
     if width is None:
         return out.withColumn("bkt", F.lit(0)).withColumn("bkt_off", F.lit(0))
@@ -96,38 +108,86 @@ def _explode_bands(df: DataFrame, n_bands: int, bits_col: str, width: int | None
                .withColumn("bkt", bkt + F.col("bkt_off")))
 
 
-def _first_equal_band(n_bands: int) -> Column:
-    left, right = _band_exprs("l")[:n_bands], _band_exprs("r")[:n_bands]
-    expr = F.lit(None).cast("int")
-    for k in reversed(range(n_bands)):
-        expr = F.when(left[k] == right[k], F.lit(k)).otherwise(expr)
-    return expr
+def _first_equal(left: list[str], right: list[str], unless: str | None = None) -> Column:
+    """Index of the first pair of equal expressions (``unless``: a column whose
+    value is an index to pass over)."""
+    skip = f" AND {unless} != {{k}}" if unless else ""
+    cases = " ".join(f"WHEN {x} = {y}{skip.format(k=k)} THEN {k}" for k, (x, y) in enumerate(zip(left, right)))
+    return F.expr(f"CASE {cases} END")
+
 
+def _first_equal_band(n_bands: int) -> Column:
+    return _first_equal(_halves(AHASH, "l")[:n_bands], _halves(AHASH, "r")[:n_bands])
+
+
+def word_parts(words: list[str], n: int, prefix: str = "") -> list[str]:
+    """``n`` disjoint bit ranges that cover the 64-bit words, none across two."""
+    if n < len(words):
+        raise ValueError(f"{len(words)} words cannot be cut into {n} parts")
+    out = []
+    for i, w in enumerate(words):
+        parts = n // len(words) + (i < n % len(words))
+        cuts = [64 * k // parts for k in range(parts + 1)]
+        col = f"{prefix}.{w}" if prefix else w
+        out += [f"(shiftrightunsigned({col}, {lo}) & {(1 << (hi - lo)) - 1}L)" if hi - lo < 64 else col
+                for lo, hi in zip(cuts, cuts[1:])]
+    return out
+
+
+LISTED_KEYS = 20_000    # hot keys that may come to the driver as a local list
+HOT_SAMPLE_ROWS = 40    # expected sampled rows of a key right at a threshold
+
+
+def _hot_keys(index: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, int, float]:
+    """``(keys and est, their number, largest est)``: keys with more than about
+    ``rows`` rows, from a Bernoulli sample in which a key right at the
+    threshold is expected ``HOT_SAMPLE_ROWS`` times (all rows when ``rows`` is
+    that small).  The list is fixed once, as a local table up to
+    ``LISTED_KEYS`` keys and as a reliable checkpoint beyond: both sides must
+    see the very same keys, whatever is recomputed.  A key the sample misses
+    only costs time, never a pair."""
+    spark = index.sparkSession
+    frac = min(1.0, HOT_SAMPLE_ROWS / rows)
+    sample = index.select(*keys) if frac >= 1.0 else index.select(*keys).sample(withReplacement=False, fraction=frac, seed=17)
+    est = F.col("count") / F.lit(frac)
+    hot = sample.groupBy(*keys).count().filter(est > rows).select(*keys, est.alias("est"))
+    listed = hot.limit(LISTED_KEYS + 1).collect()
+    if len(listed) <= LISTED_KEYS:
+        return spark.createDataFrame(listed, hot.schema), len(listed), max((r["est"] for r in listed), default=0)
+    hot = hot.checkpoint(eager=True)
+    found = hot.agg(F.count(F.lit(1)).alias("n"), F.max("est").alias("most")).first()
+    return hot, found["n"], found["most"]
+
+
+def _split(left: DataFrame, right: DataFrame, keys: list[str], second: list[str], split_rows: int,
+           broadcast_rows: int, own: str | None = None):
+    """Give the rows of hot keys a second-level key: one row per element of
+    ``second`` (``part``, its index, and ``value``); other rows keep ``part``
+    -1.  ``own`` names a column whose index among ``second`` is left out (it is
+    the first-level band itself).  Returns the sides, the keys and the largest
+    estimate of a first-level key."""
+    hot, n_hot, most = _hot_keys(right, keys, split_rows)
+    if not n_hot:
+        return left, right, keys, 0
+    hot = hot.select(*keys, F.lit(True).alias("is_hot"))
+    hot = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+    numbered = ", ".join(f"named_struct('part', {k}, 'value', CAST({c} AS BIGINT))" for k, c in enumerate(second))
+    parts = f"filter(array({numbered}), p -> p.part != {own})" if own else f"array({numbered})"
+    exploded = F.expr(f"inline(CASE WHEN is_hot THEN {parts} ELSE array(named_struct('part', -1, 'value', 0L)) END)")
 
-HOT_SAMPLE_ROWS = 200   # expected sampled rows of a key right at the salting threshold
+    def refined(df):
+        return df.join(hot, keys, "left").select(*df.columns, exploded)
+    return refined(left), refined(right), keys + ["part", "value"], most
 
 
 def _salted(left: DataFrame, right: DataFrame, keys: list[str], salt_rows: int,
             broadcast_rows: int, right_id: str):
-    """Spread band keys with more than ``salt_rows`` index rows over salts.
-
-    Hot keys are found on a Bernoulli sample sized so that a key right at
-    the threshold is expected ``HOT_SAMPLE_ROWS`` times (all rows when
-    ``salt_rows`` is that small): the check costs a small fraction of a
-    pass, and a key it misses is merely not salted (results never depend on
-    salting, only the spread of work does).
-    """
-    frac = min(1.0, HOT_SAMPLE_ROWS / salt_rows)
-    sample = right if frac >= 1.0 else right.sample(withReplacement=False, fraction=frac, seed=17)
-    est = F.col("count") / F.lit(frac)
-    hot = (sample.groupBy(*keys).count()
-           .filter(est > salt_rows)
-           .select(*keys, F.ceil(est / salt_rows).cast("int").alias("n_salt")))
-    # written once: both sides must see the very same list, whatever is recomputed
-    hot = hot.checkpoint(eager=True)
-    n_hot = hot.count()
+    """Spread keys with more than ``salt_rows`` index rows over salts (results
+    never depend on salting, only the spread of work does)."""
+    hot, n_hot, _ = _hot_keys(right, keys, salt_rows)
     if n_hot == 0:
         return left, right, keys
+    hot = hot.select(*keys, F.ceil(F.col("est") / salt_rows).cast("int").alias("n_salt"))
     hot = F.broadcast(hot) if n_hot <= broadcast_rows else hot
     right = (right.join(hot, keys, "left")
              .withColumn("salt", F.pmod(F.xxhash64(F.col(right_id)),
@@ -143,6 +203,7 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
                     bits_col: str = "bits", self_join: bool = False,
                     left_id: str = "id", right_id: str = "id",
                     salt_rows: int | None = DEFAULT_SALT_ROWS,
+                    split_rows: int | None = DEFAULT_SPLIT_ROWS,
                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """All (left, right) row pairs within the bits window and the three
     Hamming bounds.  Both inputs carry the 12 words, ``bits_col`` and an id.
@@ -174,12 +235,16 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     lx = _explode_bands(lsel, n_bands, bits_col, width, offsets)
     rx = _explode_bands(rsel, n_bands, bits_col, width, (0,)).drop("bkt_off")
     keys = ["band_no", "band", "bkt"]
-    if salt_rows:
-        lx, rx, keys = _salted(lx, rx, keys, salt_rows, broadcast_rows, "r_id")
+    n_second = max(len(DHASH_H), th.max_dh + 1)
+    lx, rx, keys = _leveled(lx, rx, keys, word_parts(DHASH_H, n_second), split_rows, salt_rows, broadcast_rows)
     l, r = lx.alias("l"), rx.alias("r")
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
-    joined = l.join(r, cond, "inner")
+    # the candidates of a self join outgrow its rows: never in the few tasks of a small scan
+    joined = l.join(r.hint("merge") if self_join else r, cond, "inner")
     keep = _first_equal_band(n_bands) == F.col("l.band_no")
+    if "part" in keys:
+        first = _first_equal(word_parts(DHASH_H, n_second, "l"), word_parts(DHASH_H, n_second, "r"))
+        keep = keep & ((F.col("l.part") == -1) | (first == F.col("l.part")))
     keep = keep & (F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}")) <= delta)
     if self_join:
         keep = keep & ((F.col("l.bkt_off") == 1) | (F.col("l.l_id") < F.col("r.r_id")))
@@ -197,20 +262,25 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     return out.filter(bound)
 
 
+def _leveled(left: DataFrame, right: DataFrame, keys: list[str], second: list[str], split_rows: int | None,
+             salt_rows: int | None, broadcast_rows: int, own: str | None = None):
+    """Second-level keys for hot keys, then salts for what is still hot."""
+    most = None
+    if split_rows:
+        left, right, keys, most = _split(left, right, keys, second, split_rows, broadcast_rows, own)
+    if salt_rows and (most is None or most > salt_rows):
+        left, right, keys = _salted(left, right, keys, salt_rows, broadcast_rows, "r_id")
+    return left, right, keys
+
+
 def popcount() -> Column:
     """Set bits over the twelve words."""
-    total = F.lit(0)
-    for w in WORDS:
-        total = total + F.bit_count(F.col(w))
-    return total.cast("int")
+    return F.expr(" + ".join(f"bit_count({w})" for w in WORDS))
 
 
 def sum_distance(words) -> Column:
-    total = None
-    for w in words:
-        d = hamming(F.col(f"l.{w}"), F.col(f"r.{w}"))
-        total = d if total is None else total + d
-    return total.cast("int")
+    """Differing bits; a missing word reads as 0."""
+    return F.expr(" + ".join(f"bit_count(coalesce(l.{w}, 0L) ^ coalesce(r.{w}, 0L))" for w in words))
 
 
 def still_images(images: DataFrame) -> DataFrame:
@@ -239,23 +309,26 @@ def fingerprint_classes(images: DataFrame, bits_col: str = "bits",
 
 
 def near_index(images: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
-               salt_rows: int | None = DEFAULT_SALT_ROWS) -> tuple[DataFrame, DataFrame]:
+               salt_rows: int | None = DEFAULT_SALT_ROWS,
+               split_rows: int | None = DEFAULT_SPLIT_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(members, root_edges)``: class root of every still image, and the
     edges ``a < b, diff_a, diff_d`` between distinct fingerprints."""
     roots, members = fingerprint_classes(images, bits_col)
+    roots = stored(roots, "roots")             # read by the search for hot keys and by both sides of the join
     root_edges = (similarity_join(roots, roots, th, bits_col=bits_col, self_join=True,
-                                  salt_rows=salt_rows)
+                                  salt_rows=salt_rows, split_rows=split_rows)
                   .select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b"),
                           "diff_a", (F.col("diff_dh") + F.col("diff_dv")).alias("diff_d")))
     return members, root_edges
 
 
 def near_pairs(images: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
-               salt_rows: int | None = DEFAULT_SALT_ROWS) -> DataFrame:
+               salt_rows: int | None = DEFAULT_SALT_ROWS,
+               split_rows: int | None = DEFAULT_SPLIT_ROWS) -> DataFrame:
     """JN1/JN2 + SNK4: the stored near-duplicate edge table ``a, b, diff_a,
     diff_d`` (``a < b``): root edges between distinct fingerprints within the
     bounds, plus one zero-distance edge from each copy to its class root."""
-    members, root_edges = near_index(images, th, bits_col=bits_col, salt_rows=salt_rows)
+    members, root_edges = near_index(images, th, bits_col=bits_col, salt_rows=salt_rows, split_rows=split_rows)
     return root_edges.unionByName(copy_edges(members))
 
 
@@ -303,17 +376,13 @@ def new_pairs_only(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return canon.join(stored.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _all_halves(prefix: str | None = None) -> list[Column]:
-    def col(w):
-        return F.col(f"{prefix}.{w}") if prefix else F.col(w)
-    return [upper_half(col(w)) for w in WORDS] + [lower_half(col(w)) for w in WORDS]
-
-
+TOTAL_SPLIT_ROWS = 2048   # a split row is written once per second band, 21 times at ``TOTAL_MAX``
 TOTAL_MAX = 20   # LSH prototype: largest total distance over the 768 bits
 
 
 def total_distance_pairs(images: DataFrame, max_total: int = TOTAL_MAX, *,
-                         salt_rows: int | None = DEFAULT_SALT_ROWS) -> DataFrame:
+                         salt_rows: int | None = DEFAULT_SALT_ROWS,
+                         split_rows: int | None = TOTAL_SPLIT_ROWS) -> DataFrame:
     """JN15 made exact: still-image pairs whose distance over all 768 bits is
     at most ``max_total`` (``a < b, distance``).
 
@@ -321,36 +390,31 @@ def total_distance_pairs(images: DataFrame, max_total: int = TOTAL_MAX, *,
     never wired up).  With 24 disjoint 32-bit bands, ``max_total + 1 <= 24``
     bands guarantee an equal band for every qualifying pair, so the same
     band join finds all of them; copies collapse to class roots as in
-    ``near_pairs``.  Popcounts of such a pair differ by at most
-    ``max_total``, so the key also holds a popcount bucket of that width (a row
-    meets its own bucket and the next), which loses nothing.
+    ``near_pairs``.  The rows of a hot band are split by a second equal band:
+    outside the first one at least one of any ``max_total + 1`` others is
+    equal too, so nothing is lost (up to ``max_total`` 22).
     """
     prepare(images.sparkSession)
     n_bands = max_total + 1
     if n_bands > 2 * len(WORDS):
         raise ValueError(f"total distance {max_total} needs {n_bands} bands; at most {2 * len(WORDS)} exist")
     roots, members = fingerprint_classes(images)
-    base = roots.select("id", *WORDS, F.floor(popcount() / F.lit(max_total + 1)).cast("int").alias("bkt"))
+    roots = stored(roots.select("id", *WORDS), "roots")
     def explode(df):
-        return df.select("*", F.posexplode(F.array(*_all_halves()[:n_bands])).alias("band_no", "band"))
-    lx = (explode(base.withColumnRenamed("id", "l_id")).withColumn("bkt_off", F.explode(F.array(F.lit(0), F.lit(1))))
-          .withColumn("bkt", F.col("bkt") + F.col("bkt_off")))
-    rx = explode(base.withColumnRenamed("id", "r_id"))
-    keys = ["band_no", "band", "bkt"]
-    if salt_rows:
-        lx, rx, keys = _salted(lx, rx, keys, salt_rows, DEFAULT_BROADCAST_ROWS, "r_id")
+        return df.select("*", F.posexplode(_band_array(_halves(WORDS)[:n_bands])).alias("band_no", "band"))
+    lx, rx = explode(roots.withColumnRenamed("id", "l_id")), explode(roots.withColumnRenamed("id", "r_id"))
+    n_second = n_bands + 1                       # the first-level band is one of them
+    can_split = n_second <= 2 * len(WORDS)
+    lx, rx, keys = _leveled(lx, rx, ["band_no", "band"], _halves(WORDS)[:n_second], split_rows if can_split else None,
+                            salt_rows, DEFAULT_BROADCAST_ROWS, "band_no")
     l, r = lx.alias("l"), rx.alias("r")
-    j = l.join(r, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
-    left_b, right_b = _all_halves("l")[:n_bands], _all_halves("r")[:n_bands]
-    first = F.lit(None).cast("int")
-    for k in reversed(range(n_bands)):
-        first = F.when(left_b[k] == right_b[k], F.lit(k)).otherwise(first)
-    dist = sum_distance(WORDS)
-    # one bucket gives each pair twice, adjacent buckets once
-    once = (F.col("l.bkt_off") == 1) | (F.col("l.l_id") < F.col("r.r_id"))
-    out = (j.filter(once & (first == F.col("l.band_no")))
-           .select(F.least("l.l_id", "r.r_id").alias("a"), F.greatest("l.l_id", "r.r_id").alias("b"),
-                   dist.alias("distance"))
+    j = l.join(r.hint("merge"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
+    left_b, right_b = _halves(WORDS, "l"), _halves(WORDS, "r")
+    keep = (F.col("l.l_id") < F.col("r.r_id")) & (_first_equal(left_b[:n_bands], right_b[:n_bands]) == F.col("l.band_no"))
+    if "part" in keys:
+        second = _first_equal(left_b[:n_second], right_b[:n_second], unless="l.band_no")
+        keep = keep & ((F.col("l.part") == -1) | (second == F.col("l.part")))
+    out = (j.filter(keep).select(F.col("l.l_id").alias("a"), F.col("r.r_id").alias("b"), sum_distance(WORDS).alias("distance"))
            .filter(F.col("distance") <= max_total))
     copies = (members.filter(F.col("id") != F.col("root"))
               .select(F.col("root").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")))

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on.  ``spark.sql.adaptive.*`` lets Spark split a
 # skewed band/class partition at run time and coalesce tiny shuffle outputs.
@@ -126,6 +127,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder name under the session's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` once into the shared checkpoint folder and read it back:
+    several branches of a plan start from files that survive the loss of any
+    executor."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 

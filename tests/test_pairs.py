@@ -107,6 +107,45 @@ def test_salted_equals_unsalted(spark):
     assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
 
 
+def test_second_level_keys_change_no_pair(spark):
+    from dupstream.sources.tables import images_fx
+    im = images_fx(spark, SF0001)
+    for pairs in (lambda **k: P.near_pairs(im, **k), lambda **k: P.near_pairs(im, bits_col="tbits", **k),
+                  lambda **k: P.total_distance_pairs(im, **k)):
+        want = sorted(map(tuple, pairs(split_rows=None).collect()))
+        assert want
+        for split in (1, 3):
+            assert sorted(map(tuple, pairs(split_rows=split).collect())) == want
+        assert sorted(map(tuple, pairs(split_rows=1, salt_rows=2).collect())) == want
+    for th in (P.LOOKUP, P.COMBINED):
+        found = [sorted(map(tuple, P.similarity_join(im, im, th, split_rows=s).collect())) for s in (None, 1)]
+        assert found[0] and found[0] == found[1]
+
+
+def test_word_parts_cover_the_words_once(spark):
+    for n in (4, 6, 9, 11):
+        parts = P.word_parts(["x", "y", "z", "w"], n)
+        assert len(parts) == n
+        df = spark.range(1).select(*[F.lit(-1).cast("bigint").alias(c) for c in "xyzw"])
+        assert sum(df.selectExpr(*[f"bit_count({p})" for p in parts]).first()) == 256
+
+
+def test_candidates_of_a_hot_band_stay_flat(spark):
+    """Rows that share one aHash band but not their dHash: with the second level the
+    candidates grow with the rows, without it with their square."""
+    def candidates(n, split):
+        rows = spark.range(n).select("id", F.lit(7).cast("bigint").alias("ahash_1"),
+                                     *[F.xxhash64(F.col("id"), F.lit(w)).alias(w) for w in WORDS[1:]], F.lit(100).alias("bits"))
+        lx = P._explode_bands(rows.withColumnRenamed("id", "l_id"), 6, "bits", 23, (0, 1))
+        rx = P._explode_bands(rows.withColumnRenamed("id", "r_id"), 6, "bits", 23, (0,)).drop("bkt_off")
+        lx, rx, keys = P._leveled(lx, rx, ["band_no", "band", "bkt"], P.word_parts(P.DHASH_H, 9), split, None, 1000)
+        return lx.groupBy(*keys).count().withColumnRenamed("count", "n").join(rx.groupBy(*keys).count(), keys).selectExpr(
+            "sum(n * count)").first()[0]
+    assert candidates(2000, None) > 5 * candidates(800, None)
+    small, large = candidates(800, 64), candidates(2000, 64)
+    assert large < 2.6 * small and large < candidates(2000, None) / 20
+
+
 def test_equal_datetime_strict_vs_at_or_before(spark):
     # two copies posted at the same second: neither is "earlier" (strict),
     # each is the other's neighbour at or before.
