@@ -41,14 +41,16 @@ def post_key(prefix: str | None = None) -> Column:
 def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
                 max_a: int = P.RETURN_MAX_A, max_d: int = P.RETURN_MAX_D,
                 salt_rows: int | None = P.DEFAULT_SALT_ROWS,
-                index: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+                index: tuple[DataFrame, DataFrame] | None = None,
+                only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(nodes, adj)``.
 
     nodes: ``id, k, animated, datetime, s`` (s = post ordering struct), one
     row per image with its class ``k``.  adj: ``k1, k2`` for every class
     pair linked by a reported edge, both orientations, plus ``(k, k)``.
     ``index`` is a stored ``(members, root_edges)`` pair index; without it
-    the index is computed from ``images``.
+    the index is computed from ``images``.  ``only`` (post ``id``) keeps the
+    classes that are linked to one of those posts' classes.
     """
     prepare(images.sparkSession)   # checkpoint folder, session settings
     members, root_edges = index if index is not None else \
@@ -64,6 +66,10 @@ def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
     adj = (linked.select(F.col("a").alias("k1"), F.col("b").alias("k2"))
            .unionByName(linked.select(F.col("b").alias("k1"), F.col("a").alias("k2")))
            .unionByName(cls.select(F.col("k").alias("k1"), F.col("k").alias("k2")).distinct()))
+    if only is not None:
+        asked = images.join(only.select(F.col("id").alias("post_id")), "post_id", "left_semi").select("id")
+        near = adj.join(cls.join(asked, "id", "left_semi").select(F.col("k").alias("k1")).distinct(), "k1", "left_semi")
+        nodes = nodes.join(near.select(F.col("k2").alias("k")).distinct(), "k", "left_semi").select(*nodes.columns)
     # Both are read by several branches of the history plans: write them once
     # (reliable checkpoint in the shared folder) instead of re-running the
     # class, image and post joins per branch.
@@ -73,7 +79,8 @@ def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
 SLICE_SECONDS = 3600   # level-1 time slice of the running aggregate
 
 
-def earlier_summary(nodes: DataFrame, adj: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def earlier_summary(nodes: DataFrame, adj: DataFrame, slice_seconds: int = SLICE_SECONDS,
+                    asked: DataFrame | None = None) -> DataFrame:
     """Per image with at least one strictly older duplicate:
     ``id, seen, first, last`` (first/last are post structs).
 
@@ -91,10 +98,12 @@ def earlier_summary(nodes: DataFrame, adj: DataFrame, slice_seconds: int = SLICE
 
     Each query row (post x, linked class) reads both prefixes with
     equi-joins; the parts are combined per query with a map-side aggregate.
+    ``asked`` (image ``id``) limits the query rows.
     """
     sl = F.floor(F.col("datetime") / F.lit(slice_seconds)).cast("bigint")
     s_type = nodes.schema["s"].dataType
-    queries = (nodes.select(F.col("id").alias("qid"), F.col("k").alias("k1"), "datetime")
+    askers = nodes if asked is None else nodes.join(asked.select("id"), "id", "left_semi")
+    queries = (askers.select(F.col("id").alias("qid"), F.col("k").alias("k1"), "datetime")
                .join(adj, "k1")
                .select("qid", F.col("k2").alias("k"), "datetime", sl.alias("sl")))
     q_keys = queries.select("k", "sl", "datetime").distinct()
@@ -149,10 +158,15 @@ def flatten(col: str, prefix: str) -> list[Column]:
 def duplicate_summary(images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
     """AGG9: per post with strictly older duplicates: seen, first seen and
     last seen post, ``trip`` (first and last differ by link) and whether the
-    match is by digest (animated) or by similarity."""
+    match is by digest (animated) or by similarity.  ``only`` (post ``id``)
+    limits the posts that are answered."""
     nodes, adj = class_graph(images, posts, **kw)
-    summ = earlier_summary(nodes, adj)
     img = images.select("id", "post_id", "animated")
+    if kw.get("only") is not None:
+        img = img.join(kw["only"].select(F.col("id").alias("post_id")), "post_id", "left_semi")
+        summ = earlier_summary(nodes, adj, asked=img)
+    else:
+        summ = earlier_summary(nodes, adj)
     return (summ.join(img, "id")
             .select(F.col("post_id").alias("id"), F.col("animated").alias("by_crc"), "seen",
                     *flatten("first", "first"), *flatten("last", "last"),

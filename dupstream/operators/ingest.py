@@ -77,6 +77,29 @@ def new_posts(classified: DataFrame) -> DataFrame:
             .select("id", api_link().alias("link"), score().alias("score")))
 
 
+def refresh_posts(stored_posts: DataFrame, known: DataFrame) -> DataFrame:
+    """DML1: stored posts with the author of their known record (the old one where
+    the record has none)."""
+    upd = known.select(F.col("id").alias("link"), F.col("account_id").alias("n_userid"))
+    return (stored_posts.join(upd, "link", "left").withColumn("userid", F.coalesce("n_userid", "userid"))
+            .select(*stored_posts.columns))
+
+
+def refresh_images(stored_images: DataFrame, stored_posts: DataFrame, known: DataFrame,
+                   now: float | None = None) -> DataFrame:
+    """DML2: stored images with size, width and height of their post's known
+    record (the old value where it has none); ``last_checked`` becomes ``now``."""
+    upd = (known.select(F.col("id").alias("link"), *[F.col(c).alias(f"n_{c}") for c in ("size", "width", "height")],
+                        F.lit(True).alias("refreshed"))
+           .join(stored_posts.select(F.col("id").alias("post_id"), "link"), "link").drop("link"))
+    df = stored_images.join(upd, "post_id", "left")
+    for c in ("size", "width", "height"):
+        df = df.withColumn(c, F.coalesce(f"n_{c}", c))
+    if now is not None:
+        df = df.withColumn("last_checked", F.when(F.col("refreshed"), F.lit(float(now))).otherwise(F.col("last_checked")))
+    return df.select(*stored_images.columns)
+
+
 def refresh(stored_images: DataFrame, stored_posts: DataFrame, classified: DataFrame,
             now: float | None = None) -> DataFrame:
     """DML1/DML2 as an upsert: stored image rows with author, size, width and

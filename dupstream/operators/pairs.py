@@ -237,6 +237,13 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     keys = ["band_no", "band", "bkt"]
     n_second = max(len(DHASH_H), th.max_dh + 1)
     lx, rx, keys = _leveled(lx, rx, keys, word_parts(DHASH_H, n_second), split_rows, salt_rows, broadcast_rows)
+    return _verified(lx, rx, keys, th, delta, bits_col, self_join)
+
+
+def _verified(lx: DataFrame, rx: DataFrame, keys: list[str], th: Thresholds, delta: int, bits_col: str,
+              self_join: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Join exploded rows on ``keys`` and keep each pair once, within the bounds."""
+    n_bands, n_second = th.max_a + 1, max(len(DHASH_H), th.max_dh + 1)
     l, r = lx.alias("l"), rx.alias("r")
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     # the candidates of a self join outgrow its rows: never in the few tasks of a small scan
@@ -248,13 +255,9 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     keep = keep & (F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}")) <= delta)
     if self_join:
         keep = keep & ((F.col("l.bkt_off") == 1) | (F.col("l.l_id") < F.col("r.r_id")))
-    dist = {
-        "diff_a": sum_distance(AHASH),
-        "diff_dh": sum_distance(DHASH_H),
-        "diff_dv": sum_distance(DHASH_V),
-    }
     out = joined.filter(keep).select(F.col("l.l_id").alias("l_id"), F.col("r.r_id").alias("r_id"),
-                                     *[v.alias(k) for k, v in dist.items()])
+                                     sum_distance(AHASH).alias("diff_a"), sum_distance(DHASH_H).alias("diff_dh"),
+                                     sum_distance(DHASH_V).alias("diff_dv"), *[F.col(f"r.{c}").alias(c) for c in extra])
     bound = ((F.col("diff_a") <= th.max_a) & (F.col("diff_dh") <= th.max_dh)
              & (F.col("diff_dv") <= th.max_dv))
     if th.max_d is not None:
@@ -430,44 +433,24 @@ def nearest(pairs: DataFrame, k: int, dist_col: str = "distance") -> DataFrame:
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def band_rows(roots: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
-              id_col: str = "id", salts: int = 1) -> DataFrame:
-    """Index-side rows of the band join, ready to be stored: ``band_no,
-    band, bkt, salt, r_id``, the words and ``bits_col`` (one row per band).
-    ``salt`` (a hash of the id, ``salts`` values) spreads one band key over
-    several buckets of a stored table."""
-    n_bands = th.max_a + 1
-    width = None if th.max_delta is None else th.max_delta + 1
+def band_rows(roots: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits", id_col: str = "id") -> DataFrame:
+    """Index-side rows of the band join, ready to be stored: ``band_no, band, bkt,
+    r_id``, the words and ``bits_col`` (one row per band)."""
+    if th.max_delta is None:
+        raise ValueError("stored bands need a bits window")
     base = roots.select(F.col(id_col).alias("r_id"), *WORDS, bits_col)
-    out = _explode_bands(base, n_bands, bits_col, width, (0,)).drop("bkt_off")
-    salt = F.pmod(F.xxhash64("r_id"), F.lit(salts)).cast("int")
-    return out.select("band_no", "band", "bkt", salt.alias("salt"), "r_id", *WORDS, bits_col)
+    out = _explode_bands(base, th.max_a + 1, bits_col, th.max_delta + 1, (0,))
+    return out.select("band_no", "band", "bkt", "r_id", *WORDS, bits_col)
 
 
-def match_bands(queries: DataFrame, stored: DataFrame, th: Thresholds = STORE, *,
-                bits_col: str = "bits", id_col: str = "id", salts: int = 1) -> DataFrame:
-    """Query rows against stored ``band_rows`` (for example a table bucketed
-    by ``band_no, band, bkt, salt``, so only the query side is shuffled; the
-    query side is replicated over the ``salts`` salt values).
-    Returns ``l_id, r_id, diff_a, diff_dh, diff_dv`` within the bounds."""
+def match_bands(queries: DataFrame, index: DataFrame, th: Thresholds = STORE, *, bits_col: str = "bits",
+                id_col: str = "id", extra: tuple[str, ...] = (), split_rows: int | None = DEFAULT_SPLIT_ROWS,
+                salt_rows: int | None = DEFAULT_SALT_ROWS) -> DataFrame:
+    """Query rows against stored ``band_rows``; ``extra`` names further columns of the
+    index to carry.  Returns ``l_id, r_id, diff_a, diff_dh, diff_dv`` within the bounds."""
     prepare(queries.sparkSession)
-    n_bands = th.max_a + 1
-    width = None if th.max_delta is None else th.max_delta + 1
-    offsets = (0,) if width is None else (-1, 0, 1)
     q = _explode_bands(queries.select(F.col(id_col).alias("l_id"), *WORDS, bits_col),
-                       n_bands, bits_col, width, offsets)
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    l, r = q.alias("l"), stored.alias("r")
-    keys = ["band_no", "band", "bkt", "salt"]
-    j = l.join(r, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
-    keep = _first_equal_band(n_bands) == F.col("l.band_no")
-    if th.max_delta is not None:
-        keep = keep & (F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}")) <= th.max_delta)
-    out = j.filter(keep).select(F.col("l.l_id").alias("l_id"), F.col("r.r_id").alias("r_id"),
-                                sum_distance(AHASH).alias("diff_a"), sum_distance(DHASH_H).alias("diff_dh"),
-                                sum_distance(DHASH_V).alias("diff_dv"))
-    bound = ((F.col("diff_a") <= th.max_a) & (F.col("diff_dh") <= th.max_dh)
-             & (F.col("diff_dv") <= th.max_dv))
-    if th.max_d is not None:
-        bound = bound & (F.col("diff_dh") + F.col("diff_dv") <= th.max_d)
-    return out.filter(bound)
+                       th.max_a + 1, bits_col, th.max_delta + 1, (-1, 0, 1))
+    lx, rx, keys = _leveled(q, index, ["band_no", "band", "bkt"], word_parts(DHASH_H, max(len(DHASH_H), th.max_dh + 1)),
+                            split_rows, salt_rows, DEFAULT_BROADCAST_ROWS)
+    return _verified(lx, rx, keys, th, th.max_delta, bits_col, extra=extra)

@@ -453,6 +453,34 @@ ORACLE["ingest_exact"] = with_fx(
     "AND post_id IN (SELECT id FROM posts_fx WHERE NOT is_album))",
     "ex_roots AS (SELECT crc, min(id) AS root FROM anim GROUP BY crc)") + \
     "SELECT r.root AS a, x.id AS b FROM anim x JOIN ex_roots r USING (crc) WHERE x.id <> r.root"
+_KNOWN = f"(p.datetime < {SPLIT_SQL} AND p.id % 2 = 0)"
+ORACLE["ingest_refresh"] = with_fx(_REC) + f"""
+SELECT i.id, p.link, CASE WHEN {_KNOWN} OR p.datetime >= {SPLIT_SQL} THEN p.userid + 1000 ELSE p.userid END AS userid,
+       CASE WHEN {_KNOWN} THEN r.size + 1 ELSE i.size END AS size, CASE WHEN {_KNOWN} THEN r.width + 2 ELSE i.width END AS width,
+       CASE WHEN {_KNOWN} AND r.height % 3 <> 0 THEN r.height + 3 ELSE i.height END AS height,
+       CASE WHEN {_KNOWN} THEN CAST({NOW_SQL} AS DOUBLE) END AS last_checked
+FROM images_fx i JOIN posts_fx p ON p.id = i.post_id JOIN rec r ON r.id = p.link
+WHERE NOT p.is_album AND i.size > 0"""
+
+
+def _ingested_only(sql: str) -> str:
+    """The report SQL over what two batches store: posts of the second have authors
+    moved by 1000, and only they are held against the block list."""
+    for name in ("posts_fx", "images_fx"):
+        sql = sql.replace(f"{name} AS (", f"{name[:-3]}_all AS (", 1)
+    split = SPLIT_SQL.replace("posts_fx", "posts_all")
+    sql = sql.replace(SPLIT_SQL, split).replace(NOW_SQL, NOW_SQL.replace("posts_fx", "posts_all"))
+    sql = sql.replace("b.userid = sp.x_userid", f"b.userid = sp.x_userid AND sp.x_datetime >= {split}")
+    more = f"""images_fx AS (SELECT * FROM images_all WHERE size > 0 AND post_id IN (SELECT id FROM posts_all WHERE NOT is_album)),
+posts_fx AS (SELECT * REPLACE (CASE WHEN datetime >= {split} THEN userid + 1000 ELSE userid END AS userid) FROM posts_all
+             WHERE NOT is_album AND id IN (SELECT post_id FROM images_fx)),
+still AS ("""
+    return sql.replace("still AS (", more, 1)
+
+
+ORACLE["ingest_messages"] = _ingested_only(ORACLE["report_messages"].rsplit("SELECT post_id, text, 5 AS retries", 1)[0]) + """
+SELECT post_id, text, substr(text, 1, 140) AS text_capped, child_text, CAST(-1 AS BIGINT) AS comment_id FROM msg"""
+
 ORACLE["point_series"] = """
 SELECT CAST(CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS DOUBLE) AS ts, count(*) AS value
 FROM events GROUP BY 1"""

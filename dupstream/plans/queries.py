@@ -442,12 +442,12 @@ STREAM_CHUNKS = 4
 @register("stream_pairs")
 def q_stream_pairs(spark, sf_dir):
     """ST1: the near-duplicate index built incrementally by a file stream of
-    image arrivals (id order, four micro-batches); equals near_pairs."""
+    image arrivals (four micro-batches, in any order); equals near_pairs."""
     from dupstream.streaming import index_stream as S
     base = _scratch(spark, "stream-pairs")
     im = images_fx(spark, sf_dir)
-    S.write_arrivals(im, f"{base}/in", STREAM_CHUNKS)
-    S.run_index_stream(spark, f"{base}/in", im.schema, f"{base}/store", f"{base}/ckpt")
+    files = S.write_arrivals(im, f"{base}/in", STREAM_CHUNKS)
+    S.run_index_stream(spark, f"{base}/in", im.schema, f"{base}/store", f"{base}/ckpt", files)
     return S.read_pairs(spark, f"{base}/store")
 
 
@@ -505,6 +505,45 @@ def q_ingest_exact(spark, sf_dir):
     return SO.read_table(spark, _ingested_store(spark, sf_dir), "exact_pairs")
 
 
+def _overlapping_store(spark, sf_dir) -> tuple[str, int]:
+    """Two batches of which the second brings half of the first one's posts again, with
+    other authors, sizes, widths and heights; the second one is run twice."""
+    from dupstream.operators import store as SO
+    base = _scratch(spark, "store")
+    SO.create_store(spark, base)
+    split, now = time_marks(spark, sf_dir)
+    rec, im = api_records(spark, sf_dir), images_fx(spark, sf_dir)
+    SO.ingest_batch(spark, base, rec.filter(F.col("datetime") < split), im.filter(F.col("datetime") < split), 0, now=now)
+    again = rec.filter((F.col("datetime") >= split) | (F.col("id").cast("bigint") % 2 == 0)).select(
+        *[c for c in rec.columns if c not in ("account_id", "size", "width", "height")],
+        (F.col("account_id") + 1000).alias("account_id"), (F.col("size") + 1).alias("size"),
+        (F.col("width") + 2).alias("width"), F.when(F.col("height") % 3 != 0, F.col("height") + 3).alias("height"))
+    for _ in range(2):
+        SO.ingest_batch(spark, base, again, im.filter(F.col("datetime") >= split), 1, _blocked(spark, sf_dir), now)
+    return base, now
+
+
+@register("ingest_refresh")
+def q_ingest_refresh(spark, sf_dir):
+    """DML1/DML2/OP1: posts and images read back after two overlapping batches; known
+    posts have the author, size, width and height of the second one."""
+    from dupstream.operators import store as SO
+    base, _ = _overlapping_store(spark, sf_dir)
+    po = SO.read_table(spark, base, "posts").select(F.col("id").alias("post_id"), "link", "userid")
+    im = SO.read_table(spark, base, "images").select("id", "post_id", "size", "width", "height", "last_checked")
+    return im.join(po, "post_id").select("id", "link", "userid", "size", "width", "height", "last_checked")
+
+
+@register("ingest_messages")
+def q_ingest_messages(spark, sf_dir):
+    """OP1 to its end: the messages of both batches' new posts, with the report log's
+    entry of each."""
+    from dupstream.operators import store as SO
+    base, _ = _overlapping_store(spark, sf_dir)
+    log = SO.read_table(spark, base, "report_log")
+    return SO.read_table(spark, base, "messages").join(log, "post_id").drop("retries", "child_retries")
+
+
 @register("point_series")
 def q_point_series(spark, sf_dir):
     """SNK6: daily event counts appended as a (time, value) series in two

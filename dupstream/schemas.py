@@ -61,6 +61,18 @@ POINT_SERIES = T.StructType([
     T.StructField("value", T.LongType(), True),
 ])
 
+MESSAGES = T.StructType([
+    T.StructField("post_id", T.StringType(), True),
+    T.StructField("text", T.StringType(), True),
+    T.StructField("retries", T.IntegerType(), True),
+    T.StructField("text_capped", T.StringType(), True),
+    T.StructField("child_text", T.StringType(), True),
+    T.StructField("child_retries", T.IntegerType(), True),
+])
+
+PAGE_COUNTS = T.StructType([T.StructField(c, T.LongType(), True)
+                            for c in ("page", "updates", "known", "skipped", "errors", "albums")])
+
 # Post record as delivered by the site's API (only the keys that are read).
 POST_JSON = T.StructType([
     T.StructField("id", T.StringType(), True),
@@ -95,4 +107,6 @@ TABLES = {
     "blocked_users": BLOCKED_USERS,
     "miss_events": MISS_EVENTS,
     "point_series": POINT_SERIES,
+    "messages": MESSAGES,
+    "page_counts": PAGE_COUNTS,
 }

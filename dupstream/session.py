@@ -127,6 +127,12 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def path_of(spark: SparkSession, path: str):
+    """(file system, path) of a folder that only Spark's file systems may reach."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name under the session's checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"

@@ -30,11 +30,11 @@ def test_copy_in_a_later_batch_links_to_the_stored_root(spark, tmp_path):
     base = str(tmp_path)
     first = im.filter("id < 100")
     later = im.filter("id >= 100")
-    S.process_batch(first, 0, f"{base}/store", buckets=4)
+    S.process_batch(first, 0, f"{base}/store", slots=4)
     # a copy of image 0 (same words, new id) arrives two batches later
     copy = still_images(im).filter("id = 0").withColumn("id", F.lit(10 ** 6).cast("bigint"))
-    S.process_batch(later, 1, f"{base}/store", buckets=4)
-    S.process_batch(copy, 2, f"{base}/store", buckets=4)
+    S.process_batch(later, 1, f"{base}/store", slots=4)
+    S.process_batch(copy, 2, f"{base}/store", slots=4)
     got = S.read_pairs(spark, f"{base}/store").filter("b = 1000000").collect()
     assert [(r["a"], r["diff_a"], r["diff_d"]) for r in got] == [(0, 0, 0)]
 
@@ -42,13 +42,14 @@ def test_copy_in_a_later_batch_links_to_the_stored_root(spark, tmp_path):
 def test_stream_replay_is_idempotent(spark, tmp_path):
     im = images_fx(spark, SF0001)
     base = str(tmp_path)
-    S.write_arrivals(im, f"{base}/in", 2)
-    S.run_index_stream(spark, f"{base}/in", im.schema, f"{base}/store", f"{base}/ckpt")
-    first = S.read_pairs(spark, f"{base}/store").collect()
-    # re-running a batch id rewrites its partition instead of appending
-    batch = spark.read.parquet(f"{base}/in").filter("id < 100")
-    S.process_batch(batch, 0, f"{base}/store")
-    assert sorted(S.read_pairs(spark, f"{base}/store").collect()) == sorted(first)
+    halves = [im.filter("id >= 100"), im.filter("id < 100")]
+    for n, batch in enumerate(halves):
+        S.process_batch(batch, n, f"{base}/store")
+    first = sorted(S.read_pairs(spark, f"{base}/store").collect())
+    # re-running a batch rewrites its rows instead of appending
+    for n in (1, 0):
+        S.process_batch(halves[n], n, f"{base}/store")
+        assert sorted(S.read_pairs(spark, f"{base}/store").collect()) == first
 
 
 def test_stream_miss_limit_equals_batch(spark, tmp_path):
@@ -62,23 +63,52 @@ def test_stream_miss_limit_equals_batch(spark, tmp_path):
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
-def test_stored_band_table_is_read_in_place(spark, tmp_path):
-    """The stored index side of a micro-batch join is a bucketed scan with
-    no exchange of its own; only the batch is shuffled."""
-    from pyspark.sql import functions as F
+def test_a_batch_reads_only_the_slots_of_its_bands(spark, tmp_path):
+    im = P.still_images(images_fx(spark, SF0001))
+    store = str(tmp_path)
+    S.process_batch(im, 0, store, slots=32)
+    bands = S.open_store(spark, store, P.STORE, "bits", 32)
+    parts = S.band_parts(spark, bands, 1)
+    assert parts == [f"{bands}/part=b0"]
+    one = P.band_rows(im.filter("id = 0")).withColumn("slot", S._slot(32))
+    asked = [r["slot"] for r in one.select("slot").distinct().collect()]
+    assert 0 < len(asked) <= 6
+    files = S.read_bands(spark, bands, parts, "bits", asked).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {int(r["f"].split("slot=")[1].split("/")[0]) for r in files} == set(asked)
+
+
+@pytest.mark.parametrize("order", ["ascending", "descending", "mixed"])
+def test_the_pairs_do_not_depend_on_the_order_of_arrival(spark, tmp_path, order):
     im = images_fx(spark, SF0001)
-    roots, _ = P.fingerprint_classes(im)
-    name = S.band_table(spark, str(tmp_path), buckets=8, salts=4)
-    (P.band_rows(roots, salts=4).withColumn("batch_id", F.lit(0).cast("bigint"))
-     .write.mode("append").insertInto(name))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        j = P.match_bands(roots.limit(50), spark.table(name).filter("batch_id < 1"), salts=4)
-        text = j._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    scan = [ln for ln in text.splitlines() if name in ln and "FileScan" in ln]
-    assert scan and "Bucketed: true" in scan[0]
+    copies = P.still_images(im).filter("id % 7 = 0").withColumn("id", F.col("id") - 10 ** 6)     # older ids
+    im = im.unionByName(copies)
+    chunk = {"ascending": F.expr("id < 60"), "descending": F.expr("id >= 60"), "mixed": F.expr("id % 2 = 0")}[order]
+    store = str(tmp_path)
+    S.process_batch(im.filter(chunk & (F.col("id") >= 0)), 0, store, slots=4)
+    S.process_batch(im.filter(~chunk & (F.col("id") >= 0)), 1, store, slots=4)
+    S.process_batch(im.filter(F.col("id") < 0), 2, store, slots=4)
+    got, want = S.read_pairs(spark, store), P.near_pairs(im)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert S.read_pairs(spark, store, before=1).count() < got.count()
+
+
+def test_compaction_keeps_the_rows_in_one_part(spark, tmp_path):
+    im = images_fx(spark, SF0001)
+    store = str(tmp_path)
+    for n in range(4):
+        S.process_batch(im.filter(F.col("id") % 4 == n), n, store, slots=2, compact_every=2)
+    bands = S.open_store(spark, store, P.STORE, "bits", 2)
+    assert [p.rsplit("=", 1)[1] for p in S.band_parts(spark, bands, 4)] == ["b2", "b3", "c1"]
+    S.compact(spark, bands, 3)
+    assert [p.rsplit("=", 1)[1] for p in S.band_parts(spark, bands, 4)] == ["c3"]
+    S.process_batch(im.limit(0), 4, store, slots=2)
+    assert sorted(map(tuple, S.read_pairs(spark, store).collect())) == sorted(map(tuple, P.near_pairs(im).collect()))
+
+
+def test_a_store_of_other_bands_is_refused(spark, tmp_path):
+    S.process_batch(images_fx(spark, SF0001).limit(5), 0, str(tmp_path), slots=2)
+    with pytest.raises(ValueError, match="was created as"):
+        S.process_batch(images_fx(spark, SF0001).limit(5), 1, str(tmp_path), slots=4)
 
 
 def test_stream_restart_processes_only_new_files(spark, tmp_path):
@@ -89,13 +119,13 @@ def test_stream_restart_processes_only_new_files(spark, tmp_path):
     im = images_fx(spark, SF0001)
     base = str(tmp_path)
     S.write_arrivals(im, f"{base}/in", 2)
-    S.run_index_stream(spark, f"{base}/in", im.schema, f"{base}/store", f"{base}/ckpt", buckets=4)
+    S.run_index_stream(spark, f"{base}/in", im.schema, f"{base}/store", f"{base}/ckpt", slots=4)
     first = S.read_pairs(spark, f"{base}/store").count()
     extra = still_images(im).filter("id < 3").withColumn("id", F.col("id") + 10 ** 6)
     extra.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    S.run_index_stream(spark, f"{base}/in", im.schema, f"{base}/store", f"{base}/ckpt", buckets=4)
+    S.run_index_stream(spark, f"{base}/in", im.schema, f"{base}/store", f"{base}/ckpt", slots=4)
     got = S.read_pairs(spark, f"{base}/store")
-    batches = spark.read.parquet(f"{base}/store/pairs").select("batch_id").distinct().count()
+    batches = spark.read.parquet(f"{base}/store/facts").select("batch_id").distinct().count()
     want = P.near_pairs(im.unionByName(extra))
     assert batches == 3 and got.count() > first
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
