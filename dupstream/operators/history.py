@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dupstream.operators import pairs as P
+from dupstream.operators.skew import join_back
 from dupstream.session import prepare
 
 POST_FIELDS = ["datetime", "userurl", "userid", "link", "title"]
@@ -134,14 +135,16 @@ def earlier_summary(nodes: DataFrame, adj: DataFrame, slice_seconds: int = SLICE
             .agg(F.sum("n").alias("seen"), F.min("first").alias("first"), F.max("last").alias("last")))
 
 
-def oldest_neighbour(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """Per image: the oldest other duplicate posted at or before it
-    (``id, nb``), or no row when there is none."""
-    m1 = nodes.groupBy("k").agg(F.min("s").alias("m1"))
-    m2 = (nodes.join(m1, "k").filter(F.col("s.link") != F.col("m1.link"))
+def oldest_neighbour(nodes: DataFrame, adj: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Per image (of ``asked``): the oldest other duplicate posted at or before it
+    (``id, nb``), or no row when there is none.  Members of a class of many images
+    meet its smallest one by broadcast, so no task takes the class."""
+    m1 = nodes.groupBy("k").agg(F.min("s").alias("m1"), F.count(F.lit(1)).alias("n_rows"))
+    m2 = (join_back(nodes.select("k", "s"), m1, "k", "n_rows").filter(F.col("s.link") != F.col("m1.link"))
           .groupBy("k").agg(F.min("s").alias("m2")))
-    best = m1.join(m2, "k", "left")
-    q = (nodes.select(F.col("id").alias("qid"), F.col("k").alias("k1"), F.col("datetime").alias("qdt"),
+    best = m1.drop("n_rows").join(m2, "k", "left")
+    askers = nodes if asked is None else nodes.join(asked.select("id"), "id", "left_semi")
+    q = (askers.select(F.col("id").alias("qid"), F.col("k").alias("k1"), F.col("datetime").alias("qdt"),
                       F.col("s.link").alias("qlink"))
          .join(adj, "k1").join(best, F.col("k2") == F.col("k")))
     cand = F.when(F.col("m1.link") == F.col("qlink"), F.col("m2")).otherwise(F.col("m1"))
@@ -177,6 +180,20 @@ def neighbours_before(images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
     """JN8/JN9/JN11/JN12: the first row of the stored-edge lookup (oldest
     duplicate at or before the post), routed by the image's animated flag."""
     nodes, adj = class_graph(images, posts, **kw)
-    nb = oldest_neighbour(nodes, adj)
     img = images.select("id", "post_id", "animated")
+    if kw.get("only") is not None:
+        img = img.join(kw["only"].select(F.col("id").alias("post_id")), "post_id", "left_semi")
+        nb = oldest_neighbour(nodes, adj, asked=img)
+    else:
+        nb = oldest_neighbour(nodes, adj)
     return nb.join(img, "id").select(F.col("post_id").alias("id"), "animated", *flatten("nb", "nb"))
+
+
+def reposts_by_link(links: DataFrame, images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
+    """JN11 by link: for every ``link`` asked for (column ``link``, each once) its post's
+    oldest duplicate at or before it.  ``status``: ``unknown`` (no such post),
+    ``no_repost`` or ``repost``; then ``id``, ``animated`` and the ``nb_*`` columns."""
+    asked = links.select("link").distinct().join(posts.select("id", "link"), "link", "left")
+    found = neighbours_before(images, posts, only=asked.filter("id IS NOT NULL").select("id"), **kw)
+    status = (F.when(F.col("id").isNull(), "unknown").when(F.col("nb_link").isNull(), "no_repost").otherwise("repost"))
+    return asked.join(found, "id", "left").withColumn("status", status)

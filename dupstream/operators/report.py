@@ -120,3 +120,17 @@ def newest_first(requests: DataFrame, k: int | None = None) -> DataFrame:
     w = Window.partitionBy("conv").orderBy(F.col("seq").desc(), F.col("notif_id").desc())
     out = requests.withColumn("newest_rank", F.row_number().over(w))
     return out if k is None else out.filter(F.col("newest_rank") <= k)
+
+
+def repost_messages(reposts: DataFrame, posts: DataFrame) -> DataFrame:
+    """OP3: the reply to a summons at a stored post, from its one neighbour
+    (``history.reposts_by_link``); there is no child reply."""
+    p = posts.select("id", F.col("datetime").alias("x_datetime"), F.col("title").alias("x_title"))
+    df = reposts.filter(F.col("status") == "repost").join(p, "id")
+    gap = X.duration_text(F.col("x_datetime") - F.col("nb_datetime"))
+    info = X.title_similarity_text(F.col("nb_title"), F.col("x_title"))
+    text = F.when(F.col("animated"), F.format_string(_java(X.STR_DUPLICATE), gap, F.col("nb_link"), info)) \
+        .otherwise(F.format_string(_java(X.STR_SIMILAR), gap, F.col("nb_link"), info))
+    return df.select(F.col("link").alias("post_id"), text.alias("text"), F.lit(REPLY_RETRIES).alias("retries"),
+                     X.cap_text(text).alias("text_capped"), F.lit(None).cast("string").alias("child_text"),
+                     F.lit(None).cast("int").alias("child_retries"))

@@ -25,9 +25,9 @@ from dupstream.schemas import TABLES
 from dupstream.session import path_of, stored
 from dupstream.streaming import index_stream as IX
 
-SLOTS = 16
+SLOTS = 16                                            # fixed for a store's life
 SLOT_KEY = {"posts": "id", "images": "post_id"}       # tables whose rows may change
-WRITERS = ("ingest", "reports", "points")             # each with versions of its own
+WRITERS = ("ingest", "reports", "points", "summons")  # each with versions of its own
 LIST = "name string, slot int, folder string"
 
 
@@ -61,16 +61,18 @@ def _commit(spark: SparkSession, store: str, writer: str, version: int, rows: li
     spark.createDataFrame(rows, LIST).coalesce(1).write.mode("overwrite").parquet(f"{store}/snapshots/{writer}/v={version}")
 
 
-def read_table(spark: SparkSession, store: str, name: str, before: int | None = None) -> DataFrame:
-    """A table as the newest finished version left it (``before``: as it was before
-    that ingest batch)."""
+def read_table(spark: SparkSession, store: str, name: str, before: int | None = None,
+               writer_before: tuple[str, int] | None = None) -> DataFrame:
+    """A table as the newest finished versions left it (``before``: as it was before
+    that ingest batch; ``writer_before``: before a batch of another writer too)."""
     if name == "near_pairs":
         done = max(_finished(spark, f"{store}/snapshots/ingest"), default=0)
         upto = done if before is None else min(done, before)
         if upto:
             return IX.read_pairs(spark, f"{store}/near_index", before=upto)
         return spark.createDataFrame([], TABLES[name])
-    folders = [f for w in WRITERS for n, _, f in _snapshot(spark, store, w, before) if n == name]
+    upto = {"ingest": before, **({writer_before[0]: writer_before[1]} if writer_before else {})}
+    folders = [f for w in WRITERS for n, _, f in _snapshot(spark, store, w, upto.get(w)) if n == name]
     return _folders(spark, store, name, folders)
 
 
@@ -84,9 +86,9 @@ def slot_of(name: str, slots: int = SLOTS):
     return F.pmod(F.xxhash64(SLOT_KEY[name]), F.lit(slots)).cast("int")
 
 
-def _put(df: DataFrame, store: str, name: str, version: int) -> list:
+def _put(df: DataFrame, store: str, name: str, version: int, mark: str = "") -> list:
     """Write rows of a version; returns its folders as list rows."""
-    folder = f"data/{name}/v={version}"
+    folder = f"data/{name}{mark}/v={version}"
     df = df.select(*[c if c in df.columns else F.lit(None).cast(TABLES[name][c].dataType).alias(c) for c in TABLES[name].fieldNames()])
     if name not in SLOT_KEY:
         df.write.mode("overwrite").parquet(f"{store}/{folder}")
@@ -180,19 +182,24 @@ def _reports(spark: SparkSession, store: str, lists: list, posts: DataFrame, blo
             + _put(texts.select("post_id", F.lit(-1).cast("bigint").alias("comment_id")), store, "report_log", version)), refused
 
 
-def _append(df: DataFrame, store: str, writer: str, name: str, batch_id: int) -> None:
-    """Append rows as a version of their own writer; again: nothing."""
-    spark, version = df.sparkSession, batch_id + 1
-    if version not in _finished(spark, f"{store}/snapshots/{writer}"):
-        _commit(spark, store, writer, version, _snapshot(spark, store, writer, batch_id) + _put(df, store, name, version))
+def is_done(spark: SparkSession, store: str, writer: str, batch_id: int) -> bool:
+    return batch_id + 1 in _finished(spark, f"{store}/snapshots/{writer}")
+
+
+def append(spark: SparkSession, store: str, writer: str, batch_id: int, tables: dict[str, DataFrame]) -> None:
+    """Append rows to several tables as one version of a writer; again: nothing."""
+    if not is_done(spark, store, writer, batch_id):
+        rows = [r for name, df in tables.items() for r in _put(df, store, name, batch_id + 1, f"-{writer}")]
+        _commit(spark, store, writer, batch_id + 1, _snapshot(spark, store, writer, batch_id) + rows)
 
 
 def log_reports(store: str, messages: DataFrame, batch_id: int) -> None:
     """SNK5: append written reports (comment id -1 until sent)."""
-    _append(messages.select(F.col("post_id"), F.lit(-1).cast("bigint").alias("comment_id")), store, "reports", "report_log", batch_id)
+    log = messages.select(F.col("post_id"), F.lit(-1).cast("bigint").alias("comment_id"))
+    append(messages.sparkSession, store, "reports", batch_id, {"report_log": log})
 
 
 def append_points(store: str, points: DataFrame, batch_id: int) -> None:
     """SNK6: append (time, value) points to the series."""
-    _append(points.select(F.col("ts").cast("double").alias("ts"), F.col("value").cast("bigint").alias("value")),
-            store, "points", "point_series", batch_id)
+    rows = points.select(F.col("ts").cast("double").alias("ts"), F.col("value").cast("bigint").alias("value"))
+    append(points.sparkSession, store, "points", batch_id, {"point_series": rows})

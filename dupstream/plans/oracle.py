@@ -481,6 +481,30 @@ still AS ("""
 ORACLE["ingest_messages"] = _ingested_only(ORACLE["report_messages"].rsplit("SELECT post_id, text, 5 AS retries", 1)[0]) + """
 SELECT post_id, text, substr(text, 1, 140) AS text_capped, child_text, CAST(-1 AS BIGINT) AS comment_id FROM msg"""
 
+_REQ = ORACLE["summon_ids"][ORACLE["summon_ids"].index("notif AS ("):ORACLE["summon_ids"].index("nbr AS (")]
+_SUMMONED = (ORACLE["report_messages"].rsplit("SELECT post_id, text, 5 AS retries", 1)[0]
+             .replace("b.userid = sp.x_userid", "FALSE AND b.userid = sp.x_userid")
+             .replace("WHERE post_it)", f"WHERE post_it OR x_datetime >= {SPLIT_SQL})"))
+for _n in ("posts_fx", "images_fx"):
+    _SUMMONED = _SUMMONED.replace(f"{_n} AS (", f"{_n[:-3]}_all AS (", 1)
+_SPLIT_ALL = SPLIT_SQL.replace("posts_fx", "posts_all")
+_SUMMONED = _SUMMONED.replace(SPLIT_SQL, _SPLIT_ALL).replace(NOW_SQL, NOW_SQL.replace("posts_fx", "posts_all"))
+_SUMMONED = _SUMMONED.replace("still AS (", _REQ + f"""
+images_fx AS (SELECT i.* FROM images_all i JOIN posts_all p ON p.id = i.post_id WHERE i.size > 0 AND NOT p.is_album
+              AND (p.datetime < {_SPLIT_ALL} OR p.link IN (SELECT post_link FROM req))),
+posts_fx AS (SELECT * FROM posts_all WHERE id IN (SELECT post_id FROM images_fx)),
+still AS (""", 1)
+ORACLE["summon_messages"] = _SUMMONED.rstrip().rstrip(",") + f""",
+near_by AS (SELECT x.link, x.animated, x.datetime AS x_datetime, x.title AS x_title, y.datetime, y.userurl, y.userid, y.link AS nb_link, y.title
+         FROM np x JOIN adj ON adj.k1 = x.k JOIN np y ON y.k = adj.k2
+         WHERE y.datetime <= x.datetime AND y.id <> x.id AND x.datetime < {_SPLIT_ALL}
+           AND x.link IN (SELECT post_link FROM req) AND x.link NOT IN (SELECT post_id FROM msg)),
+first_by AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY {_ASC.replace("link", "nb_link")}) AS r FROM near_by),
+reply AS (SELECT link, printf(CASE WHEN animated THEN '{_T["dup"]}' ELSE '{_T["sim"]}' END,
+                              {_duration('x_datetime - datetime')}, nb_link, {_info('title')}) AS text FROM first_by WHERE r = 1)
+SELECT post_id, text, substr(text, 1, 140) AS text_capped, child_text, CAST(-1 AS BIGINT) AS comment_id FROM msg
+UNION ALL SELECT link, text, substr(text, 1, 140), NULL, CAST(-1 AS BIGINT) FROM reply"""
+
 ORACLE["point_series"] = """
 SELECT CAST(CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS DOUBLE) AS ts, count(*) AS value
 FROM events GROUP BY 1"""

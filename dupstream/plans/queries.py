@@ -544,6 +544,25 @@ def q_ingest_messages(spark, sf_dir):
     return SO.read_table(spark, base, "messages").join(log, "post_id").drop("retries", "child_retries")
 
 
+@register("summon_messages")
+def q_summon_messages(spark, sf_dir):
+    """OP3/JN11/FLT3: summons streamed against a store of the earlier posts; messages of
+    reposts and of unknown posts that were ingested, with the report log's entry."""
+    from dupstream.operators import store as SO
+    from dupstream.streaming import summon_stream as SU
+    base = _scratch(spark, "summons")
+    SO.create_store(spark, base)
+    split, now = time_marks(spark, sf_dir)
+    rec, im = api_records(spark, sf_dir), images_fx(spark, sf_dir)
+    SO.ingest_batch(spark, base, rec.filter(F.col("datetime") < split), im.filter(F.col("datetime") < split), 0, now=now)
+    notes = notifications(spark, sf_dir)
+    notes.write.parquet(f"{base}/in")
+    SU.run_summon_stream(spark, f"{base}/in", notes.schema, base, f"{base}/ckpt", rec.filter(F.col("datetime") >= split), im, 1,
+                         now, files_per_batch=1000)
+    log = SO.read_table(spark, base, "report_log")
+    return SO.read_table(spark, base, "messages").join(log, "post_id").drop("retries", "child_retries")
+
+
 @register("point_series")
 def q_point_series(spark, sf_dir):
     """SNK6: daily event counts appended as a (time, value) series in two

@@ -70,6 +70,12 @@ MESSAGES = T.StructType([
     T.StructField("child_retries", T.IntegerType(), True),
 ])
 
+SUMMONS = T.StructType([
+    T.StructField("notif_id", T.LongType(), True),
+    T.StructField("post_link", T.StringType(), True),
+    T.StructField("status", T.StringType(), True),
+])
+
 PAGE_COUNTS = T.StructType([T.StructField(c, T.LongType(), True)
                             for c in ("page", "updates", "known", "skipped", "errors", "albums")])
 
@@ -109,4 +115,5 @@ TABLES = {
     "point_series": POINT_SERIES,
     "messages": MESSAGES,
     "page_counts": PAGE_COUNTS,
+    "summons": SUMMONS,
 }
