@@ -1,13 +1,15 @@
-"""Perceptual hashes of gray images (FN20-FN25), NumPy kernels.
+"""Perceptual hashes of gray images (FN20-FN25), NumPy kernels over stacks.
 
-These run inside ``mapInPandas`` tasks (``dupstream.sources.images``): Spark
-partitions the images, each task hashes its batch with vectorised NumPy.
+These run inside ``mapInArrow`` tasks (``dupstream.sources.images``): Spark partitions
+the images, each task stacks its images of equal size and hashes a stack at once.
 
 * luma: weighted R, G, B in 16-bit fixed point (8-bit gray);
-* resize: separable Lanczos (a = 3) with the kernel widened by the
-  down-scale factor and 8-bit rounding after each pass.  This follows the
-  usual antialiasing resampler; bit-exact parity with any particular
-  imaging library is not claimed (hash thresholds absorb +-1 levels);
+* resize: separable Lanczos (a = 3) with the kernel widened by the down-scale
+  factor, weights in 22-bit fixed point and 8-bit rounding after each pass, one
+  matrix product a pass.  Products and sums of whole numbers stay below 2**53, so
+  float64 matrix products are exact and the result is the same on every machine
+  (and in SQL).  This follows the usual antialiasing resampler; parity with a
+  particular imaging library is not claimed;
 * aHash: bit = pixel below the integer mean; dHash: bit = pixel below its
   right (horizontal) or lower (vertical) neighbour; bits are read row-major,
   most significant first, and cut into signed 64-bit words.
@@ -23,6 +25,7 @@ import numpy as np
 LUMA_R, LUMA_G, LUMA_B, LUMA_ROUND, LUMA_SHIFT = 19595, 38470, 7471, 32768, 16
 # --------------------------------------------------------------------------
 LANCZOS_A = 3.0
+WEIGHT_BITS = 22
 
 
 def luma(bgr: np.ndarray) -> np.ndarray:
@@ -57,58 +60,79 @@ def _weights(n_in: int, n_out: int) -> np.ndarray:
     return w
 
 
+@lru_cache(maxsize=256)
+def fixed_weights(n_in: int, n_out: int) -> np.ndarray:
+    """The resampling matrix in whole numbers of 1 / 2**WEIGHT_BITS."""
+    w = np.rint(_weights(n_in, n_out) * (1 << WEIGHT_BITS))
+    w.setflags(write=False)
+    return w
+
+
+def _levels(sums: np.ndarray) -> np.ndarray:
+    """Fixed-point sums to gray levels, rounded."""
+    return np.clip((sums.astype(np.int64) + (1 << (WEIGHT_BITS - 1))) >> WEIGHT_BITS, 0, 255)
+
+
+def resize_stack(stack: np.ndarray, width: int, height: int) -> np.ndarray:
+    """FN21: Lanczos resize of an (n, h, w) uint8 stack to (n, height, width)."""
+    n, h, w = stack.shape
+    rows = _levels(stack.reshape(n * h, w).astype(np.float64) @ fixed_weights(w, width).T).reshape(n, h, width)
+    columns = rows.transpose(1, 0, 2).reshape(h, n * width).astype(np.float64)
+    return _levels(fixed_weights(h, height) @ columns).reshape(height, n, width).transpose(1, 0, 2).astype(np.uint8)
+
+
 def resize(gray: np.ndarray, width: int, height: int) -> np.ndarray:
-    """FN21: Lanczos resize of an (h, w) uint8 image to (height, width)."""
-    h, w = gray.shape
-    if (w, h) == (width, height):
-        return gray
-    horiz = np.clip(np.rint(gray.astype(np.float64) @ _weights(w, width).T), 0, 255)
-    vert = np.clip(np.rint(_weights(h, height) @ horiz), 0, 255)
-    return vert.astype(np.uint8)
+    """One (h, w) image."""
+    return resize_stack(gray[None], width, height)[0]
+
+
+def pack_words(bits: np.ndarray) -> np.ndarray:
+    """FN10 on (n, k * 64) 0/1 rows: (n, k) signed words, most significant bit first."""
+    return np.packbits(bits.reshape(len(bits), -1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
 
 
 def bits_to_words(bits: np.ndarray) -> list[int]:
-    """FN10 on a 0/1 vector: signed 64-bit words, most significant first."""
-    out = []
-    for i in range(0, len(bits), 64):
-        v = 0
-        for b in bits[i:i + 64]:
-            v = (v << 1) | int(b)
-        out.append(v - (1 << 64) if v >= 1 << 63 else v)
-    return out
+    """One 0/1 vector as signed 64-bit words."""
+    return pack_words(np.asarray(bits)[None])[0].tolist()
+
+
+def below_mean(px: np.ndarray) -> np.ndarray:
+    """FN22/FN24 bits of (n, side, side) thumbnails: pixel < floor(mean)."""
+    flat = px.reshape(len(px), -1).astype(np.int64)
+    return flat < (flat.sum(axis=1) // flat.shape[1])[:, None]
 
 
 def ahash_bits(gray: np.ndarray, side: int) -> np.ndarray:
-    """FN22/FN24: side x side thumbnail, bit = pixel < floor(mean)."""
-    px = resize(gray, side, side).astype(np.int64).ravel()
-    avg = int(px.sum()) // (side * side)
-    return (px < avg).astype(np.uint8)
+    return below_mean(resize_stack(gray[None], side, side))[0].astype(np.uint8)
 
 
 def dhash_h_bits(gray: np.ndarray, side: int) -> np.ndarray:
     """FN23/FN24: (side+1) x side thumbnail, bit = pixel < right neighbour."""
-    px = resize(gray, side + 1, side).astype(np.int64)
-    return (px[:, :-1] < px[:, 1:]).astype(np.uint8).ravel()
+    return _rising(resize_stack(gray[None], side + 1, side), 2)[0].astype(np.uint8)
 
 
 def dhash_v_bits(gray: np.ndarray, side: int) -> np.ndarray:
     """FN23/FN24: side x (side+1) thumbnail, bit = pixel < lower neighbour."""
-    px = resize(gray, side, side + 1).astype(np.int64)
-    return (px[:-1, :] < px[1:, :]).astype(np.uint8).ravel()
-
-
-def fingerprint(gray: np.ndarray) -> dict:
-    """The live fingerprint: 4 aHash + 4 dHash_h + 4 dHash_v words of the
-    256-bit hashes, plus the 64-bit hashes (as signed BIGINT bit patterns)
-    and the 768-element 0/1 vector with a fractional mean (FN25)."""
-    a, dh, dv = ahash_bits(gray, 16), dhash_h_bits(gray, 16), dhash_v_bits(gray, 16)
-    words = bits_to_words(a) + bits_to_words(dh) + bits_to_words(dv)
-    px = resize(gray, 16, 16).astype(np.float64).ravel()
-    a_float = (px < px.mean()).astype(np.int8)
+    return _rising(resize_stack(gray[None], side, side + 1), 1)[0].astype(np.uint8)
+
+
+def _rising(px: np.ndarray, axis: int) -> np.ndarray:
+    a, b = (px[:, :, :-1], px[:, :, 1:]) if axis == 2 else (px[:, :-1], px[:, 1:])
+    return (a < b).reshape(len(px), -1)
+
+
+def fingerprints(stack: np.ndarray) -> dict[str, np.ndarray]:
+    """The live fingerprints of an (n, h, w) uint8 stack: ``words`` (n, 12), the 256-bit
+    aHash, dHash_h and dHash_v; the 64-bit hashes (n,); and ``vector768`` (n, 768), the 0/1
+    vector with a fractional mean (FN25)."""
+    big = resize_stack(stack, 16, 16)
+    dh, dv = _rising(resize_stack(stack, 17, 16), 2), _rising(resize_stack(stack, 16, 17), 1)
+    flat = big.reshape(len(big), -1).astype(np.int64)
+    fractional = flat * flat.shape[1] < flat.sum(axis=1)[:, None]
     return {
-        "words": words,
-        "ahash64": bits_to_words(ahash_bits(gray, 8))[0],
-        "dhash_h64": bits_to_words(dhash_h_bits(gray, 8))[0],
-        "dhash_v64": bits_to_words(dhash_v_bits(gray, 8))[0],
-        "vector768": np.concatenate([a_float, dh.astype(np.int8), dv.astype(np.int8)]).tolist(),
+        "words": np.concatenate([pack_words(below_mean(big)), pack_words(dh), pack_words(dv)], axis=1),
+        "ahash64": pack_words(below_mean(resize_stack(stack, 8, 8)))[:, 0],
+        "dhash_h64": pack_words(_rising(resize_stack(stack, 9, 8), 2))[:, 0],
+        "dhash_v64": pack_words(_rising(resize_stack(stack, 8, 9), 1))[:, 0],
+        "vector768": np.concatenate([fractional, dh, dv], axis=1).astype(np.int8),
     }

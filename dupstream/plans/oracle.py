@@ -379,6 +379,58 @@ h AS (SELECT vec_id, avg, list_sum(list_transform(range(64), lambda i: CASE WHEN
 SELECT vec_id, avg, CAST(CASE WHEN u >= CAST(9223372036854775808 AS HUGEINT) THEN u - CAST(18446744073709551616 AS HUGEINT) ELSE u END AS BIGINT) AS ahash
 FROM h"""
 
+def _image_sql() -> str:
+    """Fixed-point Lanczos resampling, level by level, and the hashes of its thumbnails."""
+    import numpy as np
+
+    from dupstream.functions.imagehash import WEIGHT_BITS, fixed_weights
+    rows = [f"({n}, {o}, {k}, {int(w)})" for n in (8, 9, 16, 17)
+            for (o, k), w in np.ndenumerate(fixed_weights(8, n)) if w]
+    level = f"least(255, greatest(0, (CAST(sum(v * w) AS BIGINT) + {1 << (WEIGHT_BITS - 1)}) // {1 << WEIGHT_BITS}))"
+    pix = ORACLE["ahash64_embedding"].split("a AS (SELECT")[0].rstrip().rstrip(",")
+
+    def words(bits: str, name: str, tag: str) -> str:
+        u = "sum(CASE WHEN bit THEN CAST(1 AS HUGEINT) << (63 - CAST(pos % 64 AS INTEGER)) ELSE CAST(0 AS HUGEINT) END)"
+        return f"""{name} AS (SELECT vec_id, '{tag}' AS tag, pos // 64 AS word, {u} AS u FROM ({bits}) GROUP BY vec_id, pos // 64)"""
+
+    def mean(side: int, name: str) -> str:
+        return words(f"""SELECT vec_id, y * {side} + x AS pos, v < sum(v) OVER (PARTITION BY vec_id) // {side * side} AS bit
+                         FROM thumb WHERE nx = {side} AND ny = {side}""", name, f"a{side}")
+
+    def rising(side: int, across: bool, name: str) -> str:
+        nx, ny = (side + 1, side) if across else (side, side + 1)
+        step = "a.x + 1 = b.x AND a.y = b.y" if across else "a.x = b.x AND a.y + 1 = b.y"
+        return words(f"""SELECT a.vec_id, a.y * {side} + a.x AS pos, a.v < b.v AS bit FROM thumb a JOIN thumb b
+                         ON a.vec_id = b.vec_id AND a.nx = {nx} AND a.ny = {ny} AND b.nx = {nx} AND b.ny = {ny} AND {step}""",
+                     name, f"{'h' if across else 'v'}{side}")
+
+    signed = "CAST(CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END AS BIGINT)"
+    order = [("ahash", "a"), ("dhash_h", "h"), ("dhash_v", "v")]
+    wide = ", ".join(f"max(s) FILTER (WHERE tag = '{t}16' AND word = {i}) AS {n}_{i + 1}" for n, t in order for i in range(4))
+    small = ", ".join(f"max(s) FILTER (WHERE tag = '{t}8') AS {n}64" for n, t in order)
+    return f"""{pix},
+weight(n, o, k, w) AS (VALUES {", ".join(rows)}),
+px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM
+       (SELECT vec_id, unnest(pix) AS v, unnest(range(64)) AS i FROM p)),
+across AS (SELECT vec_id, y, n AS nx, o AS x, {level} AS v FROM px JOIN weight ON k = x GROUP BY vec_id, y, n, o),
+thumb AS (SELECT vec_id, nx, n AS ny, x, o AS y, {level} AS v FROM across JOIN weight ON k = y AND abs(n - nx) <= 1
+          GROUP BY vec_id, nx, n, x, o),
+{mean(8, "a8")}, {mean(16, "a16")}, {rising(8, True, "h8")}, {rising(16, True, "h16")}, {rising(8, False, "v8")},
+{rising(16, False, "v16")},
+print AS (SELECT vec_id, tag, word, {signed} AS s FROM (SELECT * FROM a8 UNION ALL SELECT * FROM a16 UNION ALL SELECT * FROM h8
+          UNION ALL SELECT * FROM h16 UNION ALL SELECT * FROM v8 UNION ALL SELECT * FROM v16)),
+flat AS (SELECT vec_id, string_agg(CASE WHEN v * 256 < total THEN '1' ELSE '0' END, '' ORDER BY y, x) AS mean_bits
+         FROM (SELECT *, sum(v) OVER (PARTITION BY vec_id) AS total FROM thumb WHERE nx = 16 AND ny = 16) GROUP BY vec_id),
+texts AS (SELECT vec_id, string_agg(lpad(bin(u), 64, '0'), '' ORDER BY tag, word) AS rise_bits
+          FROM (SELECT * FROM h16 UNION ALL SELECT * FROM v16) GROUP BY vec_id),
+prints AS (SELECT vec_id, {wide}, {small} FROM print GROUP BY vec_id)
+"""
+
+
+ORACLE["image_fingerprints"] = _image_sql() + """
+SELECT CAST(vec_id AS VARCHAR) AS path, prints.* EXCLUDE (vec_id), mean_bits || rise_bits AS vector768
+FROM prints JOIN flat USING (vec_id) JOIN texts USING (vec_id)"""
+
 ORACLE["envelope_split"] = with_fx() + f"""
 , pg AS (SELECT doc_id // {POSTS_PER_PAGE} AS page, count(*) AS n FROM fx_base GROUP BY 1)
 SELECT page,

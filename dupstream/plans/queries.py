@@ -467,14 +467,15 @@ def q_stream_miss_limit(spark, sf_dir):
 @register("image_fingerprints")
 def q_image_fingerprints(spark, sf_dir):
     """FN20-FN25/PRJ4: fingerprints of 8x8 gray images (each embedding scaled
-    to 0-255), resized by Lanczos to the 16/17-pixel hash grids."""
+    to 0-255), resized by Lanczos to the 16/17-pixel hash grids; the 768-bit vector
+    as text."""
     from dupstream.sources.images import fingerprint_pixels
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     grids = emb.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).selectExpr(
         "vec_id", "array_min(v) AS mn", "array_max(v) AS mx", "v").selectExpr(
         "vec_id",
         "transform(v, x -> CASE WHEN mx = mn THEN 0 ELSE CAST(floor(255 * (x - mn) / (mx - mn)) AS INT) END) AS pix")
-    return fingerprint_pixels(grids, "vec_id", "pix", 8, 8)
+    return fingerprint_pixels(grids, "vec_id", "pix", 8, 8).withColumn("vector768", F.concat_ws("", "vector768"))
 
 
 # ---- stored index: ingest in two batches, then read back ---------------------

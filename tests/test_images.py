@@ -81,5 +81,41 @@ def test_folder_duplicates(spark, tmp_path):
     write_png(d / "x.png", g)
     write_png(d / "y.png", g)
     write_png(d / "z.jpg.png", np.dstack([255 - g] * 3))
-    groups = IM.folder_duplicates(spark, str(d), (".png",)).collect()
-    assert sorted(r["n"] for r in groups) == [2, 2, 3]
+    rows = IM.folder_duplicates(spark, str(d), (".png",)).collect()
+    found = {}
+    for r in rows:
+        found.setdefault((r["kind"], r["h1"], r["h2"], r["h3"], r["h4"]), []).append(r["path"].rsplit("/", 1)[1])
+        assert r["n"] == len([x for x in rows if x["kind"] == r["kind"] and x["h1"] == r["h1"]])
+    # the inverted image shares the all-zero vertical dHash
+    assert sorted(map(sorted, found.values())) == [["x.png", "y.png"], ["x.png", "y.png"], ["x.png", "y.png", "z.jpg.png"]]
+
+
+def test_stacks_hash_like_single_images_and_plain_resampling():
+    rng = np.random.default_rng(3)
+    for h, w in ((8, 8), (40, 30), (17, 65)):
+        stack = rng.integers(0, 256, (7, h, w)).astype(np.uint8)
+        got = IH.fingerprints(stack)
+        for i, gray in enumerate(stack):
+            one = IH.fingerprints(gray[None])
+            assert all((one[k][0] == got[k][i]).all() for k in got)
+            assert got["words"][i].tolist() == [*IH.bits_to_words(IH.ahash_bits(gray, 16)), *IH.bits_to_words(IH.dhash_h_bits(gray, 16)),
+                                                *IH.bits_to_words(IH.dhash_v_bits(gray, 16))]
+            plain = np.zeros((16, w))
+            for y in range(16):                      # plain weighted sums, level by level
+                plain[y] = gray.T.astype(float) @ IH._weights(h, 16)[y]
+            assert np.abs(IH.resize(gray, w, 16).astype(float) - np.clip(plain, 0, 255)).max() <= 1
+    bits = rng.integers(0, 2, (3, 128))
+    for row, packed in zip(bits, IH.pack_words(bits)):
+        text = "".join(map(str, row))
+        assert [int(text[:64], 2), int(text[64:], 2)] == [int(x) % 2**64 for x in packed]
+
+
+def test_images_of_mixed_sizes_keep_their_order(monkeypatch):
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 256, s).astype(np.uint8) for s in ((9, 9), (30, 20), (9, 9), (20, 30), (9, 9))]
+    whole = IM._hashed(list("abcde"), images)
+    monkeypatch.setattr(IM, "STACK_BYTES", 1)
+    assert IM._hashed(list("abcde"), images).equals(whole)
+    assert IM._hashed([], []).num_rows == 0
+    assert whole.column("ahash_1").to_pylist() == [
+        int(IH.fingerprints(g[None])["words"][0][0]) for g in images]
