@@ -493,6 +493,17 @@ ORACLE["lsh_nearest"] = with_fx(*_LSH, """both_ AS (SELECT a AS id, b AS other,
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM both_)""") + \
     "SELECT id, other, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"
 
+_VECTORS = f"""still AS (SELECT *, datetime >= {SPLIT_SQL} AS late FROM images_fx WHERE NOT animated),
+hits AS (SELECT l.id AS q, r.id, {_TOTAL} AS distance, l.late AND NOT r.late AS across FROM still l JOIN still r ON l.id <> r.id
+         AND {_TOTAL} <= 20)"""
+ORACLE["lsh_insert_get"] = with_fx(_VECTORS) + f"""
+SELECT q, id, distance, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT q, h.id, distance, row_number() OVER (PARTITION BY q ORDER BY distance, h.id) AS rank
+  FROM hits h JOIN still a ON a.id = q JOIN still b ON b.id = h.id WHERE across OR (a.late = b.late AND h.id < q)) WHERE rank <= 5"""
+ORACLE["lsh_check"] = with_fx(_VECTORS) + """
+SELECT s.id AS q, min(distance) AS best, count(distance) > 0 AS found
+FROM still s LEFT JOIN hits h ON h.q = s.id AND across WHERE s.late GROUP BY s.id"""
+
 ORACLE["stream_pairs"] = ORACLE["near_pairs"]
 ORACLE["stream_miss_limit"] = ORACLE["miss_limit"]
 

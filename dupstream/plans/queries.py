@@ -428,6 +428,31 @@ def q_lsh_nearest(spark, sf_dir):
     return P.nearest(P.total_distance_pairs(images_fx(spark, sf_dir)), 5)
 
 
+def _two_vector_batches(spark, sf_dir):
+    """Still images stored in two batches; returns (store, answers of both)."""
+    from dupstream.operators import vector_index as V
+    base = _scratch(spark, "vectors")
+    old, new = (P.still_images(d).select("id", *WORDS) for d in _split_images(spark, sf_dir))
+    return base, [V.insert_and_get(d, n, base, most=5) for n, d in enumerate((old, new))]
+
+
+@register("lsh_insert_get")
+def q_lsh_insert_get(spark, sf_dir):
+    """JN15: two batches inserted into the stored 768-bit index; each image's five nearest
+    among what was there before it."""
+    _, (first, second) = _two_vector_batches(spark, sf_dir)
+    return first.unionByName(second)
+
+
+@register("lsh_check")
+def q_lsh_check(spark, sf_dir):
+    """JN15: later images checked against the stored index of the earlier ones."""
+    from dupstream.operators import vector_index as V
+    base, _ = _two_vector_batches(spark, sf_dir)
+    new = P.still_images(_split_images(spark, sf_dir)[1]).select("id", *WORDS)
+    return V.check(new, base, before=1)
+
+
 # ---- streaming --------------------------------------------------------------
 
 def _scratch(spark, tag: str) -> str:
