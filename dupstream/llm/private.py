@@ -2,7 +2,8 @@
 
 One pattern finds candidates; each kind has its own validity test (check digit,
 calendar, number ranges), and what fails it, or is part of a longer run of digits and
-the format's separator, is left as it is.  A valid value is a
+the format's separator, is left as it is (card numbers excepted: in a run of groups of
+four every group is tried as a start).  A valid value is a
 point of its format's domain, written as a pair of residues ``(l mod a, r mod b)``
 with ``a * b`` the size of the domain, and goes through ``ROUNDS`` keyed Feistel
 rounds, each adding a hash of one half to the other.  That is a permutation of the
@@ -42,14 +43,20 @@ def _day(form: str, sep: str) -> str:
 
 
 # Formats.  Only a longer run of digits and the format's own separator
-# hides a value; other neighbours do not.
+# hides a value, and no card number; other neighbours do not.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 PHONE = r"(?<!\d)(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?![\d])"
 SSN = r"(?<!\d)(?<!\d-)\d{3}-\d{2}-\d{4}(?!\d)(?!-\d)"
 IP = r"(?<!\d)(?<!\d\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 DATE = "|".join((_day(r"\d{4}-\d{2}-\d{2}", "-"), _day(r"\d{2}/\d{2}/\d{4}", "/"), _day(r"\d{2}\.\d{2}\.\d{4}", r"\.")))
-CARD = r"(?<!\d)(?<!\d-)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-FOUND = "|".join((EMAIL, DATE, IP, SSN, CARD, PHONE))
+# Card numbers without separators, in 4-6-5, and in groups of four: a run of groups is one
+# candidate, in which a number may start at every group.  A run does not take in a group
+# that begins a date, a 4-6-5 number or another value.
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
+_NEXT = r"(?:[ -]\d{4}(?!\d|-\d{2}-\d{2}(?!\d)|[ -]\d{6}[ -]\d{5}(?!\d)))"
+_LAST = r"[ -]\d{1,7}(?!\d|[-./]\d|[A-Za-z_%+@]|\.[A-Za-z])"
+CARDS = rf"(?<!\d)\d{{4}}(?:{_NEXT}{{3,}}(?:{_LAST})?|[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}(?!\d))"
+FOUND = "|".join((EMAIL, DATE, IP, SSN, CARDS, CARD, PHONE))
 
 
 def _hash(key: str, kind: str, turn: Column, value: Column) -> Column:
@@ -116,6 +123,28 @@ def _card(value: Column, key: str) -> tuple[Column, Column]:
     return valid, _relaid(value, out)
 
 
+def _grouped(value: Column, key: str) -> tuple[Column, Column]:
+    """Number of card numbers in a run of groups of four, and the run with all of them
+    replaced: every group is tried as a start, from the left, outside numbers found."""
+    groups, gaps = F.split(value, "[ -]"), F.regexp_extract_all(value, F.lit("([ -])"), F.lit(1))
+
+    def turn(state, i):
+        gap = F.when(i > 0, F.try_element_at(gaps, i)).otherwise(F.lit(""))
+        size = F.when(i + 4 < F.size(groups), F.lit(19)).otherwise(F.length(value))
+        window = F.when((state.skip == 0) & (i + 4 <= F.size(groups)), value.substr(i * 5 + 1, size)).otherwise(F.lit(""))
+
+        def put(w):
+            valid, new = _card(w, key)
+            fits = F.coalesce(valid, F.lit(False))
+            return F.when(state.skip > 0, F.struct(state.out.alias("out"), (state.skip - 1).alias("skip"), state.n.alias("n"))) \
+                .when(fits, F.struct(F.concat(state.out, gap, new).alias("out"), F.lit(3).alias("skip"), (state.n + 1).alias("n"))) \
+                .otherwise(F.struct(F.concat(state.out, gap, F.get(groups, i)).alias("out"), F.lit(0).alias("skip"), state.n.alias("n")))
+        return F.transform(F.array(window), put)[0]
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("skip"), F.lit(0).alias("n"))
+    done = F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, turn)
+    return done.n, done.out
+
+
 def _phone(value: Column, key: str) -> tuple[Column, Column]:
     digits = F.substring(_digits(value), -10, 10)
     area, rest = _number(F.substring(digits, 1, 3)), _number(F.substring(digits, 4, 7))
@@ -187,16 +216,18 @@ def _email(value: Column, key: str) -> tuple[Column, Column]:
 
 
 def _pseudonym(value: Column, key: str) -> Column:
-    """Struct of the kind (null where the value is not valid) and the new text."""
+    """Struct of the kinds (none where the value is not valid) and the new text."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     kinds = (("email", EMAIL, _email), ("date", DATE, _date), ("ip", IP, _ip), ("ssn", SSN, _ssn),
              ("phone", PHONE, _phone), ("card", CARD, _card))
-    kind, out = F.lit(None).cast("string"), value
+    out = F.struct(F.array().cast("array<string>").alias("kinds"), value.alias("new"))
+    run = F.transform(F.array(F.struct(*[c.alias(n) for c, n in zip(_grouped(value, key), ("n", "new"))])), lambda r: F.struct(
+        F.array_repeat(F.lit("card"), r.n).alias("kinds"), r.new.alias("new")))[0]
+    out = F.when(whole(CARDS), run).otherwise(out)
     for name, pattern, make in reversed(kinds):
         valid, new = make(value, key)
-        fits = whole(pattern) & valid
-        kind, out = F.when(fits, name).otherwise(kind), F.when(fits, new).otherwise(out)
-    return F.struct(kind.alias("kind"), out.alias("new"))
+        out = F.when(whole(pattern) & valid, F.struct(F.array(F.lit(name)).alias("kinds"), new.alias("new"))).otherwise(out)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -208,7 +239,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)), lambda v: _pseudonym(v, key))))
     woven = F.array_join(F.zip_with(F.split("text", FOUND, -1), F.col("new.new"),
                                     lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    kinds = F.filter(F.col("new.kind"), lambda k: k.isNotNull())
+    kinds = F.flatten(F.col("new.kinds"))
     return found.select("doc_id", F.when(F.size("new") > 0, woven).otherwise(F.col("text")).alias("text"),
                         F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_found"),
                         F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"))
