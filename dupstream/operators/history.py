@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from dupstream.operators import pairs as P
 from dupstream.operators.skew import join_back
-from dupstream.session import prepare
+from dupstream.session import prepare, stored
 
 POST_FIELDS = ["datetime", "userurl", "userid", "link", "title"]
 
@@ -142,7 +142,8 @@ def oldest_neighbour(nodes: DataFrame, adj: DataFrame, asked: DataFrame | None =
     m1 = nodes.groupBy("k").agg(F.min("s").alias("m1"), F.count(F.lit(1)).alias("n_rows"))
     m2 = (join_back(nodes.select("k", "s"), m1, "k", "n_rows").filter(F.col("s.link") != F.col("m1.link"))
           .groupBy("k").agg(F.min("s").alias("m2")))
-    best = m1.drop("n_rows").join(m2, "k", "left")
+    # read back from files, so that a class asked for by very many posts can be split
+    best = stored(m1.drop("n_rows").join(m2, "k", "left"), "oldest")
     askers = nodes if asked is None else nodes.join(asked.select("id"), "id", "left_semi")
     q = (askers.select(F.col("id").alias("qid"), F.col("k").alias("k1"), F.col("datetime").alias("qdt"),
                       F.col("s.link").alias("qlink"))

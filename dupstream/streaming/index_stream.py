@@ -23,6 +23,9 @@ read only when their write has finished (``_SUCCESS``).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,8 +144,13 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, th: P.Thresholds
         new = classes.join(known.select("id"), "id", "left_anti")
     edges = links.select(F.lit(EDGE).alias("kind"), F.col("l_id").alias("a"), F.col("r_id").alias("b"), "diff_a",
                          (F.col("diff_dh") + F.col("diff_dv")).alias("diff_d"))
-    copies.unionByName(edges).write.mode("overwrite").parquet(f"{store}/facts/batch_id={batch_id}")
-    _write_bands(P.band_rows(new, th, bits_col=bits_col).withColumn("slot", _slot(slots)), f"{bands}/part=b{batch_id}")
+    facts = copies.unionByName(edges)
+    rows = P.band_rows(new, th, bits_col=bits_col).withColumn("slot", _slot(slots))
+    with ThreadPoolExecutor(2) as both:          # two independent jobs of one batch
+        writes = [both.submit(inheritable_thread_target(spark)(lambda: facts.write.mode("overwrite").parquet(f"{store}/facts/batch_id={batch_id}"))),
+                  both.submit(inheritable_thread_target(spark)(lambda: _write_bands(rows, f"{bands}/part=b{batch_id}")))]
+        for w in writes:
+            w.result()
 
 
 def run_index_stream(spark: SparkSession, source_dir: str, schema, store: str, checkpoint: str,
