@@ -5,11 +5,12 @@ lengths in tokens do not depend on their surroundings.  The lengths of frequent
 pre-tokens are looked up in a broadcast hash table (at most ``TABLE`` pre-tokens of
 at most ``LONGEST`` characters, so at most some megabytes); what it misses goes
 through a bounded cache in each worker, filled by encoding the new pre-tokens of an
-Arrow batch in one library call.  Pre-tokens are never shuffled: each sampled task
-gives its most frequent ones, and the table only decides the speed, never a count.
+Arrow batch in one library call.  The texts' pre-tokens are never shuffled; only those of
+the table's sample are, each task's ``PER_TASK`` most frequent ones, summed before at
+most ``TABLE`` of them are collected.  The table only decides the speed, never a count.
 
-The table is drawn from about ``SAMPLE`` documents picked by id hash; counts cover
-every text whole.  Texts with characters outside the plain ranges below, where
+It is drawn from about ``SAMPLE`` documents picked by a hash of id and text, in as many
+tasks as the scan has; counts cover every text whole.  Texts with characters outside the plain ranges below, where
 regular-expression libraries may class characters differently, are split by the
 library's own pre-tokeniser.
 
@@ -101,12 +102,10 @@ def _frequent(path: str):
 def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE, most: int = TABLE) -> dict[str, int]:
     """Lengths of at most ``most`` pre-tokens frequent in a bounded sample."""
     every = max(1, docs.count() // sample)
-    picked = docs.select("text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counts: Counter = Counter()
-    rows = picked.coalesce(8).mapInArrow(_frequent(path), "piece string, n long")
-    for row in rows.toLocalIterator():                    # at most 8 x PER_TASK short strings
-        counts[row["piece"]] += row["n"]
-    pieces = [p for p, _ in counts.most_common(most)]
+    picked = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text")
+    rows = (picked.mapInArrow(C.tidy("token_counts", _frequent(path)), "piece string, n long").groupBy("piece")
+            .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most).collect())   # at most ``most`` short strings
+    pieces = [row["piece"] for row in rows]
     return dict(zip(pieces, splitter(path).lengths(pieces))) if pieces else {}
 
 
@@ -122,6 +121,7 @@ def _counter(path: str, table, slice_rows: int = 512):
         s = splitter(path)
         if key not in _CACHES:                       # kept while Spark reuses the worker
             _CACHES.clear()
+            C.keep_until_left(_CACHES.clear)
             _CACHES[key] = C.WordCache(CACHE, LONGEST, 0, table.value)
         cache = _CACHES[key]
         for batch in batches:
@@ -142,4 +142,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # at most TABLE strings of at most LONGEST characters
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(rows, path))
-    return rows.mapInArrow(_counter(path, table), SCHEMA)
+    return rows.mapInArrow(C.tidy("token_counts", _counter(path, table)), SCHEMA)
