@@ -108,14 +108,68 @@ def levenshtein_n(a, b, bit_parallel: bool = True) -> Column:
 
 
 def positional_mismatch(a, b) -> Column:
-    """FN7: positions (up to the shorter length) where the strings differ."""
+    """FN7: positions (up to the shorter length) where the strings differ.
+    Both are cut into characters once, so a row costs its length."""
     a, b = _c(a), _c(b)
     n = F.least(F.char_length(a), F.char_length(b))
-    diff = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                    lambda i: F.substring(a, i, 1) != F.substring(b, i, 1))
+    # beyond the shorter string one side is NULL, and so is the comparison
+    diff = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d)
     return F.when(n == 0, F.lit(0)).otherwise(F.size(diff)).cast("int")
 
 
+# character classes of the histogram bound; together with "any other" they cover every text
+HISTOGRAM = (" ", "ea", "ti", "ons", "rhl", "dcum", "fpgwyb", "0123456789")
+
+
+def distance_bound(a, b) -> Column:
+    """A number no edit distance of ``a`` and ``b`` is below.
+
+    One edit changes the length by at most one; it adds at most one character to one class
+    of characters and takes at most one from one, so the surplus of either side over all
+    classes is a bound too (and never below the length's)."""
+    a, b = _c(a), _c(b)
+    over = under = F.lit(0)
+    rest = F.char_length(a) - F.char_length(b)
+    for chars in HISTOGRAM:
+        gap = _held(a, chars) - _held(b, chars)
+        rest = rest - gap
+        over, under = over + F.greatest(gap, F.lit(0)), under + F.greatest(-gap, F.lit(0))
+    return F.greatest(over + F.greatest(rest, F.lit(0)), under + F.greatest(-rest, F.lit(0)))
+
+
+def _held(x: Column, chars: str) -> Column:
+    return F.char_length(x) - F.char_length(F.translate(x, chars, ""))
+
+
+def bounded_distance(a, b, most) -> Column:
+    """FN8 up to ``most`` (a number or an INT column), NULL beyond it.  Pairs that the lengths or the
+    histograms tell apart are never compared; others by the banded built-in, whose cost
+    is the length times ``most``."""
+    a, b = _c(a), _c(b)
+    most = most if isinstance(most, Column) else F.lit(int(most))
+    near = F.abs(F.char_length(a) - F.char_length(b)) <= most
+    # -1 beyond ``most``; the one-element array keeps the distance from being computed twice
+    d = F.get(F.filter(F.array(F.call_function("levenshtein", a, b, most)), lambda v: v >= 0), F.lit(0))
+    return F.when(near, F.when(distance_bound(a, b) <= most, d))
+
+
+def distance_below(a, b, share: float) -> Column:
+    """``levenshtein_n(a, b) < share`` without computing distances that are not: the same
+    result for ``0 < share <= 1``, NULL where a side is."""
+    a, b = _c(a), _c(b)
+    longer = F.greatest(F.char_length(a), F.char_length(b))
+    # any distance above this one divides to ``share`` or more
+    d = bounded_distance(a, b, F.floor(longer * F.lit(share)).cast("int") + 1)
+    below = F.when(longer == 0, F.lit(True)).otherwise(
+        F.coalesce(d.cast("double") / longer.cast("double") < F.lit(share), F.lit(False)))
+    return F.when(a.isNotNull() & b.isNotNull(), below)
+
+
+def byte_text(x) -> Column:
+    """A text with one character for every UTF-8 byte of ``x``."""
+    return F.decode(F.encode(_c(x), "UTF-8"), "ISO-8859-1")
+
+
 def python_bin(x) -> Column:
     """Python's ``bin(n)`` text for a BIGINT: ``0b101`` or ``-0b101``."""
     x = _c(x)

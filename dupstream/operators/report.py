@@ -46,8 +46,8 @@ def should_post(now: int, blocked: DataFrame | None = None, *, max_age: int = MA
                 strict_author: bool = False) -> dict[str, Column]:
     """FLT9 components over a summary row joined with ``with_post`` and an
     optional ``blocked`` flag column.  The last duplicate is ``last_*``."""
-    levn = X.levenshtein_n(X.normalize_title(F.col("x_title")), X.normalize_title(F.col("last_title")),
-                           bit_parallel=False)
+    same_title = X.distance_below(X.normalize_title(F.col("x_title")), X.normalize_title(F.col("last_title")),
+                                  SAME_TITLE)
     fresh = F.lit(now) < F.col("x_datetime") + F.lit(max_age)
     is_blocked = F.col("x_userurl").isNotNull() & F.coalesce(F.col("author_blocked"), F.lit(False))
     # Cheap tests first: And/Or short-circuit in generated code, so the edit
@@ -55,7 +55,7 @@ def should_post(now: int, blocked: DataFrame | None = None, *, max_age: int = MA
     title_ok = (
         ((F.abs(F.col("x_datetime") - F.col("last_datetime")) < MAX_GAP_OTHER_TITLE)
          & ~X.title_tokens_hit("x_title") & ~X.title_starts_with("x_title"))
-        | (levn < SAME_TITLE))
+        | same_title)
     other_author = F.col("x_userurl").isNull() | ~F.col("x_userurl").eqNullSafe(F.col("last_userurl"))
     if strict_author:
         other_id = ~F.col("x_userid").eqNullSafe(F.lit(0)) & ~F.col("x_userid").eqNullSafe(F.col("last_userid"))

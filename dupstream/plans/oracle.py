@@ -250,6 +250,17 @@ ORACLE["string_mismatch"] = with_fx(*_NEAR, """ret AS (SELECT a, b FROM root_edg
 SELECT a, b, {_mismatch('ta', 'tb')} AS title_mismatch, {_mismatch(_pybin('wa'), _pybin('wb'))} AS bin_mismatch
 FROM j"""
 
+# the distance of the SQL engine counts UTF-8 bytes; the positions are read from hex texts
+ORACLE["text_distance"] = with_fx(*_NEAR, """ret AS (SELECT a, b FROM root_edges
+  WHERE diff_a <= 5 AND dh <= 8 AND dv <= 8 AND diff_a <= 3 AND dh + dv <= 10)""",
+  """j AS (SELECT ret.a, ret.b, da.text AS ta, db.text AS tb, hex(encode(da.text)) AS ha, hex(encode(db.text)) AS hb
+  FROM ret JOIN documents da ON da.doc_id = ret.a JOIN documents db ON db.doc_id = ret.b)""",
+  "k AS (SELECT *, levenshtein(ta, tb) AS d, greatest(strlen(ta), strlen(tb)) AS longer FROM j)") + """
+SELECT a, b, CAST(len(list_filter(list_zip(regexp_extract_all(ha, '..'), regexp_extract_all(hb, '..')),
+    lambda p: p[1] <> p[2])) AS INTEGER) AS mismatch,
+  CAST(d AS INTEGER) AS distance, longer = 0 OR d / longer < 0.4 AS alike
+FROM k"""
+
 _DECISION = _SUMMARY_SP.rstrip("\n") + ",\n" + ",\n".join(_BLOCK_CTES) + f""",
 dec AS (
   SELECT sp.id, x_score >= 40 AS score_ok,

@@ -25,7 +25,7 @@ from dupstream.operators import stats as ST
 from dupstream.schemas import WORDS
 from dupstream.sources import envelope as EV
 from dupstream.sources.tables import (api_envelopes, api_records, blocklist_lines, images_fx,
-                                      miss_events, notifications, posts_fx, stored_near_index)
+                                      miss_events, notifications, posts_fx, read_table, stored_near_index)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _MARKS: dict = {}
@@ -260,6 +260,22 @@ def q_string_mismatch(spark, sf_dir):
                     X.bin_mismatch("wa", "wb").alias("bin_mismatch"))
 
 
+@register("text_distance")
+def q_text_distance(spark, sf_dir):
+    """FN7/FN8 on whole texts: for the reported root edges, differing positions and edit
+    distance (in UTF-8 bytes) of the two documents' whole texts, and whether that is below
+    the share that makes two titles the same (by bounds first, then a banded distance)."""
+    _, root_edges = stored_near_index(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", X.byte_text("text").alias("t"))
+    side = {s: docs.select(F.col("doc_id").alias(s), F.col("t").alias(f"t{s}")) for s in "ab"}
+    j = P.returned(root_edges).select("a", "b").join(side["a"], "a").join(side["b"], "b")
+    # few bytes, much work: a fixed number of partitions, which AQE does not merge
+    j = j.repartition(4 * spark.sparkContext.defaultParallelism, "a", "b")
+    return j.select("a", "b", X.positional_mismatch("ta", "tb").alias("mismatch"),
+                    F.levenshtein("ta", "tb").alias("distance"),
+                    X.distance_below("ta", "tb", R.SAME_TITLE).alias("alike"))
+
+
 def _decision(spark, sf_dir, summary=None):
     _, now = time_marks(spark, sf_dir)
     summary = summary if summary is not None else _summary(spark, sf_dir)

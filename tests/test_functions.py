@@ -132,3 +132,33 @@ def test_bit_parallel_matches_dynamic_programming():
         a = "".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 90)))
         b = "".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 90)))
         assert _myers(a, b) == dp(a, b)
+
+
+def test_positional_mismatch_of_odd_and_long_texts(spark):
+    rows = [("", "", 0), ("héllo", "hello", 1), ("a😀c", "a😀d", 1), ("ab", None, None), ("x" * 60_000, "x" * 59_999 + "yz", 1)]
+    df = spark.createDataFrame(rows, "a string, b string, want int")
+    for r in df.select("want", X.positional_mismatch("a", "b").alias("got")).collect():
+        assert r["got"] == r["want"]
+
+
+def test_bounded_distance_loses_nothing(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [("", ""), ("", "abc"), ("abc", None), ("ünï", "uni"), ("e" * 40, "a" * 40), (" 1x", "x1 ")]
+    for _ in range(300):
+        a = "".join(rnd.choice("ae t1é") for _ in range(rnd.randint(0, 30)))
+        b = "".join(rnd.choice([c, c, c, "", "a", "zz"]) for c in a) if rnd.random() < 0.7 else a[::-1]
+        rows.append((a, b))
+    df = spark.createDataFrame(rows, "a string, b string").select(
+        F.levenshtein("a", "b").alias("d"), X.levenshtein_n("a", "b", bit_parallel=False).alias("n"),
+        X.distance_bound("a", "b").alias("least"), *[X.bounded_distance("a", "b", k).alias(f"upto{k}") for k in (0, 3, 12)],
+        *[X.distance_below("a", "b", s).alias(f"below{i}") for i, s in enumerate((0.1, 0.4, 1.0))])
+    for r in df.collect():
+        if r["d"] is None:
+            assert r["below1"] is None and r["upto3"] is None
+            continue
+        assert r["least"] <= r["d"]
+        for k in (0, 3, 12):
+            assert r[f"upto{k}"] == (r["d"] if r["d"] <= k else None)
+        for i, s in enumerate((0.1, 0.4, 1.0)):
+            assert r[f"below{i}"] == (r["n"] < s)
