@@ -494,13 +494,15 @@ def q_stream_pairs(spark, sf_dir):
 
 @register("stream_miss_limit")
 def q_stream_miss_limit(spark, sf_dir):
-    """ST2: the miss limiter as a stateful stream over time-ordered files;
-    equals miss_limit."""
+    """ST2: the miss limiter as a stateful stream over files that each span the whole time,
+    so that misses arrive out of order; equals miss_limit."""
     from dupstream.streaming import miss_stream as S
     base = _scratch(spark, "stream-miss")
-    S.write_time_chunks(miss_events(spark, sf_dir), f"{base}/in", STREAM_CHUNKS)
-    S.run_miss_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
-    return spark.read.parquet(f"{base}/out")
+    misses = miss_events(spark, sf_dir)
+    S.write_arrivals(misses, f"{base}/in", STREAM_CHUNKS, by_time=False)
+    span = misses.agg((F.max("ts") - F.min("ts")).alias("s")).first()["s"] or 0
+    S.run_miss_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", late=span + 1)
+    return S.read_counts(spark, f"{base}/out")
 
 
 # ---- image fingerprints --------------------------------------------------------

@@ -1,10 +1,16 @@
-"""Sliding 180-second miss limiter as a stateful stream (ST2).
+"""Sliding 180-second miss limiter as a stateful stream, free of arrival order (ST2, DML3).
 
-Per user the state keeps only the miss times inside the trailing window of
-the newest miss seen, so it stays bounded by the window, not by the
-history.  Each arriving miss is emitted with the number of that user's
-misses in ``[ts - window, ts]`` and whether that exceeds the limit; the
-event-time watermark lets Spark drop idle users' state.
+The state is kept per user and hour, as the batch form cuts its windows: it holds that
+hour's miss times and those of the ``window`` seconds before it, so no state or group
+holds more than an hour of one user.  An arriving miss raises the counts of all misses in
+the ``window`` seconds after it, which may have been written before; their rows are
+written again.  Counts only grow, so ``read_counts`` takes the largest, whatever order
+files arrive in and however often a batch is replayed.
+
+``late`` bounds the disorder: a miss that is more than ``late`` seconds older than the newest one
+of earlier batches is dropped, as by any watermark, and the state of an hour goes when
+the watermark has passed it.  Watermarks start at the epoch, so earlier misses are dropped
+too.  Misses without a time are left out; a null user is a user.
 """
 
 from __future__ import annotations
@@ -17,42 +23,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from dupstream.operators.limits import MISS_LIMIT, MISS_WINDOW
+from dupstream.operators.limits import HOUR, MISS_LIMIT, MISS_WINDOW
 
-OUT_SCHEMA = "userid bigint, ts bigint, recent bigint, blocked boolean"
+OUT_SCHEMA = "userid bigint, ts bigint, n bigint, recent bigint"
 STATE_SCHEMA = "times array<bigint>"
 
 
-def _limiter(window: int, limit: int):
+def _limiter(window: int):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        prev = np.array(state.get[0] if state.exists else [], dtype=np.int64)
+        user, hour = key
         new = np.sort(np.concatenate([b["ts"].to_numpy(dtype=np.int64) for b in batches]))
-        times = np.concatenate([prev, new])
-        # misses at or before each new one, minus those older than the window
-        upto = np.searchsorted(times, new, side="right")
-        start = np.searchsorted(times, new - window, side="left")
-        recent = upto - start
-        keep = times[times >= times.max() - window]
-        state.update((keep.tolist(),))
-        state.setTimeoutTimestamp(int(times.max() + window) * 1000)
-        yield pd.DataFrame({"userid": np.full(len(new), key[0], dtype=np.int64), "ts": new,
-                            "recent": recent.astype(np.int64), "blocked": recent > limit})
+        held = np.array(state.get[0] if state.exists else [], dtype=np.int64)
+        times = np.sort(np.concatenate([held, new]))
+        state.update((times.tolist(),))
+        state.setTimeoutTimestamp(max(int(hour + 1) * HOUR * 1000, state.getCurrentWatermarkMs() + 1))
+        own = np.unique(times[times >= hour * HOUR])
+        # seconds whose window holds a new miss
+        changed = np.searchsorted(new, own, side="right") > np.searchsorted(new, own - window, side="left")
+        own = own[changed]
+        upto = np.searchsorted(times, own, side="right")
+        yield pd.DataFrame({"userid": pd.array([user] * len(own), dtype="Int64"), "ts": own,
+                            "n": upto - np.searchsorted(times, own, side="left"),
+                            "recent": upto - np.searchsorted(times, own - window, side="left")})
     return step
 
 
-def miss_stream(misses: DataFrame, *, window: int = MISS_WINDOW, limit: int = MISS_LIMIT) -> DataFrame:
-    """Streaming DataFrame of (userid, ts, recent, blocked) from a stream of
-    (userid, ts epoch seconds)."""
-    ev = misses.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", f"{window} seconds")
-    return ev.groupBy("userid").applyInPandasWithState(
-        _limiter(window, limit), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+def miss_stream(misses: DataFrame, *, window: int = MISS_WINDOW, late: int = MISS_WINDOW) -> DataFrame:
+    """Streaming DataFrame of (userid, ts, n, recent) from a stream of (userid, ts epoch
+    seconds): the misses of that second and those in ``[ts - window, ts]``, as known so far."""
+    if not 0 <= window <= HOUR:
+        raise ValueError("window must be within an hour")
+    hour = F.floor(F.col("ts") / HOUR).cast("bigint")
+    # the last seconds of an hour also belong to the next hour's first windows
+    hours = F.when(F.col("ts") >= (hour + 1) * HOUR - window, F.array(hour, hour + 1)).otherwise(F.array(hour))
+    ev = (misses.filter(F.col("ts").isNotNull()).select("userid", "ts", F.timestamp_seconds("ts").alias("event_time"))
+          .withWatermark("event_time", f"{late} seconds").withColumn("hour", F.explode(hours)))
+    return ev.groupBy("userid", "hour").applyInPandasWithState(
+        _limiter(window), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_miss_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
-                    files_per_batch: int = 1, state_partitions: int | None = None) -> None:
+                    files_per_batch: int = 1, state_partitions: int | None = None, late: int = MISS_WINDOW) -> None:
     """Run the limiter over every file in ``source_dir`` (then stop).
 
     The number of state partitions is fixed when a checkpoint is first
@@ -65,7 +79,7 @@ def run_miss_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoi
     try:
         src = (spark.readStream.schema("userid bigint, ts bigint")
                .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
-        q = (miss_stream(src).writeStream.format("parquet").option("path", out_dir)
+        q = (miss_stream(src, late=late).writeStream.format("parquet").option("path", out_dir)
              .option("checkpointLocation", checkpoint).outputMode("append")
              .trigger(availableNow=True).start())
         q.awaitTermination()
@@ -73,13 +87,17 @@ def run_miss_stream(spark: SparkSession, source_dir: str, out_dir: str, checkpoi
         spark.conf.set(key, old)
 
 
-def write_time_chunks(misses: DataFrame, folder: str, chunks: int, rows_per_file: int = 1_000_000) -> None:
-    """Split misses into at least ``chunks`` files by time (more when a file
-    would exceed ``rows_per_file``) and write them in order."""
-    b = misses.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = b["lo"], b["hi"]
-    chunks = max(chunks, -(-b["n"] // rows_per_file))
-    step = max(1, (hi - lo + chunks) // chunks)
-    for i in range(chunks):
-        part = misses.filter((F.col("ts") >= lo + i * step) & (F.col("ts") < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(folder)
+def read_counts(spark: SparkSession, out_dir: str, limit: int = MISS_LIMIT) -> DataFrame:
+    """One row per miss, as ``limits.miss_counts`` gives them: the newest counts written."""
+    rows = spark.read.schema(OUT_SCHEMA).parquet(out_dir)
+    last = rows.groupBy("userid", "ts").agg(F.max("n").alias("n"), F.max("recent").alias("recent"))
+    return last.select("userid", "ts", "recent", (F.col("recent") > limit).alias("blocked"),
+                       F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("k")).drop("k")
+
+
+def write_arrivals(misses: DataFrame, folder: str, chunks: int, by_time: bool = True) -> None:
+    """Write misses as ``chunks`` files in one job: by time, or dealt by a hash, so that
+    every file spans the whole time and nearly every miss is out of order."""
+    dealt = (misses.repartitionByRange(chunks, "ts") if by_time
+             else misses.repartition(chunks, F.xxhash64("userid", "ts")))
+    dealt.write.mode("append").parquet(folder)

@@ -52,15 +52,34 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
         assert sorted(S.read_pairs(spark, f"{base}/store").collect()) == first
 
 
-def test_stream_miss_limit_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("by_time", [True, False])
+def test_stream_miss_limit_equals_batch(spark, tmp_path, by_time):
     ev = miss_events(spark, SF0001)
+    # a user with a burst over the turn of an hour, twice in some seconds, and a null user
+    burst = spark.createDataFrame([(10 ** 6, 3500 + 5 * (i // 2)) for i in range(80)] + [(None, 3600), (None, 3590)],
+                                  "userid bigint, ts bigint")
+    ev = ev.filter("ts >= 0").select("userid", (F.col("ts") - ev.agg(F.min("ts")).first()[0] + 1).alias("ts")).unionByName(burst)
     base = str(tmp_path)
-    M.write_time_chunks(ev, f"{base}/in", 3)
-    M.run_miss_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
-    got = spark.read.parquet(f"{base}/out")
-    want = LM.miss_counts(ev)
-    assert got.count() == want.count()
-    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    M.write_arrivals(ev, f"{base}/in", 3, by_time)
+    span = ev.agg(F.max("ts") - F.min("ts")).first()[0]
+    M.run_miss_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", late=span + 1)
+    got = M.read_counts(spark, f"{base}/out")
+    want = LM.miss_counts(ev).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.filter("blocked").count() > 0
+    # what is written again does not change what is read
+    spark.read.parquet(f"{base}/out").write.mode("append").parquet(f"{base}/twice")
+    spark.read.parquet(f"{base}/out").write.mode("append").parquet(f"{base}/twice")
+    assert M.read_counts(spark, f"{base}/twice").count() == got.count()
+
+
+def test_the_limiter_drops_state_the_watermark_has_passed(spark, tmp_path):
+    base = str(tmp_path)
+    for n, ts in enumerate([100, 50_000, 50_000 + 7_300, 60]):     # the last one is later than ``late`` allows
+        spark.createDataFrame([(1, ts)], "userid bigint, ts bigint").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        M.run_miss_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", state_partitions=1)
+    got = sorted((r["ts"], r["recent"]) for r in M.read_counts(spark, f"{base}/out").collect())
+    assert got == [(100, 1), (50_000, 1), (57_300, 1)]
 
 
 def test_a_batch_reads_only_the_slots_of_its_bands(spark, tmp_path):
