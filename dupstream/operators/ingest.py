@@ -8,7 +8,7 @@ lookups; known posts refresh the stored rows with an upsert.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from dupstream.operators.report import MIN_SCORE
@@ -66,9 +66,23 @@ def page_counters(classified: DataFrame, decision: DataFrame, pages: DataFrame)
         F.count_if(o == "new").alias("updates"), F.count_if(o == "known").alias("known"),
         F.count_if(F.col("low_score") | ((o == "new") & refused)).alias("skipped"),
         F.count_if(o == "error").alias("failed"), F.count_if(o == "album").alias("albums"))
-    return (counted.join(pages.select("page", "n_bad"), "page", "left")
-            .select("page", "updates", "known", "skipped",
-                    (F.col("failed") + F.coalesce("n_bad", F.lit(0))).alias("errors"), "albums"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("updates", "known", "skipped", "failed", "n_bad", "albums")}
+    # a page may hold bad elements only
+    return (counted.join(pages.select("page", "n_bad"), "page", "full")
+            .select("page", *[zero[c].alias(c) for c in ("updates", "known", "skipped")],
+                    (zero["failed"] + zero["n_bad"]).alias("errors"), zero["albums"].alias("albums")))
+
+
+def observed(classified: DataFrame, decision: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """AGG11 live: ``classified`` unchanged, and the counters updates, known, skipped,
+    failed, albums of its rows, which the action that reads them all gathers on its way."""
+    o = F.col("outcome")
+    j = classified.join(decision.select(F.col("link").alias("id"), (~F.col("decision")).alias("refused")), "id", "left")
+    seen = Observation(name)
+    j = j.observe(seen, F.count_if(o == "new").alias("updates"), F.count_if(o == "known").alias("known"),
+                  F.count_if(F.col("low_score") | ((o == "new") & F.coalesce("refused", F.lit(False)))).alias("skipped"),
+                  F.count_if(o == "error").alias("failed"), F.count_if(o == "album").alias("albums"))
+    return j.select(*classified.columns), seen
 
 
 def new_posts(classified: DataFrame) -> DataFrame:

@@ -483,6 +483,15 @@ SELECT page, updates, known, skipped,
        failed + CASE WHEN page % {NON_OBJECT_EVERY} = 1 AND page % {ERROR_PAGE_EVERY} <> 3
                       AND page % {CORRUPT_PAGE_EVERY} <> 5 THEN 1 ELSE 0 END AS errors, albums
 FROM counted"""
+_OK_PAGE = f"NOT (page % {ERROR_PAGE_EVERY} = 3 OR page % {CORRUPT_PAGE_EVERY} = 5)"
+ORACLE["live_counters"] = f"""
+SELECT CAST(sum(updates) AS BIGINT) AS updates, CAST(sum(known) AS BIGINT) AS known, CAST(sum(skipped) AS BIGINT) AS skipped,
+       CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(albums) AS BIGINT) AS albums
+FROM ({ORACLE["post_outcomes"]}) WHERE {_OK_PAGE}"""
+ORACLE["paged_outcomes"] = with_fx(_CLS) + f"""
+SELECT CAST(page > (SELECT max(page) // 2 FROM rec) AS INTEGER) AS batch, page, id, outcome,
+       outcome = 'new' AND score < 40 AS low_score
+FROM cls WHERE {_OK_PAGE}"""
 ORACLE["new_posts"] = with_fx(_CLS) + """
 SELECT id, CASE WHEN animated AND ends_with(link, 'h.gif') AND length(gifv) > 0 THEN gifv ELSE link END AS link,
        score FROM cls WHERE outcome = 'new'"""

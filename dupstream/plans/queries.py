@@ -415,6 +415,37 @@ def q_post_outcomes(spark, sf_dir):
     return IG.page_counters(_classified(spark, sf_dir), dec, pages)
 
 
+def _paged_run(spark, sf_dir) -> str:
+    """The API's pages captured in two halves, each streamed before the next one comes; the
+    second run starts from the first one's checkpoint."""
+    from dupstream.sources.pages import capture
+    from dupstream.streaming import page_stream as PS
+    base = _scratch(spark, "pages")
+    split, _ = time_marks(spark, sf_dir)
+    stored_posts = posts_fx(spark, sf_dir).filter(F.col("datetime") < split)
+    dec = _decision(spark, sf_dir).join(posts_fx(spark, sf_dir).select("id", "link"), "id")
+    pages = api_envelopes(spark, sf_dir)
+    half = (pages.agg(F.max("page").alias("m")).first()["m"] or 0) // 2
+    for part in (F.col("page") <= half, F.col("page") > half):
+        capture(pages.filter(part), f"{base}/in")
+        PS.run_page_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", stored_posts, images_fx(spark, sf_dir), dec)
+    return f"{base}/out"
+
+
+@register("paged_outcomes")
+def q_paged_outcomes(spark, sf_dir):
+    """SRC3/SRC4: outcome of every post that the paged source delivered in two runs."""
+    out = spark.read.parquet(f"{_paged_run(spark, sf_dir)}/outcomes")
+    return out.select("batch", "page", "id", "outcome", "low_score")
+
+
+@register("live_counters")
+def q_live_counters(spark, sf_dir):
+    """AGG11 live: counters that the two runs observed while writing."""
+    from dupstream.streaming import page_stream as PS
+    return PS.counters(spark, _paged_run(spark, sf_dir))
+
+
 @register("new_posts")
 def q_new_posts(spark, sf_dir):
     """PRJ1/PRJ2 + JN14 anti join: records inserted by the batch."""
