@@ -5,9 +5,9 @@ thresholds.  ``s`` is linear in hashed text features: the share that each word,
 word's first bytes and each pair of word-end classes has among a document's words,
 and bins of length, of distinct words and of words that repeat their predecessor.
 
-The model is fitted on a bounded sample of rated documents (``SAMPLE`` of each grade
-in id-hash order, a documented parameter), whose features are made on the executors
-and fitted in one task.  Every document is then scored whole, map-side, with the
+The model is fitted in one task on a bounded sample of rated documents (``SAMPLE`` of each
+grade in id-hash order, a documented parameter), whole texts of every length; very long
+ones are cut into features a few megabytes of documents at a time.  Every document is then scored whole, map-side, with the
 weights broadcast (``FEATURES`` + a few hundred 4-byte numbers, a fixed size).
 
 Defined results: null and empty texts score as documents without words; every row is
@@ -19,6 +19,8 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,6 @@ from dupstream.llm import common as C
 
 FEATURES = 1 << 18
 SAMPLE = 2_500                 # rated documents of each grade that the fit may use
-SAMPLE_BYTES = 16 << 10        # longer documents are not drawn for the fit; all are scored whole
 GRADES = 3
 STEPS = 100
 KEEP_TAIL = 0.4
@@ -114,11 +115,26 @@ class Model:
         return 1 / (1 + np.exp(-(scores[:, None] - self.thresholds[None, :])))
 
 
+def sample_features(data: np.ndarray, offsets: np.ndarray):
+    """``features`` of all documents, made for ``CHUNK_BYTES`` of text at a time."""
+    parts = [(i, *features(data, offsets[i:j + 1])) for i, j in C.spans(offsets, CHUNK_BYTES)]
+    bins = np.concatenate([own for _, _, own in parts])
+    parts = [p for p in parts if p[1]]                    # a part without words has no families
+    families = []
+    for k in range(len(parts[0][1]) if parts else 0):
+        scale = np.zeros(len(bins))
+        for i, some, own in parts:
+            scale[i:i + len(own)] = some[k][2]
+        families.append((np.concatenate([some[k][0] + np.int32(i) for i, some, _ in parts]),
+                         np.concatenate([some[k][1] for _, some, _ in parts]), scale))
+    return families, bins
+
+
 def fit(data: np.ndarray, offsets: np.ndarray, grades: np.ndarray, levels: int = GRADES,
         steps: int = STEPS, penalty: float = 3e-5, rate: float = 0.3, min_share: int = MIN_SHARE) -> Model:
     """Maximum likelihood with an L2 penalty; Adam on the full sample.  Hashed
     features that fewer than one in ``min_share`` documents (two at least) have keep weight 0."""
-    families, bins = features(data, offsets)
+    families, bins = sample_features(data, offsets)
     n = len(grades)
     min_docs = max(2, n // min_share)
     used = np.zeros(FEATURES + _BINS)
@@ -164,18 +180,18 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, per_grade: int = SAMPLE) -> DataFrame:
-    """``text``, ``grade`` of at most ``per_grade`` documents of each grade, in
-    hash order of their ids."""
-    from pyspark.sql import Window
+def rated_sample(docs: DataFrame, ratings: DataFrame, per_grade: int = SAMPLE, levels: int = GRADES) -> DataFrame:
+    """``text``, ``grade`` of at most ``per_grade`` documents of each grade, in hash order of
+    their ids.  Grades outside 0 .. ``levels`` - 1 count as the nearest one; a rating given twice
+    counts once; of documents that repeat an id the smallest text is taken."""
     known = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"))
-    known = known.filter(F.col("doc_id").isNotNull() & F.col("grade").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = known.withColumn("rank", rank).filter(F.col("rank") <= per_grade).drop("rank")
-    # at most ``per_grade`` short rows of each grade
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-            .join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "grade"))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).select(
+        "doc_id", F.greatest(F.lit(0), F.least(F.lit(levels - 1), "grade")).alias("grade")).distinct()
+    drawn = reduce(DataFrame.unionAll, [known.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
+                                        for g in range(levels)])
+    # at most ``levels`` times ``per_grade`` short rows
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+            .groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "text", "grade"))
 
 
 def fit_sample(sample: DataFrame, levels: int = GRADES) -> Model | None:
@@ -206,7 +222,7 @@ def grade(docs: DataFrame, ratings: DataFrame, levels: int = GRADES, keep_tail:
     tail (probability of the top grade) and whether it is at least ``keep_tail``.
     ``ratings`` has ``doc_id`` and ``grade`` 0 .. ``levels`` - 1."""
     spark = docs.sparkSession
-    model = fit_sample(rated_sample(docs, ratings), levels)
+    model = fit_sample(rated_sample(docs, ratings, levels=levels), levels)
     if model is None:
         return docs.select(*carry, F.lit((levels - 1) / 2).alias(names[0]), F.lit(1 / levels).alias(names[1]),
                            F.lit(True).alias(names[2]))

@@ -4,6 +4,7 @@ import datetime
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,36 @@ def test_toxic_and_poor_rated_documents_are_rejected(spark):
     docs, labels = table(spark, SF0001, "documents"), quality.graded_labels(table(spark, SF0001, "labels"))
     got = quality.grade(docs, labels).join(labels, "doc_id").filter("grade < 2").collect()
     assert got and sum(not r.kept for r in got) / len(got) > 0.9
+
+
+def test_quality_learns_from_long_documents_only(spark):
+    rnd = random.Random(5)
+
+    def text(n):
+        good = n % 2
+        words = ["window", "table", "garden", "river"] if good else ["pill", "casino", "bonus", "click"]
+        return " ".join(rnd.choice(words) + rnd.choice("abcdef") for _ in range(3_000))
+    docs = spark.createDataFrame([(n, text(n)) for n in range(80)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(n, 2 * (n % 2)) for n in range(60)] * 2 + [(200, 1), (None, 1), (61, None)],
+                                    "doc_id long, grade int")
+    assert docs.filter("octet_length(text) <= 16384").count() == 0
+    kept = {r["doc_id"]: r["kept"] for r in quality.grade(docs, ratings).collect()}
+    assert all(kept[n] == bool(n % 2) for n in range(60, 80))
+
+
+def test_quality_sample_counts_ratings_and_documents_once(spark):
+    docs = spark.createDataFrame([(n % 10, f"text {n}") for n in range(30)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(n, 0) for n in range(10)] * 3 + [(3, 9), (4, -1)], "doc_id long, grade int")
+    got = sorted((r["grade"], r["doc_id"], r["text"]) for r in quality.rated_sample(docs, ratings, 4).collect())
+    assert len(got) == 5 and [g[1:] for g in got if g[0] == 2] == [(3, "text 13")]
+
+
+def test_quality_features_are_the_same_in_parts(monkeypatch):
+    texts = ["", "one two two", "x" * 50, "Three, four! five", " ", "six seven"] * 3
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    grades = np.arange(len(texts)) % 3
+    whole = quality.fit(data, offsets, grades, steps=5)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 10)
+    parts = quality.fit(data, offsets, grades, steps=5)
+    assert np.array_equal(whole.weights, parts.weights) and np.array_equal(whole.thresholds, parts.thresholds)
