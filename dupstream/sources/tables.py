@@ -54,7 +54,10 @@ def epoch_seconds(ts: Column) -> Column:
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    # title and digest are taken before the join: whole texts never cross a shuffle
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", ascii_printable(F.substring_index(F.col("text"), "\n", 1)).alias("title"),
+        F.md5(F.col("text")).alias("crc"), "n_chars")
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return docs.join(events, docs.doc_id == events.event_id)
 
@@ -104,7 +107,6 @@ def images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _base(spark, sf_dir)
-    first_line = F.substring_index(F.col("text"), "\n", 1)
     return b.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").cast("string").alias("link"),
@@ -112,7 +114,7 @@ def _posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % NO_URL_EVERY == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("userurl"),
         epoch_seconds(F.col("ts")).alias("datetime"),
-        ascii_printable(first_line).alias("title"),
+        "title",
         (F.floor("value").cast("bigint") - F.col("doc_id") % 7).alias("score"),
         (F.col("doc_id") % ALBUM_EVERY == 0).alias("is_album"),
         F.col("event_type").isin(*ANIMATED_TYPES).alias("animated"),
@@ -153,7 +155,7 @@ def _images_fx(spark: SparkSession, sf_dir: str, copies_share_fingerprint: bool
     Documents with identical text are copies of one file, so they share the
     fingerprint of the first of them (``copies_share_fingerprint``; off, the
     words depend on the document id alone)."""
-    b = _base(spark, sf_dir).withColumn("crc", F.md5(F.col("text")))
+    b = _base(spark, sf_dir)
     if copies_share_fingerprint:
         first = b.groupBy("crc").agg(F.min("doc_id").alias("fp_id"))
         b = b.join(first, "crc")
@@ -255,7 +257,7 @@ def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % NO_URL_EVERY == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("account_url"),
         epoch_seconds(F.col("ts")).alias("datetime"),
-        ascii_printable(F.substring_index(F.col("text"), "\n", 1)).alias("title"),
+        "title",
         link.alias("link"), gifv.alias("gifv"), animated.alias("animated"),
         F.col("n_chars").alias("size"), (F.col("n_chars") % 900 + 100).cast("int").alias("width"),
         (F.col("n_chars") % 700 + 100).cast("int").alias("height"),
