@@ -7,6 +7,7 @@ the exact binary value (75 s is "1.2 minutes", 69 s is "1.1 minutes").
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,33 +56,30 @@ def normalize_title(x) -> Column:
 
 def _myers(a: str, b: str) -> int:
     """Levenshtein distance (code points) with Myers' bit-parallel
-    algorithm: one pass over the longer string, the shorter one held as bit
-    vectors, O(len(a) * len(b) / word size)."""
-    if len(a) < len(b):
+    algorithm: one pass over the shorter string, the longer one held as bit
+    vectors, so that few steps work on long integers, O(len(a) * len(b) / word
+    size).  The distance is read off the last column's differences."""
+    if a == b:
+        return 0
+    if len(a) > len(b):
         a, b = b, a
-    m = len(b)
-    if m == 0:
-        return len(a)
+    if not a:
+        return len(b)
     peq: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        peq[ch] = peq.get(ch, 0) | (1 << i)
-    full, last = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score = full, 0, m
-    for ch in a:
-        eq = peq.get(ch, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (~(xh | pv) & full)
-        mh = pv & xh
-        if ph & last:
-            score += 1
-        elif mh & last:
-            score -= 1
-        ph = ((ph << 1) | 1) & full
-        mh = (mh << 1) & full
-        pv = mh | (~(xv | ph) & full)
-        mv = ph & xv
-    return score
+    codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for ch in set(a):       # bit i is set where b[i] is the character
+        peq[ch] = int.from_bytes(np.packbits(codes == ord(ch), bitorder="little").tobytes(), "little")
+    full = (1 << len(b)) - 1
+    pv, mv = full, 0
+    for i, ch in enumerate(a):
+        x = peq[ch] | mv
+        d = (((x & pv) + pv) ^ pv) | x
+        ph = (((d | pv) ^ full | mv) << 1) | 1
+        mh = (pv & d) << 1
+        pv, mv = (d | ph) ^ full | mh, ph & d
+        if not i & 31:      # bits beyond the string never reach lower ones; cut now and then
+            pv, mv = pv & full, mv & full
+    return len(a) + (pv & full).bit_count() - (mv & full).bit_count()
 
 
 @F.pandas_udf(T.IntegerType())
@@ -153,13 +151,14 @@ def bounded_distance(a, b, most) -> Column:
     return F.when(near, F.when(distance_bound(a, b) <= most, d))
 
 
-def distance_below(a, b, share: float) -> Column:
+def distance_below(a, b, share: float, known=None) -> Column:
     """``levenshtein_n(a, b) < share`` without computing distances that are not: the same
-    result for ``0 < share <= 1``, NULL where a side is."""
+    result for ``0 < share <= 1``, NULL where a side is.  ``known`` is the pair's distance
+    where the caller has it: a second one would cost as much."""
     a, b = _c(a), _c(b)
     longer = F.greatest(F.char_length(a), F.char_length(b))
     # any distance above this one divides to ``share`` or more
-    d = bounded_distance(a, b, F.floor(longer * F.lit(share)).cast("int") + 1)
+    d = _c(known) if known is not None else bounded_distance(a, b, F.floor(longer * F.lit(share)).cast("int") + 1)
     below = F.when(longer == 0, F.lit(True)).otherwise(
         F.coalesce(d.cast("double") / longer.cast("double") < F.lit(share), F.lit(False)))
     return F.when(a.isNotNull() & b.isNotNull(), below)

@@ -264,16 +264,17 @@ def q_string_mismatch(spark, sf_dir):
 def q_text_distance(spark, sf_dir):
     """FN7/FN8 on whole texts: for the reported root edges, differing positions and edit
     distance (in UTF-8 bytes) of the two documents' whole texts, and whether that is below
-    the share that makes two titles the same (by bounds first, then a banded distance)."""
+    the share that makes two titles the same."""
     _, root_edges = stored_near_index(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", X.byte_text("text").alias("t"))
     side = {s: docs.select(F.col("doc_id").alias(s), F.col("t").alias(f"t{s}")) for s in "ab"}
-    j = P.returned(root_edges).select("a", "b").join(side["a"], "a").join(side["b"], "b")
-    # few bytes, much work: a fixed number of partitions, which AQE does not merge
-    j = j.repartition(4 * spark.sparkContext.defaultParallelism, "a", "b")
-    return j.select("a", "b", X.positional_mismatch("ta", "tb").alias("mismatch"),
-                    F.levenshtein("ta", "tb").alias("distance"),
-                    X.distance_below("ta", "tb", R.SAME_TITLE).alias("alike"))
+    # few bytes, much work: a fixed number of partitions, which AQE does not merge, and in
+    # which the pairs meet their second text
+    n = 4 * spark.sparkContext.defaultParallelism
+    j = P.returned(root_edges).select("a", "b").join(side["a"], "a").repartition(n, "b").join(side["b"].repartition(n, "b"), "b")
+    j = j.withColumn("distance", X.edit_distance("ta", "tb"))
+    return j.select("a", "b", X.positional_mismatch("ta", "tb").alias("mismatch"), "distance",
+                    X.distance_below("ta", "tb", R.SAME_TITLE, known="distance").alias("alike"))
 
 
 def _decision(spark, sf_dir, summary=None):

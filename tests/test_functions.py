@@ -115,6 +115,22 @@ def test_bit_parallel_edit_distance(spark):
     assert all(r["got"] == r["want"] == r["jvm"] for r in got)
 
 
+def test_distance_below_takes_a_known_distance(spark):
+    rows = [("kitten", "sitting"), ("flaw", "lawn"), ("", ""), ("abc", "abd"), (None, "x"), ("x", None), ("", "ab")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("d", X.edit_distance("a", "b"))
+    for share in (0.3, 0.4, 1.0):
+        got = df.select(X.distance_below("a", "b", share).alias("x"), X.distance_below("a", "b", share, known="d").alias("y"))
+        assert all(r["x"] == r["y"] for r in got.collect())
+
+
+def test_text_distance_measures_each_pair_once(spark):
+    """Whole texts meet in one bit-parallel distance, not in the built-in's cells."""
+    from dupstream.plans.queries import REGISTRY
+    from tests.conftest import SF0001
+    plan = REGISTRY["text_distance"](spark, SF0001)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("edit_distance(") == 1 and "levenshtein" not in plan
+
+
 def test_bit_parallel_matches_dynamic_programming():
     import random
     from dupstream.functions.text import _myers
