@@ -73,6 +73,18 @@ def test_stream_miss_limit_equals_batch(spark, tmp_path, by_time):
     assert M.read_counts(spark, f"{base}/twice").count() == got.count()
 
 
+def test_the_limiter_has_a_group_per_shard_and_hour(spark, tmp_path):
+    """Many users of one hour share a few groups, and each keeps counts of its own."""
+    ev = spark.range(4000).selectExpr("nullif(id % 800, 0) AS userid", "id DIV 800 * 100 + 10000 AS ts")
+    base = str(tmp_path)
+    M.write_arrivals(ev, f"{base}/in", 2, by_time=False)
+    M.run_miss_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", state_partitions=2, late=10_000, shards=4)
+    got, want = M.read_counts(spark, f"{base}/out"), LM.miss_counts(ev)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    states = spark.read.format("statestore").load(f"{base}/ckpt")
+    assert 0 < states.count() <= 5                     # four shards and the null user's
+
+
 def test_the_limiter_drops_state_the_watermark_has_passed(spark, tmp_path):
     base = str(tmp_path)
     for n, ts in enumerate([100, 50_000, 50_000 + 7_300, 60]):     # the last one is later than ``late`` allows
