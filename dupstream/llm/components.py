@@ -35,3 +35,24 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def merged(labels: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """``labels`` (``node``, ``component``) after further ``links``: the components of all
+    links so far.  Only links between different components are followed, and between
+    components, so settled ones are never walked again."""
+    spark = labels.sparkSession
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        own = labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        ends = ends.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    ends = C.stored(spark, ends, "ends")
+    between = ends.filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    nodes = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")),
+                                          F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("n")).select("n.*")
+    nodes = labels.unionAll(nodes.filter("node = component")).distinct()
+    if not between.limit(1).count():
+        return C.stored(spark, nodes, "labels")
+    now = components(between, most_rounds).select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return C.stored(spark, nodes.join(now, "component", "left")
+                    .select("node", F.coalesce("least", "component").alias("component")), "labels")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dupstream.llm import common as C
-from dupstream.llm.components import components
+from dupstream.llm.components import components, merged
 
 SHINGLE = 5
 PERCENT = 75
@@ -435,18 +435,19 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, h
                     .mapInArrow(C.tidy("jaccard", _whole_sets(orders, n, percent)), SETS), "sets")
     links = copies.select(F.col("token").alias("a"), F.col("doc").alias("b"))
     labels = spark.createDataFrame([], "node long, component long")
+    # later links join components that are there: those alone are walked again
     for turn in range(STAR_ROUNDS):
         stars = (sets.select("doc", "n", "stars").join(common, "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
                  .withColumn("component", F.coalesce("component", "doc")))
         pairs = C.stored(spark, _star_pairs(stars, turn, percent, partners), "stars")
         if turn and not pairs.limit(1).count():
             break
-        links = links.unionAll(C.stored(spark, _verified(pairs, sets, percent, False, small_ids), "found"))
-        labels = components(links)
+        found = C.stored(spark, _verified(pairs, sets, percent, False, small_ids), "found")
+        labels = merged(labels, found) if turn else components(links.unionAll(found))
     pairs = C.stored(spark, _all_pairs(_across(postings, labels), percent), "pairs")
     if pairs.limit(1).count():
         found = C.stored(spark, _verified(pairs, sets, percent, True, small_ids), "found")
-        labels = components(links.unionAll(found))
+        labels = merged(labels, found)
     return (own.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"))
             .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
