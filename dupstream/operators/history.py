@@ -18,7 +18,10 @@ Nothing here joins a post to every member of a linked class.  Instead:
   than x is x's answer from that class.
 
 The ordering of a "post" is the reference's tuple order (datetime, userurl,
-userid, link, title), with NULL before any value.
+userid, link, title), with NULL before any value.  Titles can be as long as a
+text, so they stay out of these plans: a post carries the place of its title
+among the posts that agree in everything else, and the titles of the posts
+that were found are looked up at the end, only where they are asked for.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from dupstream.operators.skew import join_back
 from dupstream.session import prepare, stored
 
 POST_FIELDS = ["datetime", "userurl", "userid", "link", "title"]
+KEY_FIELDS = [*POST_FIELDS[:-1], "place"]   # the same order without the title
 
 
 def post_key(prefix: str | None = None) -> Column:
@@ -39,6 +43,23 @@ def post_key(prefix: str | None = None) -> Column:
     return F.struct(*[col(c).alias(c) for c in POST_FIELDS])
 
 
+def placed(posts: DataFrame) -> DataFrame:
+    """Post rows with ``place``, the rank of the title among posts that agree in all
+    other ``POST_FIELDS``, and ``first`` (the first row of its place)."""
+    w = Window.partitionBy(*POST_FIELDS[:-1]).orderBy("title")
+    rows = posts.select("id", *POST_FIELDS, F.rank().over(w).alias("place"), F.row_number().over(w).alias("nth"))
+    return stored(rows.withColumn("first", F.col("place") == F.col("nth")).drop("nth"), "placed")
+
+
+def with_titles(df: DataFrame, posts: DataFrame, structs: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``<struct>_title`` for every post struct named; ``posts`` are placed."""
+    titles = posts.filter("first").select(*[F.col(c).alias(f"of_{c}") for c in KEY_FIELDS], "title")
+    for s in structs:
+        same = [F.col(f"{s}.{c}").eqNullSafe(F.col(f"of_{c}")) for c in KEY_FIELDS]
+        df = df.join(titles, same, "left").select(*df.columns, F.col("title").alias(f"{s}_title"))
+    return df
+
+
 def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
                 max_a: int = P.RETURN_MAX_A, max_d: int = P.RETURN_MAX_D,
                 salt_rows: int | None = P.DEFAULT_SALT_ROWS,
@@ -46,8 +67,8 @@ def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
                 only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(nodes, adj)``.
 
-    nodes: ``id, k, animated, datetime, s`` (s = post ordering struct), one
-    row per image with its class ``k``.  adj: ``k1, k2`` for every class
+    nodes: ``id, k, animated, datetime, s`` (s = post ordering struct of
+    ``KEY_FIELDS``; ``posts`` may be placed already), one row per image with its class ``k``.  adj: ``k1, k2`` for every class
     pair linked by a reported edge, both orientations, plus ``(k, k)``.
     ``index`` is a stored ``(members, root_edges)`` pair index; without it
     the index is computed from ``images``.  ``only`` (post ``id``) keeps the
@@ -59,10 +80,11 @@ def class_graph(images: DataFrame, posts: DataFrame, *, bits_col: str = "bits",
     exact = P.exact_classes(images).select("id", "root")
     cls = (members.select("id", F.col("root").alias("k"), F.lit(False).alias("animated"))
            .unionByName(exact.select("id", F.col("root").alias("k"), F.lit(True).alias("animated"))))
-    p = posts.select(F.col("id").alias("pid"), *POST_FIELDS)
+    posts = posts if "place" in posts.columns else placed(posts)
+    p = posts.select(F.col("id").alias("pid"), *KEY_FIELDS)
     imgs = images.select("id", "post_id")
     nodes = (cls.join(imgs, "id").join(p, F.col("post_id") == F.col("pid"))
-             .select("id", "k", "animated", "datetime", post_key().alias("s")))
+             .select("id", "k", "animated", "datetime", F.struct(*KEY_FIELDS).alias("s")))
     linked = root_edges.filter((F.col("diff_a") <= max_a) & (F.col("diff_d") <= max_d))
     adj = (linked.select(F.col("a").alias("k1"), F.col("b").alias("k2"))
            .unionByName(linked.select(F.col("b").alias("k1"), F.col("a").alias("k2")))
@@ -154,16 +176,17 @@ def oldest_neighbour(nodes: DataFrame, adj: DataFrame, asked: DataFrame | None =
             .groupBy(F.col("qid").alias("id")).agg(F.min("cand").alias("nb")))
 
 
-def flatten(col: str, prefix: str) -> list[Column]:
-    """The post struct ``col`` as ``<prefix>_<field>`` columns."""
-    return [F.col(f"{col}.{c}").alias(f"{prefix}_{c}") for c in POST_FIELDS]
+def flatten(col: str, title: bool) -> list[Column]:
+    """The post struct ``col`` as ``<col>_<field>`` columns, with the title looked up if it was."""
+    return [*[F.col(f"{col}.{c}").alias(f"{col}_{c}") for c in POST_FIELDS[:-1]], *([F.col(f"{col}_title")] if title else [])]
 
 
-def duplicate_summary(images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
+def duplicate_summary(images: DataFrame, posts: DataFrame, titles: tuple[str, ...] = ("first", "last"), **kw) -> DataFrame:
     """AGG9: per post with strictly older duplicates: seen, first seen and
     last seen post, ``trip`` (first and last differ by link) and whether the
     match is by digest (animated) or by similarity.  ``only`` (post ``id``)
-    limits the posts that are answered."""
+    limits the posts that are answered, ``titles`` the titles that are looked up."""
+    posts = placed(posts)
     nodes, adj = class_graph(images, posts, **kw)
     img = images.select("id", "post_id", "animated")
     if kw.get("only") is not None:
@@ -171,15 +194,17 @@ def duplicate_summary(images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
         summ = earlier_summary(nodes, adj, asked=img)
     else:
         summ = earlier_summary(nodes, adj)
-    return (summ.join(img, "id")
+    return (with_titles(summ.join(img, "id"), posts, titles)
             .select(F.col("post_id").alias("id"), F.col("animated").alias("by_crc"), "seen",
-                    *flatten("first", "first"), *flatten("last", "last"),
+                    *flatten("first", "first" in titles), *flatten("last", "last" in titles),
                     (F.col("first.link") != F.col("last.link")).alias("trip")))
 
 
-def neighbours_before(images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
+def neighbours_before(images: DataFrame, posts: DataFrame, titles: tuple[str, ...] = ("nb",), **kw) -> DataFrame:
     """JN8/JN9/JN11/JN12: the first row of the stored-edge lookup (oldest
-    duplicate at or before the post), routed by the image's animated flag."""
+    duplicate at or before the post), routed by the image's animated flag.
+    ``titles`` empty leaves the title out."""
+    posts = placed(posts)
     nodes, adj = class_graph(images, posts, **kw)
     img = images.select("id", "post_id", "animated")
     if kw.get("only") is not None:
@@ -187,7 +212,8 @@ def neighbours_before(images: DataFrame, posts: DataFrame, **kw) -> DataFrame:
         nb = oldest_neighbour(nodes, adj, asked=img)
     else:
         nb = oldest_neighbour(nodes, adj)
-    return nb.join(img, "id").select(F.col("post_id").alias("id"), "animated", *flatten("nb", "nb"))
+    return with_titles(nb.join(img, "id"), posts, titles).select(
+        F.col("post_id").alias("id"), "animated", *flatten("nb", "nb" in titles))
 
 
 def reposts_by_link(links: DataFrame, images: DataFrame, posts: DataFrame, **kw) -> DataFrame:

@@ -159,7 +159,7 @@ def q_duplicate_summary(spark, sf_dir):
 @register("duplicates_before")
 def q_duplicates_before(spark, sf_dir):
     """JN5/JN10: number of strictly older duplicates and the newest of them."""
-    d = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir),
+    d = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir), titles=(),
                             index=stored_near_index(spark, sf_dir))
     return d.select("id", "seen", "last_link", "last_datetime")
 
@@ -203,10 +203,10 @@ def q_avg_exists_combined(spark, sf_dir):
 
 # ---- report ----------------------------------------------------------------
 
-def _summary(spark, sf_dir, shared: bool = False):
+def _summary(spark, sf_dir, shared: bool = False, titles: tuple[str, ...] = ("first", "last")):
     """Per-post duplicate summary; ``shared`` writes it once to the
     checkpoint folder when a query reads it several times."""
-    s = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir),
+    s = H.duplicate_summary(images_fx(spark, sf_dir), posts_fx(spark, sf_dir), titles=titles,
                             index=stored_near_index(spark, sf_dir))
     return s.checkpoint(eager=True) if shared else s
 
@@ -238,7 +238,7 @@ def q_similarity_bar(spark, sf_dir):
 @register("time_gap_text")
 def q_time_gap_text(spark, sf_dir):
     """FN15: time since the last and the first earlier duplicate, as text."""
-    df = R.with_post(_summary(spark, sf_dir), posts_fx(spark, sf_dir))
+    df = R.with_post(_summary(spark, sf_dir, titles=()), posts_fx(spark, sf_dir))
     return df.select("id", X.duration_text(F.col("x_datetime") - F.col("last_datetime")).alias("last_gap"),
                      X.duration_text(F.col("x_datetime") - F.col("first_datetime")).alias("first_gap"))
 
@@ -279,7 +279,7 @@ def q_text_distance(spark, sf_dir):
 
 def _decision(spark, sf_dir, summary=None):
     _, now = time_marks(spark, sf_dir)
-    summary = summary if summary is not None else _summary(spark, sf_dir)
+    summary = summary if summary is not None else _summary(spark, sf_dir, titles=("last",))
     return R.report_decision(summary, posts_fx(spark, sf_dir), _blocked(spark, sf_dir), now)
 
 
@@ -313,7 +313,7 @@ def q_summon_ids(spark, sf_dir):
     no repost / unknown (to be fetched and ingested)."""
     req = R.newest_first(R.summon_requests(notifications(spark, sf_dir)))
     po = posts_fx(spark, sf_dir).select("id", "link")
-    nb = H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir),
+    nb = H.neighbours_before(images_fx(spark, sf_dir), posts_fx(spark, sf_dir), titles=(),
                              index=stored_near_index(spark, sf_dir)).select(
         F.col("id").alias("nb_id"), F.lit(True).alias("has_nb"))
     log = _report_log(spark, sf_dir).withColumn("logged", F.lit(True))
@@ -349,7 +349,7 @@ def q_corpus_stats(spark, sf_dir):
     """OP5/AGG1/AGG2/AGG5/AGG7/PRJ5 in long form."""
     im, po = images_fx(spark, sf_dir), posts_fx(spark, sf_dir)
     _, now = time_marks(spark, sf_dir)
-    dec = _decision(spark, sf_dir, _summary(spark, sf_dir, shared=True))
+    dec = _decision(spark, sf_dir, _summary(spark, sf_dir, shared=True, titles=("last",)))
     members, root_edges = stored_near_index(spark, sf_dir)
     return ST.corpus_stats(im, po, members, root_edges, _blocked(spark, sf_dir),
                            _report_log(spark, sf_dir, dec), now)

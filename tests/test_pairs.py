@@ -166,6 +166,24 @@ def test_null_first_post_order(spark):
     assert (s["seen"], s["first_link"], s["last_link"], s["trip"]) == (2, "1", "2", True)
 
 
+def test_titles_decide_last_and_are_looked_up(spark):
+    """Posts that agree in all but the title are told apart by it, null first, though the
+    history plans carry no title."""
+    im = images(spark, [(i, {}, False) for i in (1, 2, 3, 4)])
+    posts = spark.createDataFrame([(1, None, "1", 50, "x", 1), (2, None, "1", 50, "b", 1), (2, None, "1", 50, None, 1),
+                                   (3, "u3", "3", 90, "c", 3), (3, "u3", "3", 90, "c", 3), (4, "u4", "4", 95, "d", None)],
+                                  "id bigint, userurl string, link string, datetime bigint, title string, userid bigint")
+    got = H.duplicate_summary(im, posts)
+    s = got.filter("id = 3").first()
+    assert (s["seen"], s["first_title"], s["last_title"]) == (6, None, "x")       # the post comes twice and is asked twice
+    assert got.filter("id = 4").first()["last_title"] == "c"
+    nodes, _ = H.class_graph(im, posts)
+    assert "title" not in nodes.schema["s"].dataType.fieldNames()
+    bare = H.duplicate_summary(im, posts, titles=())
+    assert set(got.columns) - set(bare.columns) == {"first_title", "last_title"}
+    assert sorted(map(str, bare.collect())) == sorted(map(str, got.select(*bare.columns).collect()))
+
+
 def test_total_distance_pairs_bound(spark):
     over = {"dhash_v_4": BASE[11] ^ 0xFFFFF}       # 20 bits
     over21 = {"dhash_v_4": BASE[11] ^ 0x1FFFFF}    # 21 bits
