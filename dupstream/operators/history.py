@@ -45,8 +45,12 @@ def post_key(prefix: str | None = None) -> Column:
 
 def placed(posts: DataFrame) -> DataFrame:
     """Post rows with ``place``, the rank of the title among posts that agree in all
-    other ``POST_FIELDS``, and ``first`` (the first row of its place)."""
-    w = Window.partitionBy(*POST_FIELDS[:-1]).orderBy("title")
+    other ``POST_FIELDS``, and ``first`` (the first row of its place).  Where no two posts
+    agree, every place is 1 and ``posts`` must be rows that can be read again."""
+    fields = POST_FIELDS[:-1]
+    if posts.groupBy(*fields).count().filter("count > 1").isEmpty():     # no title decides: none is moved
+        return posts.select("id", *POST_FIELDS, F.lit(1).alias("place"), F.lit(True).alias("first"))
+    w = Window.partitionBy(*fields).orderBy("title")
     rows = posts.select("id", *POST_FIELDS, F.rank().over(w).alias("place"), F.row_number().over(w).alias("nth"))
     return stored(rows.withColumn("first", F.col("place") == F.col("nth")).drop("nth"), "placed")
 

@@ -15,15 +15,18 @@ join here is lossless and equi-keyed:
   Both sides are exploded to (band_no, 32-bit band) and equi-joined on it;
   a pair is kept only at the *first* equal band, so no ``distinct`` shuffle
   is needed.
-* **Bits bucket.**  ``|bits_a - bits_b| <= w`` implies the buckets
-  ``bits div (w+1)`` differ by at most one, so the bucket joins the key; the
-  left side is replicated to its own and the next bucket (pairs in one bucket
-  are taken once by ``a < b``), which splits hot bands (blank images).
-* **Second level.**  A (band, bucket) key with more than ``split_rows`` index rows
-  would still compare all of them with each other.  Only the rows of such keys
+* **Second level.**  A band key with more than ``split_rows`` index rows
+  would compare all of them with each other.  Only the rows of such keys
   get a second pigeonhole: ``diff_dh <= k`` means one of ``k+1`` disjoint dHash
   bands is equal too, so the key gains (dHash band, value), and a pair is kept at
   its first equal one.  Rows of a hot key meet only where both hashes agree.
+* **Bits bucket.**  ``|bits_a - bits_b| <= w`` implies the buckets
+  ``bits div (w+1)`` differ by at most one.  Only the rows of keys that still hold
+  more than ``BUCKET_ROWS`` index rows (blank images) get the bucket as a third
+  level; there the left side is replicated to its own bucket and its neighbours (in a
+  self join the next one, pairs in one bucket being taken once by ``a < b``).  All other
+  rows cross the shuffle once per band, and the two sides of a self join are then
+  the same rows: one exchange serves both.
 * **Salting.**  Band keys still holding more than ``salt_rows`` rows on the
   index side are spread over several tasks: index rows take a salt from a
   hash of their id, query rows are replicated over the key's salts.  A refined
@@ -56,6 +59,7 @@ MAX_BANDS = 8                 # 32-bit halves of the four aHash words
 DEFAULT_SALT_ROWS = 200_000   # rows per band key before it is salted
 DEFAULT_SPLIT_ROWS = 64       # rows per band key before it is split by a second hash
 DEFAULT_BROADCAST_ROWS = 2_000_000
+BUCKET_ROWS = 1024            # rows per (refined) band key before the bits bucket joins it
 
 
 @dataclass(frozen=True)
@@ -94,6 +98,15 @@ def _band_array(bands: list[str]) -> Column:
     return F.expr(f"array({', '.join(bands)})")
 
 
+def _bucket(bits_col: str, width: int) -> Column:
+    return F.floor(F.col(bits_col) / F.lit(width)).cast("int")
+
+
+def _banded(df: DataFrame, n_bands: int, bits_col: str) -> DataFrame:
+    """One row per band: band_no, band + payload."""
+    return _explode_bands(df, n_bands, bits_col, None, (0,)).drop("bkt", "bkt_off")
+
+
 def _explode_bands(df: DataFrame, n_bands: int, bits_col: str, width: int | None,
                    offsets: tuple[int, ...]) -> DataFrame:
     """One row per (band, bucket offset): band_no, band, bkt + payload."""
@@ -101,7 +114,7 @@ def _explode_bands(df: DataFrame, n_bands: int, bits_col: str, width: int | None
     out = df.select("*", F.posexplode(bands).alias("band_no", "band"))
     if width is None:
         return out.withColumn("bkt", F.lit(0)).withColumn("bkt_off", F.lit(0))
-    bkt = F.floor(F.col(bits_col) / F.lit(width)).cast("int")
+    bkt = _bucket(bits_col, width)
     if offsets == (0,):
         return out.withColumn("bkt", bkt).withColumn("bkt_off", F.lit(0))
     return (out.withColumn("bkt_off", F.explode(F.array(*[F.lit(o) for o in offsets])))
@@ -225,18 +238,12 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
         left, right = left.withColumn(bits_col, popcount()), right.withColumn(bits_col, popcount())
     else:
         delta = th.max_delta
-    width = delta + 1
     cols = [*WORDS, bits_col]
-    lsel = left.select(F.col(left_id).alias("l_id"), *cols)
-    rsel = right.select(F.col(right_id).alias("r_id"), *cols)
-    # Self join: one bucket for same-bucket pairs (taken once by l_id < r_id)
-    # and the next bucket up; otherwise the query side covers all three.
-    offsets = (0, 1) if self_join else (-1, 0, 1)
-    lx = _explode_bands(lsel, n_bands, bits_col, width, offsets)
-    rx = _explode_bands(rsel, n_bands, bits_col, width, (0,)).drop("bkt_off")
-    keys = ["band_no", "band", "bkt"]
+    lx = _banded(left.select(F.col(left_id).alias("l_id"), *cols), n_bands, bits_col)
+    rx = _banded(right.select(F.col(right_id).alias("r_id"), *cols), n_bands, bits_col)
     n_second = max(len(DHASH_H), th.max_dh + 1)
-    lx, rx, keys = _leveled(lx, rx, keys, word_parts(DHASH_H, n_second), split_rows, salt_rows, broadcast_rows)
+    lx, rx, keys = _leveled(lx, rx, ["band_no", "band"], word_parts(DHASH_H, n_second), split_rows, salt_rows, broadcast_rows,
+                            bucket=_buckets(bits_col, delta, self_join))
     return _verified(lx, rx, keys, th, delta, bits_col, self_join)
 
 
@@ -254,7 +261,8 @@ def _verified(lx: DataFrame, rx: DataFrame, keys: list[str], th: Thresholds, del
         keep = keep & ((F.col("l.part") == -1) | (first == F.col("l.part")))
     keep = keep & (F.abs(F.col(f"l.{bits_col}") - F.col(f"r.{bits_col}")) <= delta)
     if self_join:
-        keep = keep & ((F.col("l.bkt_off") == 1) | (F.col("l.l_id") < F.col("r.r_id")))
+        ordered = F.col("l.l_id") < F.col("r.r_id")
+        keep = keep & ((F.col("l.bkt_off") == 1) | ordered if "bkt" in keys else ordered)
     out = joined.filter(keep).select(F.col("l.l_id").alias("l_id"), F.col("r.r_id").alias("r_id"),
                                      sum_distance(AHASH).alias("diff_a"), sum_distance(DHASH_H).alias("diff_dh"),
                                      sum_distance(DHASH_V).alias("diff_dv"), *[F.col(f"r.{c}").alias(c) for c in extra])
@@ -266,16 +274,43 @@ def _verified(lx: DataFrame, rx: DataFrame, keys: list[str], th: Thresholds, del
 
 
 def _leveled(left: DataFrame, right: DataFrame, keys: list[str], second: list[str], split_rows: int | None,
-             salt_rows: int | None, broadcast_rows: int, own: str | None = None):
-    """Second-level keys for hot keys, then salts for what is still hot."""
+             salt_rows: int | None, broadcast_rows: int, own: str | None = None,
+             bucket: tuple[str, int, tuple[int, ...]] | None = None):
+    """Second-level keys for hot keys, then bits buckets and salts for what is still hot."""
     most = None
     if split_rows:
         left, right, keys, most = _split(left, right, keys, second, split_rows, broadcast_rows, own)
+    if bucket and (most is None or most > BUCKET_ROWS):
+        left, right, keys = _bucketed(left, right, keys, bucket, broadcast_rows)
     if salt_rows and (most is None or most > salt_rows):
         left, right, keys = _salted(left, right, keys, salt_rows, broadcast_rows, "r_id")
     return left, right, keys
 
 
+def _buckets(bits_col: str, delta: int, self_join: bool = False) -> tuple[str, int, tuple[int, ...]]:
+    """``(bits column, bucket width, offsets of the left side)``."""
+    return bits_col, delta + 1, (0, 1) if self_join else (-1, 0, 1)
+
+
+def _bucketed(left: DataFrame, right: DataFrame, keys: list[str], bucket: tuple[str, int, tuple[int, ...]],
+              broadcast_rows: int):
+    """Give the rows of keys with more than ``BUCKET_ROWS`` index rows the bits bucket as a
+    further key (``bkt``; 0 for all others), and the left ones a row per offset (``bkt_off``)."""
+    bits_col, width, offsets = bucket
+    hot, n_hot, _ = _hot_keys(right, keys, BUCKET_ROWS)
+    if not n_hot:
+        return left, right, keys
+    hot = hot.select(*keys, F.lit(True).alias("is_wide"))
+    hot = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+    own = _bucket(bits_col, width)
+    wide = F.col("is_wide").isNotNull()
+    right = right.join(hot, keys, "left").select(*right.columns, F.when(wide, own).otherwise(F.lit(0)).alias("bkt"))
+    offs = F.when(wide, F.array(*[F.lit(o) for o in offsets])).otherwise(F.array(F.lit(0)))
+    left = left.join(hot, keys, "left").select(*left.columns, F.when(wide, own).otherwise(F.lit(0)).alias("own"),
+                                               F.explode(offs).alias("bkt_off"))
+    return left.withColumn("bkt", F.col("own") + F.col("bkt_off")).drop("own"), right, keys + ["bkt"]
+
+
 def popcount() -> Column:
     """Set bits over the twelve words."""
     return F.expr(" + ".join(f"bit_count({w})" for w in WORDS))
@@ -449,8 +484,9 @@ def match_bands(queries: DataFrame, index: DataFrame, th: Thresholds = STORE, *,
     """Query rows against stored ``band_rows``; ``extra`` names further columns of the
     index to carry.  Returns ``l_id, r_id, diff_a, diff_dh, diff_dv`` within the bounds."""
     prepare(queries.sparkSession)
-    q = _explode_bands(queries.select(F.col(id_col).alias("l_id"), *WORDS, bits_col),
-                       th.max_a + 1, bits_col, th.max_delta + 1, (-1, 0, 1))
-    lx, rx, keys = _leveled(q, index, ["band_no", "band", "bkt"], word_parts(DHASH_H, max(len(DHASH_H), th.max_dh + 1)),
-                            split_rows, salt_rows, DEFAULT_BROADCAST_ROWS)
+    cols = ["band_no", "band", *WORDS, bits_col]
+    q = _banded(queries.select(F.col(id_col).alias("l_id"), *WORDS, bits_col), th.max_a + 1, bits_col)
+    lx, rx, keys = _leveled(q.select("l_id", *cols), index.select("r_id", *cols, *extra), ["band_no", "band"],
+                            word_parts(DHASH_H, max(len(DHASH_H), th.max_dh + 1)), split_rows, salt_rows,
+                            DEFAULT_BROADCAST_ROWS, bucket=_buckets(bits_col, th.max_delta))
     return _verified(lx, rx, keys, th, th.max_delta, bits_col, extra=extra)

@@ -28,6 +28,8 @@ from dupstream.streaming import index_stream as IX
 SLOTS = 16                                            # fixed for a store's life
 SLOT_KEY = {"posts": "id", "images": "post_id"}       # tables whose rows may change
 WRITERS = ("ingest", "reports", "points", "summons")  # each with versions of its own
+# what the ingest reads of an API record; the rest never crosses its shuffles
+RECORD_FIELDS = ("id", "is_album", "account_id", "account_url", "datetime", "title", "size", "width", "height", "ups", "downs", "page")
 LIST = "name string, slot int, folder string"
 
 
@@ -125,12 +127,14 @@ def ingest_batch(spark: SparkSession, store: str, records: DataFrame, images: Da
     def at(name: str, slots: set | None = None) -> DataFrame:
         return _folders(spark, store, name, [f for n, s, f in before if n == name and (slots is None or s in slots)])
 
+    records = records.select(*[c for c in RECORD_FIELDS if c in records.columns])
     cls = stored(IG.classify(IG.first_per_key(records, "id", "datetime"), at("posts"), images), "ingest-outcomes")
     new, known = cls.filter(F.col("outcome") == "new"), cls.filter(F.col("outcome") == "known")
     post_id = F.coalesce(F.col("id").try_cast("bigint"), F.xxhash64("id"))
     posts = new.select(post_id.alias("id"), F.col("account_url").alias("userurl"), F.col("id").alias("link"),
                        "datetime", "title", F.col("account_id").alias("userid"), IG.score().alias("score"))
-    own = stored(images.join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi"), "ingest-images")
+    kept = images.select(*[c for c in images.columns if c in TABLES["images"].fieldNames()])
+    own = stored(kept.join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi"), "ingest-images")
 
     # copy on write: the slots that hold a known post are rewritten with their new rows
     touched = {r["s"] for r in at("posts").join(known.select(F.col("id").alias("link")), "link", "left_semi")

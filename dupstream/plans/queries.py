@@ -24,8 +24,8 @@ from dupstream.operators import report as R
 from dupstream.operators import stats as ST
 from dupstream.schemas import WORDS
 from dupstream.sources import envelope as EV
-from dupstream.sources.tables import (api_envelopes, api_records, blocklist_lines, images_fx,
-                                      miss_events, notifications, posts_fx, read_table, stored_near_index)
+from dupstream.sources.tables import (api_envelopes, blocklist_lines, images_fx, miss_events, notifications,
+                                      posts_fx, read_table, records_fx, stored_near_index)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _MARKS: dict = {}
@@ -404,7 +404,7 @@ def q_envelope_posts(spark, sf_dir):
 def _classified(spark, sf_dir):
     split, _ = time_marks(spark, sf_dir)
     po = posts_fx(spark, sf_dir).filter(F.col("datetime") < split)
-    batch = IG.first_per_key(api_records(spark, sf_dir), "id", "datetime")
+    batch = IG.first_per_key(records_fx(spark, sf_dir), "id", "datetime")
     return IG.classify(batch, po, images_fx(spark, sf_dir))
 
 
@@ -560,7 +560,7 @@ def _ingested_store(spark, sf_dir) -> str:
     base = _scratch(spark, "store")
     SO.create_store(spark, base)
     split, _ = time_marks(spark, sf_dir)
-    rec, im = api_records(spark, sf_dir), images_fx(spark, sf_dir)
+    rec, im = records_fx(spark, sf_dir), images_fx(spark, sf_dir)
     SO.ingest_batch(spark, base, rec.filter(F.col("datetime") < split), im.filter(F.col("datetime") < split), 0)
     SO.ingest_batch(spark, base, rec.filter(F.col("datetime") >= split), im.filter(F.col("datetime") >= split), 1)
     return base
@@ -588,7 +588,7 @@ def _overlapping_store(spark, sf_dir) -> tuple[str, int]:
     base = _scratch(spark, "store")
     SO.create_store(spark, base)
     split, now = time_marks(spark, sf_dir)
-    rec, im = api_records(spark, sf_dir), images_fx(spark, sf_dir)
+    rec, im = records_fx(spark, sf_dir), images_fx(spark, sf_dir)
     SO.ingest_batch(spark, base, rec.filter(F.col("datetime") < split), im.filter(F.col("datetime") < split), 0, now=now)
     again = rec.filter((F.col("datetime") >= split) | (F.col("id").cast("bigint") % 2 == 0)).select(
         *[c for c in rec.columns if c not in ("account_id", "size", "width", "height")],
@@ -629,7 +629,7 @@ def q_summon_messages(spark, sf_dir):
     base = _scratch(spark, "summons")
     SO.create_store(spark, base)
     split, now = time_marks(spark, sf_dir)
-    rec, im = api_records(spark, sf_dir), images_fx(spark, sf_dir)
+    rec, im = records_fx(spark, sf_dir), images_fx(spark, sf_dir)
     SO.ingest_batch(spark, base, rec.filter(F.col("datetime") < split), im.filter(F.col("datetime") < split), 0, now=now)
     notes = notifications(spark, sf_dir)
     notes.write.parquet(f"{base}/in")

@@ -54,12 +54,21 @@ def epoch_seconds(ts: Column) -> Column:
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    # title and digest are taken before the join: whole texts never cross a shuffle
+    # title, digest and the event's values are taken before the join: whole texts and
+    # event columns that nothing reads never cross a shuffle
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", ascii_printable(F.substring_index(F.col("text"), "\n", 1)).alias("title"),
         F.md5(F.col("text")).alias("crc"), "n_chars")
-    events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return docs.join(events, docs.doc_id == events.event_id)
+    events = read_table(spark, sf_dir, "events").select(
+        "event_id", epoch_seconds(F.col("ts")).alias("datetime"), "user_id",
+        F.col("event_type").isin(*ANIMATED_TYPES).alias("animated"), F.floor("value").cast("bigint").alias("points"))
+    return docs.join(events, docs.doc_id == events.event_id).drop("event_id")
+
+
+def base_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their events, joined once per input folder: posts, images and API
+    records all start from these rows."""
+    return _materialized(spark, sf_dir, "base", _base)
 
 
 def _derived_dir(spark: SparkSession, sf_dir: str) -> str:
@@ -96,28 +105,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Post rows: id, link, userid, userurl, datetime, title, score,
-    is_album, animated (materialised once per input folder)."""
-    return _materialized(spark, sf_dir, "posts", _posts_fx)
+    is_album, animated (a projection of the stored join)."""
+    return _posts_fx(spark, sf_dir, base_fx(spark, sf_dir))
 
 
 def images_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image rows (see ``_images_fx``), materialised once per input folder."""
-    return _materialized(spark, sf_dir, "images", _images_fx)
+    return _materialized(spark, sf_dir, "images", lambda sp, d: _images_fx(sp, d, base=base_fx(sp, d)))
 
 
-def _posts_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _base(spark, sf_dir)
+def _posts_fx(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
+    b = base if base is not None else _base(spark, sf_dir)
     return b.select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").cast("string").alias("link"),
         F.col("user_id").alias("userid"),
         F.when(F.col("user_id") % NO_URL_EVERY == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("userurl"),
-        epoch_seconds(F.col("ts")).alias("datetime"),
+        "datetime",
         "title",
-        (F.floor("value").cast("bigint") - F.col("doc_id") % 7).alias("score"),
+        (F.col("points") - F.col("doc_id") % 7).alias("score"),
         (F.col("doc_id") % ALBUM_EVERY == 0).alias("is_album"),
-        F.col("event_type").isin(*ANIMATED_TYPES).alias("animated"),
+        "animated",
     )
 
 
@@ -147,7 +156,8 @@ def _staged_words(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.select(*keep, *words)
 
 
-def _images_fx(spark: SparkSession, sf_dir: str, copies_share_fingerprint: bool = True) -> DataFrame:
+def _images_fx(spark: SparkSession, sf_dir: str, copies_share_fingerprint: bool = True,
+               base: DataFrame | None = None) -> DataFrame:
     """Image rows: id, post_id, userid, datetime, animated, 12 words, crc,
     bits (reference definition), tbits (true popcount).  Still images whose
     words sum to zero are rejected at ingest (FLT4) and therefore absent.
@@ -155,7 +165,7 @@ def _images_fx(spark: SparkSession, sf_dir: str, copies_share_fingerprint: bool
     Documents with identical text are copies of one file, so they share the
     fingerprint of the first of them (``copies_share_fingerprint``; off, the
     words depend on the document id alone)."""
-    b = _base(spark, sf_dir)
+    b = (base if base is not None else _base(spark, sf_dir)).drop("title")
     if copies_share_fingerprint:
         first = b.groupBy("crc").agg(F.min("doc_id").alias("fp_id"))
         b = b.join(first, "crc")
@@ -166,8 +176,8 @@ def _images_fx(spark: SparkSession, sf_dir: str, copies_share_fingerprint: bool
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("post_id"),
         F.col("user_id").alias("userid"),
-        epoch_seconds(F.col("ts")).alias("datetime"),
-        F.col("event_type").isin(*ANIMATED_TYPES).alias("animated"),
+        "datetime",
+        "animated",
         *WORDS,
         "crc",
         F.concat(F.lit("i/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("imagepath"),
@@ -240,25 +250,30 @@ ERROR_MESSAGE = "Permission denied"
 IMAGE_HOST = "http://images.example/"   # image links of the derived API records
 
 
-def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``api_records`` over the stored join."""
+    return api_records(spark, sf_dir, base_fx(spark, sf_dir))
+
+
+def api_records(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Every document as the site's API would deliver its post (the keys
     the ingest reads), with the page it arrives on."""
-    b = _base(spark, sf_dir)
+    b = base if base is not None else _base(spark, sf_dir)
     did = F.col("doc_id").cast("string")
-    animated = F.col("event_type").isin(*ANIMATED_TYPES)
+    animated = F.col("animated")
     link = F.concat(F.lit(IMAGE_HOST), did,
                     F.when(animated & (F.col("doc_id") % 4 == 0), F.lit(".gif"))
                     .when(animated, F.lit("h.gif")).otherwise(F.lit(".jpg")))
     gifv = F.when(animated, F.concat(F.lit(IMAGE_HOST), did, F.lit(".gifv"))).otherwise(F.lit(""))
-    score = F.floor("value").cast("bigint") - F.col("doc_id") % 7
+    score = F.col("points") - F.col("doc_id") % 7
     return b.select(
         did.alias("id"), (F.col("doc_id") % ALBUM_EVERY == 0).alias("is_album"),
         F.col("user_id").alias("account_id"),
         F.when(F.col("user_id") % NO_URL_EVERY == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("account_url"),
-        epoch_seconds(F.col("ts")).alias("datetime"),
+        "datetime",
         "title",
-        link.alias("link"), gifv.alias("gifv"), animated.alias("animated"),
+        link.alias("link"), gifv.alias("gifv"), "animated",
         F.col("n_chars").alias("size"), (F.col("n_chars") % 900 + 100).cast("int").alias("width"),
         (F.col("n_chars") % 700 + 100).cast("int").alias("height"),
         (score + 10).alias("ups"), F.lit(10).cast("bigint").alias("downs"),
@@ -270,7 +285,7 @@ def api_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One response body per page (``page, body``); a page holds at most
     ``POSTS_PER_PAGE`` records by construction, so the per-page list is
     bounded."""
-    rec = api_records(spark, sf_dir)
+    rec = records_fx(spark, sf_dir)
     el = rec.select("page", F.to_json(F.struct(*[c for c in rec.columns if c != "page"])).alias("el"))
     pages = el.groupBy("page").agg(F.array_join(F.collect_list("el"), ",").alias("items"))
     items = F.when(F.col("page") % NON_OBJECT_EVERY == 1, F.concat(F.col("items"), F.lit(",17"))) \
@@ -290,10 +305,10 @@ def stored_near_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     (``members``: id -> class root; ``root_edges``: a < b, diff_a, diff_d),
     built once per input folder like the reference builds its pair table
     at ingest; lookups and reports read it instead of re-joining."""
-    from dupstream.operators.pairs import near_index
+    from dupstream.operators.pairs import fingerprint_classes, near_index
 
     def members(sp, d):
-        return near_index(images_fx(sp, d))[0]
+        return fingerprint_classes(images_fx(sp, d))[1]
 
     def edges(sp, d):
         return near_index(images_fx(sp, d))[1]

@@ -117,12 +117,13 @@ def process_batch(batch: DataFrame, batch_id: int, store: str, th: P.Thresholds
                      .select("id", *[F.col(f"fp.{w}").alias(w) for w in WORDS], bits_col, "n_rows"), "batch-classes")
     own = P.band_rows(classes, th, bits_col=bits_col).withColumn("slot", _slot(slots))
     parts = band_parts(spark, bands, batch_id)
-    index = own.withColumn("fresh", F.lit(True))
     if parts:
         asked = [r["slot"] for r in own.select("slot").distinct().collect()]       # at most ``slots`` numbers
         earlier = read_bands(spark, bands, parts, bits_col, asked)
-        index = earlier.withColumn("fresh", F.lit(False)).unionByName(index)
-    found = P.match_bands(classes, index.drop("slot"), th, bits_col=bits_col, extra=("fresh",))
+        index = earlier.withColumn("fresh", F.lit(False)).unionByName(own.withColumn("fresh", F.lit(True)))
+        found = P.match_bands(classes, index, th, bits_col=bits_col, extra=("fresh",))
+    else:                                        # both sides are the same rows: one exchange serves both
+        found = P.match_bands(classes, own, th, bits_col=bits_col).withColumn("fresh", F.lit(True))
     found = stored(found.filter(~F.col("fresh") | (F.col("l_id") < F.col("r_id"))), "batch-matches")
     equal = ~F.col("fresh") & (F.col("diff_a") + F.col("diff_dh") + F.col("diff_dv") == 0)
     known = found.filter(equal).select(F.col("l_id").alias("id"), F.col("r_id").alias("cid"))

@@ -1,6 +1,7 @@
 """Banded similarity join: edge rows of the bounds and windows, band
 placement, copies, salting; history ordering."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from dupstream.functions.bits import exact_bits, reference_bits
@@ -284,3 +285,45 @@ def test_no_task_takes_a_whole_hot_class(spark):
     assert got.count() == 20_000
     hot = got.filter("k = -1").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in hot) == 6_000 and max(r["count"] for r in hot) <= 6_000 / 8 + 1
+
+
+def test_rows_cross_the_shuffle_once_per_band(spark):
+    """Rows of no hot key: six band rows an image, on one exchange for both sides of a self join."""
+    rows = spark.range(400).select("id", *[F.xxhash64(F.col("id"), F.lit(w)).alias(w) for w in WORDS],
+                                   F.lit(100).alias("bits"), F.lit(False).alias("animated"))
+    _, edges = P.near_index(rows)
+    edges.collect()
+    plan = edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+    side = P._banded(rows, 6, "bits")
+    lx, rx, keys = P._leveled(side.withColumnRenamed("id", "l_id"), side.withColumnRenamed("id", "r_id"), ["band_no", "band"],
+                              P.word_parts(P.DHASH_H, 9), 64, 1000, 1000, bucket=P._buckets("bits", 22, True))
+    assert keys == ["band_no", "band"] and lx.count() == rx.count() == 6 * 400
+
+
+@pytest.mark.parametrize("self_join", [True, False])
+def test_buckets_of_hot_keys_lose_no_pair(spark, monkeypatch, self_join):
+    """Blank images, which share every band, with and without the bits bucket: the same
+    pairs, each once; images of far apart bits are not compared."""
+    rows = spark.range(60).select("id", *[F.lit(0).cast("bigint").alias(w) for w in WORDS[:-1]],
+                                  F.expr("shiftleft(1L, cast(id % 6 as int))").alias(WORDS[-1]),
+                                  (F.col("id") * 7).cast("int").alias("bits"))
+    def pairs():
+        got = P.similarity_join(rows, rows, self_join=self_join, split_rows=4).collect()
+        return sorted((min(r[:2]), max(r[:2]), *r[2:]) if self_join else tuple(r) for r in got)
+    plain = pairs()
+    monkeypatch.setattr(P, "BUCKET_ROWS", 3)
+    assert pairs() == plain
+    wanted = [(a, b) for a in range(60) for b in range(60) if abs(a - b) * 7 <= 22 and (a < b or not self_join)]
+    assert [p[:2] for p in plain] == sorted(wanted)
+
+
+def test_titles_are_ranked_only_where_posts_agree(spark):
+    schema = "id bigint, userurl string, link string, datetime bigint, title string, userid bigint"
+    rows = [(1, None, "1", 5, "b", 1), (2, "u", "2", 5, "a", 1)]
+    alone = H.placed(spark.createDataFrame(rows, schema))
+    assert "Window" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["id"], r["place"], r["first"]) for r in alone.orderBy("id").collect()] == [(1, 1, True), (2, 1, True)]
+    agreeing = [(3, None, "1", 5, "a", 1), (4, None, "1", 5, "b", 1)]
+    got = {r["id"]: (r["place"], r["first"]) for r in H.placed(spark.createDataFrame(rows + agreeing, schema)).collect()}
+    assert got[3] == (1, True) and got[2] == (1, True) and {got[1], got[4]} == {(2, True), (2, False)}

@@ -21,3 +21,11 @@ def _joined_columns(node):
 def test_no_whole_text_goes_into_a_join(spark, build):
     columns = _joined_columns(build(spark, SF0001)._jdf.queryExecution().optimizedPlan())
     assert "doc_id" in columns and "text" not in columns
+
+
+def test_documents_meet_events_once(spark):
+    """Posts and API records start from the stored join, with the rows of the join itself."""
+    for fx, build in ((TB.posts_fx, TB._posts_fx), (TB.records_fx, TB.api_records)):
+        df, joined = fx(spark, SF0001), build(spark, SF0001)
+        assert not _joined_columns(df._jdf.queryExecution().optimizedPlan())
+        assert df.schema == joined.schema and df.exceptAll(joined).isEmpty() and joined.exceptAll(df).isEmpty()
