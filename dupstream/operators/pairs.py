@@ -11,7 +11,8 @@ join here is lossless and equi-keyed:
   of every pair inside the group.  A pair (x, y) is near iff
   ``root(x) = root(y)`` or ``(root(x), root(y))`` is a stored root edge.
 * **Pigeonhole bands.**  ``diff_a <= k`` over the aHash words means at most
-  k of any k+1 disjoint aHash bands differ, so at least one band is equal.
+  k of any k+1 disjoint aHash bands differ, so at least one band is equal; of the eight
+  halves a join in memory takes the k+1 with the fewest rows in hot keys.
   Both sides are exploded to (band_no, 32-bit band) and equi-joined on it;
   a pair is kept only at the *first* equal band, so no ``distinct`` shuffle
   is needed.
@@ -102,9 +103,19 @@ def _bucket(bits_col: str, width: int) -> Column:
     return F.floor(F.col(bits_col) / F.lit(width)).cast("int")
 
 
-def _banded(df: DataFrame, n_bands: int, bits_col: str) -> DataFrame:
+def _banded(df: DataFrame, bands: list[str]) -> DataFrame:
     """One row per band: band_no, band + payload."""
-    return _explode_bands(df, n_bands, bits_col, None, (0,)).drop("bkt", "bkt_off")
+    return df.select("*", F.posexplode(_band_array(bands)).alias("band_no", "band"))
+
+
+def _coolest_bands(index: DataFrame, n_bands: int, split_rows: int | None) -> list[int]:
+    """Any ``n_bands`` of the aHash halves find every pair: those with the fewest rows of
+    ``index`` in hot keys, whose rows the second level would multiply."""
+    if not split_rows or n_bands == MAX_BANDS:
+        return list(range(n_bands))
+    hot, _, _ = _hot_keys(_banded(index.select(*AHASH), _halves(AHASH)), ["band_no", "band"], split_rows)
+    heat = {r["band_no"]: r["heat"] for r in hot.groupBy("band_no").agg(F.sum("est").alias("heat")).collect()}
+    return sorted(sorted(range(MAX_BANDS), key=lambda b: (heat.get(b, 0), b))[:n_bands])
 
 
 def _explode_bands(df: DataFrame, n_bands: int, bits_col: str, width: int | None,
@@ -129,8 +140,9 @@ def _first_equal(left: list[str], right: list[str], unless: str | None = None) -
     return F.expr(f"CASE {cases} END")
 
 
-def _first_equal_band(n_bands: int) -> Column:
-    return _first_equal(_halves(AHASH, "l")[:n_bands], _halves(AHASH, "r")[:n_bands])
+def _first_equal_band(bands: list[int]) -> Column:
+    left, right = _halves(AHASH, "l"), _halves(AHASH, "r")
+    return _first_equal([left[b] for b in bands], [right[b] for b in bands])
 
 
 def word_parts(words: list[str], n: int, prefix: str = "") -> list[str]:
@@ -239,23 +251,25 @@ def similarity_join(left: DataFrame, right: DataFrame, th: Thresholds = STORE, *
     else:
         delta = th.max_delta
     cols = [*WORDS, bits_col]
-    lx = _banded(left.select(F.col(left_id).alias("l_id"), *cols), n_bands, bits_col)
-    rx = _banded(right.select(F.col(right_id).alias("r_id"), *cols), n_bands, bits_col)
+    bands = _coolest_bands(right, n_bands, split_rows)
+    halves = [_halves(AHASH)[b] for b in bands]
+    lx = _banded(left.select(F.col(left_id).alias("l_id"), *cols), halves)
+    rx = _banded(right.select(F.col(right_id).alias("r_id"), *cols), halves)
     n_second = max(len(DHASH_H), th.max_dh + 1)
     lx, rx, keys = _leveled(lx, rx, ["band_no", "band"], word_parts(DHASH_H, n_second), split_rows, salt_rows, broadcast_rows,
                             bucket=_buckets(bits_col, delta, self_join))
-    return _verified(lx, rx, keys, th, delta, bits_col, self_join)
+    return _verified(lx, rx, keys, th, delta, bits_col, self_join, bands=bands)
 
 
 def _verified(lx: DataFrame, rx: DataFrame, keys: list[str], th: Thresholds, delta: int, bits_col: str,
-              self_join: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+              self_join: bool = False, extra: tuple[str, ...] = (), bands: list[int] | None = None) -> DataFrame:
     """Join exploded rows on ``keys`` and keep each pair once, within the bounds."""
-    n_bands, n_second = th.max_a + 1, max(len(DHASH_H), th.max_dh + 1)
+    bands, n_second = bands or list(range(th.max_a + 1)), max(len(DHASH_H), th.max_dh + 1)
     l, r = lx.alias("l"), rx.alias("r")
     cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
     # the candidates of a self join outgrow its rows: never in the few tasks of a small scan
     joined = l.join(r.hint("merge") if self_join else r, cond, "inner")
-    keep = _first_equal_band(n_bands) == F.col("l.band_no")
+    keep = _first_equal_band(bands) == F.col("l.band_no")
     if "part" in keys:
         first = _first_equal(word_parts(DHASH_H, n_second, "l"), word_parts(DHASH_H, n_second, "r"))
         keep = keep & ((F.col("l.part") == -1) | (first == F.col("l.part")))
@@ -485,7 +499,7 @@ def match_bands(queries: DataFrame, index: DataFrame, th: Thresholds = STORE, *,
     index to carry.  Returns ``l_id, r_id, diff_a, diff_dh, diff_dv`` within the bounds."""
     prepare(queries.sparkSession)
     cols = ["band_no", "band", *WORDS, bits_col]
-    q = _banded(queries.select(F.col(id_col).alias("l_id"), *WORDS, bits_col), th.max_a + 1, bits_col)
+    q = _banded(queries.select(F.col(id_col).alias("l_id"), *WORDS, bits_col), _halves(AHASH)[:th.max_a + 1])
     lx, rx, keys = _leveled(q.select("l_id", *cols), index.select("r_id", *cols, *extra), ["band_no", "band"],
                             word_parts(DHASH_H, max(len(DHASH_H), th.max_dh + 1)), split_rows, salt_rows,
                             DEFAULT_BROADCAST_ROWS, bucket=_buckets(bits_col, th.max_delta))

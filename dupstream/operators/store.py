@@ -134,7 +134,7 @@ def ingest_batch(spark: SparkSession, store: str, records: DataFrame, images: Da
     posts = new.select(post_id.alias("id"), F.col("account_url").alias("userurl"), F.col("id").alias("link"),
                        "datetime", "title", F.col("account_id").alias("userid"), IG.score().alias("score"))
     kept = images.select(*[c for c in images.columns if c in TABLES["images"].fieldNames()])
-    own = stored(kept.join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi"), "ingest-images")
+    own = kept.join(posts.select(F.col("id").alias("post_id")), "post_id", "left_semi")
 
     # copy on write: the slots that hold a known post are rewritten with their new rows
     touched = {r["s"] for r in at("posts").join(known.select(F.col("id").alias("link")), "link", "left_semi")
@@ -142,9 +142,13 @@ def ingest_batch(spark: SparkSession, store: str, records: DataFrame, images: Da
     old_posts, old_images = at("posts", touched), at("images", touched)
     rows_posts, rows_images = posts.drop("score"), own
     if touched:
+        own = stored(own, "ingest-images")
         rows_posts = IG.refresh_posts(old_posts, known).unionByName(rows_posts)
         rows_images = IG.refresh_images(old_images, old_posts, known, now).unionByName(own, allowMissingColumns=True)
-    lists = _put(rows_posts, store, "posts", version) + _put(rows_images, store, "images", version)
+    put_images = _put(rows_images, store, "images", version)
+    if not touched:                                  # the version's folders hold just these
+        own = _folders(spark, store, "images", [f for _, _, f in put_images])
+    lists = _put(rows_posts, store, "posts", version) + put_images
     rewritten = {(n, s) for n in SLOT_KEY for s in touched}
 
     # near edges: the same per-batch step as the streaming index; exact edges: animated

@@ -295,7 +295,7 @@ def test_rows_cross_the_shuffle_once_per_band(spark):
     edges.collect()
     plan = edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan
-    side = P._banded(rows, 6, "bits")
+    side = P._banded(rows, P._halves(P.AHASH)[:6])
     lx, rx, keys = P._leveled(side.withColumnRenamed("id", "l_id"), side.withColumnRenamed("id", "r_id"), ["band_no", "band"],
                               P.word_parts(P.DHASH_H, 9), 64, 1000, 1000, bucket=P._buckets("bits", 22, True))
     assert keys == ["band_no", "band"] and lx.count() == rx.count() == 6 * 400
@@ -327,3 +327,15 @@ def test_titles_are_ranked_only_where_posts_agree(spark):
     agreeing = [(3, None, "1", 5, "a", 1), (4, None, "1", 5, "b", 1)]
     got = {r["id"]: (r["place"], r["first"]) for r in H.placed(spark.createDataFrame(rows + agreeing, schema)).collect()}
     assert got[3] == (1, True) and got[2] == (1, True) and {got[1], got[4]} == {(2, True), (2, False)}
+
+
+def test_hot_bands_are_left_out_where_others_do(spark):
+    """Images that share both halves of one aHash word: the six other halves serve, and no
+    row is multiplied; the pairs are those of a comparison of all with all."""
+    rows = spark.range(300).select("id", F.lit(0).cast("bigint").alias("ahash_1"),
+                                   *[F.xxhash64((F.col("id") / 2).cast("int"), F.lit(w)).alias(w) for w in WORDS[1:]],
+                                   F.lit(100).alias("bits"), F.lit(False).alias("animated"))
+    rows = rows.withColumn("ahash_2", F.expr("ahash_2 ^ (id % 2)"))
+    assert P._coolest_bands(rows, 6, 64) == [1, 2, 3, 5, 6, 7]
+    got = {(r["a"], r["b"], r["diff_a"]) for r in P.near_index(rows)[1].collect()}
+    assert got == {(i, i + 1, 1) for i in range(0, 300, 2)}
