@@ -12,7 +12,7 @@ join here is lossless and equi-keyed:
   ``root(x) = root(y)`` or ``(root(x), root(y))`` is a stored root edge.
 * **Pigeonhole bands.**  ``diff_a <= k`` over the aHash words means at most
   k of any k+1 disjoint aHash bands differ, so at least one band is equal; of the eight
-  halves a join in memory takes the k+1 with the fewest rows in hot keys.
+  halves a join that stores no bands takes the k+1 with the fewest rows in hot keys.
   Both sides are exploded to (band_no, 32-bit band) and equi-joined on it;
   a pair is kept only at the *first* equal band, so no ``distinct`` shuffle
   is needed.
