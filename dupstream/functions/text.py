@@ -164,11 +164,6 @@ def distance_below(a, b, share: float, known=None) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), below)
 
 
-def byte_text(x) -> Column:
-    """A text with one character for every UTF-8 byte of ``x``."""
-    return F.decode(F.encode(_c(x), "UTF-8"), "ISO-8859-1")
-
-
 def python_bin(x) -> Column:
     """Python's ``bin(n)`` text for a BIGINT: ``0b101`` or ``-0b101``."""
     x = _c(x)

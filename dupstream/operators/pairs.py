@@ -396,6 +396,49 @@ def returned(pairs: DataFrame, max_a: int = RETURN_MAX_A, max_d: int = RETURN_MA
     return pairs.filter((F.col("diff_a") <= max_a) & (F.col("diff_d") <= max_d))
 
 
+PLACE_EDGES = 1024     # edges of one neighbourhood that may meet their texts in one place
+MAX_SIDE = 64          # a larger neighbourhood is dealt over up to this many rows and columns of places
+
+
+def places(edges: DataFrame, place_edges: int = PLACE_EDGES) -> DataFrame:
+    """``a, b, place``: edges of one neighbourhood get one place, so that a text travels once to most of its
+    pairs instead of once to each.
+
+    The neighbourhood is the smallest id next to either end.  One with more than ``place_edges`` edges is cut
+    into a grid by hashes of both ends, so its pairs are spread however many there are."""
+    low = edges.groupBy("b").agg(F.min("a").alias("low"), F.count(F.lit(1)).alias("n_rows"))
+    e = join_back(edges.select("a", "b"), low.withColumnRenamed("low", "low_b"), "b", "n_rows")
+    e = e.join(low.select(F.col("b").alias("a"), F.col("low").alias("low_a")), "a", "left")
+    e = e.select("a", "b", F.least("low_a", "low_b").alias("home"))     # a is never below low_b
+    sizes = e.groupBy("home").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+        "side", F.least(F.lit(MAX_SIDE), F.ceil(F.col("n_rows") / F.lit(place_edges))).cast("int"))
+    return join_back(e, sizes, "home", "n_rows").select("a", "b", F.xxhash64(
+        "home", F.pmod(F.hash("a"), F.col("side")), F.pmod(F.hash("b"), F.col("side"))).alias("place"))
+
+
+def with_texts(edges: DataFrame, docs: DataFrame, doc: str, text: str, place_edges: int = PLACE_EDGES) -> DataFrame:
+    """``a, b, ta, tb``: the edges with the texts of both ends (each row of ``docs`` counts).
+
+    A text crosses one shuffle to the few places that need it; a join by (place, id) would send the edges on with
+    their first text to meet the second.  So texts and edges are dealt by place alone, and within a
+    place each edge takes the texts of its first end, then those of its second, from the rows beside it."""
+    spark = edges.sparkSession
+    placed = stored(places(edges, place_edges), "places")
+    needed = placed.select("place", F.explode(F.array("a", "b")).alias(doc)).distinct()
+    there = needed.join(docs.select(doc, F.struct(F.col(text).alias("t")).alias("own")), doc)
+    # little to move, much to do with it: no fewer partitions than that, and AQE does not merge them
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = there.select("place", F.col(doc).alias("at"), "own").unionByName(
+        placed.withColumn("at", F.col("a")), allowMissingColumns=True).repartition(n, "place")
+    beside = F.collect_list("own").over(Window.partitionBy("place", "at"))
+    nothing = F.array(F.lit(None).cast(there.schema["own"].dataType))
+    for end in "ab":       # an edge stands at its first end, then at its second; a text stays where it is
+        rows = rows.select("*", F.when(F.col("own").isNull(), beside).otherwise(nothing).alias("met"))
+        rows = rows.select(*[c for c in rows.columns if c not in ("met", "at")], F.explode("met").alias(f"t{end}"),
+                           F.coalesce("b", "at").alias("at"))
+    return rows.filter(F.col("own").isNull()).select("a", "b", F.col("ta.t").alias("ta"), F.col("tb.t").alias("tb"))
+
+
 def exact_classes(images: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Animated images grouped by content digest: ``id, root`` with root the
     smallest id sharing the digest (JN4 groups)."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dupstream.functions import bits as B
 from dupstream.functions import text as X
+from dupstream.functions import whole_text as WT
 from dupstream.functions.sql import register_sql
 from dupstream.operators import history as H
 from dupstream.operators import ingest as IG
@@ -266,14 +267,10 @@ def q_text_distance(spark, sf_dir):
     distance (in UTF-8 bytes) of the two documents' whole texts, and whether that is below
     the share that makes two titles the same."""
     _, root_edges = stored_near_index(spark, sf_dir)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", X.byte_text("text").alias("t"))
-    side = {s: docs.select(F.col("doc_id").alias(s), F.col("t").alias(f"t{s}")) for s in "ab"}
-    # few bytes, much work: a fixed number of partitions, which AQE does not merge, and in
-    # which the pairs meet their second text
-    n = 4 * spark.sparkContext.defaultParallelism
-    j = P.returned(root_edges).select("a", "b").join(side["a"], "a").repartition(n, "b").join(side["b"].repartition(n, "b"), "b")
-    j = j.withColumn("distance", X.edit_distance("ta", "tb"))
-    return j.select("a", "b", X.positional_mismatch("ta", "tb").alias("mismatch"), "distance",
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("t"))
+    j = P.with_texts(P.returned(root_edges).select("a", "b"), docs, "doc_id", "t")
+    j = j.withColumn("distance", WT.byte_distance("ta", "tb"))
+    return j.select("a", "b", WT.byte_mismatch("ta", "tb").alias("mismatch"), "distance",
                     X.distance_below("ta", "tb", R.SAME_TITLE, known="distance").alias("alike"))
 
 

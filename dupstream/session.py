@@ -74,15 +74,35 @@ def ship_package(spark: SparkSession) -> None:
     data = buf.getvalue()
     digest = hashlib.sha1(data).hexdigest()[:12]
     target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles-{digest}/dupstream.zip"
-    jvm = sc._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    _put(spark, target, data)
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
+def ship_jar(spark: SparkSession, files: dict[str, bytes]) -> None:
+    """Make compiled classes (name in the jar -> bytes) loadable on every executor, by a jar in
+    the checkpoint folder."""
+    import hashlib
+    import io
+    import zipfile
+
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in sorted(files):
+            z.writestr(name, files[name])
+    digest = hashlib.sha1(b"".join(files[n] for n in sorted(files))).hexdigest()[:12]
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/jars-{digest}/dupstream-{digest}.jar"
+    _put(spark, target, buf.getvalue())
+    spark.sparkContext._jsc.addJar(target)
+
+
+def _put(spark: SparkSession, target: str, data: bytes) -> None:
+    """Write a file by Spark's file systems unless it is there."""
+    fs, path = path_of(spark, target)
     if not fs.exists(path):
         out = fs.create(path, True)
         out.write(bytearray(data))
         out.close()
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
 
 
 MAX_SHUFFLE_PARTITIONS = 100_000

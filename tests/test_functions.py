@@ -178,3 +178,46 @@ def test_bounded_distance_loses_nothing(spark):
             assert r[f"upto{k}"] == (r["d"] if r["d"] <= k else None)
         for i, s in enumerate((0.1, 0.4, 1.0)):
             assert r[f"below{i}"] == (r["n"] < s)
+
+
+def _edited(rnd, text: bytes, every: int) -> bytes:
+    out = bytearray()
+    for ch in text:
+        kind = rnd.randrange(3 * every)
+        out += b"" if kind == 0 else bytes([rnd.randrange(256)]) if kind == 1 else bytes([ch, 46]) if kind == 2 else bytes([ch])
+    return bytes(out)
+
+
+def test_byte_distance_matches_the_long_integers(spark):
+    """Lengths around the words, passes and parts it works in; copies, edits, shifts and strangers."""
+    import random
+    from dupstream.functions import whole_text as WT
+    from dupstream.functions.text import _myers
+    rnd = random.Random(11)
+    some = lambda n, k: bytes(rnd.randrange(k) * 9 % 256 for _ in range(n))
+    pairs = [(b"", b""), (b"", b"ab"), (b"ab", b""), (b"kitten", b"sitting"), ("héllo".encode(), b"hello"), (b"x" * 3000, b"x" * 2000)]
+    for n in (1, 63, 64, 65, 127, 128, 129, 255, 512, 513, 700, 1500, 4000):
+        a = some(n, rnd.choice((2, 5, 30, 256)))
+        pairs += [(a, a), (a, _edited(rnd, a, 5)), (_edited(rnd, a, 60), a), (a, some(200, 30) + a), (a[n // 3:], a[:n // 2]),
+                  (a, some(n, 30)), (a, some(3 * n, 5)), (some(n // 9, 2), a), (some(9, 30) + a[9:-9] + some(9, 30), a)]
+    df = spark.createDataFrame([(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(pairs)], "i int, a binary, b binary")
+    got = {r["i"]: (r["d"], r["m"]) for r in df.select(
+        "i", WT.byte_distance("a", "b").alias("d"), WT.byte_mismatch("a", "b").alias("m")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == (_myers(a.decode("latin-1"), b.decode("latin-1")), sum(x != y for x, y in zip(a, b))), (i, len(a), len(b))
+
+
+def test_byte_functions_of_null(spark):
+    from dupstream.functions import whole_text as WT
+    df = spark.createDataFrame([(None, bytearray(b"x")), (bytearray(b"x"), None), (None, None)], "a binary, b binary")
+    assert all(r["d"] is None and r["m"] is None for r in df.select(
+        WT.byte_distance("a", "b").alias("d"), WT.byte_mismatch("a", "b").alias("m")).collect())
+
+
+def test_text_distance_leaves_no_text_to_python(spark):
+    """The distances run in the JVM, and texts cross the shuffle of their own join and one more."""
+    from dupstream.plans.queries import REGISTRY
+    from tests.conftest import SF0001
+    plan = REGISTRY["text_distance"](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "edit_distance(" in plan
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange") <= 5

@@ -339,3 +339,26 @@ def test_hot_bands_are_left_out_where_others_do(spark):
     assert P._coolest_bands(rows, 6, 64) == [1, 2, 3, 5, 6, 7]
     got = {(r["a"], r["b"], r["diff_a"]) for r in P.near_index(rows)[1].collect()}
     assert got == {(i, i + 1, 1) for i in range(0, 300, 2)}
+
+
+def test_edges_meet_the_texts_of_both_ends(spark):
+    """As a join by each id, with ids that repeat, are missing or have no text, however
+    neighbourhoods are cut into places."""
+    from collections import Counter
+    pairs = [(1, k) for k in range(2, 12)] + [(a, b) for a in range(20, 28) for b in range(a + 1, 28)] + [(2, 30), (2, 30), (30, 99), (40, 41)]
+    docs = [(i, bytearray(b"t%d" % i)) for i in range(42)] + [(3, bytearray(b"again")), (21, bytearray(b"t21")), (None, bytearray(b"x"))]
+    docs = [(i, None if i == 40 else t) for i, t in docs]
+    edges, texts = spark.createDataFrame(pairs, "a bigint, b bigint"), spark.createDataFrame(docs, "doc bigint, t binary")
+    want = Counter((a, b, x and bytes(x), y and bytes(y)) for a, b in pairs for i, x in docs if i == a for k, y in docs if k == b)
+    for place_edges in (1024, 3, 1):
+        got = P.with_texts(edges, texts, "doc", "t", place_edges).collect()
+        assert Counter((r["a"], r["b"], r["ta"] and bytes(r["ta"]), r["tb"] and bytes(r["tb"])) for r in got) == want, place_edges
+
+
+def test_neighbourhoods_share_a_place_until_they_are_large(spark):
+    group = lambda lo, n: [(a, b) for a in range(lo, lo + n) for b in range(a + 1, lo + n)]
+    edges = spark.createDataFrame(group(0, 5) + group(100, 40), "a bigint, b bigint")
+    of = {(r["a"], r["b"]): r["place"] for r in P.places(edges, place_edges=100).collect()}
+    small, large = [p for e, p in of.items() if e[0] < 100], [p for e, p in of.items() if e[0] >= 100]
+    assert len(of) == 10 + 780 and len(set(small)) == 1
+    assert len(set(large)) > 20 and max(large.count(p) for p in set(large)) < 100
